@@ -4,24 +4,73 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing
+from pyspark.sql import functions as F
+
+from . import bpe, media, neighbours, packing, urls, warc
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_media(spark, sf_dir):
+    found = media.media_table(table(spark, sf_dir, "documents"), keep_media=False)
+    feature = F.concat_ws(":", "n_frames", "n_peaks", "n_pairs", "pairs_sha256").alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+RULES = [
+    urls.Rule("block", "com/en/"),
+    urls.Rule("allow", "example.com/en/7"),
+    urls.Rule("block", "net/de/"),
+    urls.Rule("allow", "example.net/de/8"),
+    urls.Rule("block", "org/es/"),
+]
+
+
+def op6_urls(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+OP6_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(rh, rp, verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+         ('example.net', '/de/8', 'allow'), ('org', '/es/', 'block')
+), hits AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)
+"""
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_warc(spark, sf_dir):
+    at = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, at, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_urls": OP6_SQL}
