@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, media, neighbours, packing, urls, warc
+from . import bpe, media, neighbours, packing, quality, substrings, toxicity, urls, warc
 
 
 def table(spark, sf_dir, name):
@@ -23,6 +23,11 @@ def op3_media(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
 
 
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels), located=False)
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
@@ -68,6 +73,15 @@ def op8_warc(spark, sf_dir):
     return warc.read_archives(spark, at, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_substrings(spark, sf_dir):
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op10_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit(docs, labels))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
