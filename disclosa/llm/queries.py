@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, media, neighbours, packing, quality, substrings, toxicity, urls, warc
+from . import bpe, media, nearcopies, neighbours, packing, quality, substrings, toxicity, urls, warc
 
 
 def table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op1_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_nearcopies(spark, sf_dir):
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark, sf_dir):
     found = media.media_table(table(spark, sf_dir, "documents"), keep_media=False)
     feature = F.concat_ws(":", "n_frames", "n_peaks", "n_pairs", "pairs_sha256").alias("feature")
