@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, U64, Words, utf8
 
@@ -62,7 +63,7 @@ class Chunk:
 
     def __init__(self, table: pa.Table, window: int):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.ids = table["doc_id"].to_pylist()
+        self.table, self.ids = table, table["doc_id"].to_pylist()
         self.raw, self.offsets = utf8(table["text"])
         self.window, self.words = window, Words(self.raw, self.offsets, SPACE)
         known = np.array([x is not None for x in self.ids], bool)
@@ -113,7 +114,7 @@ def _entries(table: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray]:
     return table["chunk"].to_pylist(), [len(x) for x in hashes], flat, np.unique(flat, return_inverse=True)[1]
 
 
-def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, keep_text: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, keep_text: bool = True, carry: list[str] = (), as_is: bool = False) -> DataFrame:
     """Remove every word of a window of ``window`` words that also starts in a
     document with a smaller id.
 
@@ -122,14 +123,16 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     kept_sha256 and, with ``keep_text``, kept (the words left, joined by one
     space).  The document with the smallest id keeps a passage.  Rows of one id
     are one document to each other and are judged each; rows without an id
-    neither remove nor lose words; null and empty texts have no words; other
-    columns are left out; an empty table gives no rows.
+    neither remove nor lose words; null and empty texts have no words; of other
+    columns those in ``carry`` come along as the struct ``carried``, the rest is
+    left out; with ``as_is`` kept is the unchanged text where nothing goes; an
+    empty table gives no rows.
 
     Texts are shuffled once (the same exchange serves all three readings).
     Hashes have 64 bits; a word goes wrongly only where those of a half-length
     run and of the whole window, which are independent, both collide.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.struct(*carry).alias("carried")] * bool(carry))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // chunk_bytes))
     texts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
@@ -175,10 +178,15 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
         return _table(out, _BITS)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+    fields = T._parse_datatype_string(schema).fields + [f for f in texts.schema if f.name == "carried"]
+
+    def whole_table(out: list[tuple], table: pa.Table) -> pa.Table:
+        found = _table(out, schema)
+        return found.append_column("carried", table["carried"]) if "carried" in table.column_names else found
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return _table([], schema)
+            return whole_table([], table)
         c, both = Chunk(table, window), list(zip(answers["part"].to_pylist(), answers["bits"].to_pylist()))
         alive, level = survivors(c, {-1 - p: x for p, x in both if p < 0})
         smaller = level.bits({p: x for p, x in both if p >= 0})[level.entry] | (c.value[c.owner[alive]] > level.low[level.entry])
@@ -207,9 +215,11 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
         for d in range(len(size)):
             text = whole[at[d] : at[d + 1]]
             row = c.ids[d], int(size[d]), int(lost[d]), hashlib.sha256(text).hexdigest()
+            if as_is and not lost[d]:
+                text = c.raw[c.offsets[d] : c.offsets[d + 1]].tobytes()
             out.append((*row, text.decode("utf-8", "replace")) if keep_text else row)
-        return _table(out, schema)
+        return whole_table(out, c.table)
 
     first = by_chunk(texts).applyInArrow(halves, _HASHES).groupBy("part").applyInArrow(repeated, _BITS)
     second = by_chunk(texts).cogroup(by_chunk(first)).applyInArrow(doubled, _HASHES).groupBy("part").applyInArrow(smallest, _BITS)
-    return by_chunk(texts).cogroup(by_chunk(second)).applyInArrow(removed, schema)
+    return by_chunk(texts).cogroup(by_chunk(second)).applyInArrow(removed, T.StructType(fields))
