@@ -1,8 +1,83 @@
-"""Corpus pipeline: filters, near-dedup, substring dedup, packing."""
+"""Corpus pipeline: quality, toxicity, near copies, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns a DataFrame that is written and reread as the next one's ``docs``;
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from disclosa.llm import nearcopies, packing, quality, substrings, toxicity
+from disclosa.llm.common import fresh_dir
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, _labels(spark, sf_dir))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.keep_civil(docs, _labels(spark, sf_dir))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class; of repeated rows of an
+    id one; rows without an id stay."""
+    classes = nearcopies.near_copies(docs)
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    nameless = kept.where("doc_id is null")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless) if _repeats(docs) else kept
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words or more that an earlier document has;
+    a text that loses nothing stays as it is, one that loses all goes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.withColumn("text_is_null", F.col("text").isNull())
+    cut = substrings.drop_repeats(marked, carry=[*others, "text_is_null"], as_is=True)
+    kept = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    text = F.when(~F.col("carried.text_is_null"), F.col("kept")).alias("text")
+    changed = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long"))
+    column = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"carried.`{c}`").alias(c) for c in others}
+    if "n_chars" in others:
+        column["n_chars"] = F.coalesce(changed, F.col("carried.n_chars")).alias("n_chars")
+    return kept.select(*(column[c] for c in docs.columns))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens, a row for each piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_copies", near_copies_stage),
+    ("substrings", substrings_stage),
+    ("packing", packing_stage),
+]
+
+#: Fitted models, sketches and token ids are not SQL; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        at = fresh_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return STAGES[-1][1](spark, docs, sf_dir)
