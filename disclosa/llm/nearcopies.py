@@ -334,8 +334,20 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(placed.join(shared, "key").join(first.select("rep", "minima"), "rep"), "buckets")
     tried = stored(dealt(candidates(members)), "pairs")
-    needed = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(rows.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(known) else rows.join(needed, "doc_id", "left_semi"), "texts")
+    repeats = _repeats(known)
+
+    def texts_of(pairs: DataFrame, have: DataFrame | None = None) -> DataFrame:
+        """One text for each end of the pairs."""
+        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        if have is not None:
+            needed = stored(needed.join(have, "doc_id", "left_anti"), "ids")
+            if needed.isEmpty():
+                return have
+        found = rows.join(needed, "doc_id", "left_semi")
+        found = stored(found.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else found, "texts")
+        return found if have is None else have.unionByName(found)
+
+    texts = texts_of(tried)
     judged = stored(verified(tried, texts, least), "judged")
     linked = judged.where(F.col("similarity") >= least).select("a", "b")
     root = components(linked)
@@ -348,7 +360,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     again = members.join(keys, "key", "left_semi").join(root, members["rep"] == root["node"], "left").select("key", "rep", "minima", F.coalesce("root", "rep").alias("label"))
     more = stored(dealt(candidates(again).join(tried.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
     if not more.isEmpty():
-        found = stored(verified(more, texts, least).where(F.col("similarity") >= least).select("a", "b"), "judged")
+        found = stored(verified(more, texts_of(more, texts), least).where(F.col("similarity") >= least).select("a", "b"), "judged")
         if not found.isEmpty():
             root = components(linked.unionByName(found))
     classes = salted(member, root.select(F.col("node").alias("copy_of"), "root"), "copy_of", "left")
