@@ -9,15 +9,15 @@ next such sequence.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
 
-from .bpe import TextEncoder
 from .common import id_text, utf8
 
 #: Tokens packed together; bounds the memory of a task.
@@ -58,17 +58,27 @@ def assign(lengths: list[int], size: int, linear: float = 1.0, quadratic: float
     return out
 
 
-_LOADED: dict[int, TextEncoder] = {}
+def byte_of() -> dict[str, int]:
+    """Byte-level BPE writes printable bytes as themselves and the others, in
+    order, as the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _tokenizer(data: bytes, pattern: str) -> TextEncoder:
+_LOADED: dict[int, tiktoken.Encoding] = {}
+
+
+def _tokenizer(data: bytes, pattern: str) -> tiktoken.Encoding:
+    """The vocabulary of a ``tokenizers`` file in the faster encoder of
+    ``tiktoken``; both give the same ids (tested), for merges rank as ids do.
+    Special tokens' strings in a text are ordinary text."""
     key = hash((data, pattern))
     if key not in _LOADED:
         _LOADED.clear()
-        tok = Tokenizer.from_buffer(data)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        _LOADED[key] = TextEncoder(pattern, None)
-        _LOADED[key].pieces.compute = lambda p: np.asarray(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        byte = byte_of()
+        ranks = {bytes(byte[c] for c in token): i for token, i in json.loads(data)["model"]["vocab"].items()}
+        _LOADED[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[key]
 
 
@@ -83,8 +93,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, pattern: str, size: int = 1
     stays null; other columns are left out; an empty table gives no rows.
 
     Each task packs what it reads: no shuffle, and a task run again gives the
-    same pieces.  Ids come from the ``tokenizers`` library, piece by piece with
-    a bounded memo.
+    same pieces.
     """
     with open(vocab_path, "rb") as f:
         vocab = docs.sparkSession.sparkContext.broadcast(f.read())  # of fixed size
@@ -112,7 +121,8 @@ def pack_documents(docs: DataFrame, vocab_path: str, pattern: str, size: int = 1
             raw, off = utf8(batch.column(1))
             whole = raw.tobytes()
             for i, doc in enumerate(batch.column(0).to_pylist()):
-                packs.append(enc.encode(whole[off[i] : off[i + 1]].decode("utf-8", "replace")) + end)
+                text = whole[off[i] : off[i + 1]].decode("utf-8", "replace")
+                packs.append(enc.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() + end)
                 ids.append(doc)
                 tokens += len(packs[-1]) // 4
                 if tokens >= pool:
