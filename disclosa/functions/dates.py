@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
@@ -93,20 +94,34 @@ def parse_date_as(text: Column, hint: str) -> Column:
     return parse_date(t)
 
 
-@F.pandas_udf("date")
-def parse_date_fuzzy(texts: pd.Series) -> pd.Series:
-    """Any wording, for what ``parse_date`` leaves null; parts that the text
-    lacks come from 1 January 2000, so results do not depend on today."""
+def any_date(text: str | None) -> dt.date | None:
+    """Any wording, day first; a month and year alone is the month's end.  Parts
+    that the text lacks come from 1 January 2000, so results do not depend on
+    today."""
     from dateutil import parser
 
-    def one(text):
-        t = re.sub(r"(\d+)(?:st|nd|rd|th)\b", r"\1", (text or "").strip())
-        try:
-            return parser.parse(t, dayfirst=True, fuzzy=True, default=dt.datetime(2000, 1, 1)).date() if t else None
-        except (ValueError, OverflowError):
-            return None
+    t = re.sub(r"(\d+)(?:st|nd|rd|th)\b", r"\1", (text or "").strip())
+    if iso := re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", t):
+        t = f"{iso[3]}.{iso[2]}.{iso[1]}"
+    ended = re.fullmatch(r"([A-Za-z]{3,9})(?:['‘’-]|,?\s+)(\d{4}|\d{2})", t)
+    if ended:
+        t = f"{ended[1]} {ended[2] if len(ended[2]) == 4 else '20' + ended[2]}"
+    t = re.sub(r"(\d{1,2})-([A-Za-z]{3,9})-(\d{2})$", r"\1-\2-20\3", t)
+    try:
+        found = parser.parse(t, dayfirst=True, fuzzy=True, default=dt.datetime(2000, 1, 1)).date() if t else None
+    except (ValueError, OverflowError):
+        return None
+    return month_end(found) if found and ended else found
+
+
+def month_end(day: dt.date) -> dt.date:
+    return (day.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
 
-    return texts.map(one)
+
+@F.pandas_udf(T.DateType())
+def parse_date_fuzzy(texts: pd.Series) -> pd.Series:
+    """``any_date`` for what ``parse_date`` leaves null."""
+    return texts.map(any_date)
 
 
 def url_month(url: Column) -> Column:

@@ -32,7 +32,10 @@ def severity(status: Column) -> Column:
 
 
 def of_severity(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, STATUSES)), rank)
+    out = F.lit(None).cast("string")
+    for k, s in enumerate(STATUSES, 1):
+        out = F.when(rank == k, s).otherwise(out)
+    return out
 
 
 def row_offence(portfolio: Column, amount: Column, as_on: Column, scraped: Column) -> Column:
