@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text
@@ -29,3 +30,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class:
     picked = picked[0].unionByName(picked[1])
     found = id_text(docs, id_col, text_col).where(F.octet_length("text") <= most_bytes).join(F.broadcast(picked), "doc_id")  # at most 4 * per_class ids
     return found, counts
+
+
+def collected(features: DataFrame, per_class: int) -> pa.Table:
+    """The first ``per_class`` rows of each class (doc_id, y, ...) by hash, in that
+    order: what the driver holds for a fit."""
+    by_hash = F.xxhash64("doc_id")
+    w = Window.partitionBy("y").orderBy(by_hash, "doc_id")
+    rows = features.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_class).withColumn("hash", by_hash).drop("rn")
+    return rows.toArrow().sort_by([("hash", "ascending"), ("doc_id", "ascending")]).combine_chunks()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, U64, Words, blocks, fold, id_text, mix, utf8
-from .labels import fit_sample, remainder
+from .labels import collected, fit_sample, remainder
 
 #: Hashed n-grams; bounds of the fit: documents of each class, bytes of a text.
 DIM, PER_CLASS, FIT_BYTES = 1 << 17, 2000, 60_000
@@ -146,10 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
                 rows = indicators(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["doc_id", "y", "f"])
 
-    got = sample.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    y, rows = np.asarray(got["y"]), [np.asarray(x.values, np.int64) for x in got["f"]]
-    keep = np.concatenate([np.flatnonzero(y == k)[:per_class] for k in (0, 1)])
-    y, rows = y[keep], [rows[i] for i in keep]
+    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f array<int>"), per_class)
+    y, rows = np.asarray(got["y"]), [np.asarray(x.values) for x in got["f"]]
     if not ((y == 0).any() and (y == 1).any()):
         known = sum(counts.values())
         p = min(max(counts.get(1, 0) / known if known else 0.5, 1e-6), 1 - 1e-6)

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, utf8
-from .labels import fit_sample, remainder
+from .labels import collected, fit_sample, remainder
 
 #: Hashed features; bounds of the fit: documents of each class, bytes of a text.
-DIM, PER_CLASS, FIT_BYTES = 1 << 18, 1500, 40_000
+DIM, PER_CLASS, FIT_BYTES = 1 << 18, 1000, 20_000
 #: Beginnings of words, in bytes, that count beside whole words.
 HEADS = (4, 5, 6)
 _END = np.zeros(256, bool)
@@ -112,31 +112,30 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
 
     wide = 1 + len(HEADS)
     schema = "doc_id long, y int, s array<int>, " + ", ".join(f"f{k} array<int>" for k in range(wide))
-    got = sample.select("doc_id", "text", "y").mapInArrow(extract, schema).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, schema), per_class)
     y = np.asarray(got["y"])
-    keep = np.sort(np.concatenate([np.flatnonzero(y == k)[:per_class] for k in (0, 1)]))
-    got, y = got.take(pa.array(keep)).combine_chunks(), y[keep]
     if not (y == 1).any():
         return Model(np.zeros(DIM, np.float32), -30.0)
+    flat_of = lambda c: np.asarray(got[c].combine_chunks().flatten())
     words = np.asarray(pa.compute.list_value_length(got["s"].combine_chunks()), np.int64)
-    doc = np.repeat(np.arange(len(y)), words)
-    old = np.asarray(got["s"].combine_chunks().flatten(), np.int64)
+    doc, old = np.repeat(np.arange(len(y), dtype=np.int32), words), flat_of("s")
     new = np.ones(len(old), bool)
     new[1:] = (old[1:] != old[:-1]) | (doc[1:] != doc[:-1])
-    sent = np.cumsum(new) - 1
+    sent = np.cumsum(new, dtype=np.int32) - np.int32(1)
     ptr = np.searchsorted(doc[new], np.arange(len(y) + 1))
-    flat = np.concatenate([np.asarray(got[f"f{k}"].combine_chunks().flatten(), np.int64) for k in range(wide)])
-    of_feature, of_doc = np.tile(sent, wide), np.tile(doc, wide)
-    pairs = np.unique(of_doc * DIM + flat)
+    planes = [flat_of(f"f{k}") for k in range(wide)]
+    pairs = np.unique(np.concatenate([np.unique(doc.astype(np.int64) * DIM + f) for f in planes]))
     n = np.array([(y == k).sum() for k in (0, 1)])
     hits = np.stack([np.bincount(pairs[y[pairs // DIM] == k] % DIM, minlength=DIM) for k in (0, 1)])
     both = hits.sum(0) / n.sum()
     z = (hits[1] / n[1] - hits[0] / max(1, n[0])) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[1] + 1 / max(1, n[0])))
-    use = ((np.abs(z) >= apart) & (hits.sum(0) >= least))[flat]
+    use = (np.abs(z) >= apart) & (hits.sum(0) >= least)
+    flat = np.concatenate([f[use[f]] for f in planes])
+    of_feature = np.concatenate([sent[use[f]] for f in planes])
     share = np.array([counts.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y]
     rate = counts[1] / sum(counts.values())
     base = float(np.log(max(rate, 1e-4) / max(1.0, ptr[-1] / len(y))))
-    return train(flat[use], of_feature[use], ptr, y, share, base)
+    return train(flat, of_feature, ptr, y, share, base)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", located: bool = True, offends: float = 0.5) -> DataFrame:
