@@ -50,7 +50,8 @@ def pick(keys: list[str]) -> Column:
     """The first filled cell: by exact header in the order of the keys, then by a
     header that contains a key, rupee signs reading as '?', ignoring case."""
     full = F.filter(_cells(), lambda c: strip(F.coalesce(c["v"], F.lit(""))) != "")
-    exact = [_first(F.filter(full, lambda c, k=k: c["h"] == F.lit(k))) for k in keys]
+    named = lambda k: F.filter(full, lambda c: c["h"] == F.lit(k))
+    exact = [_first(named(k)) for k in keys]
     plain = lambda x: F.translate(F.lower(x), "₹₨", "??")
     some = lambda c: F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(plain(c["h"]), plain(k)))
     return F.coalesce(*exact, _first(F.filter(full, some)))
