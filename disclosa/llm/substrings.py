@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U64, Words, utf8
+from .common import SPACE, U64, Words, mix, stored, utf8
 
 #: Text bytes of a chunk: the unit that a task holds in memory.
 CHUNK = 4 << 20
@@ -114,6 +114,44 @@ def _entries(table: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray]:
     return table["chunk"].to_pylist(), [len(x) for x in hashes], flat, np.unique(flat, return_inverse=True)[1]
 
 
+def _by_chunk(df: DataFrame):
+    return df.groupBy("chunk")
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, carry: list[str]) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text[, carried]) and the number of chunks, also that of the parts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.struct(*carry).alias("carried")] * bool(carry))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-total // chunk_bytes))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))), parts
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of a part's hashes, a bit for those in more than one document."""
+    chunks, sizes, _, place = _entries(table)
+    flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["bits"].to_pylist(), sizes)])
+    bits = ((np.bincount(place) > 1) | (np.bincount(place, flags) > 0))[place]
+    part, at = table["part"][0].as_py(), np.cumsum([0, *sizes])
+    return _table([(c, part, np.packbits(bits[a:b]).tobytes()) for c, a, b in zip(chunks, at[:-1], at[1:])], _BITS)
+
+
+def _half_level(texts: DataFrame, window: int, parts: int) -> DataFrame:
+    """The bits of each chunk's half-length runs."""
+
+    def halves(table: pa.Table) -> pa.Table:
+        c = Chunk(table, window)
+        return _table(_rows(Level(c.least_halves(), c.value[c.owner], parts), table["chunk"][0].as_py(), False), _HASHES)
+
+    return _by_chunk(texts).applyInArrow(halves, _HASHES).groupBy("part").applyInArrow(_repeated, _BITS)
+
+
+def _survivors(c: Chunk, bits: dict[int, bytes], parts: int) -> tuple[np.ndarray, Level]:
+    """Windows whose half repeats, and their hashes at full length."""
+    level = Level(c.least_halves(), c.value[c.owner], parts)
+    alive = np.flatnonzero(level.bits(bits)[level.entry])
+    return alive, Level(c.whole(alive), c.value[c.owner[alive]], parts)
+
+
 def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, keep_text: bool = True, carry: list[str] = (), as_is: bool = False) -> DataFrame:
     """Remove every word of a window of ``window`` words that also starts in a
     document with a smaller id.
@@ -132,34 +170,13 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     Hashes have 64 bits; a word goes wrongly only where those of a half-length
     run and of the whole window, which are independent, both collide.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.struct(*carry).alias("carried")] * bool(carry))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // chunk_bytes))
-    texts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    by_chunk = lambda df: df.groupBy("chunk")
-
-    def halves(table: pa.Table) -> pa.Table:
-        c = Chunk(table, window)
-        return _table(_rows(Level(c.least_halves(), c.value[c.owner], parts), table["chunk"][0].as_py(), False), _HASHES)
-
-    def repeated(table: pa.Table) -> pa.Table:
-        chunks, sizes, _, place = _entries(table)
-        flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["bits"].to_pylist(), sizes)])
-        bits = ((np.bincount(place) > 1) | (np.bincount(place, flags) > 0))[place]
-        part, at = table["part"][0].as_py(), np.cumsum([0, *sizes])
-        return _table([(c, part, np.packbits(bits[a:b]).tobytes()) for c, a, b in zip(chunks, at[:-1], at[1:])], _BITS)
-
-    def survivors(c: Chunk, bits: dict[int, bytes]) -> tuple[np.ndarray, Level]:
-        """Windows whose half repeats, and their hashes at full length."""
-        level = Level(c.least_halves(), c.value[c.owner], parts)
-        alive = np.flatnonzero(level.bits(bits)[level.entry])
-        return alive, Level(c.whole(alive), c.value[c.owner[alive]], parts)
+    texts, parts = _dealt(docs, id_col, text_col, chunk_bytes, carry)
 
     def doubled(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _table([], _HASHES)
         chunk, bits = table["chunk"][0].as_py(), dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist()))
-        _, level = survivors(Chunk(table, window), bits)
+        _, level = _survivors(Chunk(table, window), bits, parts)
         # the answers so far go along, for the last reading needs them too
         return _table(_rows(level, chunk, True) + [(p, chunk, None, None, x) for p, x in bits.items()], _HASHES)
 
@@ -188,7 +205,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
         if not len(table):
             return whole_table([], table)
         c, both = Chunk(table, window), list(zip(answers["part"].to_pylist(), answers["bits"].to_pylist()))
-        alive, level = survivors(c, {-1 - p: x for p, x in both if p < 0})
+        alive, level = _survivors(c, {-1 - p: x for p, x in both if p < 0}, parts)
         smaller = level.bits({p: x for p, x in both if p >= 0})[level.entry] | (c.value[c.owner[alive]] > level.low[level.entry])
         w, out = c.words, []
         edge = np.zeros(len(w.starts) + 1, np.int64)
@@ -220,6 +237,83 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
             out.append((*row, text.decode("utf-8", "replace")) if keep_text else row)
         return whole_table(out, c.table)
 
-    first = by_chunk(texts).applyInArrow(halves, _HASHES).groupBy("part").applyInArrow(repeated, _BITS)
-    second = by_chunk(texts).cogroup(by_chunk(first)).applyInArrow(doubled, _HASHES).groupBy("part").applyInArrow(smallest, _BITS)
-    return by_chunk(texts).cogroup(by_chunk(second)).applyInArrow(removed, T.StructType(fields))
+    first = _half_level(texts, window, parts)
+    second = _by_chunk(texts).cogroup(_by_chunk(first)).applyInArrow(doubled, _HASHES).groupBy("part").applyInArrow(smallest, _BITS)
+    return _by_chunk(texts).cogroup(_by_chunk(second)).applyInArrow(removed, T.StructType(fields))
+
+
+_STATE = "chunk long, docs binary, starts binary, hashes binary"
+_SPANS = "doc_id long, n_words long, `start` long, `end` long"
+
+
+def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+    """Where documents share passages: for each length ``window``, twice that, and
+    so on, until no candidates survive, the runs of words [start, end) covered by
+    windows of n_words words that occur in more than one document.
+
+    Only windows that repeat at one length are extended: the next hash is made
+    of those of a window and of the one that follows it, so texts are read for
+    the first length alone.  Rows without an id, and null and empty texts, have
+    no spans; rows of one id are one document.
+    """
+    spark = docs.sparkSession
+    texts, parts = _dealt(docs, id_col, text_col, chunk_bytes, [])
+    blob = lambda *xs: [np.ascontiguousarray(x).tobytes() for x in xs]
+
+    def begin(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return _table([], _STATE)
+        c = Chunk(table, window)
+        alive, _ = _survivors(c, dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist())), parts)
+        own = c.owner[alive]
+        # a row's place tells rows of one id apart
+        place = c.start[alive] - c.words.ptr[own] + (own.astype(np.int64) << 32)
+        return _table([(table["chunk"][0].as_py(), *blob(c.value[own], place, c.whole(alive)))], _STATE)
+
+    def parsed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(table[k][0].as_py(), t) for k, t in (("docs", np.int64), ("starts", np.int64), ("hashes", np.uint64)))
+
+    def hashed(table: pa.Table) -> pa.Table:
+        d, _, h = parsed(table)
+        order = np.argsort(d, kind="stable")
+        return _table(_rows(Level(h[order], d[order], parts), table["chunk"][0].as_py(), False), _HASHES)
+
+    def kept(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return _table([], _STATE)
+        d, s, h = parsed(table)
+        order = np.argsort(d, kind="stable")
+        level = Level(h[order], d[order], parts)
+        ok = np.sort(order[level.bits(dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist())))[level.entry]])
+        return _table([(table["chunk"][0].as_py(), *blob(d[ok], s[ok], h[ok]))] if len(ok) else [], _STATE)
+
+    def spans(n: int):
+        def run(table: pa.Table) -> pa.Table:
+            d, s, _ = parsed(table)
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] - s[:-1] > n  # another row's places are farther off
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(s)) - 1
+            word = s & 0xFFFFFFFF
+            return _table([(int(d[a]), n, int(word[a]), int(word[b]) + n) for a, b in zip(first, last)], _SPANS.replace("`", ""))
+
+        return run
+
+    def extended(n: int):
+        def run(table: pa.Table) -> pa.Table:
+            d, s, h = parsed(table)
+            at = np.minimum(np.searchsorted(s, s + n), len(s) - 1)
+            ok = s[at] == s + n
+            return _table([(table["chunk"][0].as_py(), *blob(d[ok], s[ok], mix(h[ok] * U64(0xD6E8FEB86659FD93) + h[at[ok]])))] if ok.any() else [], _STATE)
+
+        return run
+
+    state, n, found = stored(_by_chunk(texts).cogroup(_by_chunk(_half_level(texts, window, parts))).applyInArrow(begin, _STATE), "windows"), window, None
+    while True:
+        bits = _by_chunk(state).applyInArrow(hashed, _HASHES).groupBy("part").applyInArrow(_repeated, _BITS)
+        alive = stored(_by_chunk(state).cogroup(_by_chunk(bits)).applyInArrow(kept, _STATE), "windows")
+        own = _by_chunk(alive).applyInArrow(spans(n), _SPANS)
+        found = own if found is None else found.unionByName(own)
+        if alive.isEmpty():
+            return found
+        state, n = stored(_by_chunk(alive).applyInArrow(extended(n), _STATE), "windows"), 2 * n

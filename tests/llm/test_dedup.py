@@ -188,3 +188,33 @@ def test_other_window_lengths(spark):
     for window in (1, 2, 5, 20):
         got = sorted((tuple(r) for r in substrings.drop_repeats(frame(spark, docs), window).collect()), key=str)
         assert got == brute_removed(docs, window)
+
+
+def brute_spans(docs, window):
+    out, n = set(), window
+    while True:
+        holders = {}
+        for r, (d, t) in enumerate(docs):
+            w = WORD.findall(t or "")
+            for i in range(len(w) - n + 1) if d is not None else ():
+                holders.setdefault(tuple(w[i : i + n]), []).append((d, r, i))
+        alive = sorted((r, i, d) for hits in holders.values() if len({h[0] for h in hits}) > 1 for d, r, i in hits)
+        if not alive:
+            return sorted(out)
+        run = None
+        for r, i, d in [*alive, (-1, 0, 0)]:
+            if run and run[0] == r and i - run[3] <= n:
+                run[3] = i
+                continue
+            if run:
+                out.add((run[1], n, run[2], run[3] + n))
+            run = [r, d, i, i]
+        n *= 2
+
+
+@pytest.mark.parametrize("size", [1 << 20, 2000])
+def test_doubling_goes_on_until_nothing_repeats(spark, size):
+    docs = passages(40, 5) + [(300, " ".join(words(200, 1))), (301, "x " + " ".join(words(200, 1)) + " y"), (None, " ".join(words(200, 1))), (302, None)]
+    got = sorted({tuple(r) for r in substrings.repeated_spans(frame(spark, docs), chunk_bytes=size).collect()})
+    assert got == brute_spans(docs, 13) and max(r[1] for r in got) >= 104
+    assert substrings.repeated_spans(frame(spark, [])).count() == 0
