@@ -175,6 +175,7 @@ def load_rules(text: str | None) -> dict:
 
 def layout_of(lsp_name: str | None, text: str, rules: dict) -> str:
     """agent, paired, grid, pattern or app: by the source's name and the wording."""
+    # fixed values: sources and wordings that have a layout of their own
     name, low = lsp_name or "", (text or "").lower()
     fields = rules.get("field_map") or {}
     if "FinAGG" in name or "Portfolio OS as on" in (text or ""):
