@@ -591,11 +591,11 @@ def n8(t):
     return t.customer.select(k.alias("id"), text.parse_bool(F.when(k % 5 == 0, " TRUE ").when(k % 5 == 1, "y").when(k % 5 == 2, "0").when(k % 5 == 3, "no").otherwise("1")).alias("flag"))
 
 
-@query("n9_units", "SELECT o_orderkey AS id, round(CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice / 100 ELSE o_totalprice / 10000000 END, 6) AS amount FROM orders")
+@query("n9_units", "SELECT o_orderkey AS id, round(CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice / 100 ELSE o_totalprice / 10000000 END, 9) AS amount FROM orders")
 def n9(t):
     k = F.col("o_orderkey")
     unit = F.when(k % 3 == 0, "Crore").when(k % 3 == 1, "lakh")
-    return t.orders.select(k.alias("id"), F.round(amounts.from_unit(F.col("o_totalprice"), unit), 6).alias("amount"))
+    return t.orders.select(k.alias("id"), F.round(amounts.from_unit(F.col("o_totalprice"), unit), 9).alias("amount"))
 
 
 DATE_TEXTS = "d AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 2 THEN 'as on ' || strftime(o_orderdate, '%B %d, %Y') WHEN 3 THEN strftime(o_orderdate, '%dth %b %Y') WHEN 4 THEN strftime(o_orderdate, '%b''%y') ELSE strftime(o_orderdate, '%b-%Y') END AS x, CASE WHEN o_orderkey % 6 < 4 THEN cast(o_orderdate AS date) ELSE last_day(cast(o_orderdate AS date)) END AS y, o_orderdate AS ts FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderkey % 6 <> 4)"
