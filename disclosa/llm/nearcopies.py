@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, stored, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: With similarity 0.8 a sketch of 5 agrees in about a third of cases, and one of 20 in 99.97 %.
-TABLES, LEAST = 20, 5
-#: Share of agreeing minima from which a pair is aligned, and from which one document stands for another.
-MAYBE, ALIKE = 0.5, 0.9
-#: Members of a bucket, and partners of a document, that one task holds together.
-BUCKET, PARTNERS = 1000, 64
+#: With similarity 0.8 a sketch of 5 agrees in about a third of cases, and one of 28 in 99.999 %.
+TABLES, LEAST = 28, 5
+#: Least hashes that tell how similar two documents of a bucket may be, and the share
+#: of agreeing ones from which a pair is a candidate (0.8 less four standard errors).
+MINIMA, MAYBE = 64, 0.6
+#: Members of a bucket or family, and shingles of a family's block, that a task compares.
+BUCKET, BLOCK_SHINGLES = 1000, 2_000_000
 SALTS = 32
 _RNG = np.random.Generator(np.random.PCG64(77))
-_MULTIPLY = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
+_MULTIPLY = _RNG.integers(1, 2**63, 2 * MINIMA, dtype=np.uint64) | U64(1)
 _TOP = U64(2**64 - 1)
 
 
@@ -60,25 +61,28 @@ def labelled(grams: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, minima), each (documents with shingles, TABLES)."""
+    """(keys, minima) of the documents with shingles; minima keep 16 bits."""
     h, n = labelled(grams, ptr), np.diff(ptr)
     begin, count = ptr[:-1][n > 0], n[n > 0]
     owner = np.repeat(np.arange(len(begin)), count)
-    keys, minima = np.zeros((len(begin), TABLES), np.uint64), np.zeros((len(begin), TABLES), np.uint32)
-    for t in range(TABLES):
+    keys, minima = np.zeros((len(begin), TABLES), np.uint64), np.zeros((len(begin), MINIMA), np.uint16)
+    for t in range(MINIMA if len(begin) else 0):
         v = h * _MULTIPLY[t]
         v ^= v >> U64(29)
-        v *= _MULTIPLY[t + TABLES]
+        v *= _MULTIPLY[t + MINIMA]
+        if t >= TABLES:
+            minima[:, t] = mix(np.minimum.reduceat(v, begin)) & U64(0xFFFF)
+            continue
         v[v == _TOP] = U64(0)
         at = np.full((LEAST, len(begin)), len(h), np.int64)
         for k in range(LEAST):
-            low = np.minimum.reduceat(v, begin) if len(begin) else v[:0]
+            low = np.minimum.reduceat(v, begin)
             hit = np.flatnonzero(v == low[owner])
             hit = hit[v[hit] != _TOP]
             at[k, owner[hit]] = hit  # of equal ones (a collision) the last
             v[hit] = _TOP
             if k == 0:
-                minima[:, t] = (low >> U64(32)).astype(np.uint32)
+                minima[:, t] = mix(low) & U64(0xFFFF)
         at.sort(axis=0)
         values = np.append(h, U64(0))[at]
         key = np.full(len(begin), U64(t + 1), np.uint64)
@@ -90,7 +94,7 @@ def sketch(grams: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the word sequence; of the text where it has no words),
-    keys array<long> (null without words), minima binary."""
+    size (shingles), keys array<long> (null without words), minima binary."""
 
     def run(batches):
         for b in batches:
@@ -105,85 +109,133 @@ def sketches(docs: DataFrame) -> DataFrame:
                 row = np.cumsum(~none) - 1
                 k = [None if e else x for e, x in zip(none, keys.view(np.int64)[np.maximum(row, 0)])] if len(keys) else [None] * (j - i)
                 m = [None if e else minima[r].tobytes() for e, r in zip(none, row)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(k, pa.list_(pa.int64())), pa.array(m, pa.binary())], ["doc_id", "digest", "keys", "minima"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(ptr), pa.int64()), pa.array(k, pa.list_(pa.int64())), pa.array(m, pa.binary())], ["doc_id", "digest", "size", "keys", "minima"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>, minima binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>, minima binary")
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join on ``key``, the rows of a hot key of ``left`` dealt over SALTS tasks."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", salt).join(copies, [key, "salt"], how).drop("salt")
-
+    return left.withColumn("salt", salt).join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
-def pairs_of(minima: np.ndarray, label: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members to align.
 
-    Without labels a member is compared with those that stand for others: it
-    stops standing for itself once one of them agrees in ALIKE of the minima.
-    With labels (the components so far) all pairs across them are compared.
-    """
-    out, n = [], len(minima)
-    if label is not None:
-        for i in range(n - 1):
-            near = (minima[i + 1 :] == minima[i]).mean(1) >= MAYBE
-            out += [(i, i + 1 + k) for k in np.flatnonzero(near & (label[i + 1 :] != label[i]))]
-        return out
-    left = np.arange(n)
+def stars(minima: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (first, member) that connect what pairs agreeing in MAYBE connect."""
+    out, left = [], np.arange(len(minima))
     while len(left) > 1:
-        agree = (minima[left[1:]] == minima[left[0]]).mean(1)
-        out += [(left[0], k) for k in left[1:][agree >= MAYBE]]
-        left = left[1:][agree < ALIKE]
+        first, wave, left = left[0], [left[0]], left[1:]
+        while wave and len(left):
+            near = (minima[left] == minima[wave.pop()]).mean(1) >= MAYBE
+            out += [(first, k) for k in left[near]]
+            wave += left[near].tolist()
+            left = left[~near]
     return out
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) from members (key, rep, minima[, label]) of buckets.
+def blocked(rows: DataFrame, group: str, parts) -> DataFrame:
+    """Rows (group, rep, g, ...) dealt into ``parts`` blocks of their group and sent
+    to each pair (lo, hi) of blocks: no task holds more than two, no pair of rows
+    is left out."""
+    rows = rows.withColumn("g", parts).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "rep")
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the runs of equal keys in a stream that is sorted by them."""
+    held = None
+    for b in batches:
+        table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if not len(table):
+            continue
+        k = np.stack([np.asarray(table[c], np.int64) for c in keys])
+        at = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
+        if len(at) > 1:
+            table = table.combine_chunks()
+        for x, y in zip(at[:-1], at[1:]):
+            yield table.slice(x, y - x)
+        held = table.slice(at[-1])
+    if held is not None and len(held):
+        yield held.combine_chunks()
 
-    Larger buckets are cut into blocks, and each two blocks compared, so no
-    task holds more than 2 * BUCKET members and no pair is left out.
+
+def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+
+def kinship(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect members (key, rep, minima) of a bucket whose minima
+    agree; fewer than members, so families are found without their pairs."""
+    size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = blocked(members.join(size.hint("merge"), "key"), "key", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
+
+    def run(batches):
+        out = []
+        for t in groups(batches, ["key", "lo", "hi"]):
+            rep = np.asarray(t["rep"], np.int64)
+            minima = np.frombuffer(utf8(t["minima"])[0], np.uint16).reshape(len(rep), MINIMA)
+            out += [(rep[i], rep[j]) for i, j in stars(minima)]
+            if len(out) > 50_000:
+                yield edges_of(out)
+                out = []
+        yield edges_of(out)
+
+    return rows.select("key", "lo", "hi", "rep", "minima").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(rep: np.ndarray, grams: np.ndarray, ptr: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links of similarity ``least`` or more among a family's documents, as many as
+    connect what they connect; with two blocks those across them.
+
+    Postings of the shingles give the number that a document shares with all
+    others at once; only pairs that share enough and are not connected yet are
+    aligned.
     """
-    has_label = "label" in members.columns
-    size = members.groupBy("key").agg(F.count("*").alias("n"), *([F.countDistinct("label").alias("labels")] if has_label else [])).where("labels > 1" if has_label else "n > 1")
-    cut = F.ceil(F.col("n") / F.lit(BUCKET)).cast("int")
-    rows = members.join(size.select("key", cut.alias("g")), "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    cols = ["key", "lo", "hi", "rep", "minima"] + ["label"] * has_label
+    n, size, out = len(rep), np.diff(ptr), []
+    known, at = np.unique(labelled(grams, ptr), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(at, kind="stable")
+    posted, cut = owner[order], np.searchsorted(at[order], np.arange(len(known) + 1))
+    root = np.arange(n)
+    two = block.any() and not block.all()
+    for i in range(n):
+        mine = at[ptr[i] : ptr[i + 1]]
+        a, b = cut[mine], cut[mine + 1]
+        if not len(mine):
+            continue
+        where = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+        share = np.bincount(posted[where], minlength=n)
+        may = share / (size[i] + size - share) >= least - 1e-12
+        may[: i + 1] = False
+        if two:
+            may &= block != block[i]
+        for j in np.flatnonzero(may):
+            if root[i] != root[j] and similarity(grams[ptr[i] : ptr[i + 1]], grams[ptr[j] : ptr[j + 1]], least) >= least:
+                out.append((rep[i], rep[j]))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def verified(family: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) within families (family, rep, size); texts: (doc_id, text), one
+    row for each id."""
+    weight = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BUCKET)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts"))
+    rows = family.join(weight.hint("merge"), "family").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    rows = blocked(rows, "family", F.col("parts"))
 
     def run(batches):
-        def pairs(table):
-            group = np.stack([np.asarray(table[c], np.int64) for c in ("key", "lo", "hi")])
-            rep, found = np.asarray(table["rep"], np.int64), ([], [])
-            label = np.asarray(table["label"], np.int64) if has_label else None
-            minima = np.frombuffer(utf8(table["minima"])[0], np.uint32).reshape(len(rep), TABLES)
-            at = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1)
-            for a, b in zip(at, np.append(at[1:], len(rep))):
-                if b - a == 2 and label is None:
-                    found_here = [(0, 1)] if (minima[a] == minima[a + 1]).mean() >= MAYBE else []
-                else:
-                    found_here = pairs_of(minima[a:b], None if label is None else label[a:b]) if b > a + 1 else []
-                for x, y in found_here:
-                    found[0].append(rep[a + x])
-                    found[1].append(rep[a + y])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in found], ["a", "b"])
-
-        held = None
-        for b in batches:
-            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if not len(table):
-                continue
-            group = np.stack([np.asarray(table[c], np.int64) for c in ("key", "lo", "hi")])
-            last = int(np.flatnonzero((group != group[:, -1:]).any(0))[-1]) + 1 if (group != group[:, -1:]).any() else 0
-            if last:
-                yield pairs(table.slice(0, last).combine_chunks())
-            held = table.slice(last)
-        if held is not None and len(held):
-            yield pairs(held.combine_chunks())
+        for t in groups(batches, ["family", "lo", "hi"]):
+            raw, off = utf8(t["text"])
+            parts = [shingles(Words(fold(raw[off[p] : off[q]]), off[p : q + 1] - off[p], PUNCT)) for p, q in blocks(off)]
+            grams = np.concatenate([g for g, _ in parts])
+            ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
+            block = np.asarray(t["own"]) != np.asarray(t["lo"])
+            yield edges_of(links(np.asarray(t["rep"], np.int64), grams, ptr, block, least))
 
-    dealt = rows.select(*cols).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.select("family", "lo", "hi", "own", "rep", "text").mapInArrow(run, "a long, b long")
 
 
 def common_in_order(x: np.ndarray, y: np.ndarray, least: int) -> int:
@@ -246,47 +298,6 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float) -> float:
     return size / (n + m - size)
 
 
-def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """edges (a, b) with their similarity; texts: (doc_id, text), one row for each id.
-
-    Partners of a document come in groups of at most about PARTNERS, each with
-    one copy of its text.
-    """
-    edges = edges.withColumn("blk", F.pmod(F.xxhash64("b"), F.col("g")).cast("int")).select("a", "b", "blk")
-    ends = edges.select("a", "blk", F.col("b").alias("doc_id")).unionByName(edges.select("a", "blk", F.col("a").alias("doc_id")).distinct())
-    rows = ends.join(texts, "doc_id").repartition("a", "blk").sortWithinPartitions("a", "blk", "doc_id")
-
-    def run(batches):
-        at, first, own = None, None, None
-        for b in batches:
-            for i in range(0, len(b), 2000):
-                part = b.slice(i, 2000)
-                raw, off = utf8(part.column(part.schema.get_field_index("text")))
-                found = ([], [], [])
-                rows = list(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("a", "blk", "doc_id"))))
-                for p, q in blocks(off):
-                    grams, ptr = shingles(Words(fold(raw[off[p] : off[q]]), off[p : q + 1] - off[p], PUNCT))
-                    for k in range(p, q):
-                        a, blk, doc = rows[k]
-                        seq = grams[ptr[k - p] : ptr[k - p + 1]]
-                        if doc == a:  # the least id of its group, so it comes first
-                            at, own = (a, blk), seq.copy()
-                        elif at == (a, blk):
-                            for c, v in zip(found, (a, doc, similarity(own, seq, least))):
-                                c.append(v)
-                        else:
-                            raise ValueError(f"no text of document {a}")
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["a", "b", "similarity"])
-
-    return rows.select("a", "blk", "doc_id", "text").mapInArrow(run, "a long, b long, similarity double")
-
-
-def dealt(edges: DataFrame) -> DataFrame:
-    """With g: over how many groups the partners of a are dealt."""
-    many = edges.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("g"))
-    return edges.join(many, "a")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), root being the least of its
     component, by alternating large and small stars."""
@@ -295,9 +306,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = stored(small, "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -317,10 +328,11 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     document; a row without an id is a class of its own (null); each input row
     gives a row; other columns are left out; an empty table gives no rows.
 
-    Copies are one entry from the start, members of a bucket are compared with
-    those that stand for others, and where that leaves a doubtful pair in
-    different classes a second round compares all across classes: no pair that
-    collides and agrees in MAYBE of the minima is left out.
+    Copies are one entry from the start.  Documents that share a sketch and agree
+    in MAYBE of their minima are kin; families are the components of kinship,
+    found from fewer edges than there are members.  Then each family's texts come
+    together once, in blocks, and all its pairs are decided: those that share
+    enough shingles by alignment.  No pair of a family is left out.
     """
     rows = id_text(docs, id_col, text_col)
     every = stored(sketches(rows), "sketches")
@@ -328,41 +340,18 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     groups = known.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
     many = groups.where("n > 1").select("digest", "copy_of")
     member = stored(salted(known.select("doc_id", "digest"), many, "digest", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "copies")
-    first = known.join(groups.select("digest", F.col("copy_of").alias("doc_id")), ["digest", "doc_id"]).where("keys is not null").dropDuplicates(["digest"])
-    first = stored(first.select(F.col("doc_id").alias("rep"), "keys", "minima"), "representatives")
+    first = known.join(groups.select("digest", F.col("copy_of").alias("doc_id")).hint("merge"), ["digest", "doc_id"]).where("keys is not null").dropDuplicates(["digest"])
+    first = stored(first.select(F.col("doc_id").alias("rep"), "size", "keys", "minima"), "representatives")
     placed = first.select("rep", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(placed.join(shared, "key").join(first.select("rep", "minima"), "rep"), "buckets")
-    tried = stored(dealt(candidates(members)), "pairs")
-    repeats = _repeats(known)
-
-    def texts_of(pairs: DataFrame, have: DataFrame | None = None) -> DataFrame:
-        """One text for each end of the pairs."""
-        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        if have is not None:
-            needed = stored(needed.join(have, "doc_id", "left_anti"), "ids")
-            if needed.isEmpty():
-                return have
-        found = rows.join(needed, "doc_id", "left_semi")
-        found = stored(found.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else found, "texts")
-        return found if have is None else have.unionByName(found)
-
-    texts = texts_of(tried)
-    judged = stored(verified(tried, texts, least), "judged")
-    linked = judged.where(F.col("similarity") >= least).select("a", "b")
-    root = components(linked)
-    # second round: buckets where a pair failed and its ends are in different classes
-    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    failed = judged.where(F.col("similarity") < least).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    failed = failed.where("a_root is not null or b_root is not null").where("coalesce(a_root, a) <> coalesce(b_root, b)")
-    doubt = failed.select(F.col("a").alias("rep")).unionByName(failed.select(F.col("b").alias("rep"))).distinct()
-    keys = members.join(doubt, "rep", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    again = members.join(keys, "key", "left_semi").join(root, members["rep"] == root["node"], "left").select("key", "rep", "minima", F.coalesce("root", "rep").alias("label"))
-    more = stored(dealt(candidates(again).join(tried.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
-    if not more.isEmpty():
-        found = stored(verified(more, texts_of(more, texts), least).where(F.col("similarity") >= least).select("a", "b"), "judged")
-        if not found.isEmpty():
-            root = components(linked.unionByName(found))
+    members = stored(placed.join(shared.hint("merge"), "key").join(first.select("rep", "minima").hint("merge"), "rep"), "buckets")
+    kin = components(kinship(members))
+    heads = kin.select("root").distinct()
+    family = kin.select(F.col("node").alias("rep"), F.col("root").alias("family")).unionByName(heads.select(F.col("root").alias("rep"), F.col("root").alias("family")))
+    family = stored(family.join(first.select("rep", "size").hint("merge"), "rep"), "families")
+    found = rows.join(family.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    texts = found.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(known) else found
+    root = components(stored(verified(family, stored(texts, "texts"), least), "links"))
     classes = salted(member, root.select(F.col("node").alias("copy_of"), "root"), "copy_of", "left")
     classes = classes.select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     return classes.unionByName(every.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id")))

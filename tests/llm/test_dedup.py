@@ -121,11 +121,19 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert nearcopies.near_copies(frame(spark, [])).count() == 0
 
 
-def test_a_second_round_joins_what_the_first_missed(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "NEAREST", 1)
+def test_chains_and_unlinked_kin(spark):
     base = words(200, 77)
     docs = [(k, " ".join(edited(base, 3 + k % 3, k))) for k in range(30)]
     got = {r.doc_id: r.class_id for r in nearcopies.near_copies(frame(spark, docs)).collect()}
+    assert got == brute_classes(docs) and len(set(got.values())) > 1
+
+
+@pytest.mark.parametrize("small", [5, 1000])
+def test_blocks_of_a_family_lose_no_link(spark, monkeypatch, small):
+    monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", small * 200)
+    base = words(200, 79)
+    docs = [(k, " ".join(edited(base, 1 + k % 4, k))) for k in range(50)]
+    got = {r.doc_id: r.class_id for r in nearcopies.near_copies(frame(spark, docs)).collect()}
     assert got == brute_classes(docs)
 
 
