@@ -10,6 +10,7 @@ subsequence of their shingles: the Jaccard measure where order counts.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ MINIMA, MAYBE = 64, 0.6
 #: Members of a bucket or family, and shingles of a family's block, that a task compares.
 BUCKET, BLOCK_SHINGLES = 1000, 2_000_000
 SALTS = 32
+#: Documents of so many shingles have keys besides that miss no pair (see ``few``); shorter
+#: ones are near no other, and no sketch of longer pairs misses more than 1 in 10,000.
+FEW = range(4, 20)
 _RNG = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _RNG.integers(1, 2**63, 2 * MINIMA, dtype=np.uint64) | U64(1)
 _TOP = U64(2**64 - 1)
@@ -92,9 +96,43 @@ def sketch(grams: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, minima
 
 
+def few(grams: np.ndarray, ptr: np.ndarray) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """(keys, sets) of the documents with shingles; without keys and None if not of FEW.
+
+    Of n labelled shingles a document shares ``need`` or more with any of SIMILARITY,
+    so the k least shared ones are among the n - need + k least of either, and all
+    choices of k of those are keys: every pair meets.  Sets hold 32 bits of each
+    shingle, as many bytes as minima, and tell what two documents share.
+    """
+    h, n = labelled(grams, ptr), np.diff(ptr)
+    begin, count = ptr[:-1][n > 0], n[n > 0]
+    keys, sets = [np.zeros(0, np.uint64)] * len(begin), [None] * len(begin)
+    for size in FEW:
+        own = np.flatnonzero(count == size)
+        if not len(own):
+            continue
+        least = np.sort(h[begin[own][:, None] + np.arange(size)], axis=1)
+        found = []
+        # near pairs share LEAST or more, but for 4 shingles with 5
+        for k in [LEAST - 1] * (size <= LEAST) + [LEAST] * (size >= LEAST):
+            need = max(k, int(np.ceil(SIMILARITY * size - 1e-9)))
+            chosen = least[:, list(combinations(range(size - need + k), k))]
+            key = np.full(chosen.shape[:2], U64(TABLES + k), np.uint64)
+            for c in range(k):
+                key = mix(key * U64(0xD6E8FEB86659FD93) + chosen[:, :, c])
+            found.append(key)
+        found = np.concatenate(found, axis=1)
+        packed = np.zeros((len(own), MINIMA // 2), np.uint32)
+        packed[:, :size] = (least >> U64(32)).astype(np.uint32) | np.uint32(1)
+        for r, d in enumerate(own):
+            keys[d], sets[d] = found[r], packed[r].tobytes()
+    return keys, sets
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the word sequence; of the text where it has no words),
-    size (shingles), keys array<long> (null without words), minima binary."""
+    size (shingles), keys array<long> (null without words; odd ones are of ``few``),
+    minima binary, few binary (null if not of FEW)."""
 
     def run(batches):
         for b in batches:
@@ -107,11 +145,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys, minima = sketch(grams, ptr)
                 none = np.diff(ptr) == 0
                 row = np.cumsum(~none) - 1
-                k = [None if e else x for e, x in zip(none, keys.view(np.int64)[np.maximum(row, 0)])] if len(keys) else [None] * (j - i)
+                more, sets = few(grams, ptr)
+                keys = [np.concatenate([x & ~U64(1), y | U64(1)]).view(np.int64) for x, y in zip(keys, more)]
+                k = [None if e else keys[r] for e, r in zip(none, row)]
+                f = [None if e else sets[r] for e, r in zip(none, row)]
                 m = [None if e else minima[r].tobytes() for e, r in zip(none, row)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(ptr), pa.int64()), pa.array(k, pa.list_(pa.int64())), pa.array(m, pa.binary())], ["doc_id", "digest", "size", "keys", "minima"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(ptr), pa.int64()), pa.array(k, pa.list_(pa.int64())), pa.array(m, pa.binary()), pa.array(f, pa.binary())], ["doc_id", "digest", "size", "keys", "minima", "few"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>, minima binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>, minima binary, few binary")
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
@@ -121,13 +162,29 @@ def salted(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     return left.withColumn("salt", salt).join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
-def stars(minima: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (first, member) that connect what pairs agreeing in MAYBE connect."""
-    out, left = [], np.arange(len(minima))
+def agreeing(minima: np.ndarray):
+    """near(i, left): which of ``left`` agree with i in MAYBE of their minima."""
+    return lambda i, left: (minima[left] == minima[i]).mean(1) >= MAYBE
+
+
+def sharing(sets: np.ndarray):
+    """near(i, left): which of ``left`` may share SIMILARITY of their shingles with i."""
+    size = (sets != 0).sum(1)
+
+    def near(i, left):
+        both = (np.isin(sets[left], sets[i]) & (sets[left] != 0)).sum(1)
+        return both >= SIMILARITY * (size[left] + size[i] - both) - 1e-9
+
+    return near
+
+
+def stars(n: int, alike) -> list[tuple[int, int]]:
+    """Edges (first, member) that connect what pairs of 0 to n-1 connect that are ``alike``."""
+    out, left = [], np.arange(n)
     while len(left) > 1:
         first, wave, left = left[0], [left[0]], left[1:]
         while wave and len(left):
-            near = (minima[left] == minima[wave.pop()]).mean(1) >= MAYBE
+            near = alike(wave.pop(), left)
             out += [(first, k) for k in left[near]]
             wave += left[near].tolist()
             left = left[~near]
@@ -168,7 +225,8 @@ def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def kinship(members: DataFrame) -> DataFrame:
     """Edges (a, b) that connect members (key, rep, minima) of a bucket whose minima
-    agree; fewer than members, so families are found without their pairs."""
+    agree (sets share, where the key is odd); fewer than members, so families are
+    found without their pairs."""
     size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = blocked(members.join(size.hint("merge"), "key"), "key", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
 
@@ -176,8 +234,9 @@ def kinship(members: DataFrame) -> DataFrame:
         out = []
         for t in groups(batches, ["key", "lo", "hi"]):
             rep = np.asarray(t["rep"], np.int64)
-            minima = np.frombuffer(utf8(t["minima"])[0], np.uint16).reshape(len(rep), MINIMA)
-            out += [(rep[i], rep[j]) for i, j in stars(minima)]
+            raw = utf8(t["minima"])[0]
+            alike = sharing(raw.view(np.uint32).reshape(len(rep), -1)) if t["key"][0].as_py() & 1 else agreeing(raw.view(np.uint16).reshape(len(rep), MINIMA))
+            out += [(rep[i], rep[j]) for i, j in stars(len(rep), alike)]
             if len(out) > 50_000:
                 yield edges_of(out)
                 out = []
@@ -329,7 +388,8 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     gives a row; other columns are left out; an empty table gives no rows.
 
     Copies are one entry from the start.  Documents that share a sketch and agree
-    in MAYBE of their minima are kin; families are the components of kinship,
+    in MAYBE of their minima are kin, and so are all of FEW shingles that share
+    SIMILARITY of them; families are the components of kinship,
     found from fewer edges than there are members.  Then each family's texts come
     together once, in blocks, and all its pairs are decided: those that share
     enough shingles by alignment.  No pair of a family is left out.
@@ -341,10 +401,12 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     many = groups.where("n > 1").select("digest", "copy_of")
     member = stored(salted(known.select("doc_id", "digest"), many, "digest", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "copies")
     first = known.join(groups.select("digest", F.col("copy_of").alias("doc_id")).hint("merge"), ["digest", "doc_id"]).where("keys is not null").dropDuplicates(["digest"])
-    first = stored(first.select(F.col("doc_id").alias("rep"), "size", "keys", "minima"), "representatives")
+    first = stored(first.select(F.col("doc_id").alias("rep"), "size", "keys", "minima", "few"), "representatives")
     placed = first.select("rep", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(placed.join(shared.hint("merge"), "key").join(first.select("rep", "minima").hint("merge"), "rep"), "buckets")
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    held = placed.join(shared.hint("merge"), "key").join(first.select("rep", "minima", "few").hint("merge"), "rep")
+    members = stored(held.select("rep", "key", F.when(odd, F.col("few")).otherwise(F.col("minima")).alias("minima")), "buckets")
     kin = components(kinship(members))
     heads = kin.select("root").distinct()
     family = kin.select(F.col("node").alias("rep"), F.col("root").alias("family")).unionByName(heads.select(F.col("root").alias("rep"), F.col("root").alias("family")))

@@ -145,6 +145,43 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert got == brute_classes(docs)
 
 
+def small_pairs():
+    """Texts of each two small lengths that share all but some words at an end or in the middle."""
+    docs, r = [], random.Random(80)
+    for n in range(5, 30):
+        for more in range(1, 5):
+            for where in ("end", "start", "middle"):
+                base = words(n, r.random())
+                extra = [f"x{r.randint(0, 10**9)}" for _ in range(more)]
+                cut = {"end": n, "start": 0, "middle": n // 2}[where]
+                docs += [" ".join(base), " ".join(base[:cut] + extra + base[cut:])]
+    return list(enumerate(docs))
+
+
+def test_small_texts_lose_no_pair(spark):
+    docs = small_pairs()
+    got = {r.doc_id: r.class_id for r in nearcopies.near_copies(frame(spark, docs)).collect()}
+    assert got == brute_classes(docs)
+    size = {d: len(t.split()) for d, t in docs}
+    assert {(size[c], size[d]) for d, c in got.items()} >= {(8, 9), (9, 10), (12, 14)}
+
+
+def test_keys_of_few_shingles_meet_from_the_similarity_on():
+    r = np.random.default_rng(81)
+    for n in range(1, 21):
+        for m in range(n, 21):
+            for both in range(1, n + 1):
+                if both / (n + m - both) < 0.8 or (n == m == both):
+                    continue
+                for _ in range(20):
+                    x = r.integers(1, 2**63, n + m - both, dtype=np.uint64)
+                    keys, sets = nearcopies.few(np.concatenate([x[:n], x[n - both :]]), np.array([0, n, n + m]))
+                    if n < 20 and m < 20:
+                        assert np.isin(*keys).any()
+                        two = np.stack([np.frombuffer(s, np.uint32) for s in sets])
+                        assert nearcopies.sharing(two)(0, np.array([1])).all()
+
+
 def brute_removed(docs, window=13):
     first, split = {}, [(d, WORD.findall(t or "")) for d, t in docs]
     for d, w in split:
