@@ -72,13 +72,17 @@ _LOADED: dict[int, tiktoken.Encoding] = {}
 def _tokenizer(data: bytes, pattern: str) -> tiktoken.Encoding:
     """The vocabulary of a ``tokenizers`` file in the faster encoder of
     ``tiktoken``; both give the same ids (tested), for merges rank as ids do.
-    Special tokens' strings in a text are ordinary text."""
+    The file's added tokens are special tokens here: in a text they are one id."""
     key = hash((data, pattern))
     if key not in _LOADED:
         _LOADED.clear()
         byte = byte_of()
-        ranks = {bytes(byte[c] for c in token): i for token, i in json.loads(data)["model"]["vocab"].items()}
-        _LOADED[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        read = json.loads(data)
+        ranks = {bytes(byte[c] for c in token): i for token, i in read["model"]["vocab"].items()}
+        added = {t["content"]: t["id"] for t in read["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in read["added_tokens"]):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        _LOADED[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _LOADED[key]
 
 
@@ -122,7 +126,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, pattern: str, size: int = 1
             whole = raw.tobytes()
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 text = whole[off[i] : off[i + 1]].decode("utf-8", "replace")
-                packs.append(enc.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() + end)
+                packs.append(enc.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() + end)
                 ids.append(doc)
                 tokens += len(packs[-1]) // 4
                 if tokens >= pool:

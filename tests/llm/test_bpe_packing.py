@@ -123,6 +123,14 @@ def test_pack_documents(spark, tik):
     assert sorted((r.doc_id or 0, r.length) for r in twice) == [(0, 2), (1, 2), (1, 2)]
 
 
+def test_added_tokens_are_one_id(spark):
+    tok = Tokenizer.from_file(JSON)
+    docs = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\ny", "<|endoftext", *texts()]))
+    want = {d: [*tok.encode(t, add_special_tokens=False).ids, 0] for d, t in docs}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    check_pieces(packing.pack_documents(table(spark, docs), JSON, P.PATTERN).collect(), want)
+
+
 def test_sequences_are_balanced_in_cost():
     random.seed(7)
     lengths = [random.randint(1, 900) for _ in range(2000)]
