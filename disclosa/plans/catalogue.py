@@ -249,6 +249,17 @@ def j5(t):
     return joins.null_safe_anti(k.where("lsp_id % 2 = 0"), k.where("lsp_id % 4 = 0 and row_id > '3'"), KEYS7).select("row_id")
 
 
+@query("j5_null_safe_anti_all", """
+WITH a AS (SELECT *, extract(year FROM scrape_timestamp) AS y, extract(month FROM scrape_timestamp) AS m FROM dlg_raw),
+b AS (SELECT lsp_id, CASE WHEN lsp_id % 4 = 0 THEN lender ELSE lender || ' x' END AS lender, portfolio, amount, as_on_timestamp, y, CASE WHEN row_id > '3' THEN m ELSE m % 12 + 1 END AS m FROM a)
+SELECT a.row_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender
+  AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount AND b.as_on_timestamp IS NOT DISTINCT FROM a.as_on_timestamp AND b.y IS NOT DISTINCT FROM a.y AND b.m IS NOT DISTINCT FROM a.m)""")
+def j5_all(t):
+    a = t.raw.withColumns({"y": F.year("scrape_timestamp"), "m": F.month("scrape_timestamp")})
+    b = a.withColumns({"lender": F.when(F.expr("lsp_id % 4 = 0"), F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))), "m": F.when(F.col("row_id") > "3", F.col("m")).otherwise(F.col("m") % 12 + 1)})
+    return joins.null_safe_anti(a, b, KEYS7).select("row_id")
+
+
 @query("j6_scraped_semi", "SELECT id, name FROM dlg_master m WHERE EXISTS (SELECT 1 FROM dlg_raw r WHERE r.lsp_id = m.id AND r.scrape_timestamp >= TIMESTAMP '2001-10-01')")
 def j6(t):
     return joins.scraped_sources(t.master, t.raw.where(F.col("scrape_timestamp") >= F.lit(dt.datetime(2001, 10, 1)).cast("timestamp_ntz"))).select("id", "name")
@@ -269,6 +280,14 @@ def j8(t):
     return joins.null_safe_semi(t.raw.where("lsp_id % 3 = 0"), t.raw.where("complete = ' Completed '"), ["lsp_id", "lender", "portfolio", "amount"]).select("row_id")
 
 
+@query("j8_null_safe_semi_all", """
+WITH b AS (SELECT lsp_id, CASE WHEN complete = ' Completed ' THEN lender ELSE lender || ' x' END AS lender, portfolio, amount FROM dlg_raw)
+SELECT a.row_id FROM dlg_raw a WHERE EXISTS (SELECT 1 FROM b WHERE b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount)""")
+def j8_all(t):
+    b = t.raw.withColumn("lender", F.when(F.col("complete") == " Completed ", F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))))
+    return joins.null_safe_semi(t.raw, b, ["lsp_id", "lender", "portfolio", "amount"]).select("row_id")
+
+
 @query("j9_lookup", "SELECT id, username, role FROM dlg_users WHERE username = 'customer.000000077' AND role = (SELECT c_mktsegment FROM customer WHERE c_custkey = 77)")
 def j9(t):
     role = t.customer.where("c_custkey = 77").select(F.col("c_mktsegment").alias("role"))
@@ -440,6 +459,18 @@ def u3(t):
     return both.join(visited, "link", "left_anti").select("kind", "link")
 
 
+@query("u3_ordered_union_all", """
+WITH u AS (SELECT 0 AS kind, s_suppkey AS pos, 'x' || cast(s_suppkey % 40 AS varchar) AS link FROM supplier UNION ALL SELECT 1, s_suppkey, 'x' || cast(s_suppkey * 7 % 60 AS varchar) FROM supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY kind, pos) AS rn FROM u)
+SELECT kind, link FROM r WHERE rn = 1 AND link NOT IN (SELECT 'x' || cast(n_nationkey AS varchar) FROM nation)""")
+def u3_all(t):
+    s = F.col("s_suppkey")
+    link = lambda n, kind: t.supplier.select(F.lit(kind).alias("kind"), s.alias("pos"), F.concat(F.lit("x"), n.cast("string")).alias("link"))
+    both = windows.keep_first(link(s % 40, 0).unionByName(link(s * 7 % 60, 1)), ["link"], [F.col("kind"), F.col("pos")])
+    visited = t.nation.select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("link"))
+    return both.join(visited, "link", "left_anti").select("kind", "link")
+
+
 # ---------------------------------------------------------------- mutations
 
 
@@ -489,6 +520,16 @@ def c5(t):
     return mutations.append_raw(t.raw.where("lsp_id % 2 = 0"), t.raw.where("lsp_id % 3 = 0")).select("row_id", "lender")
 
 
+@query("c5_append_all", f"""
+WITH new AS (SELECT * REPLACE ('n' || row_id AS row_id, CASE WHEN lsp_id % 3 = 0 THEN lender || ' x' ELSE ' ' || lender || ' ' END AS lender) FROM dlg_raw),
+cl AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM dlg_raw),
+cn AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM new)
+SELECT row_id, lender FROM dlg_raw UNION ALL SELECT row_id, cl FROM cn WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.lsp_id IS NOT DISTINCT FROM cn.lsp_id AND cl.cl = cn.cl AND cl.cp = cn.cp AND cl.amount IS NOT DISTINCT FROM cn.amount AND cl.as_on_timestamp IS NOT DISTINCT FROM cn.as_on_timestamp AND cl.ym IS NOT DISTINCT FROM cn.ym)""")
+def c5_all(t):
+    other = F.when(F.expr("lsp_id % 3 = 0"), F.concat("lender", F.lit(" x"))).otherwise(F.concat(F.lit(" "), "lender", F.lit(" ")))
+    return mutations.append_raw(t.raw, t.raw.withColumns({"row_id": F.concat(F.lit("n"), F.col("row_id").cast("string")), "lender": other})).select("row_id", "lender")
+
+
 @query("c6_stale_replace", f"""
 WITH new AS (SELECT * FROM dlg_raw WHERE lsp_id % 3 = 0 AND scrape_timestamp >= TIMESTAMP '1999-06-01' AND scrape_timestamp < TIMESTAMP '1999-07-01'),
 touched AS (SELECT DISTINCT lsp_id, {STALE} AS ym FROM new),
