@@ -485,6 +485,17 @@ def c1(t):
     return mutations.insert_sources(t.master, new).select("id", "name", "parse_hint")
 
 
+@query("c1_insert_sources_all", """
+WITH n AS (SELECT 100000 + c_custkey AS id, 'Supplier#' || lpad(cast(c_custkey % 300 AS varchar), 9, '0') AS name, 'B' || cast(c_custkey AS varchar) AS brand_name, 'Bank' AS lsp_type, 'https://none/' || cast(c_custkey AS varchar) AS home_url FROM customer)
+SELECT id, name, parse_hint FROM dlg_master UNION ALL
+SELECT id, name, 'auto' FROM n WHERE NOT EXISTS (SELECT 1 FROM dlg_master m WHERE m.lsp_type = n.lsp_type AND (m.name = n.name OR m.brand_name = n.name OR m.name = n.brand_name OR m.brand_name = n.brand_name OR m.home_url = n.home_url))""")
+def c1_all(t):
+    c = F.col("c_custkey")
+    null = F.lit(None).cast("string")
+    new = t.customer.select((c + 100000).alias("id"), F.concat(F.lit("Supplier#"), F.lpad((c % 300).cast("string"), 9, "0")).alias("name"), F.concat(F.lit("B"), c.cast("string")).alias("brand_name"), F.lit("Bank").alias("lsp_type"), F.concat(F.lit("https://none/"), c.cast("string")).alias("home_url"), F.lit(None).cast("boolean").alias("active"), null.alias("dlg_url"), null.alias("parse_hint"), null.alias("fetch_hint"))
+    return mutations.insert_sources(t.master, new).select("id", "name", "parse_hint")
+
+
 @query("c2_partial_update", """
 WITH ch AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'New ' || s_name END AS name, 'https://moved/' || cast(s_suppkey AS varchar) AS home_url, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE true END AS active FROM supplier WHERE s_suppkey % 4 <> 1),
 scraped AS (SELECT DISTINCT lsp_id FROM dlg_raw WHERE lsp_id % 5 = 0)
@@ -543,6 +554,19 @@ def c6(t):
     return mutations.replace_stale(old, new, [F.col("row_id")]).select("row_id", "part")
 
 
+@query("c6_stale_replace_all", f"""
+WITH new AS (SELECT * FROM dlg_raw WHERE scrape_timestamp >= TIMESTAMP '1999-06-01' AND scrape_timestamp < TIMESTAMP '1999-07-01'),
+touched AS (SELECT DISTINCT lsp_id, {STALE} AS ym FROM new),
+first AS (SELECT lsp_id, as_on_timestamp, scrape_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY lsp_id ORDER BY row_id) AS rn FROM new) WHERE rn = 1),
+none AS (SELECT lsp_id FROM first WHERE date_trunc('month', as_on_timestamp) = date_trunc('month', scrape_timestamp))
+SELECT row_id, 'old' AS part FROM dlg_raw r WHERE NOT (coalesce(complete, '') = 'Stale' AND EXISTS (SELECT 1 FROM touched x WHERE x.lsp_id = r.lsp_id AND x.ym = {STALE.replace('scrape', 'r.scrape')}))
+UNION ALL SELECT row_id, 'new' FROM new WHERE lsp_id NOT IN (SELECT lsp_id FROM none)""")
+def c6_all(t):
+    old = t.raw.withColumn("part", F.lit("old"))
+    new = filters.in_month(t.raw, 1999, 6).withColumn("part", F.lit("new"))
+    return mutations.replace_stale(old, new, [F.col("row_id")]).select("row_id", "part")
+
+
 @query("c7_placeholder", "SELECT id AS lsp_id, name AS lsp_name, 'Missing' AS complete, coalesce(dlg_url, 'NA') AS dlg_url FROM dlg_master WHERE dlg_url IS NULL")
 def c7(t):
     return mutations.placeholder(t.master.where("dlg_url is null"), "Missing", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")).select("lsp_id", "lsp_name", "complete", "dlg_url")
