@@ -666,11 +666,13 @@ def n9(t):
 DATE_TEXTS = "d AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 2 THEN 'as on ' || strftime(o_orderdate, '%B %d, %Y') WHEN 3 THEN strftime(o_orderdate, '%dth %b %Y') WHEN 4 THEN strftime(o_orderdate, '%b''%y') ELSE strftime(o_orderdate, '%b-%Y') END AS x, CASE WHEN o_orderkey % 6 < 4 THEN cast(o_orderdate AS date) ELSE last_day(cast(o_orderdate AS date)) END AS y, o_orderdate AS ts FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderkey % 6 <> 4)"
 
 
-def date_texts(t):
+def date_texts(t, early=False):
+    """Texts of dates; ``early`` with Mon'YY of the years before 2000, which are read as 20YY."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     f = lambda p: F.date_format(d, p)
     x = F.when(k % 6 == 0, f("dd.MM.yyyy")).when(k % 6 == 1, f("dd-MM-yyyy")).when(k % 6 == 2, F.concat(F.lit("as on "), f("MMMM dd, yyyy"))).when(k % 6 == 3, f("dd'th' MMM yyyy")).when(k % 6 == 4, f("MMM''yy")).otherwise(f("MMM-yyyy"))
-    return t.orders.where("o_orderdate >= timestamp_ntz '2000-01-01' or o_orderkey % 6 <> 4").select(k.alias("id"), x.alias("x"), d.alias("ts"))
+    rows = t.orders if early else t.orders.where("o_orderdate >= timestamp_ntz '2000-01-01' or o_orderkey % 6 <> 4")
+    return rows.select(k.alias("id"), x.alias("x"), d.alias("ts"))
 
 
 @query("d1_dates", f"WITH {DATE_TEXTS} SELECT id, strftime(y, '%Y-%m-%d') AS day FROM d")
@@ -678,6 +680,14 @@ def d1(t):
     return date_texts(t).select("id", F.date_format(dates.parse_date(F.col("x")), "yyyy-MM-dd").alias("day"))
 
 
+@query("d1_dates_all", """
+WITH o AS (SELECT o_orderkey AS id, cast(o_orderdate AS date) AS d FROM orders WHERE o_orderkey % 6 = 4)
+SELECT id, strftime(last_day(make_date(2000 + extract(year FROM d) % 100, extract(month FROM d), 1)), '%Y-%m-%d') AS day FROM o UNION ALL
+SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 6 < 4 THEN cast(o_orderdate AS date) ELSE last_day(cast(o_orderdate AS date)) END, '%Y-%m-%d') FROM orders WHERE o_orderkey % 6 <> 4""")
+def d1_all(t):
+    return date_texts(t, True).select("id", F.date_format(dates.parse_date(F.col("x")), "yyyy-MM-dd").alias("day"))
+
+
 @query("d3_prev_month_end", "SELECT o_orderkey AS id, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d') AS day FROM orders")
 def d3(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), F.date_format(dates.previous_month_end(F.col("o_orderdate")), "yyyy-MM-dd").alias("day"))
