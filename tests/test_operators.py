@@ -118,6 +118,14 @@ def test_links_crawl_and_fallbacks(spark):
     assert len(links.common_paths()) == 35
 
 
+def test_crawl_goes_as_deep_as_its_pages(spark):
+    at = lambda k: f"https://a.example/{'legal/dlg-disclosure' if k == 9 else f'p{k}' if k else ''}"
+    pages = spark.createDataFrame([(at(k), f'<a href="{at(k + 1)}">next</a> DLG portfolio of each lender') for k in range(10)], "url string, html string")
+    start = spark.createDataFrame([(1, at(0))], "id int, url string")
+    assert [(r.url, r.depth) for r in links.crawl(start, pages).where("hit").collect()] == [(at(9), 9)]
+    assert links.crawl(start, pages, most=8).count() == 8
+
+
 def test_upsert_twice_is_once(spark):
     new = spark.createDataFrame([(1, 2025, 1, "a"), (2, 2025, 1, "b")], "lsp_id int, scrape_year int, scrape_month int, status string")
     once = mutations.upsert_summary(new.limit(0), new)
