@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, utf8
 from .labels import collected, fit_sample, remainder
 
-#: Hashed features; bounds of the fit: documents of each class, bytes of a text.
-DIM, PER_CLASS, FIT_BYTES = 1 << 18, 1000, 20_000
+#: Hashed features; bounds of the fit: documents of each class, and their bytes together.
+DIM, PER_CLASS, FIT_BYTES = 1 << 18, 1000, 20_000_000
 #: Beginnings of words, in bytes, that count beside whole words.
 HEADS = (4, 5, 6)
 _END = np.zeros(256, bool)
@@ -92,12 +92,13 @@ def train(features: np.ndarray, of_feature: np.ndarray, ptr: np.ndarray, y: np.n
     return Model(w.astype(np.float32), float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = FIT_BYTES, least: int = 3, apart: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, label: str = "toxic", per_class: int = PER_CLASS, class_bytes: int = FIT_BYTES, least: int = 3, apart: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``per_class`` labelled documents of each class whose
-    crc32(doc_id) mod ``folds`` is not ``held_out``; features of fewer than
+    crc32(doc_id) mod ``folds`` is not ``held_out``, of any length, until they have
+    ``class_bytes`` together; features of fewer than
     ``least`` of them, or whose shares in the classes differ by under ``apart``
     standard errors, are left out.  Without toxic documents nothing is toxic."""
-    sample, counts = fit_sample(docs, labels, label, remainder(folds) != held_out, per_class, most_bytes, id_col, text_col)
+    sample, counts = fit_sample(docs, labels, label, remainder(folds) != held_out, per_class, None, id_col, text_col)
 
     def extract(batches):
         for b in batches:
@@ -108,11 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
                 part = lambda x: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.ascontiguousarray(x)))
                 lists = [part(s.features[:, k]) for k in range(s.features.shape[1])]
                 sent = part(s.of_word.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), sent, *lists], ["doc_id", "y", "s", *(f"f{k}" for k in range(len(lists)))])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), sent, *lists], ["doc_id", "y", "n_bytes", "s", *(f"f{k}" for k in range(len(lists)))])
 
     wide = 1 + len(HEADS)
-    schema = "doc_id long, y int, s array<int>, " + ", ".join(f"f{k} array<int>" for k in range(wide))
-    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, schema), per_class)
+    schema = "doc_id long, y int, n_bytes long, s array<int>, " + ", ".join(f"f{k} array<int>" for k in range(wide))
+    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, schema), per_class, class_bytes)
     y = np.asarray(got["y"])
     if not (y == 1).any():
         return Model(np.zeros(DIM, np.float32), -30.0)

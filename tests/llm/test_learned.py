@@ -31,6 +31,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert accuracy(spark, got, "toxic") > 0.93 and got.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    r = random.Random(82)
+    rows = [(d, " ".join(f"w{r.randint(0, 300)}{'.' * (r.random() < 0.1)}" for _ in range(6000)) + " vile insult." * (d % 2)) for d in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert min(len(t) for _, t in rows) > 20_000
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert [r.predicted for r in sorted(got)] == [d % 2 for d in range(120)]
+    few = toxicity.fit(docs, labels, class_bytes=1)  # one of each class
+    assert np.isfinite(few.weight).all() and np.isfinite(few.bias)
+
+
 def test_scores_never_use_held_out_labels(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(300)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
