@@ -5,6 +5,10 @@ takes the LEAST occurrence-labelled shingles that hash lowest, in the order of
 the text, so documents collide when they share them in the same order.  The
 similarity of two documents is L / (n + m - L), L being the longest common
 subsequence of their shingles: the Jaccard measure where order counts.
+
+Documents of a bucket are aligned with one of them, its pivot, so a group of
+copies of any size takes as many alignments as it has members.  Buckets that
+this does not settle go to an exact prefix filter.
 """
 
 from __future__ import annotations
@@ -17,22 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, stored, utf8
+from .common import PUNCT, U64, Words, blocks, dropped, fold, id_text, mix, stored, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With similarity 0.8 a sketch of 5 agrees in about a third of cases, and one of 28 in 99.999 %.
 TABLES, LEAST = 28, 5
-#: Least hashes that tell how similar two documents of a bucket may be, and the share
-#: of agreeing ones from which a pair is a candidate (0.8 less four standard errors).
-MINIMA, MAYBE = 64, 0.6
-#: Members of a bucket or family, and shingles of a family's block, that a task compares.
-BUCKET, BLOCK_SHINGLES = 1000, 2_000_000
-SALTS = 32
+#: Documents aligned with a pivot in one go, parts of a bucket that have a pivot each
+#: in the rounds over what the prefix filter finds, and documents of a block after them.
+UNIT, PARTS, BLOCK = 64, (1, 8), 256
+#: Parts over which the rows of a hot key are dealt in joins.
+SALTS = 8
+#: Counters of shingles that order them from rare to frequent (a fixed size; any order is right).
+COUNTERS = 1 << 20
 #: Documents of so many shingles have keys besides that miss no pair (see ``few``); shorter
 #: ones are near no other, and no sketch of longer pairs misses more than 1 in 10,000.
 FEW = range(4, 20)
 _RNG = np.random.Generator(np.random.PCG64(77))
-_MULTIPLY = _RNG.integers(1, 2**63, 2 * MINIMA, dtype=np.uint64) | U64(1)
+_MULTIPLY = _RNG.integers(1, 2**63, 2 * TABLES, dtype=np.uint64) | U64(1)
 _TOP = U64(2**64 - 1)
 
 
@@ -64,19 +69,16 @@ def labelled(grams: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(grams: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, minima) of the documents with shingles; minima keep 16 bits."""
-    h, n = labelled(grams, ptr), np.diff(ptr)
+def sketch(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Keys (documents with shingles, TABLES) from labelled shingles."""
+    n = np.diff(ptr)
     begin, count = ptr[:-1][n > 0], n[n > 0]
     owner = np.repeat(np.arange(len(begin)), count)
-    keys, minima = np.zeros((len(begin), TABLES), np.uint64), np.zeros((len(begin), MINIMA), np.uint16)
-    for t in range(MINIMA if len(begin) else 0):
+    keys = np.zeros((len(begin), TABLES), np.uint64)
+    for t in range(TABLES if len(begin) else 0):
         v = h * _MULTIPLY[t]
         v ^= v >> U64(29)
-        v *= _MULTIPLY[t + MINIMA]
-        if t >= TABLES:
-            minima[:, t] = mix(np.minimum.reduceat(v, begin)) & U64(0xFFFF)
-            continue
+        v *= _MULTIPLY[t + TABLES]
         v[v == _TOP] = U64(0)
         at = np.full((LEAST, len(begin)), len(h), np.int64)
         for k in range(LEAST):
@@ -85,28 +87,25 @@ def sketch(grams: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hit = hit[v[hit] != _TOP]
             at[k, owner[hit]] = hit  # of equal ones (a collision) the last
             v[hit] = _TOP
-            if k == 0:
-                minima[:, t] = mix(low) & U64(0xFFFF)
         at.sort(axis=0)
         values = np.append(h, U64(0))[at]
         key = np.full(len(begin), U64(t + 1), np.uint64)
         for k in range(LEAST):
             key = mix(key * U64(0xD6E8FEB86659FD93) + values[k])
         keys[:, t] = key
-    return keys, minima
+    return keys
 
 
-def few(grams: np.ndarray, ptr: np.ndarray) -> tuple[list[np.ndarray], list[bytes | None]]:
-    """(keys, sets) of the documents with shingles; without keys and None if not of FEW.
+def few(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+    """Keys of the documents with shingles from labelled ones; none if not of FEW.
 
     Of n labelled shingles a document shares ``need`` or more with any of SIMILARITY,
     so the k least shared ones are among the n - need + k least of either, and all
-    choices of k of those are keys: every pair meets.  Sets hold 32 bits of each
-    shingle, as many bytes as minima, and tell what two documents share.
+    choices of k of those are keys: every pair meets.
     """
-    h, n = labelled(grams, ptr), np.diff(ptr)
+    n = np.diff(ptr)
     begin, count = ptr[:-1][n > 0], n[n > 0]
-    keys, sets = [np.zeros(0, np.uint64)] * len(begin), [None] * len(begin)
+    keys = [np.zeros(0, np.uint64)] * len(begin)
     for size in FEW:
         own = np.flatnonzero(count == size)
         if not len(own):
@@ -122,179 +121,160 @@ def few(grams: np.ndarray, ptr: np.ndarray) -> tuple[list[np.ndarray], list[byte
                 key = mix(key * U64(0xD6E8FEB86659FD93) + chosen[:, :, c])
             found.append(key)
         found = np.concatenate(found, axis=1)
-        packed = np.zeros((len(own), MINIMA // 2), np.uint32)
-        packed[:, :size] = (least >> U64(32)).astype(np.uint32) | np.uint32(1)
         for r, d in enumerate(own):
-            keys[d], sets[d] = found[r], packed[r].tobytes()
-    return keys, sets
+            keys[d] = found[r]
+    return keys
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the word sequence; of the text where it has no words),
-    size (shingles), keys array<long> (null without words; odd ones are of ``few``),
-    minima binary, few binary (null if not of FEW)."""
+def sketches(rows: DataFrame) -> DataFrame:
+    """From (doc_id, text): doc_id, mark (a hash of the text), digest (of the word
+    sequence; of the text where it has no words), size (shingles), keys array<long>
+    (null without words)."""
 
     def run(batches):
         for b in batches:
-            raw, off = utf8(b.column(1))
+            raw, off = utf8(b.column(2))
             for i, j in blocks(off):
                 own, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 w = Words(fold(own), at, PUNCT)
                 digest = [hashlib.blake2b(w.hashes[w.ptr[d] : w.ptr[d + 1]].tobytes() or b"text" + own[at[d] : at[d + 1]].tobytes(), digest_size=16).digest() for d in range(j - i)]
                 grams, ptr = shingles(w)
-                keys, minima = sketch(grams, ptr)
+                h = labelled(grams, ptr)
                 none = np.diff(ptr) == 0
-                row = np.cumsum(~none) - 1
-                more, sets = few(grams, ptr)
-                keys = [np.concatenate([x & ~U64(1), y | U64(1)]).view(np.int64) for x, y in zip(keys, more)]
-                k = [None if e else keys[r] for e, r in zip(none, row)]
-                f = [None if e else sets[r] for e, r in zip(none, row)]
-                m = [None if e else minima[r].tobytes() for e, r in zip(none, row)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(ptr), pa.int64()), pa.array(k, pa.list_(pa.int64())), pa.array(m, pa.binary()), pa.array(f, pa.binary())], ["doc_id", "digest", "size", "keys", "minima", "few"])
-
-    return docs.mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>, minima binary, few binary")
-
-
-def salted(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """Join on ``key``, the rows of a hot key of ``left`` dealt over SALTS tasks."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", salt).join(copies.hint("merge"), [key, "salt"], how).drop("salt")
-
-
-def agreeing(minima: np.ndarray):
-    """near(i, left): which of ``left`` agree with i in MAYBE of their minima."""
-    return lambda i, left: (minima[left] == minima[i]).mean(1) >= MAYBE
+                keys = [np.concatenate(x).view(np.int64) for x in zip(sketch(h, ptr), few(h, ptr))]
+                k = [None if e else keys[r] for e, r in zip(none, np.cumsum(~none) - 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(ptr), pa.int64()), pa.array(k, pa.list_(pa.int64()))], ["doc_id", "mark", "digest", "size", "keys"])
 
+    return rows.select("doc_id", mark_of(), "text").mapInArrow(run, "doc_id long, mark long, digest binary, size long, keys array<long>")
 
-def sharing(sets: np.ndarray):
-    """near(i, left): which of ``left`` may share SIMILARITY of their shingles with i."""
-    size = (sets != 0).sum(1)
 
-    def near(i, left):
-        both = (np.isin(sets[left], sets[i]) & (sets[left] != 0)).sum(1)
-        return both >= SIMILARITY * (size[left] + size[i] - both) - 1e-9
+def mark_of(text: str = "text"):
+    """Column ``mark``: tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark")
 
-    return near
 
-
-def stars(n: int, alike) -> list[tuple[int, int]]:
-    """Edges (first, member) that connect what pairs of 0 to n-1 connect that are ``alike``."""
-    out, left = [], np.arange(n)
-    while len(left) > 1:
-        first, wave, left = left[0], [left[0]], left[1:]
-        while wave and len(left):
-            near = alike(wave.pop(), left)
-            out += [(first, k) for k in left[near]]
-            wave += left[near].tolist()
-            left = left[~near]
-    return out
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join on ``key``, the rows of a hot key of ``left`` dealt by column ``by`` over
+    ``salts`` tasks; ``right`` has few rows a key."""
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
-def blocked(rows: DataFrame, group: str, parts) -> DataFrame:
-    """Rows (group, rep, g, ...) dealt into ``parts`` blocks of their group and sent
-    to each pair (lo, hi) of blocks: no task holds more than two, no pair of rows
-    is left out."""
-    rows = rows.withColumn("g", parts).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "rep")
+def with_pivots(members: DataFrame, roots: DataFrame | None, parts: int) -> DataFrame:
+    """Members (key, rep, size) of the buckets whose members are not all of one
+    class so far, with each of the bucket's ``parts`` pivots: key, rep, size, part,
+    pivot, pivot_size, pivot_part.  A pivot is the part's least by hash, which is the
+    same in all buckets."""
+    rows = members if roots is None else members.join(roots.hint("merge"), members["rep"] == roots["node"], "left").drop("node")
+    root = F.col("rep") if roots is None else F.coalesce("root", "rep")
+    rows = rows.select("key", "rep", "size", root.alias("root"), F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(parts)).cast("int").alias("part"))
+    chosen = rows.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    own = chosen.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct(F.col("p.rep").alias("rep"), F.col("p.size").alias("size"), "part")).alias("p"))  # ``parts`` at most
+    own = own.where("lo <> hi").select("key", "p")
+    met = salted(rows.select("key", "rep", "size", "part"), own, "key", "rep").withColumn("p", F.explode("p"))
+    return met.select("key", "rep", "size", "part", F.col("p.rep").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.part").alias("pivot_part"))
 
 
-def groups(batches, keys: list[str]):
-    """Tables of the runs of equal keys in a stream that is sorted by them."""
-    held = None
-    for b in batches:
-        table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        if not len(table):
-            continue
-        k = np.stack([np.asarray(table[c], np.int64) for c in keys])
-        at = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
-        if len(at) > 1:
-            table = table.combine_chunks()
-        for x, y in zip(at[:-1], at[1:]):
-            yield table.slice(x, y - x)
-        held = table.slice(at[-1])
-    if held is not None and len(held):
-        yield held.combine_chunks()
+def unsettled(pairs: DataFrame, roots: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) that are not in one class so far and not among ``done``."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
+    met = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    left = met.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    return left if done is None else left.join(done.hint("merge"), ["a", "b"], "left_anti")
 
 
-def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+def pivot_pairs(held: DataFrame, least: float) -> DataFrame:
+    """(a, b): a pivot and a member of lengths that may be similar."""
+    fits = F.least("size", "pivot_size") >= F.lit(least) * F.greatest("size", "pivot_size") - 1e-9
+    return held.where((F.col("rep") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
 
-def kinship(members: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect members (key, rep, minima) of a bucket whose minima
-    agree (sets share, where the key is odd); fewer than members, so families are
-    found without their pairs."""
-    size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = blocked(members.join(size.hint("merge"), "key"), "key", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
+def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (rep, text) have similarity ``least`` or
+    more.  A text a goes once to every UNIT of its partners, a text b once to each
+    of its pairs; a task holds one text and a batch."""
+    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("units"))
+    firsts = n.join(texts.hint("merge"), n["a"] == texts["rep"]).select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("kind"), "rep", "text")
+    dealt = salted(pairs, n, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), "units").cast("int").alias("unit"))
+    others = dealt.join(texts.hint("merge"), dealt["b"] == texts["rep"]).select("a", "unit", F.lit(1).alias("kind"), "rep", "text")
+    rows = firsts.unionByName(others).repartition("a", "unit").sortWithinPartitions("a", "unit", "kind")
 
     def run(batches):
-        out = []
-        for t in groups(batches, ["key", "lo", "hi"]):
-            rep = np.asarray(t["rep"], np.int64)
-            raw = utf8(t["minima"])[0]
-            alike = sharing(raw.view(np.uint32).reshape(len(rep), -1)) if t["key"][0].as_py() & 1 else agreeing(raw.view(np.uint16).reshape(len(rep), MINIMA))
-            out += [(rep[i], rep[j]) for i, j in stars(len(rep), alike)]
-            if len(out) > 50_000:
-                yield edges_of(out)
-                out = []
-        yield edges_of(out)
-
-    return rows.select("key", "lo", "hi", "rep", "minima").mapInArrow(run, "a long, b long").distinct()
-
-
-def links(rep: np.ndarray, grams: np.ndarray, ptr: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of similarity ``least`` or more among a family's documents, as many as
-    connect what they connect; with two blocks those across them.
-
-    Postings of the shingles give the number that a document shares with all
-    others at once; only pairs that share enough and are not connected yet are
-    aligned.
+        held = None  # the text a: its id, shingles and labelled shingles
+        for b in batches:
+            raw, off = utf8(b.column(3))
+            first, kind, rep = np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2))
+            out = []
+            for i, j in blocks(off):
+                grams, ptr = shingles(Words(fold(raw[off[i] : off[j]]), off[i : j + 1] - off[i], PUNCT))
+                h = labelled(grams, ptr)
+                for d in range(i, j):
+                    own = grams[ptr[d - i] : ptr[d - i + 1]], h[ptr[d - i] : ptr[d - i + 1]]
+                    if not kind[d]:
+                        held = first[d], *(x.copy() for x in own)
+                    elif held is None or held[0] != first[d]:
+                        raise ValueError(f"the text of {first[d]} is missing")
+                    elif similarity(held[1], own[0], least, (held[2], own[1])) >= least:
+                        out.append((first[d], rep[d]))
+            x = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    return rows.select("a", "kind", "rep", "text").mapInArrow(run, "a long, b long")
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(key, rep, size): of the n labelled shingles of a text the rarest ones, one
+    more than may be missing in a text of similarity ``least``, so of two such texts
+    at least one is the same (a prefix filter: exact in any one order of shingles).
     """
-    n, size, out = len(rep), np.diff(ptr), []
-    known, at = np.unique(labelled(grams, ptr), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(at, kind="stable")
-    posted, cut = owner[order], np.searchsorted(at[order], np.arange(len(known) + 1))
-    root = np.arange(n)
-    two = block.any() and not block.all()
-    for i in range(n):
-        mine = at[ptr[i] : ptr[i + 1]]
-        a, b = cut[mine], cut[mine + 1]
-        if not len(mine):
-            continue
-        where = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
-        share = np.bincount(posted[where], minlength=n)
-        may = share / (size[i] + size - share) >= least - 1e-12
-        may[: i + 1] = False
-        if two:
-            may &= block != block[i]
-        for j in np.flatnonzero(may):
-            if root[i] != root[j] and similarity(grams[ptr[i] : ptr[i + 1]], grams[ptr[j] : ptr[j + 1]], least) >= least:
-                out.append((rep[i], rep[j]))
-                root[root == root[j]] = root[i]
-    return out
 
+    def labels(b):
+        raw, off = utf8(b.column(1))
+        for i, j in blocks(off):
+            grams, ptr = shingles(Words(fold(raw[off[i] : off[j]]), off[i : j + 1] - off[i], PUNCT))
+            yield i, labelled(grams, ptr), ptr
 
-def verified(family: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) within families (family, rep, size); texts: (doc_id, text), one
-    row for each id."""
-    weight = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BUCKET)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts"))
-    rows = family.join(weight.hint("merge"), "family").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
-    rows = blocked(rows, "family", F.col("parts"))
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for _, h, _ in labels(b):
+                total += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "n"])
+
+    counted = texts.select("rep", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    total = np.zeros(COUNTERS, np.int64)
+    total[np.asarray(counted["at"])] = np.asarray(counted["n"])
+    sent = texts.sparkSession.sparkContext.broadcast(total)
 
     def run(batches):
-        for t in groups(batches, ["family", "lo", "hi"]):
-            raw, off = utf8(t["text"])
-            parts = [shingles(Words(fold(raw[off[p] : off[q]]), off[p : q + 1] - off[p], PUNCT)) for p, q in blocks(off)]
-            grams = np.concatenate([g for g, _ in parts])
-            ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
-            block = np.asarray(t["own"]) != np.asarray(t["lo"])
-            yield edges_of(links(np.asarray(t["rep"], np.int64), grams, ptr, block, least))
-
-    return rows.select("family", "lo", "hi", "own", "rep", "text").mapInArrow(run, "a long, b long")
+        for b in batches:
+            rep = np.asarray(b.column(0))
+            for i, h, ptr in labels(b):
+                n = np.diff(ptr)
+                most = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, sent.value[(h & U64(COUNTERS - 1)).astype(np.int64)], doc))
+                take = order[np.arange(len(h)) - np.repeat(ptr[:-1], n) < np.repeat(most, n)]
+                for k in range(0, len(take), 1 << 16):
+                    x = take[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(rep[i + doc[x]]), pa.array(n[doc[x]])], ["key", "rep", "size"])
+
+    return texts.select("rep", "text").mapInArrow(run, "key long, rep long, size long")
+
+
+def blocked_pairs(members: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of members (key, rep, size, root) of a bucket that are not of
+    one class, of lengths that may be similar.  Rows, no texts, meet in blocks."""
+    n = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("g"))
+    own = salted(members, n, "key", "rep").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int"))
+    left = own.select("key", F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"), F.col("own").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("hi"))
+    right = own.select("key", F.col("rep").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), F.col("own").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("lo"))
+    fits = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_size", "b_size") >= F.lit(least) * F.greatest("a_size", "b_size") - 1e-9)
+    return left.join(right.hint("merge"), ["key", "lo", "hi"]).where(fits).select("a", "b").distinct()
 
 
 def common_in_order(x: np.ndarray, y: np.ndarray, least: int) -> int:
@@ -339,15 +319,17 @@ def _aligned(x: np.ndarray, y: np.ndarray, least: int) -> int:
     return len(y) - (state & full).bit_count()
 
 
-def similarity(x: np.ndarray, y: np.ndarray, least: float) -> float:
-    """L / (n + m - L), or something below ``least`` where it is below."""
+def similarity(x: np.ndarray, y: np.ndarray, least: float, labels: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """L / (n + m - L), or something below ``least`` where it is below; ``labels``
+    are the labelled shingles of both where they are known."""
     n, m = len(x), len(y)
     if not n or not m:
         return float(n == m)
     need = int(np.ceil(least * (n + m) / (1 + least) - 1e-9))
     if min(n, m) < need:
         return 0.0
-    common, i, j = np.intersect1d(labelled(x, np.array([0, n])), labelled(y, np.array([0, m])), assume_unique=True, return_indices=True)
+    p, q = labels or (labelled(x, np.array([0, n])), labelled(y, np.array([0, m])))
+    common, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
     if len(common) < need:
         return len(common) / (n + m - len(common))  # an upper bound
     if (np.diff(j[np.argsort(i)]) > 0).all():
@@ -359,22 +341,88 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float) -> float:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), root being the least of its
-    component, by alternating large and small stars."""
+    component, by alternating large and small stars.  Tables of finished rounds go."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(small, "stars")
+        small = salted(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        last, e = e, stored(small, "stars")
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
 
 
+def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the classes of representatives (rep, doc_id, mark, size, keys)
+    that have links; rows: (doc_id, text).
+
+    Every pair that shares a sketch is decided: aligned, or of one class by other
+    links.  First each document is aligned with the least pivot of its buckets, then
+    with those others that are not yet in its class.  Buckets whose members are
+    still of several classes are taken apart by the prefix filter, whose buckets
+    have pivots in turn, several in the second round, and then all pairs that are
+    left are aligned.  A pair of similarity ``least`` is in each of these, so
+    nothing is capped.
+    """
+    members = first.select("rep", "size", F.explode("keys").alias("key"))
+    held = stored(with_pivots(members, None, 1), "buckets")
+    placed = first.select("rep", "doc_id", "mark").join(held.select("rep").distinct().hint("merge"), "rep")
+    found = rows.select("doc_id", mark_of(), "text").join(placed.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["rep"])
+    texts = stored(found.select("rep", "text"), "texts")
+    pairs = pivot_pairs(held, least)
+    start = pairs.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("h"), "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
+    start = stored(start, "pairs")
+    edges = stored(aligned(start, texts, least), "links")
+    roots = stored(components(edges), "roots")
+
+    def more(pairs: DataFrame, edges: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        new = stored(aligned(stored(unsettled(pairs, roots, done), "pairs"), texts, least), "links")
+        edges = edges.unionByName(new)
+        return edges, roots if new.isEmpty() else stored(components(edges), "roots")
+
+    edges, roots = more(pairs, edges, start)
+    rest = with_pivots(held.where(F.col("rep") != F.col("pivot")).select("key", "rep", "size"), roots, 1)
+    left = texts.join(rest.select("rep").distinct().hint("merge"), "rep")
+    left = stored(left, "texts")
+    if left.isEmpty():
+        return roots
+    members = stored(prefixes(left, least), "prefixes")
+    for parts in PARTS:
+        held = stored(with_pivots(members, roots, parts), "buckets")
+        edges, roots = more(pivot_pairs(held, least), edges)
+        members = held.where((F.col("part") == F.col("pivot_part")) & (F.col("rep") != F.col("pivot"))).select("key", "rep", "size")
+    open_ = with_pivots(members, roots, 1).select("key", "rep", "size")
+    open_ = open_.join(roots.hint("merge"), open_["rep"] == roots["node"], "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    return more(blocked_pairs(stored(open_, "buckets"), least), edges)[1]
+
+
+def row_classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row with an id: doc_id, mark (``mark_of``), copy_of, class_id and
+    class_mark: the row of least (doc_id, mark) stands for its class."""
+    rows = id_text(docs, id_col, text_col).where("doc_id is not null")
+    every = stored(sketches(rows), "sketches")
+    groups = every.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("n"))
+    # 64 bits of the digest name a representative
+    named = groups.select("digest", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("rep"), "least", "n")
+    named = stored(named, "groups")
+    chosen = named.select("digest", "rep", F.col("least.doc_id").alias("doc_id"), F.col("least.mark").alias("mark"))
+    first = every.join(chosen.hint("merge"), ["digest", "doc_id", "mark"]).where("keys is not null").dropDuplicates(["rep"])
+    first = stored(first.select("rep", "doc_id", "mark", "size", "keys"), "representatives")
+    roots = linked(first, rows, least)
+    known = named.join(roots.hint("merge"), named["rep"] == roots["node"], "left").select("digest", "least", "n", "root")
+    heads = known.where("root is not null").groupBy("root").agg(F.min("least").alias("head"))
+    known = salted(known.where("root is not null or n > 1"), heads, "root", "digest", "left")
+    known = known.select("digest", F.col("least.doc_id").alias("copy_of"), F.coalesce("head", "least").alias("head"))
+    met = salted(every.select("doc_id", "mark", "digest"), known, "digest", "mark", "left")
+    return met.select("doc_id", "mark", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("head.mark", "mark").alias("class_mark"))
+
+
 def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near copies of every document: doc_id, copy_of, class_id.
 
@@ -383,42 +431,36 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     words, so empty and null texts are copies of each other) are copies:
     copy_of is the least id among them.  Classes are the components of links of
     similarity ``least`` or more; class_id is the least doc_id of a class.  A
-    text of fewer than five words is one shingle.  Rows of one id count as one
-    document; a row without an id is a class of its own (null); each input row
-    gives a row; other columns are left out; an empty table gives no rows.
-
-    Copies are one entry from the start.  Documents that share a sketch and agree
-    in MAYBE of their minima are kin, and so are all of FEW shingles that share
-    SIMILARITY of them; families are the components of kinship,
-    found from fewer edges than there are members.  Then each family's texts come
-    together once, in blocks, and all its pairs are decided: those that share
-    enough shingles by alignment.  No pair of a family is left out.
+    text of fewer than five words is one shingle.  Each input row gives a row:
+    repeated rows are copies, rows of one id with different texts are judged
+    each; a row without an id is a class of its own (null); other columns are
+    left out; an empty table gives no rows.  Copies are one entry from the start;
+    see ``linked`` for the rest.
     """
-    rows = id_text(docs, id_col, text_col)
-    every = stored(sketches(rows), "sketches")
-    known = every.where("doc_id is not null")
-    groups = known.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
-    many = groups.where("n > 1").select("digest", "copy_of")
-    member = stored(salted(known.select("doc_id", "digest"), many, "digest", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "copies")
-    first = known.join(groups.select("digest", F.col("copy_of").alias("doc_id")).hint("merge"), ["digest", "doc_id"]).where("keys is not null").dropDuplicates(["digest"])
-    first = stored(first.select(F.col("doc_id").alias("rep"), "size", "keys", "minima", "few"), "representatives")
-    placed = first.select("rep", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    held = placed.join(shared.hint("merge"), "key").join(first.select("rep", "minima", "few").hint("merge"), "rep")
-    members = stored(held.select("rep", "key", F.when(odd, F.col("few")).otherwise(F.col("minima")).alias("minima")), "buckets")
-    kin = components(kinship(members))
-    heads = kin.select("root").distinct()
-    family = kin.select(F.col("node").alias("rep"), F.col("root").alias("family")).unionByName(heads.select(F.col("root").alias("rep"), F.col("root").alias("family")))
-    family = stored(family.join(first.select("rep", "size").hint("merge"), "rep"), "families")
-    found = rows.join(family.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    texts = found.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(known) else found
-    root = components(stored(verified(family, stored(texts, "texts"), least), "links"))
-    classes = salted(member, root.select(F.col("node").alias("copy_of"), "root"), "copy_of", "left")
-    classes = classes.select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
-    return classes.unionByName(every.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id")))
-
-
-def _repeats(known: DataFrame) -> bool:
-    """Whether an id has several rows (of them one text is aligned)."""
-    return not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    nameless = id_text(docs, id_col, text_col).where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("copy_of", "class_id")])
+    return row_classes(docs, least, id_col, text_col).select("doc_id", "copy_of", "class_id").unionByName(nameless)
+
+
+def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each class of near copies, all
+    columns; rows without an id stay.
+
+    The row of least doc_id, then of the least hash of its text, stays; of rows
+    that are equal in both the one least in its other columns, in their order (maps
+    are left out of it).  Every other row stays as it is; an empty table stays empty.
+    """
+    spare = [f"{c}_of_near_copies" for c in ("id", "mark")]
+    ids = row_classes(docs)
+    n = ids.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"), F.min("class_mark").alias("class_mark"))
+    alone = (F.col("class_id") == F.col("doc_id")) & (F.col("class_mark") == F.col("mark"))
+    odd = stored(n.where(~alone | (F.col("n") > 1)).select(F.col("doc_id").alias(spare[0]), F.col("mark").alias(spare[1]), alone.alias("stays_of_near_copies")), "fates")
+    met = docs.join(odd.hint("merge"), (F.col("doc_id") == odd[spare[0]]) & (mark_of() == odd[spare[1]]), "left")
+    plain = met.where(F.col(spare[0]).isNull()).select(*[docs[c] for c in _quoted(docs)])
+    order = [F.col(c) for c, f in zip(_quoted(docs), docs.schema) if "map<" not in f.dataType.simpleString()]
+    many = met.where("stays_of_near_copies")
+    many = many.groupBy(*spare).agg(F.min_by(F.struct(*[F.col(c) for c in _quoted(docs)]), F.struct(*order)).alias("row"))
+    return plain.unionByName(many.select(*[F.col("row")[f.name].alias(f.name) for f in docs.schema]))
+
+
+def _quoted(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]

@@ -128,21 +128,37 @@ def test_chains_and_unlinked_kin(spark):
     assert got == brute_classes(docs) and len(set(got.values())) > 1
 
 
-@pytest.mark.parametrize("small", [5, 1000])
-def test_blocks_of_a_family_lose_no_link(spark, monkeypatch, small):
-    monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", small * 200)
+@pytest.mark.parametrize("unit, block", [(2, 4), (64, 256)])
+def test_a_family_loses_no_link(spark, monkeypatch, unit, block):
+    monkeypatch.setattr(nearcopies, "UNIT", unit), monkeypatch.setattr(nearcopies, "BLOCK", block)
     base = words(200, 79)
-    docs = [(k, " ".join(edited(base, 1 + k % 4, k))) for k in range(50)]
+    docs = [(k, " ".join(edited(base, 1 + k % 6, k))) for k in range(60)]
     got = {r.doc_id: r.class_id for r in nearcopies.near_copies(frame(spark, docs)).collect()}
-    assert got == brute_classes(docs)
+    assert got == brute_classes(docs) and len(set(got.values())) > 1
 
 
-def test_large_buckets_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "BUCKET", 5)
-    base = words(200, 78)
-    docs = [(k, " ".join(edited(base, k % 4, k))) for k in range(40)]
+@pytest.mark.parametrize("parts", [(), (1,), (1, 8)])
+def test_documents_with_a_common_passage_lose_no_link(spark, monkeypatch, parts):
+    """Most share sketches of the passage but are not near; some pairs are."""
+    monkeypatch.setattr(nearcopies, "PARTS", parts), monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    passage, docs = words(60, 82), []
+    for k in range(60):
+        own = words(40, 3000 + k)
+        docs.append((2 * k, " ".join(passage + own)))
+        if k % 3 == 0:
+            docs.append((2 * k + 1, " ".join(passage + edited(own, 1, k))))
     got = {r.doc_id: r.class_id for r in nearcopies.near_copies(frame(spark, docs)).collect()}
-    assert got == brute_classes(docs)
+    assert got == brute_classes(docs) and len(set(got.values())) == 60
+
+
+def test_one_row_of_each_class_stays(spark):
+    base, other = words(100, 83), words(100, 84)
+    rows = [(1, " ".join(base), "b", 1), (1, " ".join(base), "a", 2), (1, " ".join(other), "c", 3), (2, " ".join(edited(base, 1, 1)), "d", 4), (0, " ".join(edited(other, 1, 2)), "e", 5)]
+    rows += [(None, " ".join(base), "f", 6), (None, None, "g", 7), (7, None, "h", 8), (8, "", "i", 9), (9, "x " * 50000, "j", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, mark int")
+    got = sorted((tuple(r) for r in nearcopies.keep_first(docs).collect()), key=str)
+    assert got == sorted([rows[1], rows[4], rows[5], rows[6], rows[7], rows[9]], key=str)
+    assert nearcopies.keep_first(docs.limit(0)).count() == 0
 
 
 def small_pairs():
@@ -175,11 +191,9 @@ def test_keys_of_few_shingles_meet_from_the_similarity_on():
                     continue
                 for _ in range(20):
                     x = r.integers(1, 2**63, n + m - both, dtype=np.uint64)
-                    keys, sets = nearcopies.few(np.concatenate([x[:n], x[n - both :]]), np.array([0, n, n + m]))
+                    keys = nearcopies.few(np.concatenate([x[:n], x[n - both :]]), np.array([0, n, n + m]))
                     if n < 20 and m < 20:
                         assert np.isin(*keys).any()
-                        two = np.stack([np.frombuffer(s, np.uint32) for s in sets])
-                        assert nearcopies.sharing(two)(0, np.array([1])).all()
 
 
 def brute_removed(docs, window=13):
