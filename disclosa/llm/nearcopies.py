@@ -7,13 +7,15 @@ similarity of two documents is L / (n + m - L), L being the longest common
 subsequence of their shingles: the Jaccard measure where order counts.
 
 Documents of a bucket are aligned with one of them, its pivot, so a group of
-copies of any size takes as many alignments as it has members.  Buckets that
-this does not settle go to an exact prefix filter.
+copies of any size takes as many alignments as it has members.  What this does
+not settle goes through an exact prefix filter, and families of what passes it are
+compared in blocks, by the shingles that they share.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,9 +28,8 @@ from .common import PUNCT, U64, Words, blocks, dropped, fold, id_text, mix, stor
 SHINGLE, SIMILARITY = 5, 0.8
 #: With similarity 0.8 a sketch of 5 agrees in about a third of cases, and one of 28 in 99.999 %.
 TABLES, LEAST = 28, 5
-#: Documents aligned with a pivot in one go, parts of a bucket that have a pivot each
-#: in the rounds over what the prefix filter finds, and documents of a block after them.
-UNIT, PARTS, BLOCK = 64, (1, 8), 256
+#: Documents aligned with one text in one go, and documents of a family's block.
+UNIT, BLOCK = 64, 256
 #: Parts over which the rows of a hot key are dealt in joins.
 SALTS = 8
 #: Counters of shingles that order them from rare to frequent (a fixed size; any order is right).
@@ -161,19 +162,19 @@ def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inn
     return dealt.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
-def with_pivots(members: DataFrame, roots: DataFrame | None, parts: int) -> DataFrame:
-    """Members (key, rep, size) of the buckets whose members are not all of one
-    class so far, with each of the bucket's ``parts`` pivots: key, rep, size, part,
-    pivot, pivot_size, pivot_part.  A pivot is the part's least by hash, which is the
-    same in all buckets."""
-    rows = members if roots is None else members.join(roots.hint("merge"), members["rep"] == roots["node"], "left").drop("node")
-    root = F.col("rep") if roots is None else F.coalesce("root", "rep")
-    rows = rows.select("key", "rep", "size", root.alias("root"), F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(parts)).cast("int").alias("part"))
-    chosen = rows.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    own = chosen.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct(F.col("p.rep").alias("rep"), F.col("p.size").alias("size"), "part")).alias("p"))  # ``parts`` at most
-    own = own.where("lo <> hi").select("key", "p")
-    met = salted(rows.select("key", "rep", "size", "part"), own, "key", "rep").withColumn("p", F.explode("p"))
-    return met.select("key", "rep", "size", "part", F.col("p.rep").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.part").alias("pivot_part"))
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the ``root`` of their class so far, themselves if they have none."""
+    met = members.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("known")).hint("merge"), "rep", "left")
+    return met.withColumn("root", F.coalesce("known", "rep")).drop("known")
+
+
+def opened(members: DataFrame) -> DataFrame:
+    """Members (key, rep, size, root) of the buckets whose members are not all of one
+    class so far, with the bucket's pivot: key, rep, size, pivot, pivot_size.  A pivot
+    is the least by hash, so it is the same in many buckets."""
+    own = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    own = own.where("lo <> hi").select("key", F.col("p.rep").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    return salted(members.select("key", "rep", "size"), own, "key", "rep")
 
 
 def unsettled(pairs: DataFrame, roots: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -266,15 +267,89 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, "key long, rep long, size long")
 
 
-def blocked_pairs(members: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of members (key, rep, size, root) of a bucket that are not of
-    one class, of lengths that may be similar.  Rows, no texts, meet in blocks."""
-    n = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("g"))
-    own = salted(members, n, "key", "rep").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int"))
-    left = own.select("key", F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"), F.col("own").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("hi"))
-    right = own.select("key", F.col("rep").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), F.col("own").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("lo"))
-    fits = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_size", "b_size") >= F.lit(least) * F.greatest("a_size", "b_size") - 1e-9)
-    return left.join(right.hint("merge"), ["key", "lo", "hi"]).where(fits).select("a", "b").distinct()
+def groups(batches, keys: list[str]):
+    """Tables of the runs of equal keys in a stream that is sorted by them."""
+    held = None
+    for b in batches:
+        table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if not len(table):
+            continue
+        k = np.stack([np.asarray(table[c], np.int64) for c in keys])
+        at = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
+        if len(at) > 1:
+            table = table.combine_chunks()
+        for x, y in zip(at[:-1], at[1:]):
+            yield table.slice(x, y - x)
+        held = table.slice(at[-1])
+    if held is not None and len(held):
+        yield held.combine_chunks()
+
+
+def sharing(labels: np.ndarray, ptr: np.ndarray, root: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of documents of different classes that share labelled shingles enough to
+    have similarity ``least``; of two blocks those across them.
+
+    Postings give the number that a document shares with all others at once.  A pair
+    is left out if pairs before it connect its classes that surely are similar: what
+    they share stands in the same order, and one shingle less would do.
+    """
+    n, size, out = len(root), np.diff(ptr), []
+    root = np.unique(root, return_inverse=True)[1]
+    two = block.any() and not block.all()
+    at = np.unique(labels, return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(at, kind="stable")
+    if two:
+        order = order[block[owner[order]]]
+    posted, cut = owner[order], np.searchsorted(at[order], np.arange(at.max() + 2 if len(at) else 1))
+    for i in np.flatnonzero(~block) if two else range(n):
+        may = root != root[i]
+        may &= block if two else np.arange(n) > i
+        if not may.any():
+            continue
+        mine = at[ptr[i] : ptr[i + 1]]
+        a, b = cut[mine], cut[mine + 1]
+        where = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+        share = np.bincount(posted[where], minlength=n)
+        for j in np.flatnonzero(may & (share >= least * (size[i] + size - share) - 1e-9)):
+            if root[i] != root[j]:
+                out.append((i, j))
+                both, x, y = np.intersect1d(labels[ptr[i] : ptr[i + 1]], labels[ptr[j] : ptr[j + 1]], return_indices=True)
+                sure = len(both) - 1 >= least * (size[i] + size[j] - len(both) + 1)
+                if sure and (np.diff(y[np.argsort(x)]) > 0).all():
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def family_pairs(families: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a family's documents (family, rep, root) of different classes
+    that share enough labelled shingles.  Families are cut into blocks of BLOCK, and
+    each pair of blocks meets, as shingles of 32 bits: no pair is left out."""
+
+    def label(batches):
+        for b in batches:
+            raw, off = utf8(b.column(1))
+            for i, j in blocks(off):
+                grams, ptr = shingles(Words(fold(raw[off[i] : off[j]]), off[i : j + 1] - off[i], PUNCT))
+                h = (labelled(grams, ptr) >> U64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[x:y].tobytes() for x, y in zip(ptr, ptr[1:])], pa.binary())], ["rep", "labels"])
+
+    labels = texts.select("rep", "text").mapInArrow(label, "rep long, labels binary")
+    n = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("g"))
+    rows = salted(families, n, "family", "rep").join(labels.hint("merge"), "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+
+    def run(batches):
+        for t in groups(batches, ["family", "lo", "hi"]):
+            rep, root = (np.asarray(t[c], np.int64) for c in ("rep", "root"))
+            raw, off = utf8(t["labels"])
+            found = sharing(raw.view(np.uint32), off // 4, root, np.asarray(t["own"]) != np.asarray(t["lo"]), least)
+            x = rep[np.array(found, np.int64).reshape(-1, 2)]
+            for k in range(0, max(1, len(x)), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16), 0]), pa.array(x[k : k + (1 << 16), 1])], ["a", "b"])
+
+    return rows.select("family", "lo", "hi", "own", "rep", "root", "labels").mapInArrow(run, "a long, b long")
 
 
 def common_in_order(x: np.ndarray, y: np.ndarray, least: int) -> int:
@@ -362,44 +437,51 @@ def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(node, root) of the classes of representatives (rep, doc_id, mark, size, keys)
     that have links; rows: (doc_id, text).
 
-    Every pair that shares a sketch is decided: aligned, or of one class by other
-    links.  First each document is aligned with the least pivot of its buckets, then
-    with those others that are not yet in its class.  Buckets whose members are
-    still of several classes are taken apart by the prefix filter, whose buckets
-    have pivots in turn, several in the second round, and then all pairs that are
-    left are aligned.  A pair of similarity ``least`` is in each of these, so
-    nothing is capped.
+    Every pair that shares a sketch is decided: aligned, ruled out by the number of
+    shingles it shares, or of one class by other links.  First each document is
+    aligned with the least pivot of its buckets, then with those others that are not
+    yet in its class.  Buckets whose members are still of several classes are taken
+    apart by the prefix filter; families are the components of what shares one of
+    its buckets, and their pairs of different classes are aligned if they share
+    enough shingles.  Each step lets every pair of similarity ``least`` pass, so
+    nothing is capped.  Its tables go when the classes are known.
     """
-    members = first.select("rep", "size", F.explode("keys").alias("key"))
-    held = stored(with_pivots(members, None, 1), "buckets")
-    placed = first.select("rep", "doc_id", "mark").join(held.select("rep").distinct().hint("merge"), "rep")
+    kept: list[DataFrame] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        kept.append(stored(df, name))
+        return kept[-1]
+
+    def more(pairs: DataFrame) -> DataFrame:
+        links.append(held(aligned(held(pairs, "pairs"), texts, least), "links"))
+        if links[-1].isEmpty() and len(links) > 1:
+            return roots
+        return held(components(reduce(DataFrame.unionByName, links)), "roots")
+
+    def finished() -> DataFrame:
+        out = stored(roots, "roots")
+        for df in kept:
+            dropped(df)
+        return out
+
+    links: list[DataFrame] = []
+    members = held(opened(first.select("rep", "size", F.explode("keys").alias("key"), F.col("rep").alias("root"))), "buckets")
+    placed = first.select("rep", "doc_id", "mark").join(members.select("rep").distinct().hint("merge"), "rep")
     found = rows.select("doc_id", mark_of(), "text").join(placed.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["rep"])
-    texts = stored(found.select("rep", "text"), "texts")
-    pairs = pivot_pairs(held, least)
-    start = pairs.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("h"), "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-    start = stored(start, "pairs")
-    edges = stored(aligned(start, texts, least), "links")
-    roots = stored(components(edges), "roots")
-
-    def more(pairs: DataFrame, edges: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        new = stored(aligned(stored(unsettled(pairs, roots, done), "pairs"), texts, least), "links")
-        edges = edges.unionByName(new)
-        return edges, roots if new.isEmpty() else stored(components(edges), "roots")
-
-    edges, roots = more(pairs, edges, start)
-    rest = with_pivots(held.where(F.col("rep") != F.col("pivot")).select("key", "rep", "size"), roots, 1)
-    left = texts.join(rest.select("rep").distinct().hint("merge"), "rep")
-    left = stored(left, "texts")
+    texts = held(found.select("rep", "text"), "texts")
+    pairs = pivot_pairs(members, least)
+    roots = more(pairs.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("h"), "a")).alias("p")).select(F.col("p.a").alias("a"), "b"))
+    roots = more(unsettled(pairs, roots, kept[-3]))
+    rest = opened(rooted(members.where("rep <> pivot").select("key", "rep", "size"), roots))
+    left = held(texts.join(rest.select("rep").distinct().hint("merge"), "rep"), "texts")
     if left.isEmpty():
-        return roots
-    members = stored(prefixes(left, least), "prefixes")
-    for parts in PARTS:
-        held = stored(with_pivots(members, roots, parts), "buckets")
-        edges, roots = more(pivot_pairs(held, least), edges)
-        members = held.where((F.col("part") == F.col("pivot_part")) & (F.col("rep") != F.col("pivot"))).select("key", "rep", "size")
-    open_ = with_pivots(members, roots, 1).select("key", "rep", "size")
-    open_ = open_.join(roots.hint("merge"), open_["rep"] == roots["node"], "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
-    return more(blocked_pairs(stored(open_, "buckets"), least), edges)[1]
+        return finished()
+    members = held(opened(rooted(prefixes(left, least), roots)), "prefixes")
+    family = components(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    family = held(rooted(family.select(F.col("node").alias("rep"), F.col("root").alias("family")), roots), "families")
+    in_family = left.join(family.select("rep").hint("merge"), "rep", "left_semi")
+    roots = more(unsettled(family_pairs(family, in_family, least), roots))
+    return finished()
 
 
 def row_classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -137,10 +137,10 @@ def test_a_family_loses_no_link(spark, monkeypatch, unit, block):
     assert got == brute_classes(docs) and len(set(got.values())) > 1
 
 
-@pytest.mark.parametrize("parts", [(), (1,), (1, 8)])
-def test_documents_with_a_common_passage_lose_no_link(spark, monkeypatch, parts):
+@pytest.mark.parametrize("block", [8, 256])
+def test_documents_with_a_common_passage_lose_no_link(spark, monkeypatch, block):
     """Most share sketches of the passage but are not near; some pairs are."""
-    monkeypatch.setattr(nearcopies, "PARTS", parts), monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     passage, docs = words(60, 82), []
     for k in range(60):
         own = words(40, 3000 + k)
@@ -151,6 +151,29 @@ def test_documents_with_a_common_passage_lose_no_link(spark, monkeypatch, parts)
     assert got == brute_classes(docs) and len(set(got.values())) == 60
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_sharing_connects_what_all_pairs_connect(two):
+    r = np.random.default_rng(9)
+    sets = [np.unique(r.choice(60, r.integers(0, 50))).astype(np.uint32) for _ in range(40)]
+    ptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    root, block = r.integers(0, 30, 40), (np.arange(40) % 3 == 0) & two
+
+    def connected(pairs):
+        own = root.copy()
+        for i, j in pairs:
+            own[own == own[j]] = own[i]
+        return own[:, None] == own
+
+    got = nearcopies.sharing(np.concatenate(sets), ptr, root, block, 0.5)
+    want = set()
+    for i in range(40):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if root[i] != root[j] and (block[i] != block[j] or not two) and both >= 0.5 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((j, i))
+    assert {tuple(sorted(map(int, p))) for p in got} <= want and (connected(got) == connected(want)).all()
+
+
 def test_one_row_of_each_class_stays(spark):
     base, other = words(100, 83), words(100, 84)
     rows = [(1, " ".join(base), "b", 1), (1, " ".join(base), "a", 2), (1, " ".join(other), "c", 3), (2, " ".join(edited(base, 1, 1)), "d", 4), (0, " ".join(edited(other, 1, 2)), "e", 5)]
