@@ -15,15 +15,19 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the
+    folder given to ``setCheckpointDir``.
 
-    Only where that is unset (local tests) a folder of our own is used.
+    Without either a local session gets a folder of its own; on a cluster, where
+    such a folder would be another on each machine, it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jdir.get() if jdir.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="disclosa-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -33,10 +37,10 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage is
-    cut and a lost executor costs nothing that was already computed."""
-    spark, at = df.sparkSession, fresh_dir(df.sparkSession, name)
+def stored(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """``df`` written as Parquet (in the shared folder, if no other is given) and read
+    back: lineage is cut and a lost executor costs nothing that was already computed."""
+    spark, at = df.sparkSession, at or fresh_dir(df.sparkSession, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -50,6 +54,21 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rows_where(docs: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows of ``docs`` for which ``judge`` (from bytes and offsets of texts, null
+    as empty, to booleans) is true, judged in place; any column names."""
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            raw, off = utf8(b.column(at).fill_null("") if b.column(at).null_count else b.column(at))
+            good = [judge(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *good])))
+
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id, text), null text as empty; other columns never travel."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

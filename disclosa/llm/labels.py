@@ -13,35 +13,32 @@ def remainder(folds: int, id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, most_bytes: int | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y) of at most ``per_class`` documents of each class, and how
-    many labels each class has.
+    many labelled documents each class has.
 
-    ``learn`` is a condition on doc_id.  Rows without a label or id are left
-    out; of contradicting labels of an id the mean counts (1 from 0.5 on).  The
-    sample takes the lowest hashes, so it is the same in every run; texts of
-    over ``most_bytes`` (None: no bound) are not learned from (they are scored
-    like all others).
+    ``learn`` is a condition on doc_id.  Only ids with both a row in ``docs`` and a
+    label are drawn from; rows without a label or id are left out; of contradicting
+    labels of an id the mean counts (1 from 0.5 on), of several texts the least.
+    The sample takes the lowest hashes of the ids, so it is the same in every run
+    and texts of any length are in it.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null").where(learn)
     own = own.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    there = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    own = own.join(there.hint("merge"), "doc_id")
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # twice as many ids as wanted, for some documents may be gone or too long
-    picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for y in (0, 1)]
-    picked = picked[0].unionByName(picked[1])
-    rows = id_text(docs, id_col, text_col)
-    rows = rows if most_bytes is None else rows.where(F.octet_length("text") <= most_bytes)
-    return rows.join(F.broadcast(picked), "doc_id"), counts  # at most 4 * per_class ids
-
-
-def collected(features: DataFrame, per_class: int, class_bytes: int | None = None) -> pa.Table:
-    """The first ``per_class`` rows of each class (doc_id, y, ...) by hash, in that
-    order, until those before have ``class_bytes`` (column n_bytes): what the driver
-    holds for a fit, whatever the length of a text."""
+    picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * per_class ids
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), counts
+
+
+def collected(features: DataFrame, class_bytes: int) -> pa.Table:
+    """The rows (doc_id, y, n_bytes, ...) of a sample by hash, of each class until
+    those before have ``class_bytes`` together: what the driver holds for a fit.  A
+    text of any length counts whole, and the first one always."""
     by_hash = F.xxhash64("doc_id")
-    w = Window.partitionBy("y").orderBy(by_hash, "doc_id")
-    rows = features.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_class).withColumn("hash", by_hash).drop("rn")
-    if class_bytes is not None:
-        before = F.coalesce(F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.withColumn("before", before).where(F.col("before") < class_bytes).drop("before", "n_bytes")
+    w = Window.partitionBy("y").orderBy(by_hash, "doc_id")  # over the bounded sample
+    before = F.coalesce(F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = features.withColumn("hash", by_hash).withColumn("before", before).where(F.col("before") < class_bytes).drop("before", "n_bytes")
     return rows.toArrow().sort_by([("hash", "ascending"), ("doc_id", "ascending")]).combine_chunks()

@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, utf8
+from .common import blocks, id_text, stored, utf8
 
 RATE, FRAME, HOP = 8000, 256, 128
 BANDS, FAN, REACH = 4, 3, 31
 #: Frames transformed together; bounds memory for texts of any length.
 BLOCK = 2048
-_WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
+_WINDOW = np.hanning(FRAME + 1)[:-1]
 
 
 def pad(data: bytes, unit: int = 64) -> bytes:
@@ -41,12 +41,12 @@ def from_wav(media: bytes) -> bytes:
 
 def spectrum(payload: bytes):
     """Blocks of power spectra, FRAME // 2 bins (without the mean) for each hop."""
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
-    rest = (len(x) - FRAME) % HOP
-    if rest:
-        x = np.concatenate([x, np.zeros(HOP - rest, np.float32)])
+    x = np.frombuffer(payload, np.uint8).astype(np.float32)
+    x -= 128
+    x /= 128
+    missing = max(0, FRAME - len(x))
+    missing += -(len(x) + missing - FRAME) % HOP
+    x = np.concatenate([x, np.zeros(missing, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for i in range(0, len(frames), BLOCK):
         f = np.fft.rfft(frames[i : i + BLOCK] * _WINDOW, axis=1)[:, 1:]
@@ -88,36 +88,53 @@ def fingerprints(payload: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
     return at[order], code[order], len(t), n
 
 
-def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """Store every whole text as a WAV file, read it back and fingerprint it.
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: str | None = None) -> DataFrame:
+    """Store every whole text as a WAV file: doc_id, n_bytes, media (binary), written
+    as Parquet ``at`` (by default a new folder in spark.checkpoint.dir) and read back.
 
-    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, n_frames, n_peaks, n_pairs, pairs_sha256 and,
-    with ``keep_media``, media (binary), times and codes (array<int>: the
-    time-coded fingerprint).  A null or empty text is 64 zero bytes (silence
-    at full negative swing), without peaks; equal texts give equal values;
-    repeated rows repeat; a null doc_id stays null; other columns are left
-    out; an empty table gives no rows.  No shuffle.
+    A null or empty text is 64 zero bytes; equal texts give equal files; repeated
+    rows repeat; a null doc_id stays null; other columns are left out; an empty
+    table gives no rows.  No shuffle.
     """
-    wide = [("media", pa.binary()), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32()))] if keep_media else []
-    kinds = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("n_peaks", pa.int64()), ("n_pairs", pa.int64()), ("pairs_sha256", pa.string()), *wide]
 
-    def row(text: bytes) -> tuple:
-        media = to_wav(pad(text))
+    def run(batches):
+        for batch in batches:
+            raw, off = utf8(batch.column(1))
+            for i, j in blocks(off, 4 << 20):
+                wav = [to_wav(pad(raw[off[k] : off[k + 1]].tobytes())) for k in range(i, j)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1]), pa.int64()), pa.array(wav, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    media = id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return stored(media, "media", at)
+
+
+def features(media: DataFrame) -> DataFrame:
+    """What stored WAV files (doc_id, n_bytes, media) hold and sound like: doc_id,
+    n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media, n_frames,
+    n_peaks, n_pairs, pairs_sha256, and the time-coded fingerprint: times and codes
+    (array<int>).
+
+    The payload is read back from the file.  Silence (a null or empty text, at full
+    negative swing) has no peaks; a row without media has null in all but doc_id,
+    n_bytes and media; repeated rows repeat; an empty table gives no rows.  No shuffle.
+    """
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("n_frames", pa.int64()), ("n_peaks", pa.int64()), ("n_pairs", pa.int64()), ("pairs_sha256", pa.string()), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32()))]
+
+    def row(media: bytes | None) -> tuple:
+        if media is None:
+            return (None,) * len(kinds)
         back = from_wav(media)
         times, codes, n_peaks, n_frames = fingerprints(back)
         sha = hashlib.sha256(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
-        out = len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), n_frames, n_peaks, len(times), sha
-        return (*out, media, times, codes) if keep_media else out
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), n_frames, n_peaks, len(times), sha, times, codes
 
     def run(batches):
         for batch in batches:
-            raw, off = utf8(batch.column(1))
-            whole, n = raw.tobytes(), len(off) - 1
-            for i in range(0, n, 500):
-                rows = [row(whole[off[k] : off[k + 1]]) for k in range(i, min(n, i + 500))]
-                cols = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(rows)), *cols], ["doc_id", *(k for k, _ in kinds)])
-
-    names = {"int64": "long", "string": "string", "binary": "binary"}
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {names.get(str(t), 'array<int>')}" for k, t in kinds))
+            _, off = utf8(batch.column(2))
+            for i, j in blocks(off, 4 << 20):
+                part = batch.slice(i, j - i)
+                cols = zip(*[row(m.as_py()) for m in part.column(2)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, kinds))], ["doc_id", "n_bytes", "media", *(k for k, _ in kinds)])
+
+    names = {"int64": "long", "string": "string"}
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, " + ", ".join(f"{k} {names.get(str(t), 'array<int>')}" for k, t in kinds))

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Words, blocks, fold, id_text, mix, utf8
+from .common import SPACE, U64, Words, blocks, fold, id_text, mix, rows_where, utf8
 from .labels import collected, fit_sample, remainder
 
-#: Hashed n-grams; bounds of the fit: documents of each class, bytes of a text.
-DIM, PER_CLASS, FIT_BYTES = 1 << 17, 2000, 60_000
+#: Hashed n-grams; bounds of the fit: documents of each class, and their bytes together.
+DIM, PER_CLASS, FIT_BYTES = 1 << 17, 2000, 20_000_000
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
@@ -132,21 +132,23 @@ def calibrate(margin: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[f
     return max(float(a), 1e-3), float(c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, label: str = "quality", per_class: int = PER_CLASS, most_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, label: str = "quality", per_class: int = PER_CLASS, class_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``per_class`` labelled documents of each class whose
-    crc32(doc_id) mod ``folds`` is not ``held_out``; their hashed n-grams (at most
-    DIM for each) are collected.  With no documents of a class the share of
-    labels is the score of every text."""
-    sample, counts = fit_sample(docs, labels, label, remainder(folds) != held_out, per_class, most_bytes, id_col, text_col)
+    crc32(doc_id) mod ``folds`` is not ``held_out``, of any length, until they have
+    ``class_bytes`` together; their hashed n-grams (at most DIM for each) are
+    collected.  With no documents of a class the share of labels is the score of
+    every text.  Null labels and ids, contradicting labels, repeated rows and empty
+    tables: as ``labels.fit_sample`` says; a null or empty text has no n-grams."""
+    sample, counts = fit_sample(docs, labels, label, remainder(folds) != held_out, per_class, id_col, text_col)
 
     def extract(batches):
         for b in batches:
             raw, off = utf8(b.column(1))
             for i, j in blocks(off):
                 rows = indicators(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["doc_id", "y", "f"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["doc_id", "y", "n_bytes", "f"])
 
-    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f array<int>"), per_class)
+    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, n_bytes long, f array<int>"), class_bytes)
     y, rows = np.asarray(got["y"]), [np.asarray(x.values) for x in got["f"]]
     if not ((y == 0).any() and (y == 1).any()):
         known = sum(counts.values())
@@ -168,7 +170,8 @@ def score(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, id_c
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on) of every whole text.
 
     A null or empty text has no n-grams and gets the curve's value at the
-    intercept; repeated rows repeat; a null doc_id counts as '' for held_out.
+    intercept; repeated rows repeat; a null doc_id counts as '' for held_out; other
+    columns are left out; an empty table gives no rows.  No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 * DIM numbers
 
@@ -187,15 +190,13 @@ def score(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, id_c
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text the classifier rejects; all columns stay.
 
-    Rows are judged in place (no join), so repeated rows and null ids are safe.
+    Rows are judged in place (no join): repeated rows and rows without an id are
+    judged each, a null or empty text by the curve's value at the intercept, an empty
+    table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            raw, off = utf8(b.column(at).fill_null("") if b.column(at).null_count else b.column(at))
-            good = [sent.value.score(f) >= 0.5 for i, j in blocks(off) for f in indicators(raw[off[i] : off[j]], off[i : j + 1] - off[i])]
-            yield b.filter(pa.array(good, pa.bool_()))
+    def good(raw, offsets):
+        return np.array([sent.value.score(f) >= 0.5 for f in indicators(raw, offsets)], bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, text_col, good)

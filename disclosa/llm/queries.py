@@ -22,14 +22,16 @@ def op2_nearcopies(spark, sf_dir):
 
 
 def op3_media(spark, sf_dir):
-    found = media.media_table(table(spark, sf_dir, "documents"), keep_media=False)
+    found = media.features(media.media_table(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", "n_frames", "n_peaks", "n_pairs", "pairs_sha256").alias("feature")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.sha2("media", 256).alias("media_sha256"), feature, "times", "codes")
 
 
 def op4_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.score(docs, toxicity.fit(docs, labels), located=False)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    spans = F.array_join(F.transform("offending", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), spans.alias("offending_spans"))
 
 
 def op5_bpe(spark, sf_dir):

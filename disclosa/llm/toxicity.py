@@ -15,7 +15,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, utf8
+from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, rows_where, utf8
 from .labels import collected, fit_sample, remainder
 
 #: Hashed features; bounds of the fit: documents of each class, and their bytes together.
@@ -97,8 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     crc32(doc_id) mod ``folds`` is not ``held_out``, of any length, until they have
     ``class_bytes`` together; features of fewer than
     ``least`` of them, or whose shares in the classes differ by under ``apart``
-    standard errors, are left out.  Without toxic documents nothing is toxic."""
-    sample, counts = fit_sample(docs, labels, label, remainder(folds) != held_out, per_class, None, id_col, text_col)
+    standard errors, are left out.  Without toxic documents nothing is toxic.
+    Null labels and ids, contradicting labels, repeated rows and empty tables: as
+    ``labels.fit_sample`` says; a null or empty text has no sentences."""
+    sample, counts = fit_sample(docs, labels, label, remainder(folds) != held_out, per_class, id_col, text_col)
 
     def extract(batches):
         for b in batches:
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
 
     wide = 1 + len(HEADS)
     schema = "doc_id long, y int, n_bytes long, s array<int>, " + ", ".join(f"f{k} array<int>" for k in range(wide))
-    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, schema), per_class, class_bytes)
+    got = collected(sample.select("doc_id", "text", "y").mapInArrow(extract, schema), class_bytes)
     y = np.asarray(got["y"])
     if not (y == 1).any():
         return Model(np.zeros(DIM, np.float32), -30.0)
@@ -173,17 +175,14 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_c
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic; all columns stay."""
+    """``docs`` without the rows whose text is predicted toxic; all columns stay.
+
+    Rows are judged in place (no join): repeated rows and rows without an id are
+    judged each, null and empty texts are not toxic, an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            raw, off = utf8(b.column(at).fill_null("") if b.column(at).null_count else b.column(at))
-            good = [np.zeros(0, bool)]
-            for i, j in blocks(off):
-                s = sentences(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                good.append(noisy_or(sent.value.logits(s), s.ptr) < 0.5)
-            yield b.filter(pa.array(np.concatenate(good)))
+    def civil(raw, offsets):
+        s = sentences(raw, offsets)
+        return noisy_or(sent.value.logits(s), s.ptr) < 0.5
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, text_col, civil)

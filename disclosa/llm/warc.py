@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import uuid
 
 import pyarrow as pa
@@ -17,18 +18,23 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
+from .common import dropped, fresh_dir, stored
 
-#: Bins of ids counted on the driver; they bound the table that is broadcast.
-BINS = 4096
+#: Keys drawn by hash to cut the range of keys into shards, and shards at most: they
+#: bound what the driver holds and the plan carries.
+SAMPLE, MOST_SHARDS = 65_536, 16_384
 #: Copies of a digest's winner, over which a hot payload's rows are dealt.
 SALTS = 32
 #: The capture's date is an input, not the clock: the same rows give the same files.
 DATE = "2024-01-01T00:00:00Z"
+_LEAST = -(1 << 63)
 
 
 def _fs(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """File system and path of a URI; Hadoop writes file:/x for file:///x."""
+    if "://" not in uri:
+        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(uri)
 
 
 def base32(sha1: bytes) -> str:
@@ -45,42 +51,68 @@ def record_id(page: int | None, digest: str) -> str:
 
 
 def _clean(url: str | None) -> str:
+    """A URL that may stand in a header; one that had to change goes into X-Page-URL."""
     return (url or "urn:x-page:none").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def sharding(pages: DataFrame, shard_bytes: int):
-    """A function that adds to rows with page_id the number of their shard,
-    ascending with page_id.
+def _cuts(keys: DataFrame, shard_bytes: int) -> list[tuple[int, int, int, int]]:
+    """Ascending (page, digest, shard, parts): from that key on rows go to ``shard``;
+    a key of more bytes than a shard has a range of ``parts`` shards to itself.
 
-    Ids are counted in at most BINS equal bins; neighbours are joined up to
-    ``shard_bytes``, a heavier bin is cut into equal parts.  A pure function of
-    the rows, so the same rows always fall into the same shards.
+    Quantiles of the bytes of keys (page, digest, bytes), estimated from SAMPLE keys
+    of least hash and all keys of a quarter of a shard or more (of which there are
+    at most four a shard).  A pure function of the rows.
     """
-    ends = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = (hi - lo) // BINS + 1
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(0))
-    weight = pages.groupBy(bin_of.alias("bin")).agg(F.sum(F.octet_length("html") + 500).alias("bytes")).collect()  # at most BINS + 1 rows
-    table, shard, filled = [], 0, 0
-    for b, size in sorted((r["bin"], r["bytes"]) for r in weight):
-        parts = max(1, min(width, -(-size // shard_bytes)))
-        if filled and (filled + size > shard_bytes):
+    by_key = keys.groupBy("page", "d").agg(F.sum("bytes").alias("bytes"))
+    about = by_key.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    size = max(shard_bytes, -(-(about["bytes"] or 0) // MOST_SHARDS))
+    heavy = F.col("bytes") >= size // 4
+    large = by_key.where(heavy).collect()  # at most 4 * MOST_SHARDS
+    light = by_key.where(~heavy).orderBy(F.xxhash64("page", "d"), "page", "d").limit(SAMPLE).collect()
+    rest = (about["bytes"] or 0) - sum(r["bytes"] for r in large)
+    scale = rest / max(1, sum(r["bytes"] for r in light))
+    out, shard, filled = [(_LEAST, _LEAST, 0, 1)], 0, 0
+    for page, d, n in sorted([(r["page"], r["d"], r["bytes"]) for r in large] + [(r["page"], r["d"], r["bytes"] * scale) for r in light]):
+        if filled and filled + n > size:
             shard, filled = shard + 1, 0
-        step = -(-width // parts)
-        table.append((b, shard, step))
-        filled += size
-        if parts > 1:
-            shard, filled = shard + -(-width // step), 0
-    spark = pages.sparkSession
-    bins = spark.createDataFrame(table or [(0, 0, 1)], "bin int, base int, step long")
-    first = F.lit(lo) + F.col("bin").cast("long") * F.lit(width)
-    shard_of = (F.col("base") + F.coalesce(F.floor((F.col("page_id") - first) / F.col("step")), F.lit(0))).cast("int")
-    return lambda rows: rows.withColumn("bin", bin_of).join(F.broadcast(bins), "bin").withColumn("shard", shard_of).drop("bin", "base", "step")
+            out.append((page, d, shard, 1))
+        filled += n
+        if n > size:
+            parts = int(-(-n // size))
+            out[-1] = (page, d, shard, parts) if out[-1][:2] == (page, d) else out[-1]
+            if out[-1][:2] != (page, d):
+                out.append((page, d, shard, parts))
+            shard, filled = shard + parts, 0
+            out.append((page, d + 1, shard, 1))
+    return out
+
+
+def _shards(cuts: list[tuple[int, int, int, int]]):
+    """Column (shard, parts) of the last cut up to the key (page, d): binary search in
+    an array that is a constant of the plan."""
+    kind = "array<struct<page: long, d: long, shard: int, parts: int>>"
+    table = F.from_json(F.lit(json.dumps([dict(zip(("page", "d", "shard", "parts"), c)) for c in cuts])), kind)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    at = lambda i: F.get(table, i)
+
+    def step(low, n):
+        cut = at(low + n)
+        reached = (cut["page"] < F.col("page")) | ((cut["page"] == F.col("page")) & (cut["d"] <= F.col("d")))
+        return F.when(F.coalesce(reached, F.lit(False)), low + n).otherwise(low)
+
+    return at(F.aggregate(steps, F.lit(0), step))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with the key by which they are sorted into shards: page (null least) and
+    the first 63 bits of the digest."""
+    d = F.conv(F.substring(F.hex("digest"), 1, 16), 16, 10).cast("decimal(20,0)")
+    return rows.withColumns({"page": F.coalesce("page_id", F.lit(_LEAST)), "d": F.floor(d / 2).cast("long")})
 
 
-def revisits(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, digest, winner) of rows that revisit an equal payload."""
-    rows = pages.where(F.octet_length("html") >= least).select("page_id", F.unhex(F.sha1("html")).alias("digest"))
+def revisits(keys: DataFrame) -> DataFrame:
+    """(page_id, digest, winner) of rows (page_id, digest) that revisit an equal payload."""
+    rows = keys.select("page_id", "digest")
     won = rows.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null")
     won = won.select("digest", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
@@ -95,18 +127,29 @@ def write_archives(pages: DataFrame, out: str | None = None, least: int = 0, rol
     page_id is a response, rows with a smaller or null id revisit it; if all ids
     are null all are responses; repeated rows of the winning id are all
     responses.  A null html is an empty payload.  Records are ordered by
-    page_id (null first), digest and url; no file starts a new record beyond
-    ``roll_bytes`` compressed.  An empty table gives a manifest without files.
-    html is shuffled once.
+    page_id (null first), digest and url over the shards and in them; a shard is a
+    range of (page_id, digest) of about ``shard_bytes``, and a pair that has more
+    (repeated rows) is dealt over several.  No file starts a new record beyond
+    ``roll_bytes`` compressed.  A URL reads back as it was: null, empty ones and
+    those with line ends go into a header of their own.  An empty table gives a
+    manifest without files.  html is shuffled once.
     """
     spark = pages.sparkSession
     out = out or fresh_dir(spark, "warc")
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("html"))
-    sharded = sharding(pages, shard_bytes)
-    base = sharded(pages).select("shard", "page_id", F.unhex(F.sha1("html")).alias("digest"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("winner"))
-    refs = sharded(revisits(pages, least)).select("shard", "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "winner")  # go before their page
-    rows = base.unionByName(refs).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("html"))
+    digest = F.unhex(F.sha1("html")).alias("digest")
+    keys = stored(_keyed(pages.select("page_id", digest, F.octet_length("html").cast("long").alias("n"))).withColumn("bytes", F.col("n") + 500), "warc-keys")
+    cuts = _cuts(keys, shard_bytes)
+    cut = _shards(cuts).alias("cut")
+    # copies of one key are alike, so the order they are read in may deal them
+    base = _keyed(pages.select("page_id", digest, "url", "html")).select(cut, "page_id", "digest", "url", "html", F.monotonically_increasing_id().alias("nth"))
+    base = base.select((F.col("cut.shard") + F.pmod("nth", "cut.parts")).cast("int").alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("winner"))
+    refs = _keyed(revisits(keys.where(F.col("n") >= least))).select(cut, "page_id", "digest", "winner")
+    refs = refs.select(F.explode(F.sequence(F.col("cut.shard"), F.col("cut.shard") + F.col("cut.parts") - 1)).alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "winner")  # go before their page
+    n = cuts[-1][2] + cuts[-1][3]
+    rows = base.unionByName(refs).repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     rows.mapInArrow(_writer(out, roll_bytes, date), "shard int, file string, records long, bytes long, sha256 string").write.parquet(f"{out}/manifest")
+    dropped(keys)
     return out
 
 
@@ -160,6 +203,8 @@ def _writer(out: str, roll_bytes: int, date: str):
                 b32 = base32(digest)
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
                 head = [("WARC-Record-ID", record_id(page, b32)), ("WARC-Date", date), ("WARC-Target-URI", _clean(url)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{b32}")]
+                if _clean(url) != url:
+                    head.append(("X-Page-URL", json.dumps(url)))
                 if revisit := ref is not None and ref[:2] == (page, digest):
                     head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(ref[2], b32))]
                 block = http if revisit else http + html
@@ -219,7 +264,8 @@ def read_archives(spark, out: str, keep_html: bool = True) -> DataFrame:
                         revisit = head["WARC-Type"] == "revisit"
                         if not revisit and (n != len(payload) or base32(hashlib.sha1(payload).digest()) != digest):
                             raise ValueError(f"{name}: payload digest of {head['WARC-Record-ID']}")
-                        row = page(head["WARC-Record-ID"]), head["WARC-Target-URI"], n, digest, head["WARC-Type"], page(head["WARC-Refers-To"]) if revisit else None
+                        url = json.loads(head["X-Page-URL"]) if "X-Page-URL" in head else head["WARC-Target-URI"]
+                        row = page(head["WARC-Record-ID"]), url, n, digest, head["WARC-Type"], page(head["WARC-Refers-To"]) if revisit else None
                         rows.append((*row, None if revisit else payload.decode()) if keep_html else row)
                         size += len(payload) * keep_html + 200
                         if size > 4 << 20:

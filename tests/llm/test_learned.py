@@ -83,6 +83,114 @@ def test_offending_sentences_are_located(spark):
             assert r.predicted == 0
 
 
+def sample_of(r, docs=12):
+    """Features, the sentence of each, the sentences of each document, and labels."""
+    per = [r.randint(1, 4) for _ in range(docs)]
+    ptr = np.concatenate([[0], np.cumsum(per)])
+    of = sorted(r.choices(range(int(ptr[-1])), k=80))
+    f = np.array([r.choice([3, 5, 9, 11]) for _ in of])
+    return f, np.array(of), ptr, np.array([k % 2 for k in range(docs)])
+
+
+def test_noisy_or_equals_the_product():
+    r = random.Random(6)
+    z, ptr = np.array([r.uniform(-8, 8) for _ in range(30)]), np.array([0, 0, 4, 5, 30])
+    want = [1 - np.prod([1 - 1 / (1 + np.exp(-x)) for x in z[a:b]]) for a, b in zip(ptr, ptr[1:])]
+    assert np.allclose(toxicity.noisy_or(z, ptr), want) and toxicity.noisy_or(z, ptr)[0] == 0
+
+
+def test_toxicity_training_follows_the_plain_gradient():
+    """A step of Adam goes against the sign of the numeric gradient of the
+    weighted likelihood of the noisy-or, and many steps lower that loss."""
+    f, of, ptr, y = sample_of(random.Random(7))
+    weights, base, ridge = np.linspace(0.5, 1.5, len(y)), -1.0, 2e-5
+
+    def loss(w, b):
+        total = 0.0
+        for d in range(len(y)):
+            clean = 1.0
+            for s in range(ptr[d], ptr[d + 1]):
+                clean *= 1 - 1 / (1 + np.exp(-(sum(w[x] for x, k in zip(f, of) if k == s) + b)))
+            total -= weights[d] / weights.sum() * np.log(1 - clean if y[d] else clean)
+        return total + ridge / 2 * sum(x * x for x in w.values())
+
+    zero = dict.fromkeys((3, 5, 9, 11), 0.0)
+    one = toxicity.train(f, of, ptr, y, weights, base, epochs=1, rate=0.01, ridge=ridge)
+    for x in zero:
+        slope = (loss(zero | {x: 1e-6}, base) - loss(zero | {x: -1e-6}, base)) / 2e-6
+        assert np.isclose(one.weight[x], -0.01 * np.sign(slope), rtol=1e-3)
+    assert np.isclose(one.bias - base, -0.01 * np.sign(loss(zero, base + 1e-6) - loss(zero, base - 1e-6)), rtol=1e-3)
+    many = toxicity.train(f, of, ptr, y, weights, base, epochs=60, ridge=ridge)
+    assert loss({x: float(many.weight[x]) for x in zero}, many.bias) < loss(zero, base)
+    assert not np.delete(many.weight, list(zero)).any()
+
+
+def test_toxicity_scores_equal_a_plain_reading(spark):
+    docs, labels = toy(spark)
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, model).where("doc_id < 40").collect():
+        assert (r.predicted == 1) == (r.score >= 0.5) and 0 <= r.score <= 1
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 40").collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).where("doc_id < 40").collect()}
+    for d, text in texts.items():
+        clean = 1.0
+        for sentence in filter(str.strip, text.split(".")):
+            raw = np.frombuffer(sentence.encode(), np.uint8)
+            s = toxicity.sentences(raw, np.array([0, len(raw)]))
+            z = sum(float(model.weight[x]) for word in s.features for x in word) + model.bias
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        assert np.isclose(got[d], 1 - clean, atol=1e-5)
+
+
+def plain_ratios(rows, y):
+    counts = {}
+    for row, k in zip(rows, y):
+        for x in row:
+            counts.setdefault(int(x), [1, 1])[k] += 1
+    total = [quality.DIM + sum(len(row) for row, c in zip(rows, y) if c == k) for k in (0, 1)]
+    return {x: np.log(n[1] / total[1]) - np.log(n[0] / total[0]) if sum(n) - 2 > 2 else 0.0 for x, n in counts.items()}
+
+
+def test_quality_training_equals_plain_ratios_and_solves_the_dual():
+    r = random.Random(8)
+    y = np.array([k % 2 for k in range(60)])
+    rows = [np.array(sorted({r.randint(0, 40) + 15 * k * (r.random() < 0.7) for _ in range(12)})) for k in y]
+    weights = np.where(y == 1, 1.3, 0.8)
+    model = quality.train(rows, y, weights, epochs=400)
+    ratio = plain_ratios(rows, y)
+    assert np.allclose(model.ratio[list(ratio)], list(ratio.values())) and np.count_nonzero(model.ratio) == sum(v != 0 for v in ratio.values())
+    # the hinge objective is at its least: no small change of a weight lowers it
+    used = [x for x in ratio if ratio[x]]
+    x = np.array([[ratio[f] * (f in set(row.tolist())) for f in used] for row in rows])
+    x = np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), np.ones((len(rows), 1))])
+    sign = np.where(y == 1, 1, -1)
+    objective = lambda w: w @ w / 2 + (weights * np.maximum(0, 1 - sign * (x @ w))).sum()
+    own = np.array([model.weight[f] / ratio[f] for f in used] + [model.bias])
+    rng = np.random.default_rng(1)
+    assert all(objective(own) <= objective(own + step) + 1e-6 for step in rng.standard_normal((500, len(own))) * 0.01)
+    # and equals the dual's: the gap between them closes
+    assert np.allclose([model.margin(row) for row in rows], x @ own)
+
+
+def test_ties_and_repeated_labels(spark):
+    docs, labels = toy(spark)
+    twice = labels.unionByName(labels)
+    for op in (quality, toxicity):
+        a, b = (op.score(docs, op.fit(docs, x)).orderBy("doc_id", "score").toPandas() for x in (labels, twice))
+        assert (a.score == b.score).all()
+    # of several texts of one id the least teaches, whatever the order
+    more = docs.unionByName(docs.limit(3).selectExpr("doc_id", "concat(text, ' zz') as text", "score"))
+    a, b = (quality.fit(x, labels) for x in (more, more.orderBy(F.desc("text"))))
+    assert (a.weight == b.weight).all()
+
+
+def test_labels_of_missing_documents_do_not_crowd_out(spark):
+    docs, labels = toy(spark)
+    gone = spark.createDataFrame([(k, k % 2, k % 2) for k in range(10_000, 14_000)], labels.schema)
+    a, b = (quality.fit(docs, x, per_class=50) for x in (labels, labels.unionByName(gone)))
+    assert (a.weight == b.weight).all()
+
+
 def test_degenerate_labels(spark):
     docs, labels = toy(spark)
     for none in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):
@@ -161,6 +269,25 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert again < 0.02 * before
 
 
+def test_one_id_with_different_texts_keeps_both(spark):
+    rows = [(1, "one two three four five six seven"), (1, "a quite different text of seven words"), (1, "one two three four five six seven")]
+    docs = spark.createDataFrame([(*r, "en", "s", k, k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int")
+    got = sorted(tuple(r) for r in corpus_pipeline.near_copies_stage(spark, docs, SMALL).collect())
+    assert got == sorted([(1, rows[0][1], "en", "s", 0, 0), (1, rows[1][1], "en", "s", 1, 1)])
+
+
+@pytest.mark.parametrize("stage", [s[0] for s in corpus_pipeline.STAGES])
+def test_stages_bear_clashing_names_and_long_texts(spark, stage):
+    rows = [(1, "a b c d e f " * 40_000, "en", 1, 7, True, 3.5), (2, "quite another text", None, 2, 8, False, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, n_chars long, kept int, text_is_null boolean, `carried` double")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, SMALL)
+    rows = out.collect()
+    if stage != "packing":
+        assert out.columns == docs.columns and {tuple(r) for r in rows} <= {tuple(r) for r in docs.collect()}
+    else:
+        assert {r.doc_id for r in rows} == {1, 2}
+
+
 @pytest.mark.parametrize("stage", [s[0] for s in corpus_pipeline.STAGES])
 def test_stages_bear_odd_rows(spark, stage):
     rows = [(1, "a b c d e f", "en", None, 11, 7), (1, "a b c d e f", "en", "s", 11, 7), (None, "x y", None, "s", None, 7), (2, None, "en", "s", None, 7), (3, "", "en", "s", 0, 7)]
