@@ -238,15 +238,43 @@ def test_few_and_no_vectors(spark):
 
 
 def test_blocks_of_a_leaf_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    for name in ("CELL", "QUERIES", "LEAF"):
+        monkeypatch.setattr(neighbours, name, 8)
     x = vectors(300, 8)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     want = brute([(i, v.tolist()) for i, v in enumerate(x)], 5, 20)
-    got = neighbours.nearest(df, k=5, target=1.0)
+    got = neighbours.nearest(df, k=5, target=1.0, leaf=8)
     hit = sum((r.vec_id in {i for _, i in want[r.query_id]}) for r in got.collect())
     assert hit >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("fitted", [1, 10])
+def test_deep_trees_and_too_few_leaves(spark, monkeypatch, fitted):
+    """Levels below the fitted ones; queries whose leaves hold fewer than k rows get them all the same."""
+    monkeypatch.setattr(neighbours, "DEPTH", fitted), monkeypatch.setattr(neighbours, "CELL", 16)
+    monkeypatch.setattr(neighbours, "_visits", lambda *_: 1)
+    x = vectors(400, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    forest = neighbours.fit(x.astype(float), 400, 2.1, 2, 4, 1)
+    assert (forest.depth, forest.fitted) == (7, min(7, fitted)) and np.bincount(forest.leaves(x.astype(float))[:, 0]).max() < (400 if fitted == 1 else 40)
+    assert len(set(forest.search(forest.project(x[:1].astype(float), query=True)[0]))) == 2 * 128
+    got = {}
+    for r in neighbours.nearest(df, k=30, leaf=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute([(i, v.tolist()) for i, v in enumerate(x)], 30, 20)
+    assert {q: sorted(r) for q, r in got.items()} == {q: [(k + 1, i) for k, (_, i) in enumerate(w)] for q, w in want.items()}
+
+
+def test_many_equal_vectors(spark):
+    x = vectors(200, 8)
+    rows = [(i, x[0].tolist()) for i in range(0, 4000, 10)] + [(i * 10 + 1, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = brute(rows, 20, 20), {}
+    for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for _, i in w] for q, w in want.items()}
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SMALL}/documents.parquet"), {}
     columns = docs.columns
