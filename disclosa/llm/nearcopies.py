@@ -30,8 +30,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 TABLES, LEAST = 28, 5
 #: Documents aligned with one text in one go, and documents of a family's block.
 UNIT, BLOCK = 64, 256
-#: Parts over which the rows of a hot key are dealt in joins.
-SALTS = 8
 #: Counters of shingles that order them from rare to frequent (a fixed size; any order is right).
 COUNTERS = 1 << 20
 #: Documents of so many shingles have keys besides that miss no pair (see ``few``); shorter
@@ -154,17 +152,9 @@ def mark_of(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark")
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join on ``key``, the rows of a hot key of ``left`` dealt by column ``by`` over
-    ``salts`` tasks; ``right`` has few rows a key."""
-    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return dealt.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
-
-
 def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with the ``root`` of their class so far, themselves if they have none."""
-    met = members.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("known")).hint("merge"), "rep", "left")
+    met = members.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("known")), "rep", "left")
     return met.withColumn("root", F.coalesce("known", "rep")).drop("known")
 
 
@@ -174,15 +164,14 @@ def opened(members: DataFrame) -> DataFrame:
     is the least by hash, so it is the same in many buckets."""
     own = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     own = own.where("lo <> hi").select("key", F.col("p.rep").alias("pivot"), F.col("p.size").alias("pivot_size"))
-    return salted(members.select("key", "rep", "size"), own, "key", "rep")
+    return members.select("key", "rep", "size").join(own, "key")
 
 
-def unsettled(pairs: DataFrame, roots: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) that are not in one class so far and not among ``done``."""
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
+def unsettled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one class so far."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     met = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
-    left = met.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    return left if done is None else left.join(done.hint("merge"), ["a", "b"], "left_anti")
+    return met.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def pivot_pairs(held: DataFrame, least: float) -> DataFrame:
@@ -196,9 +185,9 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     more.  A text a goes once to every UNIT of its partners, a text b once to each
     of its pairs; a task holds one text and a batch."""
     n = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("units"))
-    firsts = n.join(texts.hint("merge"), n["a"] == texts["rep"]).select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("kind"), "rep", "text")
-    dealt = salted(pairs, n, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), "units").cast("int").alias("unit"))
-    others = dealt.join(texts.hint("merge"), dealt["b"] == texts["rep"]).select("a", "unit", F.lit(1).alias("kind"), "rep", "text")
+    firsts = n.join(texts, n["a"] == texts["rep"]).select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("kind"), "rep", "text")
+    dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), "units").cast("int").alias("unit"))
+    others = dealt.join(texts, dealt["b"] == texts["rep"]).select("a", "unit", F.lit(1).alias("kind"), "rep", "text")
     rows = firsts.unionByName(others).repartition("a", "unit").sortWithinPartitions("a", "unit", "kind")
 
     def run(batches):
@@ -336,7 +325,7 @@ def family_pairs(families: DataFrame, texts: DataFrame, least: float) -> DataFra
 
     labels = texts.select("rep", "text").mapInArrow(label, "rep long, labels binary")
     n = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("g"))
-    rows = salted(families, n, "family", "rep").join(labels.hint("merge"), "rep")
+    rows = families.join(n, "family").join(labels, "rep")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
 
@@ -416,21 +405,22 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float, labels: tuple[np.ndar
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), root being the least of its
-    component, by alternating large and small stars.  Tables of finished rounds go."""
+    component, by alternating large and small stars until there are only stars.
+    Tables of finished rounds go.  Groups are aggregated before they are shuffled;
+    the join on a hot node is one that the adaptive planner can split."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
     while True:
+        firsts = e.groupBy("u").agg(F.count("*").alias("n"))
+        inner = e.select(F.col("v").alias("u")).distinct().join(firsts, "u", "left_semi")
+        if firsts.where("n > 1").unionByName(inner.withColumn("n", F.lit(0).cast("long"))).isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = salted(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, e = e, stored(small, "stars")
         dropped(last)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
 
 
 def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -439,8 +429,7 @@ def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 
     Every pair that shares a sketch is decided: aligned, ruled out by the number of
     shingles it shares, or of one class by other links.  First each document is
-    aligned with the least pivot of its buckets, then with those others that are not
-    yet in its class.  Buckets whose members are still of several classes are taken
+    aligned with the pivots of its buckets, which are few.  Buckets whose members are still of several classes are taken
     apart by the prefix filter; families are the components of what shares one of
     its buckets, and their pairs of different classes are aligned if they share
     enough shingles.  Each step lets every pair of similarity ``least`` pass, so
@@ -466,20 +455,18 @@ def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 
     links: list[DataFrame] = []
     members = held(opened(first.select("rep", "size", F.explode("keys").alias("key"), F.col("rep").alias("root"))), "buckets")
-    placed = first.select("rep", "doc_id", "mark").join(members.select("rep").distinct().hint("merge"), "rep")
-    found = rows.select("doc_id", mark_of(), "text").join(placed.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["rep"])
+    placed = first.select("rep", "doc_id", "mark").join(members.select("rep").distinct(), "rep")
+    found = rows.select("doc_id", mark_of(), "text").join(placed, ["doc_id", "mark"]).dropDuplicates(["rep"])
     texts = held(found.select("rep", "text"), "texts")
-    pairs = pivot_pairs(members, least)
-    roots = more(pairs.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("h"), "a")).alias("p")).select(F.col("p.a").alias("a"), "b"))
-    roots = more(unsettled(pairs, roots, kept[-3]))
+    roots = more(pivot_pairs(members, least).distinct())
     rest = opened(rooted(members.where("rep <> pivot").select("key", "rep", "size"), roots))
-    left = held(texts.join(rest.select("rep").distinct().hint("merge"), "rep"), "texts")
+    left = held(texts.join(rest.select("rep").distinct(), "rep"), "texts")
     if left.isEmpty():
         return finished()
     members = held(opened(rooted(prefixes(left, least), roots)), "prefixes")
     family = components(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     family = held(rooted(family.select(F.col("node").alias("rep"), F.col("root").alias("family")), roots), "families")
-    in_family = left.join(family.select("rep").hint("merge"), "rep", "left_semi")
+    in_family = left.join(family.select("rep"), "rep", "left_semi")
     roots = more(unsettled(family_pairs(family, in_family, least), roots))
     return finished()
 
@@ -489,19 +476,16 @@ def row_classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     class_mark: the row of least (doc_id, mark) stands for its class."""
     rows = id_text(docs, id_col, text_col).where("doc_id is not null")
     every = stored(sketches(rows), "sketches")
-    groups = every.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("n"))
+    groups = every.groupBy("digest").agg(F.min(F.struct("doc_id", "mark", "size", "keys")).alias("least"), F.count("*").alias("n"))
     # 64 bits of the digest name a representative
-    named = groups.select("digest", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("rep"), "least", "n")
-    named = stored(named, "groups")
-    chosen = named.select("digest", "rep", F.col("least.doc_id").alias("doc_id"), F.col("least.mark").alias("mark"))
-    first = every.join(chosen.hint("merge"), ["digest", "doc_id", "mark"]).where("keys is not null").dropDuplicates(["rep"])
-    first = stored(first.select("rep", "doc_id", "mark", "size", "keys"), "representatives")
-    roots = linked(first, rows, least)
-    known = named.join(roots.hint("merge"), named["rep"] == roots["node"], "left").select("digest", "least", "n", "root")
-    heads = known.where("root is not null").groupBy("root").agg(F.min("least").alias("head"))
-    known = salted(known.where("root is not null or n > 1"), heads, "root", "digest", "left")
-    known = known.select("digest", F.col("least.doc_id").alias("copy_of"), F.coalesce("head", "least").alias("head"))
-    met = salted(every.select("doc_id", "mark", "digest"), known, "digest", "mark", "left")
+    rep = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("rep")
+    named = stored(groups.select("digest", rep, "n", "least.*"), "representatives")
+    roots = linked(named.where("keys is not null").select("rep", "doc_id", "mark", "size", "keys"), rows, least)
+    head = F.struct("doc_id", "mark").alias("head")
+    known = named.select("digest", "rep", "n", head).join(roots.withColumnRenamed("node", "rep"), "rep", "left").where("root is not null or n > 1")
+    heads = known.where("root is not null").groupBy("root").agg(F.min("head").alias("first"))
+    known = known.join(heads, "root", "left").select("digest", F.col("head.doc_id").alias("copy_of"), F.coalesce("first", "head").alias("head"))
+    met = every.select("doc_id", "mark", "digest").join(known, "digest", "left")
     return met.select("doc_id", "mark", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("head.mark", "mark").alias("class_mark"))
 
 
@@ -536,7 +520,7 @@ def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     n = ids.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"), F.min("class_mark").alias("class_mark"))
     alone = (F.col("class_id") == F.col("doc_id")) & (F.col("class_mark") == F.col("mark"))
     odd = stored(n.where(~alone | (F.col("n") > 1)).select(F.col("doc_id").alias(spare[0]), F.col("mark").alias(spare[1]), alone.alias("stays_of_near_copies")), "fates")
-    met = docs.join(odd.hint("merge"), (F.col("doc_id") == odd[spare[0]]) & (mark_of() == odd[spare[1]]), "left")
+    met = docs.join(odd, (F.col("doc_id") == odd[spare[0]]) & (mark_of() == odd[spare[1]]), "left")
     plain = met.where(F.col(spare[0]).isNull()).select(*[docs[c] for c in _quoted(docs)])
     order = [F.col(c) for c, f in zip(_quoted(docs), docs.schema) if "map<" not in f.dataType.simpleString()]
     many = met.where("stays_of_near_copies")
