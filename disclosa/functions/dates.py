@@ -156,12 +156,16 @@ def promoted_url(url: Column, now: Column) -> Column:
     return F.when(fits, F.replace(url, at["token"], month_token(at["token"], F.year(new), F.month(new))))
 
 
-def report_window(today: dt.date) -> tuple[dt.datetime, dt.datetime]:
+def end_of_month(ts: Column) -> Column:
+    return F.last_day(ts.cast("date"))
+
+
+def report_window(today: Column) -> tuple[Column, Column]:
     """From the 15th of last month to the end of the 15th of this month."""
-    first = today.replace(day=1)
-    start = (first - dt.timedelta(days=1)).replace(day=15)
-    return dt.datetime.combine(start, dt.time()), dt.datetime.combine(today.replace(day=16), dt.time())
+    first = F.trunc(today.cast("date"), "month")
+    return F.date_add(F.add_months(first, -1), 14), F.date_add(first, 15)
 
 
-def scheduled_window(now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
-    return now - dt.timedelta(days=30), now + dt.timedelta(days=1)
+def scheduled_window(now: Column) -> tuple[Column, Column]:
+    """The thirty days before and the day after."""
+    return now - F.expr("INTERVAL 30 DAYS"), now + F.expr("INTERVAL 1 DAY")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +63,7 @@ def fetch_status(url: Column, failed: Column) -> Column:
     return F.when(F.coalesce(F.trim(url), F.lit("")) == "", "Missing").when(failed, "Error")
 
 
-def empty_month_message(rows: int, year: int, month: int, today: dt.date) -> str | None:
+def empty_month_message(rows: Column, year: Column, month: Column, today: Column) -> Column:
     """Said where nothing is there although the month's 8th has come."""
-    if rows == 0 and today >= dt.date(year, month, 8):
-        return f"No data available for {year}-{month:02d}"
-    return None
+    open_from = F.make_date(year, month, F.lit(8))
+    return F.when((rows == 0) & (today >= open_from), "No data scraped for this month. Please click rescrape to try again")

@@ -123,6 +123,22 @@ def upsert_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     return single.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
 
 
+def create_users(users: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``users`` and those of ``new`` (id, username, role, firstname, lastname) whose
+    username and role are not there yet, of equal ones that of least id; they are
+    active and must set a password."""
+    once = keep_first(new, ["username", "role"], [F.col("id")])
+    made = once.join(users.select("username", "role"), ["username", "role"], "left_anti")
+    made = made.withColumns({"active": F.lit(True), "reset_password": F.lit(True), "create_date": now, "modify_date": now})
+    return users.unionByName(made.select(*[c for c in users.columns if c in made.columns]), allowMissingColumns=True)
+
+
+def last_logins(users: DataFrame, logins: DataFrame) -> DataFrame:
+    """``users`` with the latest of their ``logins`` (id, at) as last_login."""
+    last = logins.groupBy("id").agg(F.max("at").alias("at"))
+    return users.join(last, "id", "left").withColumn("last_login", F.greatest("last_login", "at")).drop("at")
+
+
 def audit_record(actions: DataFrame, users: DataFrame) -> DataFrame:
     """Audit rows whose payload holds the user's name and role beside what was given."""
     u = users.select(F.col("username").alias("user_id"), "role", "firstname", "lastname")

@@ -854,21 +854,6 @@ def g11(t):
     return t.master.select("id", links.diagnosis(k % 2 == 0, k % 3 == 0, k % 5).alias("why"))
 
 
-@query("s9_page_text")
-def s9(t):
-    from disclosa.sources.html import page_text
-
-    return t.pages.select("page_id", page_text("html").alias("text"))
-
-
-@query("e8_app_layout")
-def e8(t):
-    k = F.col("s_suppkey").cast("string")
-    body = F.concat(F.lit("Digital Lending App: "), F.col("s_name"), F.lit("\nas on November 30, 2025 (unaudited):\nLender A (in INR crore):\nPortfolio A"), k, F.lit(": "), F.abs("s_acctbal").cast("string"), F.lit("\nPortfolio B1: 7.5\n"))
-    docs = t.supplier.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("lsp_name"), body.alias("text"), F.lit(None).cast("string").alias("rules_json"))
-    return lines.text_rows(docs)
-
-
 @query("e18_normaliser")
 def e18(t):
     rows = labels(t).select((F.col("id") % 40).alias("source_id"), F.col("id").cast("int").alias("row_pos"), F.col("lsp").alias("lsp_name"), "lender", "portfolio", "amount", F.lit(dt.date(2025, 11, 30)).alias("as_on"))

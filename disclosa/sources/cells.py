@@ -84,29 +84,6 @@ def report_rows(pages: list[tuple[str, list[list[list[str | None]]]]]) -> list[t
     return out
 
 
-def numbered_rows(table: list[list[str | None]], text: str | None, lender_col: int = 1, amount_col: int = 5, spare: tuple[int, ...] = (3, 4, 5, 7, 8)) -> list[tuple[str | None, float, dt.date | None]]:
-    """(lender, amount, date) of a numbered table in which cells may have moved:
-    the amount is sought in the spare columns, the lender to the left."""
-    as_on, out = page_date(text), []
-    cell = lambda row, c: (row[c] or "").strip() if c < len(row) else ""
-
-    def amount(x: str) -> float | None:
-        m = re.search(r"[0-9]+(?:\.[0-9]+)?", x.replace(",", ""))
-        return float(m[0]) if m else None
-
-    for row in table:
-        first, lender, value = cell(row, 0).lower() if row else "", cell(row, lender_col), amount(cell(row, amount_col))
-        if not any(row) or first.startswith(("sl", "total")) or lender.lower() == "lender":
-            continue
-        if lender and value is None:
-            value = next((v for c in spare if (v := amount(cell(row, c))) is not None), None)
-        elif not lender and value is not None:
-            lender = next((x for c in range(lender_col - 1, -1, -1) if (x := cell(row, c)) and not x.isdigit()), "")
-        if value is not None:
-            out.append((lender or None, value, as_on))
-    return out
-
-
 SCHEMA = "source_id long, row_pos int, headers array<string>, vals array<string>, as_on date"
 
 

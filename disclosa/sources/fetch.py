@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from disclosa.functions.dates import promoted_url
+
 SCHEMA = "source_id long, url string, status_code int, content_type string, body binary, fetch_mode_used string, error string"
 
 
@@ -56,6 +58,23 @@ def starts_as_pdf(body: Column) -> Column:
     return F.substring(body.cast("string"), 1, 5) == "%PDF-"
 
 
+def remote_pdf(status_code: Column, content_type: Column, body: Column) -> Column:
+    """Whether an address leads to a PDF: it answers, and says so or begins like one."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.coalesce((status_code < 400) & (kind.contains("application/pdf") | F.coalesce(starts_as_pdf(body), F.lit(False))), F.lit(False))
+
+
+def promoted(master: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
+    """Sources (id, dlg_url, ...) whose URL names the month before last, moved to last
+    month's where ``pages`` (url, status_code, content_type, body) has a PDF there;
+    adds ``promoted``.  The changed rows are the update of the stored sources."""
+    there = pages.where(remote_pdf(F.col("status_code"), F.col("content_type"), F.col("body"))).select(F.col("url").alias("found_url")).distinct()
+    rows = master.withColumn("candidate", promoted_url(F.col("dlg_url"), now))
+    met = rows.join(there, rows["candidate"] == there["found_url"], "left")
+    url = F.coalesce("found_url", "dlg_url")
+    return met.withColumns({"dlg_url": url, "promoted": F.col("found_url").isNotNull()}).drop("candidate", "found_url")
+
+
 def strategy(parse_hint: Column, is_pdf: Column) -> Column:
     """Which parser a page goes to; unknown hints are auto."""
     h = F.lower(F.coalesce(parse_hint, F.lit("auto")))

@@ -69,6 +69,28 @@ def line_amounts(pages: DataFrame) -> DataFrame:
     return pages.select("source_id", "page", "lines").mapInPandas(run, SCHEMA)
 
 
+def words_in_band(words: DataFrame, by: list[str], min_conf: float = 60, top_pct: float | None = None, bottom_pct: float | None = None, slices: int | None = None) -> DataFrame:
+    """Words (by..., text, conf, top, height, page_height) of at least ``min_conf`` in
+    the band of a page that holds its table, with the ``slice`` of the band they start in.
+
+    The band goes from top_pct to bottom_pct of the page; where one is not given, from
+    the first to the last word that says portfolio, five hundredths of the page around,
+    or over all of it.  A band has a slice for each 150 pixels, 12 at most.
+    """
+    high = F.max("page_height")
+    sure = F.lower("text").contains("portfolio") & (F.col("conf") >= max(10, min_conf // 2))
+    pad = F.floor(high * F.lit(0.05))
+    low, top = F.min(F.when(sure, F.col("top"))), F.max(F.when(sure, F.col("top") + F.col("height")))
+    at = lambda pct, own: own if pct is None else F.floor(F.lit(max(0.0, min(100.0, pct)) / 100) * high)
+    y0 = at(top_pct, F.coalesce(F.greatest(F.lit(0), low - pad), F.lit(0)))
+    y1 = at(bottom_pct, F.coalesce(F.least(high, top + pad), high))
+    band = words.groupBy(*by).agg(y0.alias("y0"), F.greatest(y0 + 10, F.least(high, y1)).alias("y1"))
+    n = F.lit(slices) if slices else F.greatest(F.lit(1), F.least(F.lit(12), F.ceil((F.col("y1") - F.col("y0")) / 150)))
+    inside = (F.col("conf") >= min_conf) & (F.col("top") >= F.col("y0")) & (F.col("top") + F.col("height") <= F.col("y1"))
+    place = F.least(n - 1, F.floor((F.col("top") - F.col("y0")) / ((F.col("y1") - F.col("y0")) / n))).cast("int")
+    return words.join(band, by).where(inside).withColumn("slice", place).drop("y0", "y1")
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """Lines that slices of a page repeat, the first of each."""
     w = Window.partitionBy("source_id", "page", "line").orderBy("slice", "line_no")

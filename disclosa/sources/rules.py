@@ -121,18 +121,42 @@ def page_values(rules: dict, text: Column) -> dict[str, Column]:
     return out
 
 
-def resolved(rows: DataFrame, rules_json: str | None, text: str = "page_text") -> DataFrame:
-    """Adds lender, portfolio, amount_text, as_on_text, error by one source's rules."""
-    rules = load_rules(rules_json)
+NAMES = ("lender", "portfolio", "amount_text", "as_on_text", "error")
+
+
+def _compiled(rules_json: str | None, text: Column) -> dict[str, Column]:
+    """The columns NAMES by one source's rules; a broken pattern is their ``error``."""
+    null = F.lit(None).cast("string")
     try:
-        page = page_values(rules, F.col(text) if text in rows.columns else F.lit(None).cast("string"))
-        cols = {
-            "lender": F.coalesce(field(rules, "lender"), page["lender"]),
-            "portfolio": field(rules, "portfolio"),
-            "amount_text": field(rules, "amount"),
-            "as_on_text": F.coalesce(field(rules, "as_on"), page["as_on"]),
-            "error": F.lit(None).cast("string"),
-        }
+        rules = load_rules(rules_json)
+        page = page_values(rules, text)
+        found = {"lender": F.coalesce(field(rules, "lender"), page["lender"]), "portfolio": field(rules, "portfolio"), "amount_text": field(rules, "amount"), "as_on_text": F.coalesce(field(rules, "as_on"), page["as_on"]), "error": null}
     except BadRule as why:
-        cols = {c: F.lit(None).cast("string") for c in ("lender", "portfolio", "amount_text", "as_on_text")} | {"error": F.lit(str(why))}
-    return rows.withColumns(cols)
+        found = dict.fromkeys(NAMES, null) | {"error": F.lit(str(why))}
+    return {k: v.cast("string") for k, v in found.items()}
+
+
+def resolved(rows: DataFrame, rules_json: str | None, text: str = "page_text") -> DataFrame:
+    """Adds lender, portfolio, amount_text, as_on_text, error by one source's rules."""
+    return rows.withColumns(_compiled(rules_json, F.col(text) if text in rows.columns else F.lit(None).cast("string")))
+
+
+#: Distinct rules that one plan takes; more are resolved in several plans and united.
+RULES_OF_A_PLAN = 200
+
+
+def resolved_each(rows: DataFrame, text: str = "page_text") -> DataFrame:
+    """The same for rows of many sources, each by the rules in its column rules_json.
+
+    The distinct rules, which are configuration (one at most for each source), are
+    compiled on the driver; rows pass once for each RULES_OF_A_PLAN of them.
+    """
+    known = sorted((r[0] for r in rows.select("rules_json").distinct().collect()), key=lambda x: (x is not None, x or ""))
+    page, out = F.col(text) if text in rows.columns else F.lit(None).cast("string"), None
+    for i in range(0, max(1, len(known)), RULES_OF_A_PLAN):
+        part = known[i : i + RULES_OF_A_PLAN] or [None]
+        each = [(F.col("rules_json").eqNullSafe(F.lit(x)), _compiled(x, page)) for x in part]
+        own = rows if len(known) <= RULES_OF_A_PLAN else rows.where(F.exists(F.array(*(c for c, _ in each)), lambda x: x))
+        done = own.withColumns({name: F.coalesce(*(F.when(c, cols[name]) for c, cols in each)) for name in NAMES})
+        out = done if out is None else out.unionByName(done)
+    return out

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from disclosa.plans import extraction  # noqa: F401
 from disclosa.plans.catalogue import QUERIES, SQL
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from disclosa.functions.dates import any_date
-from disclosa.sources import cells, html, lines, ocr
+from disclosa.sources import cells, html, lines, ocr, report
 
 NOV = dt.date(2025, 11, 30)
 
@@ -45,9 +45,12 @@ def test_pattern_layout_and_broken_rules(spark):
     assert got == {(1, "pattern", "B", "P1", 15.0, NOV, True), (2, None, None, None, None, None, False)}
 
 
-def test_grand_total_and_report_lines():
-    assert lines.grand_total("a total of 12 portfolios\n amounting to INR 1,234.5 Cr", "F", {}) == [("F", None, "Grand Total (12 portfolios)", 1234.5, None)]
-    assert lines.report_lines("Portfoliol 1,000\nportfolio2 2,000 yes\nother", NOV) == [(None, "Portfolio 1", None, 1000.0, NOV), (None, "portfolio 2", None, 2000.0, NOV)]
+def test_grand_total_and_report_lines(spark):
+    docs = spark.createDataFrame([(1, "F", "a total of 12 portfolios\n amounting to INR 1,234.5 Cr", None), (2, "G", "a total", None), (3, "H", None, None), (4, "I", "total of 1 portfolios, amounting to INR 2 Cr", '{"field_map": {"as_on": {"constant": "30.11.2025"}}}')], "source_id long, lsp_name string, text string, rules_json string")
+    got = sorted((r.source_id, r.portfolio, r.amount, r.as_on, r.force_include) for r in report.grand_totals(docs).collect())
+    assert got == [(1, "Grand Total (12 portfolios)", 1234.5, None, True), (4, "Grand Total (1 portfolios)", 2.0, NOV, True)]
+    texts = spark.createDataFrame([(1, "Portfoliol 1,000\nportfolio2 2,000 yes\nother", NOV), (2, None, None)], "source_id long, text string, as_on date")
+    assert [tuple(r) for r in report.report_text_rows(texts).collect()] == [(1, 0, "Portfolio 1", 1000.0, NOV), (1, 1, "portfolio 2", 2000.0, NOV)]
 
 
 @pytest.mark.parametrize("text,want", [("05.12.2025", dt.date(2025, 12, 5)), ("Dec'25", dt.date(2025, 12, 31)), ("Jan-2026", dt.date(2026, 1, 31)), ("1st Jan, 2025", dt.date(2025, 1, 1)), ("Sept 2025", dt.date(2025, 9, 30)), ("31-January-26", dt.date(2026, 1, 31)), ("2025-03-04", dt.date(2025, 3, 4)), ("", None), (None, None), ("none", None)])
@@ -88,9 +91,13 @@ def test_cells_with_lines_are_split():
     assert cells.split_row(["A\nB", "1\n2", "z"]) == [["A", "1", "z"], ["B", "2", "z"]]
 
 
-def test_numbered_rows():
-    table = [["Sl", "Lender", "", "", "", "Amount"], ["1", "A", "", "", "", "1,000"], ["2", "B", "", "7.5", "", None], ["x", "", "", "", "", "5"], ["Total", "", "", "", "", "9"]]
-    assert cells.numbered_rows(table, "Date of data as on 30 November 2025") == [("A", 1000.0, NOV), ("B", 7.5, NOV), ("x", 5.0, NOV)]
+def test_numbered_rows(spark):
+    table = [["Sl", "Lender", "", "", "", "Amount"], ["1", "A", "", "", "", "1,000"], ["2", "B", "", "7.5", "", None], ["x", "", "", "", "", "5"], ["3", None, None, None, None, "6"], ["4", "C", "", "", "", ""], ["Total", "", "", "", "", "9"], [None] * 6]
+    moved = [["1", "9", "D", "8"]]
+    day, rules = "Date of data as on 30 November 2025", '{"field_map": {"lender": "col_2", "amount": "col_3"}}'
+    rows = [(1, k, r, day, None) for k, r in enumerate(table)] + [(2, k, r, None, rules) for k, r in enumerate(moved)]
+    got = report.numbered_rows(spark.createDataFrame(rows, "source_id long, row_no int, cells array<string>, page_text string, rules_json string")).orderBy("source_id", "row_no")
+    assert [tuple(r)[2:] for r in got.collect()] == [("A", 1000.0, NOV), ("B", 7.5, NOV), ("x", 5.0, NOV), (None, 6.0, NOV), ("D", 8.0, None)]
 
 
 def test_ocr_amounts_need_keyword_and_portfolio():
