@@ -20,6 +20,16 @@ HEADER_WORDS = (
 TOTAL_WORDS = ("total", "grand total", "sum", "aggregate", "overall", "combined", "consolidated")
 
 
+def shown_names(master: DataFrame) -> DataFrame:
+    """Sources under the names that reports show."""
+    return master.select(F.col("id").alias("lsp_id"), F.col("name").alias("lsp"), F.col("brand_name").alias("brand"), F.coalesce("dlg_url", F.lit("NA")).alias("url"))
+
+
+def with_defaults(raw: DataFrame) -> DataFrame:
+    """Amounts and as-on years with 0 for null."""
+    return raw.withColumns({"amount": F.coalesce("amount", F.lit(0.0)), "as_on_year": F.coalesce(F.year("as_on_timestamp"), F.lit(0))})
+
+
 def scraped_between(df: DataFrame, start: dt.datetime, end: dt.datetime, col: str = "scrape_timestamp") -> DataFrame:
     """Both ends belong to it; the bounds reach the scan."""
     return df.where(F.col(col).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))

@@ -44,6 +44,11 @@ def null_safe_semi(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataF
     return rows.join(t, same, "left_semi")
 
 
+def lookup(users: DataFrame, username: str, roles: DataFrame) -> DataFrame:
+    """The user of that name in one of the roles."""
+    return users.where(F.col("username") == username).join(roles.select("role"), "role", "left_semi")
+
+
 def scraped_sources(master: DataFrame, raw: DataFrame) -> DataFrame:
     return master.join(raw.select(F.col("lsp_id").alias("id")), "id", "left_semi")
 

@@ -14,20 +14,47 @@ from disclosa.functions.dates import parse_date
 from disclosa.functions.status import manual_status
 from disclosa.functions.text import normalise
 
+from disclosa.shared import stored
+
 from .joins import duplicate_sources, null_safe_anti
 from .windows import keep_first
 
 
 def insert_sources(master: DataFrame, new: DataFrame) -> DataFrame:
-    """Sources that do not exist yet are added, hints auto and active by default."""
-    fresh = new.join(duplicate_sources(new, master).select("id"), "id", "left_anti")
+    """Sources that do not exist yet are added, hints auto and active by default.
+
+    As if they came one by one in the order of their ids: one that shares a name,
+    brand (crosswise too) or home page with an accepted one of the same kind is
+    refused.  A round accepts those that come first in all they share.
+    """
+    unknown = new.join(duplicate_sources(new, master).select("id"), "id", "left_anti")
+    sign = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    signs = F.array_compact(F.array_distinct(F.array(sign("name ", "name"), sign("name ", "brand_name"), sign("page ", "home_url"))))
+    unknown = stored(unknown.select("id", "lsp_type", signs.alias("signs")), "unknown")
+    left, accepted = unknown.select("id", "lsp_type", F.explode("signs").alias("sign")), unknown.where(F.size("signs") == 0).select("id")
+    while not left.isEmpty():
+        first = left.groupBy("lsp_type", "sign").agg(F.min("id").alias("first"))
+        own = left.join(first, ["lsp_type", "sign"]).groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("ok")).where("ok").select("id")
+        own = stored(own, "accepted")
+        accepted = accepted.unionByName(own)
+        taken = left.join(own, "id").select("lsp_type", "sign").distinct()
+        refused = left.join(taken, ["lsp_type", "sign"], "left_semi").select("id").distinct()
+        left = stored(left.join(refused, "id", "left_anti"), "signs")
+    fresh = new.join(accepted, "id", "left_semi")
     filled = fresh.withColumns({"parse_hint": F.coalesce("parse_hint", F.lit("auto")), "fetch_hint": F.coalesce("fetch_hint", F.lit("auto")), "active": F.coalesce("active", F.lit(True))})
     return master.unionByName(filled.select(*master.columns))
 
 
+def one_change(changes: DataFrame, key: str) -> DataFrame:
+    """Of repeated keys one change: the greatest in its columns, in their order."""
+    cols = [c for c in changes.columns if c != key]
+    return changes.groupBy(key).agg(F.max(F.struct(*cols)).alias("c")).select(key, *(F.col("c")[c].alias(c) for c in cols)) if cols else changes.distinct()
+
+
 def update_sources(master: DataFrame, changes: DataFrame, raw: DataFrame) -> DataFrame:
     """Given values win; home_url only where nothing was scraped yet; active is
-    taken as it is given."""
+    taken as it is given; of several changes of a source ``one_change``."""
+    changes = one_change(changes, "id")
     scraped = raw.select(F.col("lsp_id").alias("id"), F.lit(True).alias("scraped")).distinct()
     cols = [c for c in master.columns if c != "id"]
     given = changes.select("id", *(F.col(c).alias(f"new_{c}") for c in cols if c in changes.columns), F.lit(True).alias("changed"))
@@ -52,7 +79,9 @@ def deactivate(master: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def partial_update(target: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Values given in ``changes`` win, nulls leave what is there."""
+    """Values given in ``changes`` win, nulls leave what is there; of several changes
+    of a row ``one_change``."""
+    changes = one_change(changes, key)
     cols = [c for c in changes.columns if c != key]
     given = changes.select(key, *(F.col(c).alias(f"new_{c}") for c in cols))
     rows = target.join(given, key, "left")
@@ -60,9 +89,10 @@ def partial_update(target: DataFrame, changes: DataFrame, key: str = "id") -> Da
 
 
 def insert_raw(raw: DataFrame, new: DataFrame) -> DataFrame:
-    """Manual rows unless they exist (five keys, nulls equal), with their status."""
+    """Manual rows unless they exist (five keys, nulls equal), with their status; of
+    equal ones in the batch the earliest."""
     keys = ["lsp_id", "lender", "portfolio", "amount", "as_on_timestamp"]
-    fresh = null_safe_anti(new, raw, keys)
+    fresh = keep_first(null_safe_anti(new, raw, keys), keys, [F.col("scrape_timestamp")])
     status = manual_status(F.col("portfolio"), F.col("amount"), F.col("as_on_timestamp"), F.col("scrape_timestamp"))
     return raw.unionByName(fresh.withColumn("complete", status), allowMissingColumns=True)
 
@@ -82,14 +112,26 @@ def cleanse(rows: DataFrame) -> DataFrame:
     return out.drop("amount_text", "as_on_text")
 
 
-def append_raw(raw: DataFrame, crawled: DataFrame) -> DataFrame:
+def fresh_raw(raw: DataFrame, crawled: DataFrame) -> DataFrame:
     """Cleansed rows whose cleansed keys are not stored in their scrape month.
     Equal rows within the batch stay, for the normaliser has removed them."""
     month = {"y": F.year("scrape_timestamp"), "m": F.month("scrape_timestamp")}
     keys = ["lsp_id", "lender", "portfolio", "amount", "as_on_timestamp", "y", "m"]
-    stored = cleanse(raw).withColumns(month)
-    fresh = null_safe_anti(cleanse(crawled).withColumns(month), stored, keys).drop("y", "m")
-    return raw.unionByName(fresh, allowMissingColumns=True)
+    return null_safe_anti(cleanse(crawled).withColumns(month), cleanse(raw).withColumns(month), keys).drop("y", "m")
+
+
+def same_months(raw: DataFrame, crawled: DataFrame) -> DataFrame:
+    """Stored rows from the first to the last scrape month of the crawled ones, as a
+    range that reaches the scan, and those without a time if there are such."""
+    ts = F.col("scrape_timestamp")
+    at = crawled.agg(F.min(F.trunc(ts.cast("date"), "month")).alias("lo"), F.max(F.add_months(F.trunc(ts.cast("date"), "month"), 1)).alias("hi"), F.count_if(ts.isNull()).alias("nulls")).first()
+    inside = F.lit(False) if at["lo"] is None else (ts >= F.lit(at["lo"]).cast("timestamp_ntz")) & (ts < F.lit(at["hi"]).cast("timestamp_ntz"))
+    return raw.where(inside | ts.isNull() if at["nulls"] else inside)
+
+
+def append_raw(raw: DataFrame, crawled: DataFrame) -> DataFrame:
+    """Stored rows and the crawled ones that are not among them (``fresh_raw``)."""
+    return raw.unionByName(fresh_raw(raw, crawled), allowMissingColumns=True)
 
 
 def replace_stale(raw: DataFrame, crawled: DataFrame, order: list) -> DataFrame:
@@ -120,7 +162,7 @@ def upsert_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = ["lsp_id", "scrape_year", "scrape_month"]
     order = ["id"] if "id" in old.columns else keys
     single = keep_first(old, keys, [F.col(c) for c in order])
-    return single.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
+    return null_safe_anti(single, new, keys).select(*new.columns).unionByName(new)
 
 
 def create_users(users: DataFrame, new: DataFrame, now: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from disclosa.functions.dates import month_label, month_window
 from disclosa.functions.status import STATUSES, of_severity, severity, staleness
 from disclosa.functions.text import normalise, status_of
 
-from .windows import forward_fill, latest_filled
+from .windows import forward_fill, forward_fill_parts, latest_filled
 
 
 def _distinct(x: Column, where: Column) -> Column:
@@ -63,15 +63,26 @@ def running_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(zero("total_portfolios", 0).alias("total_portfolios"), zero("total_amount", 0.0).alias("total_amount"), zero("total_lenders", 0).alias("total_lenders"))
 
 
-def raw_totals(raw: DataFrame, by: list[str], order: list) -> DataFrame:
-    """Totals of the raw pages: exact texts count, a null lender may stand in a pair."""
-    rows = forward_fill(raw, ["lender"], by, order, "_filled")
+def raw_totals(raw: DataFrame, by: list[str], order: list, part: Column | None = None, part_order: Column | None = None) -> DataFrame:
+    """Totals of the raw pages: exact texts count, a null lender may stand in a pair.
+    With ``part`` the fill goes part by part (``forward_fill_parts``)."""
+    rows = forward_fill(raw, ["lender"], by, order, "_filled") if part is None else forward_fill_parts(raw, ["lender"], by, part, order, part_order, "_filled")
     has = F.coalesce(normalise(F.col("portfolio")), F.lit("")) != ""
     pairs = F.count_distinct(F.when(has, F.struct("lender_filled", "portfolio")))
     lenders = F.count_distinct("lender_filled")
     return rows.agg(F.when(pairs > 0, pairs).otherwise(lenders).alias("total_portfolios"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"), lenders.alias("total_lenders"))
 
 
+def amounts_of(df: DataFrame, by: list[str], amount: str = "amount") -> DataFrame:
+    """The sum for each group, 0 without amounts."""
+    return df.groupBy(*by).agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_amount"))
+
+
+def lender_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct lenders of each group, ignoring case and blanks."""
+    return df.groupBy(*by).agg(F.count_distinct(F.nullif(normalise(F.col("lender"), True), F.lit(""))).alias("lenders"))
+
+
 def null_count(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count_if(F.col(col).isNull()).alias("n_null"))
 

@@ -74,12 +74,12 @@ def a1(t):
 
 @query("a2_sum_null_zero", "SELECT lsp_id, complete, round(coalesce(sum(amount), 0.0), 2) AS total_amount FROM dlg_raw GROUP BY lsp_id, complete")
 def a2(t):
-    return t.raw.groupBy("lsp_id", "complete").agg(money(F.coalesce(F.sum("amount"), F.lit(0.0))).alias("total_amount"))
+    return summary.amounts_of(t.raw, ["lsp_id", "complete"]).withColumn("total_amount", money("total_amount"))
 
 
 @query("a4_distinct_lenders", "SELECT lsp_id, count(DISTINCT nullif(lower(trim(lender)), '')) AS lenders FROM dlg_raw GROUP BY lsp_id")
 def a4(t):
-    return t.raw.groupBy("lsp_id").agg(F.count_distinct(F.nullif(text.normalise(F.col("lender"), True), F.lit(""))).alias("lenders"))
+    return summary.lender_counts(t.raw, ["lsp_id"])
 
 
 @query("a6_worst_status", """
@@ -113,7 +113,8 @@ WITH month AS (
 SELECT count(DISTINCT CASE WHEN trim(portfolio) <> '' THEN coalesce(lf, '?') || '|' || portfolio END) AS total_portfolios, round(sum(amount), 2) AS total_amount, count(DISTINCT lf) AS total_lenders FROM month""")
 def a10(t):
     rows = filters.in_month(t.raw, 1997, 3)
-    return summary.raw_totals(rows, ["lsp_id"], [F.desc("scrape_timestamp"), F.col("row_id")]).withColumn("total_amount", money("total_amount"))
+    day = F.col("scrape_timestamp").cast("date")
+    return summary.raw_totals(rows, ["lsp_id"], [F.desc("scrape_timestamp"), F.col("row_id")], day, F.desc("part__of")).withColumn("total_amount", money("total_amount"))
 
 
 @query("a11_count_filtered", "SELECT count(*) AS total_count FROM dlg_audit WHERE action_taken = 'click' AND lsp_id = 7")
@@ -167,7 +168,8 @@ def w1(t):
 @query("w2_ffill_lender", "SELECT row_id, last_value(CASE WHEN trim(lender) <> '' THEN lender END IGNORE NULLS) OVER (PARTITION BY lsp_id ORDER BY scrape_timestamp NULLS FIRST, row_id ROWS UNBOUNDED PRECEDING) AS lender_filled FROM dlg_raw")
 def w2(t):
     order = [F.asc_nulls_first("scrape_timestamp"), F.col("row_id")]
-    return windows.forward_fill(t.raw, ["lender"], ["lsp_id"], order, "_filled").select("row_id", "lender_filled")
+    month = F.trunc(F.col("scrape_timestamp").cast("date"), "month")
+    return windows.forward_fill_parts(t.raw, ["lender"], ["lsp_id"], month, order, F.asc_nulls_first("part__of"), "_filled").select("row_id", "lender_filled")
 
 
 @query("w3_latest_filled", """
@@ -186,7 +188,8 @@ def w4(t):
 
 @query("w6_page_ffill", "SELECT row_id, last_value(CASE WHEN trim(lender) <> '' THEN lender END IGNORE NULLS) OVER (PARTITION BY lsp_id ORDER BY scrape_timestamp DESC NULLS LAST, row_id ROWS UNBOUNDED PRECEDING) AS lender_filled FROM dlg_raw WHERE scrape_timestamp >= TIMESTAMP '1997-01-01' AND scrape_timestamp < TIMESTAMP '1997-02-01'")
 def w6(t):
-    return windows.forward_fill(filters.in_month(t.raw, 1997, 1), ["lender"], ["lsp_id"], [F.desc_nulls_last("scrape_timestamp"), F.col("row_id")], "_filled").select("row_id", "lender_filled")
+    rows, day = filters.in_month(t.raw, 1997, 1), F.col("scrape_timestamp").cast("date")
+    return windows.forward_fill_parts(rows, ["lender"], ["lsp_id"], day, [F.desc_nulls_last("scrape_timestamp"), F.col("row_id")], F.desc_nulls_last("part__of"), "_filled").select("row_id", "lender_filled")
 
 
 @query("w7_segment_carry", """
@@ -241,20 +244,11 @@ KEYS7 = ["lsp_id", "lender", "portfolio", "amount", "as_on_timestamp", "y", "m"]
 
 
 @query("j5_null_safe_anti", """
-WITH k AS (SELECT *, extract(year FROM scrape_timestamp) AS y, extract(month FROM scrape_timestamp) AS m FROM dlg_raw)
-SELECT a.row_id FROM k a WHERE a.lsp_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.lsp_id % 4 = 0 AND b.row_id > '3' AND b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender
-  AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount AND b.as_on_timestamp IS NOT DISTINCT FROM a.as_on_timestamp AND b.y IS NOT DISTINCT FROM a.y AND b.m IS NOT DISTINCT FROM a.m)""")
-def j5(t):
-    k = t.raw.withColumns({"y": F.year("scrape_timestamp"), "m": F.month("scrape_timestamp")})
-    return joins.null_safe_anti(k.where("lsp_id % 2 = 0"), k.where("lsp_id % 4 = 0 and row_id > '3'"), KEYS7).select("row_id")
-
-
-@query("j5_null_safe_anti_all", """
 WITH a AS (SELECT *, extract(year FROM scrape_timestamp) AS y, extract(month FROM scrape_timestamp) AS m FROM dlg_raw),
 b AS (SELECT lsp_id, CASE WHEN lsp_id % 4 = 0 THEN lender ELSE lender || ' x' END AS lender, portfolio, amount, as_on_timestamp, y, CASE WHEN row_id > '3' THEN m ELSE m % 12 + 1 END AS m FROM a)
 SELECT a.row_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender
   AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount AND b.as_on_timestamp IS NOT DISTINCT FROM a.as_on_timestamp AND b.y IS NOT DISTINCT FROM a.y AND b.m IS NOT DISTINCT FROM a.m)""")
-def j5_all(t):
+def j5(t):
     a = t.raw.withColumns({"y": F.year("scrape_timestamp"), "m": F.month("scrape_timestamp")})
     b = a.withColumns({"lender": F.when(F.expr("lsp_id % 4 = 0"), F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))), "m": F.when(F.col("row_id") > "3", F.col("m")).otherwise(F.col("m") % 12 + 1)})
     return joins.null_safe_anti(a, b, KEYS7).select("row_id")
@@ -275,15 +269,9 @@ def j7(t):
 
 
 @query("j8_null_safe_semi", """
-SELECT a.row_id FROM dlg_raw a WHERE a.lsp_id % 3 = 0 AND EXISTS (SELECT 1 FROM dlg_raw b WHERE b.complete = ' Completed ' AND b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount)""")
-def j8(t):
-    return joins.null_safe_semi(t.raw.where("lsp_id % 3 = 0"), t.raw.where("complete = ' Completed '"), ["lsp_id", "lender", "portfolio", "amount"]).select("row_id")
-
-
-@query("j8_null_safe_semi_all", """
 WITH b AS (SELECT lsp_id, CASE WHEN complete = ' Completed ' THEN lender ELSE lender || ' x' END AS lender, portfolio, amount FROM dlg_raw)
 SELECT a.row_id FROM dlg_raw a WHERE EXISTS (SELECT 1 FROM b WHERE b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount)""")
-def j8_all(t):
+def j8(t):
     b = t.raw.withColumn("lender", F.when(F.col("complete") == " Completed ", F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))))
     return joins.null_safe_semi(t.raw, b, ["lsp_id", "lender", "portfolio", "amount"]).select("row_id")
 
@@ -291,7 +279,7 @@ def j8_all(t):
 @query("j9_lookup", "SELECT id, username, role FROM dlg_users WHERE username = 'customer.000000077' AND role = (SELECT c_mktsegment FROM customer WHERE c_custkey = 77)")
 def j9(t):
     role = t.customer.where("c_custkey = 77").select(F.col("c_mktsegment").alias("role"))
-    return t.users.where("username = 'customer.000000077'").join(role, "role", "left_semi").select("id", "username", "role")
+    return joins.lookup(t.users, "customer.000000077", role).select("id", "username", "role")
 
 
 @query("j10_zip", """
@@ -339,12 +327,12 @@ def f6(t):
 
 @query("f7_relabel", "SELECT id AS lsp_id, name AS lsp, brand_name AS brand, coalesce(dlg_url, 'NA') AS url FROM dlg_master")
 def f7(t):
-    return t.master.select(F.col("id").alias("lsp_id"), F.col("name").alias("lsp"), F.col("brand_name").alias("brand"), F.coalesce("dlg_url", F.lit("NA")).alias("url"))
+    return filters.shown_names(t.master)
 
 
 @query("f8_null_defaults", "SELECT row_id, coalesce(amount, 0.0) AS amount, coalesce(extract(year FROM as_on_timestamp), 0) AS as_on_year FROM dlg_raw")
 def f8(t):
-    return t.raw.select("row_id", F.coalesce("amount", F.lit(0.0)).alias("amount"), F.coalesce(F.year("as_on_timestamp"), F.lit(0)).alias("as_on_year"))
+    return filters.with_defaults(t.raw).select("row_id", "amount", "as_on_year")
 
 
 @query("f9_scraped", "SELECT lsp_id, count(*) AS n FROM dlg_raw WHERE scrape_timestamp IS NOT NULL GROUP BY lsp_id")
@@ -431,15 +419,12 @@ def l3(t):
 
 @query("l4_best", "SELECT s_suppkey AS id, s_acctbal AS score FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1")
 def l4(t):
-    return t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")).orderBy(F.desc("score"), "id").limit(1)
+    return windows.first_of_all(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")), [F.desc("score"), F.col("id")])
 
 
 @query("l5_top_per_group", "SELECT lsp_id, row_id FROM (SELECT lsp_id, row_id, row_number() OVER (PARTITION BY lsp_id ORDER BY amount DESC NULLS LAST, row_id) AS rn FROM dlg_raw) WHERE rn <= 12")
 def l5(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lsp_id").orderBy(F.desc_nulls_last("amount"), "row_id")
-    return t.raw.withColumn("rn", F.row_number().over(w)).where("rn <= 12").select("lsp_id", "row_id")
+    return windows.top_per_group(t.raw, ["lsp_id"], [F.desc_nulls_last("amount"), F.col("row_id")], 12).select("lsp_id", "row_id")
 
 
 @query("u1_keep_first", "SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY lsp_id, lender, portfolio, complete ORDER BY row_id) AS rn FROM dlg_raw) WHERE rn = 1")
@@ -448,22 +433,10 @@ def u1(t):
 
 
 @query("u3_ordered_union", """
-WITH u AS (SELECT 0 AS kind, s_suppkey AS pos, 'x' || cast(s_suppkey % 40 AS varchar) AS link FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 1, s_suppkey, 'x' || cast(s_suppkey % 60 AS varchar) FROM supplier WHERE s_suppkey % 3 = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY kind, pos) AS rn FROM u)
-SELECT kind, link FROM r WHERE rn = 1 AND link NOT IN (SELECT 'x' || cast(n_nationkey AS varchar) FROM nation)""")
-def u3(t):
-    s = F.col("s_suppkey")
-    link = lambda k, n, kind: t.supplier.where(s % 3 == k).select(F.lit(kind).alias("kind"), s.alias("pos"), F.concat(F.lit("x"), (s % n).cast("string")).alias("link"))
-    both = windows.keep_first(link(0, 40, 0).unionByName(link(1, 60, 1)), ["link"], [F.col("kind"), F.col("pos")])
-    visited = t.nation.select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("link"))
-    return both.join(visited, "link", "left_anti").select("kind", "link")
-
-
-@query("u3_ordered_union_all", """
 WITH u AS (SELECT 0 AS kind, s_suppkey AS pos, 'x' || cast(s_suppkey % 40 AS varchar) AS link FROM supplier UNION ALL SELECT 1, s_suppkey, 'x' || cast(s_suppkey * 7 % 60 AS varchar) FROM supplier),
 r AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY kind, pos) AS rn FROM u)
 SELECT kind, link FROM r WHERE rn = 1 AND link NOT IN (SELECT 'x' || cast(n_nationkey AS varchar) FROM nation)""")
-def u3_all(t):
+def u3(t):
     s = F.col("s_suppkey")
     link = lambda n, kind: t.supplier.select(F.lit(kind).alias("kind"), s.alias("pos"), F.concat(F.lit("x"), n.cast("string")).alias("link"))
     both = windows.keep_first(link(s % 40, 0).unionByName(link(s * 7 % 60, 1)), ["link"], [F.col("kind"), F.col("pos")])
@@ -475,21 +448,10 @@ def u3_all(t):
 
 
 @query("c1_insert_sources", """
-WITH n AS (SELECT 100000 + c_custkey AS id, 'Supplier#' || lpad(cast(c_custkey % 300 AS varchar), 9, '0') AS name, 'B' || cast(c_custkey AS varchar) AS brand_name, 'Bank' AS lsp_type, 'https://none/' || cast(c_custkey AS varchar) AS home_url FROM customer WHERE c_custkey <= 300)
-SELECT id, name, parse_hint FROM dlg_master UNION ALL
-SELECT id, name, 'auto' FROM n WHERE NOT EXISTS (SELECT 1 FROM dlg_master m WHERE m.lsp_type = n.lsp_type AND (m.name = n.name OR m.brand_name = n.name OR m.name = n.brand_name OR m.brand_name = n.brand_name OR m.home_url = n.home_url))""")
-def c1(t):
-    c = F.col("c_custkey")
-    null = F.lit(None).cast("string")
-    new = t.customer.where(c <= 300).select((c + 100000).alias("id"), F.concat(F.lit("Supplier#"), F.lpad((c % 300).cast("string"), 9, "0")).alias("name"), F.concat(F.lit("B"), c.cast("string")).alias("brand_name"), F.lit("Bank").alias("lsp_type"), F.concat(F.lit("https://none/"), c.cast("string")).alias("home_url"), F.lit(None).cast("boolean").alias("active"), null.alias("dlg_url"), null.alias("parse_hint"), null.alias("fetch_hint"))
-    return mutations.insert_sources(t.master, new).select("id", "name", "parse_hint")
-
-
-@query("c1_insert_sources_all", """
 WITH n AS (SELECT 100000 + c_custkey AS id, 'Supplier#' || lpad(cast(c_custkey % 300 AS varchar), 9, '0') AS name, 'B' || cast(c_custkey AS varchar) AS brand_name, 'Bank' AS lsp_type, 'https://none/' || cast(c_custkey AS varchar) AS home_url FROM customer)
 SELECT id, name, parse_hint FROM dlg_master UNION ALL
-SELECT id, name, 'auto' FROM n WHERE NOT EXISTS (SELECT 1 FROM dlg_master m WHERE m.lsp_type = n.lsp_type AND (m.name = n.name OR m.brand_name = n.name OR m.name = n.brand_name OR m.brand_name = n.brand_name OR m.home_url = n.home_url))""")
-def c1_all(t):
+SELECT id, name, 'auto' FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS rn FROM n) n WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM dlg_master m WHERE m.lsp_type = n.lsp_type AND (m.name = n.name OR m.brand_name = n.name OR m.name = n.brand_name OR m.brand_name = n.brand_name OR m.home_url = n.home_url))""")
+def c1(t):
     c = F.col("c_custkey")
     null = F.lit(None).cast("string")
     new = t.customer.select((c + 100000).alias("id"), F.concat(F.lit("Supplier#"), F.lpad((c % 300).cast("string"), 9, "0")).alias("name"), F.concat(F.lit("B"), c.cast("string")).alias("brand_name"), F.lit("Bank").alias("lsp_type"), F.concat(F.lit("https://none/"), c.cast("string")).alias("home_url"), F.lit(None).cast("boolean").alias("active"), null.alias("dlg_url"), null.alias("parse_hint"), null.alias("fetch_hint"))
@@ -523,45 +485,23 @@ STALE = "extract(year FROM scrape_timestamp) * 100 + extract(month FROM scrape_t
 
 
 @query("c5_append", f"""
-WITH old AS (SELECT * FROM dlg_raw WHERE lsp_id % 2 = 0), new AS (SELECT * FROM dlg_raw WHERE lsp_id % 3 = 0),
-cl AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM old),
-cn AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM new)
-SELECT row_id, lender FROM old UNION ALL SELECT row_id, cl FROM cn WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.lsp_id = cn.lsp_id AND cl.cl = cn.cl AND cl.cp = cn.cp AND cl.amount IS NOT DISTINCT FROM cn.amount AND cl.as_on_timestamp IS NOT DISTINCT FROM cn.as_on_timestamp AND cl.ym IS NOT DISTINCT FROM cn.ym)""")
-def c5(t):
-    return mutations.append_raw(t.raw.where("lsp_id % 2 = 0"), t.raw.where("lsp_id % 3 = 0")).select("row_id", "lender")
-
-
-@query("c5_append_all", f"""
 WITH new AS (SELECT * REPLACE ('n' || row_id AS row_id, CASE WHEN lsp_id % 3 = 0 THEN lender || ' x' ELSE ' ' || lender || ' ' END AS lender) FROM dlg_raw),
 cl AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM dlg_raw),
 cn AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM new)
 SELECT row_id, lender FROM dlg_raw UNION ALL SELECT row_id, cl FROM cn WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.lsp_id IS NOT DISTINCT FROM cn.lsp_id AND cl.cl = cn.cl AND cl.cp = cn.cp AND cl.amount IS NOT DISTINCT FROM cn.amount AND cl.as_on_timestamp IS NOT DISTINCT FROM cn.as_on_timestamp AND cl.ym IS NOT DISTINCT FROM cn.ym)""")
-def c5_all(t):
+def c5(t):
     other = F.when(F.expr("lsp_id % 3 = 0"), F.concat("lender", F.lit(" x"))).otherwise(F.concat(F.lit(" "), "lender", F.lit(" ")))
     return mutations.append_raw(t.raw, t.raw.withColumns({"row_id": F.concat(F.lit("n"), F.col("row_id").cast("string")), "lender": other})).select("row_id", "lender")
 
 
 @query("c6_stale_replace", f"""
-WITH new AS (SELECT * FROM dlg_raw WHERE lsp_id % 3 = 0 AND scrape_timestamp >= TIMESTAMP '1999-06-01' AND scrape_timestamp < TIMESTAMP '1999-07-01'),
-touched AS (SELECT DISTINCT lsp_id, {STALE} AS ym FROM new),
-first AS (SELECT lsp_id, as_on_timestamp, scrape_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY lsp_id ORDER BY row_id) AS rn FROM new) WHERE rn = 1),
-none AS (SELECT lsp_id FROM first WHERE date_trunc('month', as_on_timestamp) = date_trunc('month', scrape_timestamp))
-SELECT row_id, 'old' AS part FROM dlg_raw r WHERE NOT (coalesce(complete, '') = 'Stale' AND EXISTS (SELECT 1 FROM touched x WHERE x.lsp_id = r.lsp_id AND x.ym = {STALE.replace('scrape', 'r.scrape')}))
-UNION ALL SELECT row_id, 'new' FROM new WHERE lsp_id NOT IN (SELECT lsp_id FROM none)""")
-def c6(t):
-    old = t.raw.withColumn("part", F.lit("old"))
-    new = filters.in_month(t.raw, 1999, 6).where("lsp_id % 3 = 0").withColumn("part", F.lit("new"))
-    return mutations.replace_stale(old, new, [F.col("row_id")]).select("row_id", "part")
-
-
-@query("c6_stale_replace_all", f"""
 WITH new AS (SELECT * FROM dlg_raw WHERE scrape_timestamp >= TIMESTAMP '1999-06-01' AND scrape_timestamp < TIMESTAMP '1999-07-01'),
 touched AS (SELECT DISTINCT lsp_id, {STALE} AS ym FROM new),
 first AS (SELECT lsp_id, as_on_timestamp, scrape_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY lsp_id ORDER BY row_id) AS rn FROM new) WHERE rn = 1),
 none AS (SELECT lsp_id FROM first WHERE date_trunc('month', as_on_timestamp) = date_trunc('month', scrape_timestamp))
 SELECT row_id, 'old' AS part FROM dlg_raw r WHERE NOT (coalesce(complete, '') = 'Stale' AND EXISTS (SELECT 1 FROM touched x WHERE x.lsp_id = r.lsp_id AND x.ym = {STALE.replace('scrape', 'r.scrape')}))
 UNION ALL SELECT row_id, 'new' FROM new WHERE lsp_id NOT IN (SELECT lsp_id FROM none)""")
-def c6_all(t):
+def c6(t):
     old = t.raw.withColumn("part", F.lit("old"))
     new = filters.in_month(t.raw, 1999, 6).withColumn("part", F.lit("new"))
     return mutations.replace_stale(old, new, [F.col("row_id")]).select("row_id", "part")
@@ -663,29 +603,20 @@ def n9(t):
     return t.orders.select(k.alias("id"), F.round(amounts.from_unit(F.col("o_totalprice"), unit), 9).alias("amount"))
 
 
-DATE_TEXTS = "d AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 2 THEN 'as on ' || strftime(o_orderdate, '%B %d, %Y') WHEN 3 THEN strftime(o_orderdate, '%dth %b %Y') WHEN 4 THEN strftime(o_orderdate, '%b''%y') ELSE strftime(o_orderdate, '%b-%Y') END AS x, CASE WHEN o_orderkey % 6 < 4 THEN cast(o_orderdate AS date) ELSE last_day(cast(o_orderdate AS date)) END AS y, o_orderdate AS ts FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderkey % 6 <> 4)"
-
-
-def date_texts(t, early=False):
-    """Texts of dates; ``early`` with Mon'YY of the years before 2000, which are read as 20YY."""
+def date_texts(t):
+    """Texts of dates; Mon'YY of the years before 2000 are read as 20YY."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     f = lambda p: F.date_format(d, p)
     x = F.when(k % 6 == 0, f("dd.MM.yyyy")).when(k % 6 == 1, f("dd-MM-yyyy")).when(k % 6 == 2, F.concat(F.lit("as on "), f("MMMM dd, yyyy"))).when(k % 6 == 3, f("dd'th' MMM yyyy")).when(k % 6 == 4, f("MMM''yy")).otherwise(f("MMM-yyyy"))
-    rows = t.orders if early else t.orders.where("o_orderdate >= timestamp_ntz '2000-01-01' or o_orderkey % 6 <> 4")
-    return rows.select(k.alias("id"), x.alias("x"), d.alias("ts"))
+    return t.orders.select(k.alias("id"), x.alias("x"), d.alias("ts"))
 
 
-@query("d1_dates", f"WITH {DATE_TEXTS} SELECT id, strftime(y, '%Y-%m-%d') AS day FROM d")
-def d1(t):
-    return date_texts(t).select("id", F.date_format(dates.parse_date(F.col("x")), "yyyy-MM-dd").alias("day"))
-
-
-@query("d1_dates_all", """
+@query("d1_dates", """
 WITH o AS (SELECT o_orderkey AS id, cast(o_orderdate AS date) AS d FROM orders WHERE o_orderkey % 6 = 4)
 SELECT id, strftime(last_day(make_date(2000 + extract(year FROM d) % 100, extract(month FROM d), 1)), '%Y-%m-%d') AS day FROM o UNION ALL
 SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 6 < 4 THEN cast(o_orderdate AS date) ELSE last_day(cast(o_orderdate AS date)) END, '%Y-%m-%d') FROM orders WHERE o_orderkey % 6 <> 4""")
-def d1_all(t):
-    return date_texts(t, True).select("id", F.date_format(dates.parse_date(F.col("x")), "yyyy-MM-dd").alias("day"))
+def d1(t):
+    return date_texts(t).select("id", F.date_format(dates.parse_date(F.col("x")), "yyyy-MM-dd").alias("day"))
 
 
 @query("d3_prev_month_end", "SELECT o_orderkey AS id, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d') AS day FROM orders")

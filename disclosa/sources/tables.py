@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from disclosa.functions.status import ACTIONS, LSP_TYPES, STATUSES
 from disclosa.operators.filters import active_rows
-from disclosa.operators.mutations import append_raw
+from disclosa.operators.mutations import audit_record, fresh_raw, same_months
 
 SCHEMAS = {
     "lsp_master": "id int, name string, brand_name string, lsp_type string, home_url string, active boolean, dlg_url string, parse_hint string, fetch_hint string, rules_json string, last_crawl_date timestamp_ntz",
@@ -22,9 +22,9 @@ SCHEMAS = {
 
 
 class Store:
-    """Parquet tables in a folder.  A table is a folder of versions; ``current``
-    is a one-row table that names the one to read, so a reader never sees a
-    half-written version and a version is never overwritten while read."""
+    """Parquet tables in a folder.  A table is a list of parts, folders of files that
+    never change; ``current`` names the list to read, so a reader never sees a
+    half-written version.  An append writes the new rows only."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -45,25 +45,41 @@ class Store:
             self.swap(n, self.spark.createDataFrame([], SCHEMAS[n]))
         return made
 
+    def parts(self, name: str) -> list[str]:
+        versions = self.spark.read.schema("parts array<string>, at timestamp").json(f"{self.root}/{name}/current")
+        return versions.agg(F.max_by("parts", "at")).first()[0]
+
     def read(self, name: str) -> DataFrame:
-        version = self.spark.read.schema("version string, at timestamp").json(f"{self.root}/{name}/current").agg(F.max_by("version", "at")).first()[0]
         schema = T._parse_datatype_string(SCHEMAS[name]) if name in SCHEMAS else None
         reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(f"{self.root}/{name}/{version}")
+        return reader.parquet(*(f"{self.root}/{name}/{p}" for p in self.parts(name)))
 
-    def swap(self, name: str, df: DataFrame) -> None:
-        """Write a new version, then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        pointer = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    def _write(self, name: str, df: DataFrame, before: list[str]) -> None:
+        part = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{part}")
+        pointer = self.spark.range(1).select(F.array(*map(F.lit, [*before, part])).alias("parts"), F.current_timestamp().alias("at"))
         pointer.coalesce(1).write.mode("append").json(f"{self.root}/{name}/current")
 
+    def swap(self, name: str, df: DataFrame) -> None:
+        """Write all rows anew as one part, then point to it (this also compacts)."""
+        self._write(name, df, [])
+
     def append(self, name: str, rows: DataFrame) -> None:
-        self.swap(name, self.read(name).unionByName(rows, allowMissingColumns=True).select(*self.read(name).columns))
+        """Write the new rows beside the others, then point to both."""
+        stored = self.read(name)
+        missing = [c for c in stored.columns if c not in rows.columns]
+        rows = rows.withColumns({c: F.lit(None) for c in missing}).select(*(F.col(c).cast(stored.schema[c].dataType).alias(c) for c in stored.columns))
+        self._write(name, rows, self.parts(name))
 
     def append_crawled(self, rows: DataFrame) -> None:
+        """Crawled rows that are not stored in their scrape month; only the months of
+        the rows are read and cleansed."""
         raw = self.read("dlg_raw")
-        self.swap("dlg_raw", append_raw(raw, rows).select(*raw.columns))
+        self.append("dlg_raw", fresh_raw(same_months(raw, rows), rows).select(*(c for c in raw.columns if c in rows.columns)))
+
+    def record(self, actions: DataFrame) -> None:
+        """Audit rows with their user's details (``audit_record``)."""
+        self.append("audit_log", audit_record(actions, self.read("dlg_users")))
 
 
 def jdbc_table(spark: SparkSession, url: str, name: str, schema: str | None = None, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from disclosa.operators.mutations import upsert_summary
 from disclosa.operators.summary import monthly_summary
+from disclosa.shared import stored
 from disclosa.sources.tables import Store
 
 
@@ -18,7 +19,13 @@ def summarise_stream(spark: SparkSession, raw: DataFrame, all_raw, store: Store,
 
     def batch(new: DataFrame, _: int) -> None:
         touched = new.where("scrape_timestamp is not null").select("lsp_id", F.trunc(F.col("scrape_timestamp").cast("date"), "month").alias("m")).distinct()
-        rows = all_raw().withColumn("m", F.trunc(F.col("scrape_timestamp").cast("date"), "month")).join(touched, ["lsp_id", "m"], "left_semi").drop("m")
+        touched = stored(touched, "touched")
+        ends = touched.agg(F.min("m"), F.add_months(F.max("m"), 1)).first()
+        if ends[0] is None:
+            return
+        ts = F.col("scrape_timestamp")  # a range that prunes the scan, then the exact months
+        near = all_raw().where((ts >= F.lit(ends[0]).cast("timestamp_ntz")) & (ts < F.lit(ends[1]).cast("timestamp_ntz")))
+        rows = near.withColumn("m", F.trunc(F.col("scrape_timestamp").cast("date"), "month")).join(touched, ["lsp_id", "m"], "left_semi").drop("m")
         found = monthly_summary(rows, order)
         old = store.read("lsp_summary")
         cols = [c for c in old.columns if c != "id"]

@@ -136,3 +136,86 @@ def test_audit_record_merges_the_user(spark):
     act = spark.createDataFrame([("u1", "LOGIN", "{}")], "user_id string, action_taken string, details string")
     users = spark.createDataFrame([("u1", "admin", "F", None)], "username string, role string, firstname string, lastname string")
     assert '"role":"admin"' in mutations.audit_record(act, users).first().payload
+
+
+def sources(spark, rows):
+    full = [(i, n, b, "Bank", u, None, None, None, None) for i, n, b, u in rows]
+    return spark.createDataFrame(full, "id int, name string, brand_name string, lsp_type string, home_url string, active boolean, dlg_url string, parse_hint string, fetch_hint string")
+
+
+def test_sources_of_a_batch_come_one_by_one(spark):
+    master = sources(spark, [(1, "A", None, "a"), (2, "B", "bee", "b")])
+    new = sources(spark, [(10, "C", "cee", "c"), (11, "cee", "x", "d"), (12, "x", "y", "e"), (13, "y", "z", "c"), (14, "bee", None, None), (15, None, None, None), (16, "x", "w", "f")])
+    got = {r.id for r in mutations.insert_sources(master, new).collect()}
+    # 11 shares cee with 10; 12 is free, for 11 was refused; 13 shares y with 12; 14 is known; 16 shares x with 12
+    assert got == {1, 2, 10, 12, 15}
+
+
+def test_repeated_changes_give_one_row(spark):
+    target = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, name string, amount double")
+    changes = spark.createDataFrame([(1, "c", None), (1, "d", 5.0), (1, "d", 4.0), (3, "e", 1.0)], "id int, name string, amount double")
+    assert sorted(tuple(r) for r in mutations.partial_update(target, changes).collect()) == [(1, "d", 5.0), (2, "b", 2.0)]
+    master = sources(spark, [(1, "A", None, "a")])
+    twice = spark.createDataFrame([(1, "X", True), (1, "Y", False)], "id int, name string, active boolean")
+    raw = spark.createDataFrame([], "lsp_id int")
+    assert [(r.name, r.active) for r in mutations.update_sources(master, twice, raw).collect()] == [("Y", False)]
+
+
+def test_upsert_with_null_keys_does_not_pile_up(spark):
+    old = spark.createDataFrame([(None, 2025, 1, "a"), (1, None, 1, "b"), (1, 2025, 1, "c")], "lsp_id int, scrape_year int, scrape_month int, status string")
+    new = spark.createDataFrame([(None, 2025, 1, "x"), (1, None, 1, "y")], old.schema)
+    got = mutations.upsert_summary(old, new)
+    assert sorted(r.status for r in got.collect()) == ["c", "x", "y"] == sorted(r.status for r in mutations.upsert_summary(got, new).collect())
+
+
+def test_fill_by_parts_equals_the_whole_fill(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice([1, 2, None]), None if r.random() < 0.1 else dt.datetime(2025, r.randint(1, 4), r.randint(1, 28)), r.choice([None, "", " ", f"v{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g int, ts timestamp_ntz, v string")
+    for up in (True, False):
+        order = [F.asc_nulls_first("ts") if up else F.desc_nulls_last("ts"), F.col("id")]
+        part = F.asc_nulls_first("part__of") if up else F.desc_nulls_last("part__of")
+        a = windows.forward_fill(df, ["v"], ["g"], order, "_f").select("id", "v_f")
+        b = windows.forward_fill_parts(df, ["v"], ["g"], F.trunc(F.col("ts").cast("date"), "month"), order, part, "_f")
+        assert b.columns == [*df.columns, "v_f"] and sorted(a.collect()) == sorted(b.select("id", "v_f").collect())
+
+
+def test_rules_of_many_sources_and_several_plans(spark, monkeypatch):
+    monkeypatch.setattr(rules, "RULES_OF_A_PLAN", 2)
+    specs = [None, "{broken", '{"field_map": {"amount": "B"}}', '{"field_map": {"amount": {"regex": "(("}}}', '{"field_map": {"amount": {"constant": "7"}}}']
+    df = spark.createDataFrame([(i, ["Amount", "B"], [str(i), "9"], s) for i, s in enumerate(specs * 2)], "source_id int, headers array<string>, vals array<string>, rules_json string")
+    got = {r.source_id: (r.amount_text, r.error is None) for r in rules.resolved_each(df).collect()}
+    assert got == {i: [(str(i), True), (str(i), True), ("9", True), (None, False), ("7", True)][i % 5] for i in range(10)}
+
+
+def test_scrape_reports_and_empty_inputs(spark):
+    from disclosa.sources import cells, scrape
+
+    srcs = spark.createDataFrame([(1, "S", "https://x/a.pdf", "pdf_table", None), (2, "Finsall", "https://x/b", "plain_text", None), (3, "T", "https://x/c", "auto", None)], "source_id long, lsp_name string, dlg_url string, parse_hint string, rules_json string")
+    pages = spark.createDataFrame([(1, "application/pdf", "", None), (2, "text/html", "<p>a total of 2 portfolios, amounting to INR 5 Cr</p>", None), (3, "text/html", "<p>nothing</p>", None)], "source_id long, content_type string, body string, error string").withColumn("scrape_ts", F.lit(dt.datetime(2025, 12, 10)).cast("timestamp_ntz"))
+    docs = spark.createDataFrame([(1, [("as on 30 November 2025", [[["Lender", "Portfolio", "Amount"], ["A", "P1", "3"]]])])], "source_id long, pages array<struct<text: string, tables: array<array<array<string>>>>>")
+    rows, found = scrape.scraped(srcs, pages, reports=cells.report_table_rows(docs))
+    assert sorted((r.source_id, r.lender, r.portfolio, r.amount, r.as_on) for r in rows.collect()) == [(1, "A", "P1", 3.0, NOV), (2, None, "Grand Total (2 portfolios)", 5.0, None)]
+    assert {r.source_id: r.status for r in found.collect()} == {1: "Completed", 2: "Stale", 3: "NoData"}
+    rows, found = scrape.scraped(srcs.limit(0), pages)
+    assert rows.count() == found.count() == 0
+
+
+def test_appends_write_only_new_rows(spark, tmp_path):
+    store = tables.Store(spark, f"file://{tmp_path}/store")
+    assert len(store.create_missing()) == 5 and store.create_missing() == []
+    row = (1, 1, "S", "A", "P", 1.0, dt.datetime(2025, 11, 30), dt.datetime(2025, 12, 1), "Completed", "u")
+    one = spark.createDataFrame([row], tables.SCHEMAS["dlg_raw"])
+    store.append_crawled(one)
+    before = store.parts("dlg_raw")
+    store.append_crawled(one)  # known: nothing is added, nothing written anew
+    store.append_crawled(spark.createDataFrame([(2, *row[1:7], dt.datetime(2026, 1, 1), *row[8:])], tables.SCHEMAS["dlg_raw"]))
+    assert store.parts("dlg_raw")[: len(before)] == before and sorted(r.id for r in store.read("dlg_raw").collect()) == [1, 2]
+    store.append("dlg_users", spark.createDataFrame([(1, "ann", "admin", "Ann", "B")], "id int, username string, role string, firstname string, lastname string"))
+    store.record(spark.createDataFrame([(7, 1, "ann", "LOGIN", "d")], "id int, lsp_id int, user_id string, action_taken string, details string"))
+    got = store.read("audit_log").first()
+    assert got.id == 7 and '"role":"admin"' in got.payload
+    tables.write_ocr(spark.createDataFrame([("Portfolio 1", 2.0, "x")], "portfolio_hint string, amount double, context_before string"), f"file://{tmp_path}/ocr", "csv", simple=True)
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/ocr").columns == ["portfolio_hint", "amount"]
