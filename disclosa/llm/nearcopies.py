@@ -28,8 +28,10 @@ from .common import PUNCT, U64, Words, blocks, dropped, fold, id_text, mix, stor
 SHINGLE, SIMILARITY = 5, 0.8
 #: With similarity 0.8 a sketch of 5 agrees in about a third of cases, and one of 28 in 99.999 %.
 TABLES, LEAST = 28, 5
-#: Documents aligned with one text in one go, and documents of a family's block.
-UNIT, BLOCK = 64, 256
+#: Documents aligned with one text in one go; documents and shingles of a family's block.
+UNIT, BLOCK, BLOCK_SHINGLES = 64, 256, 500_000
+#: Parts over which the edges of a hot node are dealt.
+SALTS = 8
 #: Counters of shingles that order them from rare to frequent (a fixed size; any order is right).
 COUNTERS = 1 << 20
 #: Documents of so many shingles have keys besides that miss no pair (see ``few``); shorter
@@ -311,9 +313,10 @@ def sharing(labels: np.ndarray, ptr: np.ndarray, root: np.ndarray, block: np.nda
 
 
 def family_pairs(families: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a family's documents (family, rep, root) of different classes
-    that share enough labelled shingles.  Families are cut into blocks of BLOCK, and
-    each pair of blocks meets, as shingles of 32 bits: no pair is left out."""
+    """Pairs (a, b) of a family's documents (family, rep, root, size) of different
+    classes that share enough labelled shingles.  Families are cut into blocks of about
+    BLOCK documents or BLOCK_SHINGLES, and each pair of blocks meets, as shingles of 32
+    bits: no pair is left out."""
 
     def label(batches):
         for b in batches:
@@ -324,7 +327,7 @@ def family_pairs(families: DataFrame, texts: DataFrame, least: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[x:y].tobytes() for x, y in zip(ptr, ptr[1:])], pa.binary())], ["rep", "labels"])
 
     labels = texts.select("rep", "text").mapInArrow(label, "rep long, labels binary")
-    n = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("g"))
+    n = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("g"))
     rows = families.join(n, "family").join(labels, "rep")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
@@ -406,8 +409,10 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float, labels: tuple[np.ndar
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), root being the least of its
     component, by alternating large and small stars until there are only stars.
-    Tables of finished rounds go.  Groups are aggregated before they are shuffled;
-    the join on a hot node is one that the adaptive planner can split."""
+    Tables of finished rounds go.  Groups are aggregated before they are shuffled, and
+    the edges of a hot node are dealt over SALTS tasks."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = lambda e: e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
         firsts = e.groupBy("u").agg(F.count("*").alias("n"))
@@ -416,9 +421,9 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = dealt(both.where("v > u")).join(low.select("u", "m", salt), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = dealt(large).join(low.select("u", "m", salt), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, e = e, stored(small, "stars")
         dropped(last)
 
@@ -465,7 +470,8 @@ def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
         return finished()
     members = held(opened(rooted(prefixes(left, least), roots)), "prefixes")
     family = components(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-    family = held(rooted(family.select(F.col("node").alias("rep"), F.col("root").alias("family")), roots), "families")
+    family = rooted(family.select(F.col("node").alias("rep"), F.col("root").alias("family")), roots)
+    family = held(family.join(first.select("rep", "size"), "rep"), "families")
     in_family = left.join(family.select("rep"), "rep", "left_semi")
     roots = more(unsettled(family_pairs(family, in_family, least), roots))
     return finished()
