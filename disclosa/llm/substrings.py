@@ -21,8 +21,11 @@ from pyspark.sql import types as T
 
 from .common import SPACE, U64, Words, mix, stored, utf8
 
-#: Text bytes of a chunk: the unit that a task holds in memory.
-CHUNK = 4 << 20
+#: Text bytes of a chunk: the unit that a task holds in memory; chunks whose texts have
+#: as many hashes as a part, the unit of the other side; and chunks of a task.  A chunk
+#: sends a row to each part, so rows grow as bytes / CHUNK * bytes / (CHUNK * PART) until
+#: a row holds one hash; larger executors take a larger chunk (``chunk_bytes``).
+CHUNK, PART, TASK = 4 << 20, 4, 8
 _HASHES = "part long, chunk long, hashes binary, docs binary, bits binary"
 _BITS = "chunk long, part long, bits binary"
 
@@ -119,11 +122,13 @@ def _by_chunk(df: DataFrame):
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, carry: list[str]) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text[, carried]) and the number of chunks, also that of the parts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.struct(*carry).alias("carried")] * bool(carry))
+    """(chunk, doc_id, text[, carried]), TASK chunks to a task, and the number of parts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.struct(*(f"`{c}`" for c in carry)).alias("carried")] * bool(carry))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // chunk_bytes))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))), parts
+    chunks = max(1, -(-total // chunk_bytes))
+    tasks = max(-(-chunks // TASK), min(chunks, docs.sparkSession.sparkContext.defaultParallelism))
+    # a row's place in the scan spreads repeated rows; results do not depend on the chunk
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(chunks))).repartition(tasks, "chunk"), -(-chunks // PART)
 
 
 def _repeated(table: pa.Table) -> pa.Table:

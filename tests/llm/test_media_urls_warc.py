@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -118,11 +119,31 @@ def test_wildcards_host_only_rules_and_bounds(spark):
     pages = spark.createDataFrame([(1, "http://a.b.com/x/ads/1"), (2, "http://b.com"), (3, "http://b.com.evil/")], "page_id long, url string")
     got = urls.judge_urls(pages, [urls.Rule("block", "b.com/*/ads/"), urls.Rule("block", "b.com")], otherwise="keep").orderBy("page_id").collect()
     assert [(r.rule, r.verdict) for r in got] == [("b.com/*/ads/", "block"), ("b.com", "block"), (None, "keep")]
+    assert {r.verdict for r in urls.judge_urls(pages, []).collect()} == {"allow"}
     with pytest.raises(ValueError):
-        urls.judge_urls(pages, [urls.Rule("block", "a.b")] * (urls.MOST_RULES + 1))
+        urls.judge_urls(pages, [urls.Rule("block", "/x")])
     assert "rules" in OP6_SQL
 
 
+def test_more_rules_than_an_index_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(urls, "RULES_OF_AN_INDEX", 3)
+    rules = [urls.Rule("allow" if k % 2 else "block", f"h{k % 5}.com/p{'x' * (k % 4)}{'*' * (k % 3)}") for k in range(20)] + [urls.Rule(a, "t.com/") for a in ("allow", "block")]
+    pages = spark.createDataFrame([(k, f"http://www.h{k % 7}.com/p{'x' * (k % 6)}?q") for k in range(60)] + [(100, "http://t.com/"), (101, "http://t.com/" + "y/" * 50_000), (101, "http://t.com/" + "y/" * 50_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    for p in pages.collect():
+        host, path = urls_of(p.url)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and re.match(".*".join(map(re.escape, r.path.split("*"))), path)]
+        best = max(fits, key=lambda r: (len(r.pattern), r.pattern, r.action), default=None)
+        assert got[p.page_id] == ((best.pattern, best.action) if best else (None, "allow"))
+    assert got[100] == got[101] == ("t.com/", "block") and urls.judge_urls(pages, rules).count() == 63
+
+
+def urls_of(url):
+    rest = url.split("://", 1)[1]
+    host, _, path = rest.partition("/")
+    return host, "/" + path.split("?")[0]
+
+
 PAGES = [(1, "http://a", "same"), (5, "http://b", "same"), (3, "http://c\nd", "same"), (2, None, "other"), (4, "u", None), (9, "v", ""), (None, "n", "same"), (None, "n", "alone"), (5, "http://b", "same"), (7, "w", "long é " * 50000), (10**12, "far", "other")]
 
 
