@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,3 +44,9 @@ def collected(features: DataFrame, class_bytes: int) -> pa.Table:
     before = F.coalesce(F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = features.withColumn("hash", by_hash).withColumn("before", before).where(F.col("before") < class_bytes).drop("before", "n_bytes")
     return rows.toArrow().sort_by([("hash", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+
+
+def released() -> None:
+    """Give memory that a fit no longer needs back, for the driver goes on to other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -410,20 +410,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), root being the least of its
     component, by alternating large and small stars until there are only stars.
     Tables of finished rounds go.  Groups are aggregated before they are shuffled, and
-    the edges of a hot node are dealt over SALTS tasks."""
+    the edges of a hot node are dealt over SALTS tasks; nothing is broadcast, for the
+    driver would hold what each round sends."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     dealt = lambda e: e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
-        firsts = e.groupBy("u").agg(F.count("*").alias("n"))
-        inner = e.select(F.col("v").alias("u")).distinct().join(firsts, "u", "left_semi")
-        if firsts.where("n > 1").unionByName(inner.withColumn("n", F.lit(0).cast("long"))).isEmpty():
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up > 0 and n > up)").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = dealt(both.where("v > u")).join(low.select("u", "m", salt), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = dealt(both.where("v > u")).join(low.select("u", "m", salt).hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = dealt(large).join(low.select("u", "m", salt), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = dealt(large).join(low.select("u", "m", salt).hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, e = e, stored(small, "stars")
         dropped(last)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, U64, Words, blocks, fold, id_text, mix, rows_where, utf8
-from .labels import collected, fit_sample, remainder
+from .labels import collected, fit_sample, released, remainder
 
 #: Hashed n-grams; bounds of the fit: documents of each class, and their bytes together.
 DIM, PER_CLASS, FIT_BYTES = 1 << 17, 2000, 20_000_000
@@ -163,7 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
             m = train([rows[i] for i in inner], y[inner], weights[inner])
             margin[part == k] = [m.margin(rows[i]) for i in np.flatnonzero(part == k)]
     slope, shift = calibrate(margin, y, weights)
-    return train(rows, y, weights)._replace(slope=slope, shift=shift)
+    model = train(rows, y, weights)._replace(slope=slope, shift=shift)
+    del got, rows
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

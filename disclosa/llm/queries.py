@@ -79,10 +79,42 @@ def op8_warc(spark, sf_dir):
     return warc.read_archives(spark, at, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: A group of five hex digits gives four characters of base32.
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 1 + 5 * (k // 4), 5) AS bigint) >> cast(15 - 5 * (k % 4) AS int)) & 31)::int, 1)), '') AS digest FROM p
+)
+SELECT page_id, cast(strlen(html) AS bigint) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM b
+"""
+
+
 def op9_substrings(spark, sf_dir):
     return substrings.drop_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+_NEXT = ", ".join(f"lead(word, {k}) OVER p" for k in range(1, 13))
+OP9_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), grams AS (
+  SELECT doc_id, i, concat_ws(' ', word, {_NEXT}) AS g, lead(word, 12) OVER p IS NOT NULL AS whole FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), firsts AS (
+  SELECT g, min(doc_id) AS d FROM grams WHERE whole GROUP BY g
+), hits AS (
+  SELECT doc_id, i FROM grams JOIN firsts USING (g) WHERE whole AND d < doc_id
+), flagged AS (
+  SELECT doc_id, i, word, max(CASE WHEN hits.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN hits USING (doc_id, i)
+)
+SELECT doc_id, count(word) AS n_words, cast(coalesce(sum(gone), 0) AS bigint) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM w LEFT JOIN flagged USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op10_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score(docs, quality.fit(docs, labels))
@@ -93,4 +125,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_urls": OP6_SQL}
+    return {"op6_urls": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL}

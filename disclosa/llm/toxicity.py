@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PUNCT, U64, Words, blocks, fold, id_text, mix, rows_where, utf8
-from .labels import collected, fit_sample, remainder
+from .labels import collected, fit_sample, released, remainder
 
 #: Hashed features; bounds of the fit: documents of each class, and their bytes together.
 DIM, PER_CLASS, FIT_BYTES = 1 << 18, 1000, 20_000_000
@@ -138,7 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     share = np.array([counts.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y]
     rate = counts[1] / sum(counts.values())
     base = float(np.log(max(rate, 1e-4) / max(1.0, ptr[-1] / len(y))))
-    return train(flat, of_feature, ptr, y, share, base)
+    del got, planes, pairs
+    model = train(flat, of_feature, ptr, y, share, base)
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", located: bool = True, offends: float = 0.5) -> DataFrame:

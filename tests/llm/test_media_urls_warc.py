@@ -6,11 +6,12 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disclosa.llm import media, urls, warc
+from disclosa.llm import media, queries, urls, warc
 from disclosa.llm.queries import OP6_SQL, RULES
 
 TEXTS = [(1, "hello"), (2, None), (3, ""), (4, "x" * 64), (5, "y" * 65), (6, "é" * 40), (None, "hello"), (1, "hello"), (7, "long words " * 20000)]
@@ -228,3 +229,14 @@ def test_damage_is_found(spark):
     open(path, "wb").write(gzip.compress(data))
     with pytest.raises(Exception, match="digest"):
         warc.read_archives(spark, at).count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    got, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.sql(queries.oracle_sql()[name])
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(cols).collect()))) == sorted(str(tuple(r[want.columns.index(c)] for c in cols)) for r in want.fetchall())
