@@ -12,14 +12,16 @@ from disclosa.functions.text import normalise, status_of
 from .windows import forward_fill, forward_fill_parts, latest_filled
 
 
-def _distinct(x: Column, where: Column) -> Column:
-    return F.count_distinct(F.when(where, x))
+def distinct(x: Column, where: Column | None = None) -> Column:
+    """Aggregate: the number of distinct values of a small group.  A set in the
+    aggregate's buffer, so rows are neither expanded nor shuffled for each of several."""
+    return F.size(F.collect_set(x if where is None else F.when(where, x)))
 
 
 def portfolios_or_lenders(pair: Column, has_portfolio: Column, lender: Column) -> Column:
     """Distinct (lender, portfolio) pairs with a portfolio; without any, distinct lenders."""
-    pairs = _distinct(pair, has_portfolio)
-    return F.when(pairs > 0, pairs).otherwise(F.count_distinct(lender)).cast("int")
+    pairs = distinct(pair, has_portfolio)
+    return F.when(pairs > 0, pairs).otherwise(distinct(lender)).cast("int")
 
 
 def monthly_summary(raw: DataFrame, order: list[str]) -> DataFrame:
@@ -38,7 +40,7 @@ def monthly_summary(raw: DataFrame, order: list[str]) -> DataFrame:
     as_on = F.max("as_on_timestamp")
     out = rows.groupBy(*keys).agg(
         F.coalesce(latest_filled(F.col("lsp_name"), F.col("scrape_timestamp"), tie), F.concat(F.lit("LSP-"), F.first("lsp_id").cast("string"))).alias("name"),
-        F.count_distinct(own).cast("int").alias("total_lenders"),
+        distinct(own).cast("int").alias("total_lenders"),
         portfolios_or_lenders(F.struct(lender, portfolio), portfolio != "", F.nullif(lender, F.lit(""))).alias("total_portfolios"),
         F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"),
         latest_filled(F.col("dlg_url"), F.col("scrape_timestamp"), tie).alias("dlg_url"),

@@ -783,9 +783,3 @@ def g10(t):
 def g11(t):
     k = F.col("id")
     return t.master.select("id", links.diagnosis(k % 2 == 0, k % 3 == 0, k % 5).alias("why"))
-
-
-@query("e18_normaliser")
-def e18(t):
-    rows = labels(t).select((F.col("id") % 40).alias("source_id"), F.col("id").cast("int").alias("row_pos"), F.col("lsp").alias("lsp_name"), "lender", "portfolio", "amount", F.lit(dt.date(2025, 11, 30)).alias("as_on"))
-    return normalise.cleaned(rows, ["lender"])

@@ -9,7 +9,7 @@ import json
 from pyspark.sql import functions as F
 
 from disclosa.functions import dates, status
-from disclosa.operators import links, mutations, windows
+from disclosa.operators import links, mutations, normalise, windows
 from disclosa.plans.catalogue import query
 from disclosa.sources import cells, fetch, html, lines, ocr, report, rules, scrape
 
@@ -295,6 +295,19 @@ def e17(t):
 # ---------------------------------------------------------------- the whole path
 
 
+@query("e18_normaliser", f"""
+WITH k AS (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'L' || cast(o_orderkey AS varchar) WHEN 5 THEN 'L5' END AS lender FROM orders WHERE o_orderkey % 6 IN (0, 4, 5))
+SELECT o_custkey AS source_id, o_orderkey AS row_pos, last_value(lender IGNORE NULLS) {UP_TO} AS lender, CASE WHEN o_orderkey % 6 = 5 THEN 'Total' ELSE 'P' || cast(o_orderkey AS varchar) END AS portfolio, {AMOUNT} AS amount, '2025-11-30' AS as_on FROM k""")
+def e18_clean(t):
+    null = F.lit(None).cast("string")
+    lender = of(6, text("L", key()), F.lit("L"), F.lit("Lender"), null, F.lit(" "), F.lit("L5"))
+    portfolio = of(6, text("P", key()), F.lit("Grand Total"), F.lit("Portfolio"), null, text("P", key()), F.lit("Total"))
+    k = F.col("o_orderkey") % 6
+    rows = t.orders.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("row_pos"), text("S ", F.col("o_custkey").cast("string")).alias("lsp_name"), lender.alias("lender"), portfolio.alias("portfolio"), F.when(k != 3, price().cast("double")).alias("amount"), F.lit(ONE_DAY).alias("as_on"), (k == 5).alias("force_include"))
+    twice = rows.unionByName(rows.where(F.col("lender").isNotNull() & ~F.col("force_include")).withColumn("row_pos", F.col("row_pos") + 10_000_000))
+    return shown(normalise.cleaned(twice, ["lender"]), "row_pos", "lender", "portfolio", "amount")
+
+
 TABLE_RULES = [json.dumps({"field_map": {"lender": "Bank", "portfolio": "Pool", "amount": "Outstanding", "as_on": {"constant": d}}}) for d in ("30.11.2025", "31.10.2025")]
 
 
