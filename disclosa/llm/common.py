@@ -2,56 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
+from disclosa.shared import dropped, fresh_dir, stored  # noqa: F401 (for the operators)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the
-    folder given to ``setCheckpointDir``.
-
-    Without either a local session gets a folder of its own; on a cluster, where
-    such a folder would be another on each machine, it is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jdir.get() if jdir.isDefined() else None
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        at = "file://" + tempfile.mkdtemp(prefix="disclosa-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
-    """``df`` written as Parquet (in the shared folder, if no other is given) and read
-    back: lineage is cut and a lost executor costs nothing that was already computed."""
-    spark, at = df.sparkSession, at or fresh_dir(df.sparkSession, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files that ``stored`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+U64 = np.uint64
 
 
 def rows_where(docs: DataFrame, text_col: str, judge) -> DataFrame:

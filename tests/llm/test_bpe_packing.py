@@ -140,3 +140,41 @@ def test_sequences_are_balanced_in_cost():
     assert sum(p[2] for p in pieces) == sum(lengths)
     full = sorted(cost.values())[5:-5]
     assert max(full) / min(full) < 2
+
+
+def plain_assignment(lengths, size):
+    """The rule word by word: sequences to fill exactly; longest first; always the
+    cheapest sequence with room, the lower on ties."""
+    total = sum(lengths)
+    room = [size] * (total // size) + [1 << b for b in range(size.bit_length(), -1, -1) if total % size >> b & 1]
+    used, cost, out, whole, rest = [0] * len(room), [0.0] * len(room), [], 0, []
+    for d, n in enumerate(lengths):
+        k = n // size
+        out += [(d, i * size, size, whole + i, 0) for i in range(k)]
+        for i in range(k):
+            used[whole + i] = size
+        whole += k
+        if n % size:
+            rest.append((n % size, d, k * size))
+    for n, d, at in sorted(rest, key=lambda x: (-x[0], x[1])):
+        while n:
+            free = [s for s in range(whole, len(room)) if used[s] < room[s]]
+            s = min(free, key=lambda s: (cost[s], s))
+            take = min(n, room[s] - used[s])
+            out.append((d, at, take, s, used[s]))
+            used[s], cost[s], at, n = used[s] + take, cost[s] + take + take * take / 1024, at + take, n - take
+    return out
+
+
+def test_assignment_equals_the_plain_rule():
+    r = random.Random(9)
+    for size in (8, 64, 1024):
+        for _ in range(30):
+            lengths = [r.randint(1, size * 3 if r.random() < 0.2 else size) for _ in range(r.randint(0, 40))]
+            assert packing.assign(lengths, size) == plain_assignment(lengths, size)
+
+
+def test_a_very_long_text_is_packed_whole(spark, tik):
+    text = "word and word " * 120_000
+    got = packing.pack_documents(table(spark, [(1, text), (2, "x")]), JSON, P.PATTERN).collect()
+    check_pieces(got, {1: [*tik.encode_ordinary(text), 0], 2: [*tik.encode_ordinary("x"), 0]})

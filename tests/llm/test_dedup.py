@@ -3,12 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from disclosa.llm import nearcopies, substrings
-from disclosa.llm.common import PUNCT, Words, fold
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,29 +68,51 @@ def corpus():
     return docs
 
 
-def brute_classes(docs, least=0.8):
-    seqs = []
-    for _, text in docs:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        w = Words(fold(raw), np.array([0, len(raw)]), PUNCT)
-        seqs.append(nearcopies.shingles(w)[0] if len(w.starts) else (text or ""))
-    parent = {d: d for d, _ in docs}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, (a, _) in enumerate(docs):
+CAPITALS = {c: c + 32 for c in [*range(65, 91), *range(0xC0, 0xDF)] if c != 0xD7}
+
+
+def plain_words(text):
+    return re.findall("[0-9A-Za-z_\x80-\U0010ffff]+", (text or "").translate(CAPITALS))
+
+
+def plain_shingles(text):
+    """Five words each; a shorter text is one."""
+    w = plain_words(text)
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+def brute_links(docs, least=0.8):
+    """Pairs (i, j, similarity) of documents, all pairs looked at, by the definition alone."""
+    seqs, out = [plain_shingles(t) for _, t in docs], []
+    counts, ids = [Counter(s) for s in seqs], {}
+    coded = [[ids.setdefault(x, len(ids)) for x in s] for s in seqs]
+    for i in range(len(docs)):
         for j in range(i):
-            x, y = seqs[i], seqs[j]
-            same = x == y if isinstance(x, str) or isinstance(y, str) else nearcopies.similarity(x, y, least) >= least
-            if isinstance(x, str) != isinstance(y, str):
-                same = False
-            if same is True or (not isinstance(same, bool) and same.all()):
-                lo, hi = sorted((root(a), root(docs[j][0])))
-                parent[hi] = lo
-    return {d: root(d) for d, _ in docs}
+            n, m = len(seqs[i]), len(seqs[j])
+            if not n or not m:
+                if n == m and (docs[i][1] or "") == (docs[j][1] or ""):
+                    out.append((j, i, 1.0))
+                continue
+            if min(n, m) < least * max(n, m):
+                continue
+            both = sum((counts[i] & counts[j]).values())  # no less than in order
+            if both < least * (n + m - both) - 1e-9:
+                continue
+            both = n if seqs[i] == seqs[j] else lcs(coded[i], coded[j])
+            if both >= least * (n + m - both) - 1e-9:
+                out.append((j, i, both / (n + m - both)))
+    return out
+
+
+def brute_classes(docs, least=0.8):
+    root = list(range(len(docs)))
+    for i, j, _ in brute_links(docs, least):
+        a, b = root[i], root[j]
+        root = [a if x == b else x for x in root]
+    first = {}
+    for (d, _), r in zip(docs, root):
+        first[r] = min(d, first.get(r, d))
+    return {d: first[r] for (d, _), r in zip(docs, root)}
 
 
 def frame(spark, docs):
@@ -108,6 +130,12 @@ def test_classes_equal_brute_force(classes):
     assert {d: r.class_id for d, r in got.items()} == brute_classes(docs)
 
 
+def test_classes_of_test_documents_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in nearcopies.near_copies(frame(spark, docs)).collect()}
+    assert got == brute_classes(docs) and len(set(got.values())) < len(got)
+
+
 def test_copies_and_small_texts(classes):
     _, got = classes
     assert got[1].copy_of == 0 and got[50].copy_of == 0 and got[6001].class_id == 6000 and got[6002].class_id == 6002

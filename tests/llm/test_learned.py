@@ -4,8 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_dedup import brute_classes, brute_removed
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from disclosa.llm import neighbours, quality, queries, substrings, toxicity
@@ -275,6 +278,43 @@ def test_many_equal_vectors(spark):
     assert got == {q: [i for _, i in w] for q, w in want.items()}
 
 
+def test_pipeline_equals_brute_force(spark):
+    """Every stage anew on 200 documents: scores of the fitted models for each text alone,
+    all pairs for near copies, a dictionary of windows for passages, the tokenizer as it is."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+
+    def raw(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return data, np.array([0, len(data)])
+
+    good = quality.fit(docs, labels)
+    kept = {d: t for d, t in rows.items() if good.score(quality.indicators(*raw(t))[0]) >= 0.5}
+    toxic = toxicity.fit(docs.where(F.col("doc_id").isin(list(kept))), labels)
+
+    def score(text):
+        s = toxicity.sentences(*raw(text))
+        return float(toxicity.noisy_or(toxic.logits(s), s.ptr)[0])
+
+    kept = {d: t for d, t in kept.items() if score(t) < 0.5}
+    classes = brute_classes(list(kept.items()))
+    kept = {d: t for d, t in kept.items() if classes[d] == d}
+    cut = {d: (n, gone, text) for d, n, gone, _, text in brute_removed(list(kept.items()))}
+    kept = {d: t if not cut[d][1] else cut[d][2] for d, t in kept.items() if cut[d][1] < cut[d][0] or not cut[d][0]}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in kept.items()}
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in pieces} == set(want)
+    for r in pieces:
+        ids = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+    assert sum(r.length for r in pieces) == sum(map(len, want.values()))
+    places = sorted((r.sequence_id, r.offset, r.length) for r in pieces)
+    for (s, at, n), (t, after, _) in zip(places, places[1:]):
+        assert after == (at + n if s == t else 0) and at + n <= 1024
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SMALL}/documents.parquet"), {}
     columns = docs.columns
