@@ -357,6 +357,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 3, le
     short = queries.join(few.where(F.col("n") >= wanted).hint("merge"), queries["id"] == few["query_id"], "left_anti")
     dropped(probes)
     if wanted < 1 or short.isEmpty():
+        dropped(items), dropped(queries)
         return found
     short = stored(short.select("id", "vec"), "ann-short")
     more = _ranked(_everywhere(items, short, n, dim, k), k)
