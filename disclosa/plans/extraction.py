@@ -314,7 +314,9 @@ TABLE_RULES = [json.dumps({"field_map": {"lender": "Bank", "portfolio": "Pool",
 def scraped(t):
     """Customers as sources: every third discloses in text, the others in a table;
     some have no URL, some failed."""
-    row = text("<tr><td>B", (F.col("o_orderkey") % 5).cast("string"), "</td><td>P", key(), "</td><td>", price(), "</td></tr>")
+    k = F.col("o_orderkey")
+    amount = F.when(k % 10 == 0, text("Rs. ", (k % 1000 + 1).cast("string"), ",00,00,000")).otherwise(text((k % 50_000 + 1000).cast("string"), ".25"))
+    row = text("<tr><td>B", (k % 5).cast("string"), "</td><td>P", key(), "</td><td>", amount, "</td></tr>")
     docs = per_customer(t, row=row, line=text("Lender A", (F.col("o_orderkey") % 5).cast("string"), ":\nPortfolio ", key(), ": ", price()))
     table = text("<table><tr><th>Bank</th><th>Pool</th><th>Outstanding</th></tr>", F.array_join("row", ""), "<tr><td>Total</td><td></td><td>9</td></tr></table>")
     plain = text("<p>Digital Lending App: App\nas on November 30, 2025\n", F.array_join("line", "\n"), "</p>")
@@ -324,12 +326,13 @@ def scraped(t):
     return scrape.scraped(sources, pages)
 
 
-CROWN = "CASE WHEN {x} >= 100000 THEN round({x} / 10000000, 4) ELSE {x} END".replace("{x}", AMOUNT)
+#: Full rupees become crores.
+TABLED = "CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 1000 + 1.0 ELSE o_orderkey % 50000 + 1000.25 END"
 
 
 @query("e18_crawl_rows", f"""
 SELECT o_custkey AS source_id, CASE WHEN o_custkey % 3 = 0 THEN 'App' END AS lsp_name, CASE WHEN o_custkey % 3 = 0 THEN 'Lender A' ELSE 'B' END || cast(o_orderkey % 5 AS varchar) AS lender,
-       CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'P' END || cast(o_orderkey AS varchar) AS portfolio, CASE WHEN o_custkey % 3 = 0 THEN {AMOUNT} ELSE {CROWN} END AS amount,
+       CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'P' END || cast(o_orderkey AS varchar) AS portfolio, CASE WHEN o_custkey % 3 = 0 THEN {AMOUNT} ELSE cast({TABLED} AS double) END AS amount,
        CASE WHEN o_custkey % 3 <> 0 AND o_custkey % 5 = 0 THEN '2025-10-31' ELSE '2025-11-30' END AS as_on FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 11 <> 0""")
 def e18_rows(t):
     rows = scraped(t)[0]
