@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from disclosa.functions.status import fetch_status
 from disclosa.operators.filters import raw_total
 from disclosa.operators.normalise import cleaned, statuses, typed
+from disclosa.shared import stored
 from disclosa.sources.fetch import looks_like_pdf, strategy
 from disclosa.sources.html import html_table_rows, page_text
 from disclosa.sources.lines import text_rows
@@ -58,6 +59,7 @@ def scraped(sources: DataFrame, pages: DataFrame, fill: list[str] = ("lender",),
     totals = grand_totals(texts.join(parsed.where("error is null").select("source_id").distinct(), "source_id", "left_anti"))
     totals = totals.join(texts.select("source_id", "scrape_ts"), "source_id").withColumn("row_pos", F.lit(0))
     rows = _rows(resolved.withColumn("force_include", F.lit(False))).unionByName(_rows(parsed)).unionByName(_rows(totals))
+    rows = stored(rows, "scraped")  # read three times below; pages are parsed once
     failed = rows.where("error is not null").groupBy("source_id").agg(F.min("error").alias("error"))
     clean = cleaned(rows.where("error is null"), list(fill))
     found = statuses(sources.select("source_id").join(failed, "source_id", "left"), clean)
