@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import pyarrow as pa
@@ -50,3 +51,5 @@ def released() -> None:
     """Give memory that a fit no longer needs back, for the driver goes on to other work."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)

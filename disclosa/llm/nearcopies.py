@@ -461,11 +461,11 @@ def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     links: list[DataFrame] = []
     members = held(opened(first.select("rep", "size", F.explode("keys").alias("key"), F.col("rep").alias("root"))), "buckets")
     placed = first.select("rep", "doc_id", "mark").join(members.select("rep").distinct(), "rep")
-    found = rows.select("doc_id", mark_of(), "text").join(placed, ["doc_id", "mark"]).dropDuplicates(["rep"])
+    found = rows.select("doc_id", mark_of(), "text").join(placed.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["rep"])
     texts = held(found.select("rep", "text"), "texts")
     roots = more(pivot_pairs(members, least).distinct())
     rest = opened(rooted(members.where("rep <> pivot").select("key", "rep", "size"), roots))
-    left = held(texts.join(rest.select("rep").distinct(), "rep"), "texts")
+    left = held(texts.join(rest.select("rep").distinct().hint("merge"), "rep"), "texts")
     if left.isEmpty():
         return finished()
     members = held(opened(rooted(prefixes(left, least), roots)), "prefixes")
@@ -477,9 +477,10 @@ def linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return finished()
 
 
-def row_classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", kept: list[DataFrame] | None = None) -> DataFrame:
     """For each row with an id: doc_id, mark (``mark_of``), copy_of, class_id and
-    class_mark: the row of least (doc_id, mark) stands for its class."""
+    class_mark: the row of least (doc_id, mark) stands for its class.  Tables that the
+    result reads are added to ``kept``."""
     rows = id_text(docs, id_col, text_col).where("doc_id is not null")
     every = stored(sketches(rows), "sketches")
     groups = every.groupBy("digest").agg(F.min(F.struct("doc_id", "mark", "size", "keys")).alias("least"), F.count("*").alias("n"))
@@ -487,11 +488,13 @@ def row_classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     rep = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("rep")
     named = stored(groups.select("digest", rep, "n", "least.*"), "representatives")
     roots = linked(named.where("keys is not null").select("rep", "doc_id", "mark", "size", "keys"), rows, least)
+    if kept is not None:
+        kept += [every, named, roots]
     head = F.struct("doc_id", "mark").alias("head")
     known = named.select("digest", "rep", "n", head).join(roots.withColumnRenamed("node", "rep"), "rep", "left").where("root is not null or n > 1")
     heads = known.where("root is not null").groupBy("root").agg(F.min("head").alias("first"))
     known = known.join(heads, "root", "left").select("digest", F.col("head.doc_id").alias("copy_of"), F.coalesce("first", "head").alias("head"))
-    met = every.select("doc_id", "mark", "digest").join(known, "digest", "left")
+    met = every.select("doc_id", "mark", "digest").join(known.hint("merge"), "digest", "left")
     return met.select("doc_id", "mark", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("head.mark", "mark").alias("class_mark"))
 
 
@@ -522,14 +525,20 @@ def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     are left out of it).  Every other row stays as it is; an empty table stays empty.
     """
     spare = [f"{c}_of_near_copies" for c in ("id", "mark")]
-    ids = row_classes(docs)
+    kept: list[DataFrame] = []
+    ids = row_classes(docs, least, kept=kept)
     n = ids.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"), F.min("class_mark").alias("class_mark"))
     alone = (F.col("class_id") == F.col("doc_id")) & (F.col("class_mark") == F.col("mark"))
     odd = stored(n.where(~alone | (F.col("n") > 1)).select(F.col("doc_id").alias(spare[0]), F.col("mark").alias(spare[1]), alone.alias("stays_of_near_copies")), "fates")
-    met = docs.join(odd, (F.col("doc_id") == odd[spare[0]]) & (mark_of() == odd[spare[1]]), "left")
-    plain = met.where(F.col(spare[0]).isNull()).select(*[docs[c] for c in _quoted(docs)])
+    for df in kept:
+        dropped(df)
+    same = (F.col("doc_id") == odd[spare[0]]) & (mark_of() == odd[spare[1]])
+    plain = docs.join(odd.hint("merge"), same, "left_anti")
+    repeated = odd.where("stays_of_near_copies")
+    if repeated.isEmpty():
+        return plain
     order = [F.col(c) for c, f in zip(_quoted(docs), docs.schema) if "map<" not in f.dataType.simpleString()]
-    many = met.where("stays_of_near_copies")
+    many = docs.join(repeated.hint("merge"), same)
     many = many.groupBy(*spare).agg(F.min_by(F.struct(*[F.col(c) for c in _quoted(docs)]), F.struct(*order)).alias("row"))
     return plain.unionByName(many.select(*[F.col("row")[f.name].alias(f.name) for f in docs.schema]))
 
