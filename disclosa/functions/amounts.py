@@ -9,6 +9,8 @@ from .text import strip
 
 #: From here on an amount is taken to be in rupees; rupees in a crore.
 RUPEES_FROM, CRORE, LAKHS = 100_000, 10_000_000, 100
+#: Characters that are misread digits, and the digits.
+MISREAD = ("OoIl|SsBb/", "0011155887")
 
 
 def parse_amount(x: Column) -> Column:
@@ -61,7 +63,7 @@ def recover(lender: Column, portfolio: Column, amount: Column) -> tuple[Column,
 def ocr_digits(raw: Column) -> Column:
     """Digits misread as letters repaired; null below three digits; of several
     dots the first stays."""
-    t = F.regexp_replace(F.translate(raw, "OoIl|SsBb/", "0011155887"), r"[^0-9.,-]", "")
+    t = F.regexp_replace(F.translate(raw, *MISREAD), r"[^0-9.,-]", "")
     t = F.regexp_replace(t, r"^[.,]+|[.,]+$", "")
     first, rest = F.substring_index(t, ".", 1), F.regexp_replace(t, r"^[^.]*", "")
     joined = F.when(F.length(rest) > 0, F.concat(first, F.lit("."), F.replace(rest, F.lit("."), F.lit("")))).otherwise(t)

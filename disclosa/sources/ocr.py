@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disclosa.functions.amounts import from_unit
+from disclosa.functions.amounts import MISREAD, from_unit
 from disclosa.functions.dates import previous_month_end, previous_quarter_end
 
-#: Misread digits, words that announce amounts, and an amount's pattern.
-MISREAD = str.maketrans("OoIl|SsBb/", "0011155887")
+#: Words that announce amounts, and an amount's pattern.
 KEYWORDS = ("dlg", "default loss guarantee")
 AMOUNT = re.compile(r"(?:₹|INR|Rs\.?)?\s*([0-9OolI|S,/\.\-]{1}[0-9OolI|S,/\.\- ,]{2,})\s*(?:Cr|Crores?)?", re.I)
 PORTFOLIO = re.compile(r"^\s*portfolio\s+\d+", re.I)
@@ -21,7 +20,7 @@ PORTFOLIO = re.compile(r"^\s*portfolio\s+\d+", re.I)
 
 def repaired(raw: str) -> str | None:
     """A number's text from misread characters, null below three digits."""
-    t = re.sub(r"[^0-9.,-]", "", (raw or "").translate(MISREAD)).strip(".,")
+    t = re.sub(r"[^0-9.,-]", "", (raw or "").translate(str.maketrans(*MISREAD))).strip(".,")
     head, dot, rest = t.partition(".")
     return head + dot + rest.replace(".", "") if len(re.sub(r"\D", "", t)) >= 3 else None
 

@@ -219,3 +219,12 @@ def test_appends_write_only_new_rows(spark, tmp_path):
     assert got.id == 7 and '"role":"admin"' in got.payload
     tables.write_ocr(spark.createDataFrame([("Portfolio 1", 2.0, "x")], "portfolio_hint string, amount double, context_before string"), f"file://{tmp_path}/ocr", "csv", simple=True)
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/ocr").columns == ["portfolio_hint", "amount"]
+
+
+def test_tables_of_a_database_are_read_in_parts(spark):
+    url, driver = "jdbc:derby:memory:disclosa;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("Source "), "id").alias("NAME"))
+    rows.write.format("jdbc").options(url=url, dbtable="SOURCES", driver=driver).mode("overwrite").save()
+    found = tables.jdbc_table(spark, url, "SOURCES", driver=driver, partitionColumn="ID", lowerBound="0", upperBound="100", numPartitions="4")
+    assert found.rdd.getNumPartitions() == 4 and found.where("ID < 10").count() == 10
+    assert sorted(r.NAME for r in found.collect()) == sorted(r.NAME for r in rows.collect())
