@@ -30,7 +30,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TABLES, LEAST = 28, 5
 #: Documents aligned with one text in one go; documents and shingles of a family's block.
 UNIT, BLOCK, BLOCK_SHINGLES = 64, 256, 500_000
-#: Parts over which the edges of a hot node are dealt.
+#: Parts over which the members of a hot bucket and the edges of a hot node are dealt.
 SALTS = 8
 #: Counters of shingles that order them from rare to frequent (a fixed size; any order is right).
 COUNTERS = 1 << 20
@@ -154,6 +154,16 @@ def mark_of(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark")
 
 
+def _salt(by: str):
+    """One of SALTS parts, by a column."""
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _each_salt():
+    """A row for each part, for the side of a join that has one row a key."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with the ``root`` of their class so far, themselves if they have none."""
     met = members.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("known")), "rep", "left")
@@ -163,10 +173,11 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 def opened(members: DataFrame) -> DataFrame:
     """Members (key, rep, size, root) of the buckets whose members are not all of one
     class so far, with the bucket's pivot: key, rep, size, pivot, pivot_size.  A pivot
-    is the least by hash, so it is the same in many buckets."""
+    is the least by hash, so it is the same in many buckets; the members of a large
+    bucket are dealt over SALTS tasks."""
     own = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    own = own.where("lo <> hi").select("key", F.col("p.rep").alias("pivot"), F.col("p.size").alias("pivot_size"))
-    return members.select("key", "rep", "size").join(own, "key")
+    own = own.where("lo <> hi").select("key", F.col("p.rep").alias("pivot"), F.col("p.size").alias("pivot_size"), _each_salt())
+    return members.select("key", "rep", "size", _salt("rep")).join(own, ["key", "salt"]).drop("salt")
 
 
 def unsettled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -412,8 +423,6 @@ def components(edges: DataFrame) -> DataFrame:
     Tables of finished rounds go.  Groups are aggregated before they are shuffled, and
     the edges of a hot node are dealt over SALTS tasks; nothing is broadcast, for the
     driver would hold what each round sends."""
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    dealt = lambda e: e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
@@ -421,9 +430,9 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = dealt(both.where("v > u")).join(low.select("u", "m", salt).hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").select("u", "v", _salt("v")).join(low.select("u", "m", _each_salt()).hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = dealt(large).join(low.select("u", "m", salt).hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.select("u", "v", _salt("v")).join(low.select("u", "m", _each_salt()).hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, e = e, stored(small, "stars")
         dropped(last)
 
