@@ -265,7 +265,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id long, rank int, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 3, leaf: int = LEAF, target: float = 0.93, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 3, leaf: int = LEAF, target: float = 0.95, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest other vectors found for each whose id is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id, score (inner product in doubles of
