@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import dropped, id_text, stored
 
 
 def remainder(folds: int, id_col: str = "doc_id"):
@@ -29,10 +29,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null").where(learn)
     own = own.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     there = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    own = own.join(there.hint("merge"), "doc_id")
+    own = stored(own.join(there.hint("merge"), "doc_id"), "labels")
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * per_class ids
+    picked = [tuple(r) for y in (0, 1) for r in own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    dropped(own)
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, y int")  # at most 2 * per_class
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), counts
 
 
