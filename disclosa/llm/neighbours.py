@@ -140,7 +140,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     e = F.col("vec")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & e.isNotNull())
-    return kept.where(finite & F.exists(e, lambda x: x != 0)).distinct()
+    return kept.where(finite & F.exists(e, lambda x: x != 0))
 
 
 class Cells:
