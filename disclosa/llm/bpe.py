@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, utf8
 
-#: Entries of each generation of a per-process memo.
-MEMO = 250_000
+#: Entries of each generation of a per-process memo, and of the one of parts between spaces.
+MEMO, PARTS = 250_000, 500_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -222,17 +222,17 @@ class Unsafe(Exception):
 
 
 class Memo(dict):
-    """Computes what is missing; holds at most two generations of MEMO entries,
+    """Computes what is missing; holds at most two generations of ``most`` entries,
     of which the older one goes when the younger is full."""
 
-    def __init__(self, compute):
-        self.compute, self.older = compute, {}
+    def __init__(self, compute, most: int):
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
         out = self.older.get(key)
         if out is None:
             out = self.compute(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = out
@@ -249,14 +249,16 @@ class TextEncoder:
 
     def __init__(self, pattern: str, encode_piece):
         self.findall, self.encode_piece = regex.compile(pattern).findall, encode_piece
-        self.pieces = Memo(lambda p: packed(encode_piece(p.encode("utf-8", "replace"))))
-        self.spaced, self.bare = Memo(self.part), Memo(lambda p: self.part(p, ""))
+        self.piece = lambda p: packed(encode_piece(p.encode("utf-8", "replace")))
+        self.pieces = Memo(self.piece, MEMO)
+        self.spaced, self.bare = Memo(self.part, PARTS), Memo(lambda p: self.part(p, ""), MEMO)
 
     def part(self, part: str, lead: str = " ") -> bytes:
         if not part or part[0].isspace() or part[-1].isspace():
             raise Unsafe
         pieces = self.findall(lead + part)
-        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        # a part of one piece is remembered as a part
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def by_pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.findall(text)))
