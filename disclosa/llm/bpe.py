@@ -17,12 +17,15 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import id_text, utf8
 
-#: Entries of each generation of a per-process memo, and of the one of parts between spaces.
-MEMO, PARTS = 250_000, 500_000
+#: Entries of the automaton and the trie of a process; bytes of a generation of a memo,
+#: and of the one of parts between spaces; bytes from which a piece or part is encoded
+#: by itself and not remembered.
+MEMO, MEMO_BYTES, PARTS_BYTES, LONG = 250_000, 50_000_000, 100_000_000, 256
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -62,6 +65,8 @@ class PrefixBpe:
         s = self.states[state] + bytes((byte,))
         while s not in self.heads:
             s = s[1:]
+        if len(self.go) >= 4 * MEMO:
+            self.go.clear()
         self.go[state << 8 | byte] = out = self.heads[s]
         return out
 
@@ -97,6 +102,8 @@ class PrefixBpe:
         t = self.rank.get(piece)
         if t is not None:
             return [t]
+        if len(piece) > LONG:
+            return self.encode_long(piece)
         trie, tokens, states = self.trie
         if len(tokens) >= 2 * MEMO:
             self.trie = trie, tokens, states = {}, [-1], [0]
@@ -140,7 +147,20 @@ class PrefixBpe:
         out.reverse()
         return out
 
-    def fill(self, data: bytes, last: list[int], state: int, begin: int):
+    def encode_long(self, piece: bytes) -> array:
+        """The same for a piece of any length: four bytes for each entry and each id."""
+        last = array("i", [-1])
+        for _ in self.fill(piece, last, 0, 0):
+            pass
+        size, out, n = self.size_of, array("I"), len(piece)
+        while n:
+            out.append(t := last[n])
+            n -= size[t]
+        del last
+        out.reverse()
+        return out
+
+    def fill(self, data: bytes, last, state: int, begin: int):
         """Adds the entries after the first ``begin`` bytes and yields each."""
         go, endings, apart = self.go, self.endings, self.apart
         for i in range(begin, len(data)):
@@ -210,8 +230,8 @@ class PrefixTable:
         return out[::-1]
 
 
-def packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
+def packed(ids) -> bytes:
+    out = ids if isinstance(ids, array) else array("I", ids)
     if sys.byteorder == "big":
         out.byteswap()
     return out.tobytes()
@@ -222,23 +242,49 @@ class Unsafe(Exception):
 
 
 class Memo(dict):
-    """Computes what is missing; holds at most two generations of ``most`` entries,
-    of which the older one goes when the younger is full."""
+    """Computes what is missing; holds at most two generations of ``most`` bytes (keys,
+    values and what a dictionary needs), of which the older one goes when the younger is
+    full.  Long keys are not held."""
 
     def __init__(self, compute, most: int):
-        self.compute, self.most, self.older = compute, most, {}
+        self.compute, self.most, self.older, self.held = compute, most, {}, 0
 
     def __missing__(self, key):
         out = self.older.get(key)
         if out is None:
             out = self.compute(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
+        if len(key) > LONG:
+            return out
+        if self.held >= self.most:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[key] = out
+        self.held += 2 * len(key) + len(out) + 200
         return out
 
 
+#: Characters by class: the first is one that every table of Unicode puts there.
+CLASSES = {r"\p{L}": "a", r"\p{N}": "0", r"\s": "\t"}
+
+
+def members(escape: str) -> str:
+    """The characters that tiktoken itself takes for this class."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    plain = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return bytes(plain.encode_ordinary(every)).decode()
+
+
+def stand_ins() -> dict[int, str]:
+    """For the characters that ``regex`` puts in another class than tiktoken, whose
+    tables of Unicode are older: one of tiktoken's class."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    own, theirs = {}, {}
+    for escape, char in CLASSES.items():
+        own |= dict.fromkeys(regex.findall(escape, every), char)
+        theirs |= dict.fromkeys(members(escape), char)
+    return {ord(c): theirs.get(c, "!") for c in own.keys() | theirs.keys() if own.get(c) != theirs.get(c)}
+
+
 class TextEncoder:
     """Whole texts to packed little-endian uint32 ids.
 
@@ -248,20 +294,26 @@ class TextEncoder:
     """
 
     def __init__(self, pattern: str, encode_piece):
-        self.findall, self.encode_piece = regex.compile(pattern).findall, encode_piece
+        self.pattern, self.encode_piece, self.stand_ins = regex.compile(pattern), encode_piece, stand_ins()
         self.piece = lambda p: packed(encode_piece(p.encode("utf-8", "replace")))
-        self.pieces = Memo(self.piece, MEMO)
-        self.spaced, self.bare = Memo(self.part, PARTS), Memo(lambda p: self.part(p, ""), MEMO)
+        self.pieces = Memo(self.piece, MEMO_BYTES)
+        self.spaced, self.bare = Memo(self.part, PARTS_BYTES), Memo(lambda p: self.part(p, ""), MEMO_BYTES)
+
+    def split(self, text: str) -> list[str]:
+        """The pieces that tiktoken makes of a text."""
+        if text.isascii() or self.stand_ins.keys().isdisjoint(map(ord, set(text))):
+            return self.pattern.findall(text)
+        return [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
     def part(self, part: str, lead: str = " ") -> bytes:
         if not part or part[0].isspace() or part[-1].isspace():
             raise Unsafe
-        pieces = self.findall(lead + part)
+        pieces = self.split(lead + part)
         # a part of one piece is remembered as a part
         return self.piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def by_pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
@@ -286,8 +338,18 @@ def loaded(data: bytes, pattern: str) -> TextEncoder:
     return _LOADED[key]
 
 
+#: Ids that are decoded at once.
+DECODED = 1 << 16
+
+
+def decoded(token: list[bytes], data: bytes):
+    """The bytes of ids, some at a time."""
+    for at in range(0, len(data), 4 * DECODED):
+        yield b"".join(map(token.__getitem__, np.frombuffer(data[at : at + 4 * DECODED], "<u4").tolist()))
+
+
 def decode(token: list[bytes], data: bytes) -> bytes:
-    return b"".join(map(token.__getitem__, np.frombuffer(data, "<u4").tolist()))
+    return b"".join(decoded(token, data))
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -299,7 +361,8 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str
     ids, digests of the empty string), a null doc_id stays null, other columns
     are left out, an empty table gives an empty result.
 
-    The vocabulary is read where the driver runs and broadcast: its size is
+    A piece of any length takes about ten bytes of memory for each of its own, and memos
+    hold a fixed number of bytes.  The vocabulary is read where the driver runs and broadcast: its size is
     fixed and does not follow the corpus.  No shuffle.
     """
     with open(vocab_path, "rb") as f:
@@ -315,7 +378,10 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str
                 data = enc.encode(whole[off[i] : off[i + 1]].decode("utf-8", "replace"))
                 n.append(len(data) // 4)
                 sha_i.append(hashlib.sha256(data).hexdigest())
-                sha_d.append(hashlib.sha256(decode(token, data)).hexdigest())
+                sha = hashlib.sha256()
+                for some in decoded(token, data):
+                    sha.update(some)
+                sha_d.append(sha.hexdigest())
                 if keep_ids:
                     ids.append(np.frombuffer(data, "<u4").astype(np.int32))
             cols = [batch.column(0), pa.array(n, pa.int64())]

@@ -53,7 +53,44 @@ def test_packing_ids_equal_tokenizers():
     with open(JSON, "rb") as f:
         fast = packing._tokenizer(f.read(), P.PATTERN)
     for x in texts():
-        assert fast.encode_to_numpy(x, allowed_special="all").tolist() == tok.encode(x, add_special_tokens=False).ids, repr(x)
+        assert ids(fast.encode(x)) == tok.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u3000"])
+def test_packing_of_long_white_space(space):
+    tok = Tokenizer.from_file(JSON)
+    with open(JSON, "rb") as f:
+        fast = packing._tokenizer(f.read(), P.PATTERN)
+    many = space * 1_000_000
+    for x in (many * 3, f"{many}a", f"word{many}", f"a {many}b c{many}'s", f"{many}<|endoftext|>{many}x", f"x<|endoftext|>{many}"):
+        assert ids(fast.encode(x)) == tok.encode(x, add_special_tokens=False).ids
+
+
+def test_every_character_is_split_as_by_tiktoken(enc, tik):
+    every = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x110000)) if i < 0x3400 or i in enc.stand_ins or i % 7 == 0]
+    for around in ("{0}a", "{0}1", "{0}\u0301", "{0} {0}", "{0}'s", "b{0}", "'{0}!"):
+        text = "\n".join(around.format(c) for c in every)
+        assert ids(enc.encode(text)) == tik.encode_ordinary(text)
+        one_by_one = tik.encode_ordinary_batch([around.format(c) for c in every[::5]])
+        assert [ids(enc.encode(around.format(c))) for c in every[::5]] == one_by_one
+
+
+def test_long_pieces_are_not_remembered(enc, tik):
+    random.seed(8)
+    text = "".join(random.choice("abcdefgh") for _ in range(300_000))
+    before = len(enc.bpe.trie[1]), len(enc.spaced), len(enc.pieces), len(enc.bare)
+    for x in (text, f"{text} {text[:5000]}!"):
+        got = enc.encode(x)
+        assert ids(got) == tik.encode_ordinary(x) and bpe.decode(enc.bpe.token, got) == x.encode()
+    assert sum((len(enc.bpe.trie[1]), len(enc.spaced), len(enc.pieces), len(enc.bare))) <= sum(before) + 4
+
+
+def test_memos_are_bounded_in_bytes():
+    memo = bpe.Memo(lambda k: k.encode() * 3, 10_000)
+    for i in range(5000):
+        assert memo[str(i) * 10] == (str(i) * 10).encode() * 3
+        assert sum(2 * len(k) + len(v) + 200 for k, v in memo.items()) <= 10_500
+    assert memo["7" * 10] == ("7" * 10).encode() * 3 and memo["x" * 1000] and "x" * 1000 not in memo
 
 
 def test_appends_prefixes_and_edits_are_exact(enc, tik):
