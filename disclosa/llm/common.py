@@ -154,3 +154,19 @@ class Words:
 def owners(ptr: np.ndarray) -> np.ndarray:
     """The document of each word or gram."""
     return np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+
+
+def answered(asks: DataFrame, answers: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``asks`` (a stored table of about ``total`` rows) left joined with ``answers``
+    (unique by ``on``): requests travel to their answers.
+
+    A key that more than one in 1024 requests name (and more than 256) is answered by
+    broadcast instead, so no task gets more of a hot key; of such keys there are fewer
+    than 1024 at any size.
+    """
+    often = asks.groupBy(*on).count().where(F.col("count") > max(256, total // 1024)).drop("count").collect()
+    if not often:
+        return asks.join(answers, on, "left")
+    keys = F.broadcast(asks.sparkSession.createDataFrame(often, asks.select(*on).schema))
+    hot = F.broadcast(answers.join(keys, on, "left_semi"))
+    return asks.join(keys, on, "left_anti").join(answers, on, "left").unionByName(asks.join(keys, on, "left_semi").join(hot, on, "left"))

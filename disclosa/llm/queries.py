@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, media, nearcopies, neighbours, packing, quality, substrings, toxicity, urls, warc
+from . import bpe, media, nearcopies, neighbours, packing, quality, substrings, toxicity, trie, urls, warc
 
 
 def table(spark, sf_dir, name):
@@ -120,9 +120,48 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, labels))
 
 
+def op11_trie(spark, sf_dir):
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+#: h of a conversation: crc32 of its decimal id, a byte and eight shifts at a time.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ord(c)::bigint + 256, 0, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: CASE WHEN x >= 256 THEN xor(a, x - 256) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i < h
+  UNION ALL SELECT conv_id, 1, i, role, text FROM c JOIN t USING (conv_id) WHERE i >= h
+), s AS (
+  SELECT conv_id, text, list({{'role': role, 'text': text}}) OVER p AS k, row_number() OVER p AS d FROM r WINDOW p AS (PARTITION BY conv_id ORDER BY part, i)
+), m AS (
+  SELECT conv_id, d, k::varchar || length(k) AS k, text FROM s UNION ALL SELECT conv_id, 0, '', '' FROM c
+), member AS (
+  SELECT conv_id, d, text, min(conv_id) OVER (PARTITION BY d, k) AS node, d = max(d) OVER (PARTITION BY conv_id) AS last FROM m
+), node AS (
+  SELECT node, d, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-
+]+')) AS saved,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM member GROUP BY node, d
+), up AS (
+  SELECT node.node, node.d, p.node AS parent FROM node LEFT JOIN member p ON p.conv_id = node.node AND p.d = node.d - 1
+), kids AS (
+  SELECT parent AS node, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL
+), sums AS (
+  SELECT a.node, a.d, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM node LEFT JOIN kids ON kids.node = node.node AND kids.d = node.d JOIN member a ON a.conv_id = node.node AND a.d <= node.d GROUP BY a.node, a.d
+)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, cast(leaves AS bigint) AS n_leaves, cast(sums.saved AS bigint) AS saved_tokens, ends_sha256
+FROM node JOIN up USING (node, d) JOIN sums USING (node, d) LEFT JOIN kids USING (node, d)
+"""
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {"op6_urls": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL}
+    return {"op6_urls": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op11_trie": OP11_SQL}
