@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, media, nearcopies, neighbours, packing, quality, substrings, toxicity, trie, urls, warc
+from . import bpe, media, nearcopies, neighbours, packing, phrases, quality, substrings, toxicity, trie, urls, warc
 
 
 def table(spark, sf_dir, name):
@@ -159,9 +159,46 @@ FROM node JOIN up USING (node, d) JOIN sums USING (node, d) LEFT JOIN kids USING
 """
 
 
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split(trim(piece), ' ') AS w
+  FROM (SELECT lang, regexp_replace(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[ \t]+', ' ', 'g') AS piece FROM documents)
+  WHERE trim(piece) <> ''
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f, any_value(lang || chr(10) || phrase) AS id FROM grams GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, cast(sum(f) AS bigint) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, lang || chr(10) || w[1] AS x, lang || chr(10) || array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, phrase, a, 2, lang || chr(10) || w[1] || ' ' || w[2], lang || chr(10) || w[3] FROM c WHERE k = 3
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, fx.f AS l, fy.f AS r, cast((1000000::hugeint * a * a) // (fx.f::hugeint * fy.f) AS bigint) AS score
+  FROM cuts JOIN f fx ON fx.id = x JOIN f fy ON fy.id = y
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS top FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE top IS NULL OR 100 * top < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {"op6_urls": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op11_trie": OP11_SQL}
+    return {"op6_urls": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op11_trie": OP11_SQL, "op12_phrases": OP12_SQL}
