@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, media, nearcopies, neighbours, packing, phrases, quality, substrings, toxicity, trie, urls, warc
+from . import bpe, media, nearcopies, neighbours, packing, phrases, pii, quality, substrings, toxicity, trie, urls, warc
 
 
 def table(spark, sf_dir, name):
@@ -196,6 +196,13 @@ FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
 
+def op13_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    spans = pii.spans_text(F.array_sort(F.concat("base", "added")))
+    return found.select("doc_id", *map(count, range(4)), "base_sha256", spans.alias("spans"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
