@@ -82,16 +82,21 @@ def parse_date(text: Column) -> Column:
     )
 
 
-def parse_date_as(text: Column, hint: str) -> Column:
+def parse_date_by(text: Column, hint: Column) -> Column:
     """By one of the hints DD.MM.YYYY, DD-MM-YYYY, DD Month YYYY (with ordinal),
-    Mon YYYY (the month's end), else any date."""
+    Mon YYYY (the month's end), else any date; the hint is a column."""
     t = strip(text.cast("string"))
-    if hint in ("DD.MM.YYYY", "DD-MM-YYYY"):
-        p = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})" if "." in hint else r"^(\d{1,2})-(\d{1,2})-(\d{4})"
-        return F.coalesce(_date(F.regexp_extract(t, p, 3), F.regexp_extract(t, p, 2), F.regexp_extract(t, p, 1)), parse_date(t))
-    if hint == "Mon YYYY":
-        return F.last_day(parse_date(t))
-    return parse_date(t)
+    found = parse_date(t)
+
+    def leading(mark):
+        p = rf"^(\d{{1,2}}){mark}(\d{{1,2}}){mark}(\d{{4}})"
+        return F.coalesce(_date(F.regexp_extract(t, p, 3), F.regexp_extract(t, p, 2), F.regexp_extract(t, p, 1)), found)
+
+    return F.when(hint == "DD.MM.YYYY", leading(r"\.")).when(hint == "DD-MM-YYYY", leading("-")).when(hint == "Mon YYYY", F.last_day(found)).otherwise(found)
+
+
+def parse_date_as(text: Column, hint: str) -> Column:
+    return parse_date_by(text, F.lit(hint))
 
 
 def any_date(text: str | None) -> dt.date | None:

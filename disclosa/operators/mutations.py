@@ -147,13 +147,13 @@ def replace_stale(raw: DataFrame, crawled: DataFrame, order: list) -> DataFrame:
     return kept.unionByName(crawled.join(none, "lsp_id", "left_anti").select(*crawled.columns), allowMissingColumns=True)
 
 
-def placeholder(sources: DataFrame, status: str, scraped: Column) -> DataFrame:
+def placeholder(sources: DataFrame, status: str | Column, scraped: Column) -> DataFrame:
     """A row without measures that tells how a source's crawl failed."""
     null = lambda t: F.lit(None).cast(t)
     return sources.select(
         F.col("id").alias("lsp_id"), F.col("name").alias("lsp_name"), null("string").alias("lender"), null("string").alias("portfolio"),
         null("double").alias("amount"), null("timestamp_ntz").alias("as_on_timestamp"), scraped.alias("scrape_timestamp"),
-        F.lit(status).alias("complete"), F.coalesce(F.nullif(F.trim("dlg_url"), F.lit("")), F.lit("NA")).alias("dlg_url"),
+        (F.lit(status) if isinstance(status, str) else status).alias("complete"), F.coalesce(F.nullif(F.trim("dlg_url"), F.lit("")), F.lit("NA")).alias("dlg_url"),
     )
 
 

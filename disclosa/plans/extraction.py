@@ -259,8 +259,9 @@ WITH n AS (SELECT *, {NTH} AS nth FROM orders)
 SELECT o_custkey AS source_id, 'ACME' AS lender, max(CASE WHEN nth = 2 THEN strftime(o_orderdate, '%d.%m.%Y') END) AS as_on FROM n GROUP BY o_custkey""")
 def e15(t):
     docs = texts(t, text("as on ", F.date_format("o_orderdate", "dd.MM.yyyy"), " for a table"))
-    page = rules.page_values({"table_index": 1, "page_level": {"lender_constant": "ACME", "as_on_regex": r"as on ([0-9.]+)"}}, F.col("text"))
-    return docs.select("source_id", page["lender"].alias("lender"), page["as_on"].alias("as_on"))
+    docs = rules.with_specs(docs.withColumn("rules_json", F.lit(json.dumps({"table_index": 1, "page_level": {"lender_constant": "ACME", "as_on_regex": r"as on ([0-9.]+)"}}))))
+    page = lambda name: rules.page_value(F.col(f"spec.page_{name}"), F.col("text")).alias(name)
+    return docs.select("source_id", page("lender"), page("as_on"))
 
 
 RULE_SETS = (
@@ -273,7 +274,7 @@ RULE_SETS = (
 
 @query("e16_field_rules", """
 WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, 'B' || cast(o_custkey AS varchar) || ' Ltd' AS bank, 'Set ' || cast(o_orderkey AS varchar) AS cohort, cast(cast(o_totalprice AS decimal(15, 2)) AS varchar) AS price FROM orders)
-SELECT id, CASE k WHEN 0 THEN NULL WHEN 1 THEN bank WHEN 2 THEN regexp_extract(bank, '^B([0-9]+)', 1) END AS lender, CASE k WHEN 1 THEN 'Pool' WHEN 3 THEN NULL ELSE cohort END AS portfolio,
+SELECT id, CASE k WHEN 0 THEN bank WHEN 1 THEN bank WHEN 2 THEN regexp_extract(bank, '^B([0-9]+)', 1) END AS lender, CASE k WHEN 1 THEN 'Pool' WHEN 3 THEN NULL ELSE cohort END AS portfolio,
        CASE k WHEN 0 THEN price WHEN 1 THEN 'R' || price WHEN 2 THEN price END AS amount_text, CASE k WHEN 1 THEN '30.11.2025' WHEN 2 THEN '2025-10-31' END AS as_on_text, k = 3 AS failed FROM r""")
 def e16(t):
     headers = F.array(*map(F.lit, ["Bank", "Cohort name", "Sum (₹)", "Outstanding 31.10.2025 Cr"]))
@@ -322,8 +323,12 @@ def scraped(t):
     plain = text("<p>Digital Lending App: App\nas on November 30, 2025\n", F.array_join("line", "\n"), "</p>")
     k = F.col("source_id")
     pages = docs.select("source_id", F.lit("text/html").alias("content_type"), F.when(k % 3 == 0, plain).otherwise(table).alias("body"), scraped_at().alias("scrape_ts"), F.when(k % 11 == 0, "timed out").alias("error"))
-    sources = docs.select("source_id", text("Source ", k.cast("string")).alias("lsp_name"), F.when(k % 7 != 0, text("https://x/", k.cast("string"))).alias("dlg_url"), F.when(k % 3 == 0, "plain_text").when(k % 3 == 1, "html_table").alias("parse_hint"), F.when(k % 5 == 0, TABLE_RULES[1]).otherwise(TABLE_RULES[0]).alias("rules_json"))
-    return scrape.scraped(sources, pages)
+    return scrape.scraped(crawled_sources(t), pages)
+
+
+def crawled_sources(t):
+    k = F.col("o_custkey")
+    return t.orders.select(k).distinct().select(k.alias("source_id"), text("Source ", k.cast("string")).alias("lsp_name"), F.when(k % 7 != 0, text("https://x/", k.cast("string"))).alias("dlg_url"), F.when(k % 3 == 0, "plain_text").when(k % 3 == 1, "html_table").alias("parse_hint"), F.when(k % 5 == 0, TABLE_RULES[1]).otherwise(TABLE_RULES[0]).alias("rules_json"))
 
 
 #: Full rupees become crores.
@@ -345,6 +350,105 @@ def e18_status(t):
     return scraped(t)[1]
 
 
+def ruled(t):
+    """A source a customer, each with rules of its own: the second table of its page
+    under a caption, rows that its filter keeps or that its exclusion leaves, lenders
+    filled from above."""
+    k = F.col("o_orderkey")
+    cell = lambda x: text("<td>", x, "</td>")
+    row = text("<tr>", cell(F.when(k % 2 == 0, text("B", (k % 5).cast("string"))).otherwise("")), cell(text("P", key())), cell(text((k % 50_000 + 1000).cast("string"), ".25")), cell(F.when(k % 3 == 0, "Closed 5").otherwise("Live ")), "</tr>")
+    head = "<tr><th>Bank {0}</th><th>Pool</th><th>Outstanding as on {1}</th><th>Type</th></tr>"
+    docs = per_customer(t, row=row)
+    c = F.col("source_id")
+    decoy = "<table>" + head.format("x", "1.1.2020") + "<tr><td>D</td><td>Decoy</td><td>1</td><td>live</td></tr></table>"
+    own = text("<table><tr><th colspan=4>Portfolio of the month</th></tr>", F.replace(F.lit(head.format("NAME", "30.11.2025")), F.lit("NAME"), c.cast("string")), F.array_join("row", ""), "</table>")
+    pages = docs.select("source_id", F.lit("text/html").alias("content_type"), text(decoy, own).alias("body"), scraped_at().alias("scrape_ts"), F.lit(None).cast("string").alias("error"))
+    test = F.when(c % 3 == 0, ', "row_filter": {"column": "Type", "value": "live"}').when(c % 3 == 1, ', "row_exclude": {"column": "Type", "regex": "^closed"}').otherwise("")
+    fields = text('{"field_map": {"lender": {"keys": ["Bank ', c.cast("string"), '"]}, "portfolio": {"regex": "^po+l$"}, "amount": {"keys": ["outstanding"]}, "as_on": {"extract_regex": "as on ([0-9.]+)", "date_format": "DD.MM.YYYY"}}')
+    rule = text(fields, ', "table_index": 1, "skip_th_captions": true', test, F.when(c % 2 == 0, ', "forward_fill": ["Lender"]').otherwise(""), "}")
+    sources = docs.select("source_id", text("Source ", c.cast("string")).alias("lsp_name"), text("https://x/", c.cast("string")).alias("dlg_url"), F.when(c % 4 == 0, "auto").otherwise("html_table").alias("parse_hint"), rule.alias("rules_json"))
+    return sources, pages
+
+
+@query("e18_own_rules", f"""
+WITH k AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'B' || cast(o_orderkey % 5 AS varchar) END AS own FROM orders WHERE o_custkey % 3 = 2 OR o_orderkey % 3 <> 0)
+SELECT o_custkey AS source_id, CASE WHEN o_custkey % 2 = 0 THEN last_value(own IGNORE NULLS) {UP_TO} ELSE own END AS lender, 'P' || cast(o_orderkey AS varchar) AS portfolio,
+       cast(o_orderkey % 50000 + 1000.25 AS double) AS amount, '2025-11-30' AS as_on FROM k""")
+def e18_ruled(t):
+    return shown(scrape.scraped(*ruled(t))[0], "lender", "portfolio", "amount")
+
+
+@query("e16_many_rules", """
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 <> 0 THEN 'B' || cast(o_custkey AS varchar) END AS lender, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'Set ' || cast(o_orderkey AS varchar) END AS portfolio,
+       CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN NULL ELSE cast(o_custkey + 1 AS varchar) END AS amount_text, o_custkey % 5 = 0 AS failed FROM orders""")
+def e16_many(t):
+    """As many rules as customers; every fifth is broken, every fifth takes no amount."""
+    c = F.col("o_custkey").cast("string")
+    headers = F.array(text("Bank of ", c), F.lit("Cohort name"), text("Sum ", c))
+    vals = F.array(text("B", c), text("Set ", key()), text("no. ", (F.col("o_custkey") + 1).cast("string"), " of ", c))
+    amount = F.when(F.col("o_custkey") % 5 == 1, text("^x", c)).otherwise(r"no\\. (\\d+)")
+    pattern = F.when(F.col("o_custkey") % 5 == 0, "((").otherwise(text("of ", c, "$"))
+    rule = text('{"field_map": {"lender": {"regex": "', pattern, '"}, "amount": {"keys": ["sum ', c, '"], "regex": "', amount, '"}}}')
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), headers.alias("headers"), vals.alias("vals"), rule.alias("rules_json"))
+    return rules.resolved_each(rows).select("id", "lender", "portfolio", "amount_text", F.col("error").isNotNull().alias("failed"))
+
+
+def recognised(t):
+    """Customers as sources of scanned reports in lakhs or crores; some are no PDF, some do
+    not say how to read them."""
+    row = text("Portfolio ", key(), " ", price())
+    docs = per_customer(t, x=of(3, F.array(row), F.array(F.lit("about"), F.lit("DLG"), text("Portfolio ", key(), " Rs ", price())), F.array(text("Lender has ", price()))))
+    c = F.col("source_id")
+    unit = F.when(c % 3 == 0, '"amount_unit": "Crore"').when(c % 3 == 1, '"amount_unit": "lakhs"').otherwise('"amount_unit": "LAKH"')
+    day = F.when(c % 2 == 0, '{"constant": "30.11.2025"}').otherwise('{"fallback": "previous_quarter_end"}')
+    rule = F.when(c % 5 == 0, "{}").otherwise(text('{"ocr": {"simple": {', unit, '}}, "field_map": {"lender": {"constant": "Bank"}, "as_on": ', day, "}}"))
+    sources = docs.select("source_id", text("Source ", c.cast("string")).alias("lsp_name"), text("https://x/", c.cast("string"), F.when(c % 7 == 0, "").otherwise(".pdf")).alias("dlg_url"), F.lit("ocr_simple").alias("parse_hint"), rule.alias("rules_json"))
+    pages = docs.select("source_id", F.lit("").alias("content_type"), F.lit("").alias("body"), scraped_at().alias("scrape_ts"), F.lit(None).cast("string").alias("error"))
+    return scrape.scraped(sources, pages, lines=docs.select("source_id", F.lit(1).alias("page"), F.flatten("x").alias("lines")))
+
+
+@query("e18_recognised_rows", f"""
+SELECT o_custkey AS source_id, 'Bank' AS lender, 'Portfolio ' || cast(o_orderkey AS varchar) AS portfolio,
+       round(CASE o_custkey % 3 WHEN 0 THEN {AMOUNT} ELSE {AMOUNT} / 100 END, 4) AS amount, CASE WHEN o_custkey % 2 = 0 THEN '2025-11-30' ELSE '2025-09-30' END AS as_on
+FROM orders WHERE o_orderkey % 3 <> 2 AND o_custkey % 5 <> 0 AND o_custkey % 7 <> 0""")
+def e18_recognised(t):
+    return shown(recognised(t)[0], "lender", "portfolio", "amount")
+
+
+@query("e18_recognised_status", """
+SELECT o_custkey AS source_id, CASE WHEN o_custkey % 5 = 0 OR o_custkey % 7 = 0 THEN 'Error' WHEN count(*) FILTER (WHERE o_orderkey % 3 <> 2) = 0 THEN 'NoData' WHEN o_custkey % 2 = 1 THEN 'Stale' ELSE 'Completed' END AS status
+FROM orders GROUP BY o_custkey""")
+def e18_recognised_status(t):
+    return recognised(t)[1]
+
+
+@query("e18_report_rows", f"""
+SELECT o_custkey AS source_id, CASE WHEN o_custkey % 2 = 0 THEN 'Lender ' || cast(o_orderkey AS varchar) ELSE 'Portfolio ' || cast(o_orderkey AS varchar) END AS lender,
+       CASE WHEN o_custkey % 2 = 0 THEN {AMOUNT} ELSE cast(1000 + o_orderkey AS double) END AS amount, CASE WHEN o_custkey % 2 = 0 THEN '2025-11-30' ELSE '2025-10-31' END AS as_on FROM orders""")
+def e18_reports(t):
+    """Reports whose numbered tables (even customers) and texts (odd ones) the crawl reads."""
+    c = F.col("source_id")
+    docs = texts(t, text("portfolio", key(), " ", F.format_number(F.col("o_orderkey") + 1000, 0), " yes"))
+    sources = docs.select("source_id", "lsp_name", F.lit("https://x/a.pdf").alias("dlg_url"), F.lit("pdf_table").alias("parse_hint"), F.lit(None).cast("string").alias("rules_json"))
+    pages = docs.select("source_id", F.lit("application/pdf").alias("content_type"), F.lit("").alias("body"), scraped_at().alias("scrape_ts"), F.lit(None).cast("string").alias("error"))
+    none = F.lit("")
+    cells = F.array(F.lit("1"), text("Lender ", key()), none, none, none, price())
+    numbered = t.orders.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("row_no"), cells.alias("cells"), F.lit("Date of data as on 30th November, 2025").alias("page_text"), F.lit(None).cast("string").alias("rules_json"))
+    told = docs.where(c % 2 == 1).withColumn("as_on", F.lit(dt.date(2025, 10, 31)))
+    rows = scrape.scraped(sources, pages, numbered=numbered, report_texts=told)[0]
+    return shown(rows, F.initcap("lender").alias("lender"), "amount")
+
+
+@query("e18_raw_rows", f"""
+WITH s AS (SELECT DISTINCT o_custkey AS id, CASE WHEN o_custkey % 7 = 0 THEN 'Missing' WHEN o_custkey % 11 = 0 THEN 'Error' WHEN o_custkey % 3 <> 0 AND o_custkey % 5 = 0 THEN 'Stale' ELSE 'Completed' END AS status FROM orders)
+SELECT o_custkey AS lsp_id, 'Source ' || cast(o_custkey AS varchar) AS lsp_name, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'P' END || cast(o_orderkey AS varchar) AS portfolio, status AS complete, 'https://x/' || cast(o_custkey AS varchar) AS dlg_url
+FROM orders JOIN s ON id = o_custkey WHERE status NOT IN ('Missing', 'Error')
+UNION ALL SELECT id, 'Source ' || cast(id AS varchar), NULL, status, CASE WHEN status = 'Missing' THEN 'NA' ELSE 'https://x/' || cast(id AS varchar) END FROM s WHERE status IN ('Missing', 'Error')""")
+def e18_raw(t):
+    rows, known = scraped(t)
+    return scrape.raw_rows(crawled_sources(t), rows, known, scraped_at()).select("lsp_id", "lsp_name", "portfolio", "complete", "dlg_url")
+
+
 # ---------------------------------------------------------------- fetching and links
 
 

@@ -170,14 +170,16 @@ class HtmlTableRows:
         yield from table_rows(html, table_index, bool(skip_captions))
 
 
-def html_table_rows(pages: DataFrame, html: str = "html", table_index: int | None = None, skip_captions: bool = False) -> DataFrame:
+def html_table_rows(pages: DataFrame, html: str = "html", table_index: int | str | None = None, skip_captions: bool | str = False) -> DataFrame:
     """Each page's columns with the rows of its tables; cells are also a map, in
-    which the last of equal headers wins."""
+    which the last of equal headers wins.  ``table_index`` and ``skip_captions`` are
+    values, or the names of columns that hold a page's own."""
     spark = pages.sparkSession
     spark.udtf.register("disclosa_table_rows", HtmlTableRows)
     keep = [c for c in pages.columns if c != html]
-    index = "NULL" if table_index is None else str(int(table_index))
-    rows = spark.sql(f"SELECT p.*, t.* FROM {{pages}} p, LATERAL disclosa_table_rows(p.`{html}`, CAST({index} AS INT), {str(skip_captions).lower()}) t", pages=pages)
+    index = f"p.{table_index}" if isinstance(table_index, str) else "NULL" if table_index is None else str(int(table_index))
+    skip = f"p.{skip_captions}" if isinstance(skip_captions, str) else str(bool(skip_captions)).lower()
+    rows = spark.sql(f"SELECT p.*, t.* FROM {{pages}} p, LATERAL disclosa_table_rows(p.`{html}`, CAST({index} AS INT), {skip}) t", pages=pages)
     last = F.filter(F.transform("headers", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.size(F.filter(F.slice("headers", x["i"] + 2, F.size("headers")), lambda y: y == x["h"])) == 0)
     cells = F.map_from_entries(F.transform(last, lambda x: F.struct(x["h"], F.get("vals", x["i"]))))
     return rows.select(*keep, "table_no", "row_no", "headers", "vals").withColumn("cells", cells)

@@ -96,10 +96,18 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def fallback_day(scraped: Column, quarterly: bool = False) -> Column:
+    return previous_quarter_end(scraped) if quarterly else previous_month_end(scraped)
+
+
+def in_crores(found: DataFrame, unit: Column, as_on: Column, lender: Column) -> DataFrame:
+    """Recognised amounts with a portfolio, in crores by their unit (rupees if it names
+    neither crores nor lakhs)."""
+    rows = found.where(F.col("portfolio_hint").isNotNull())
+    return rows.withColumns({"lender": lender, "portfolio": F.col("portfolio_hint"), "amount": F.round(from_unit(F.col("amount"), unit), 4), "as_on": as_on})
+
+
 def normalised(found: DataFrame, unit: Column, as_on: Column, scraped: Column, lender: Column, quarterly: bool = False) -> DataFrame:
     """Recognised amounts in crores; without a date the end of the month or quarter before."""
-    fallback = previous_quarter_end(scraped) if quarterly else previous_month_end(scraped)
-    return found.where(F.col("portfolio_hint").isNotNull()).select(
-        "source_id", lender.alias("lender"), F.col("portfolio_hint").alias("portfolio"), F.round(from_unit(F.col("amount"), unit), 4).alias("amount"),
-        F.coalesce(as_on, fallback).alias("as_on"), scraped.alias("scrape_ts"),
-    )
+    rows = in_crores(found, unit, F.coalesce(as_on, fallback_day(scraped, quarterly)), lender)
+    return rows.select("source_id", "lender", "portfolio", "amount", "as_on", scraped.alias("scrape_ts"))

@@ -1,162 +1,265 @@
-"""Per-source rules compiled to Column expressions over a row's headers and cells.
+"""Per-source rules as data.
 
-A row has ``headers`` (array, in order) and ``vals`` (array beside it).  A rule
-is validated and translated when it is compiled, so that a broken pattern marks
-its own source and does not stop the job.
+The rules of a source are read once into a record of plain values (``SPEC``), and one
+generic expression interprets the record of a row over its headers and cells, so a plan
+is as large for ten thousand sources as for one.  A broken pattern marks its own source
+when its record is made and does not stop the job.
+
+A row has ``headers`` (array, in order) and ``vals`` (array beside it).
 """
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disclosa.functions.dates import parse_date, parse_date_as
-from disclosa.functions.text import extract, strip
+from disclosa.functions.dates import parse_date, parse_date_by
+from disclosa.functions.text import normalise, strip
 from disclosa.sources.lines import load_rules
 
-#: Keys sought where a rule names none.
+#: Keys sought where a rule names none.
 DEFAULTS = {
-    "lender": ["lender", "regulated entity", "name of the lender", "partner", "nbfc"],
-    "portfolio": ["portfolio", "cohort", "set", "particulars"],
-    "amount": ["amount", "outstanding", "aum", "dlg"],
-    "as_on": ["as on", "as_on", "ason", "date"],
+    "lender": ["Lender", "Lending Partner", "Partner", "NBFC", "Bank"],
+    "portfolio": ["Portfolio", "DLG set", "Cohort", "Set", "Portfolio Name"],
+    "amount": ["Amount", "Outstanding AUM", "AUM", "Outstanding", "DLG Amount", "Outstanding AUM (₹ crores)", "Outstanding AUM (INR crore)"],
+    "as_on": ["ason", "As on", "As-on", "AsOn", "As on date", "Date", "AsOnTimestamp"],
 }
+#: Names that rules give to the columns to fill.
+FILLS = {"lender": "lender", "portfolio": "portfolio", "amount": "amount", "asontimestamp": "as_on", "as_on": "as_on", "ason": "as_on"}
+FIELDS = tuple(DEFAULTS)
+
+#: How a field is found: a constant; else the first filled cell under a header that fits
+#: ``header``; else the cell of the first key, of which ``regex`` may take a group.
+_FIELD = "struct<constant:string,header:string,keys:array<string>,regex:string,grp:int,must:boolean>"
+#: Where a date may stand in a header: of this name, that fits this, or has one of these.
+_DATED = "struct<name:string,header:string,keys:array<string>,regex:string,grp:int,form:string>"
+_PAGE = "struct<regex:string,grp:int,nth:int,constant:string>"
+_TEST = "struct<col:string,value:string,regex:string,ignore_case:boolean>"
+#: The record of a source's rules.
+SPEC = (
+    f"struct<error:string,{','.join(f'{f}:{_FIELD}' for f in FIELDS)},dated:{_DATED},page_lender:{_PAGE},page_as_on:{_PAGE},"
+    f"keep:{_TEST},drop:{_TEST},fill:array<string>,table_index:int,skip_captions:boolean,ocr:struct<unit:string,quarterly:boolean,error:string>>"
+)
 
 
 class BadRule(ValueError):
-    """A rule that cannot be compiled."""
+    """A rule that cannot be used."""
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern for the JVM; BadRule if it is no pattern."""
+    """The pattern for the JVM; BadRule if it is no pattern there."""
     try:
         re.compile(pattern)
     except re.error as why:
         raise BadRule(f"{pattern!r}: {why}") from why
-    return re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+    if re.search(r"(?<!\\)\(\?\(", pattern):
+        raise BadRule(f"{pattern!r}: conditions are not supported")
+    named = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+    return re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", named).replace(r"\Z", r"\z")
+
+
+def _grouped(pattern: str, group) -> dict:
+    """The pattern, across line ends, and the group to take; without such a group it
+    finds nothing."""
+    own = java_pattern(pattern)
+    there = 0 <= int(group) <= re.compile(pattern).groups
+    return {"regex": f"(?is){own}" if there else "(?!)", "grp": int(group) if there else 0}
+
+
+def _field(spec, name: str) -> dict:
+    """``_FIELD`` of one field of a rule's map."""
+    out = dict.fromkeys(("constant", "header", "keys", "regex", "grp"), None) | {"must": name == "amount"}
+    if isinstance(spec, str):
+        return out | {"keys": [spec]}
+    spec = spec if isinstance(spec, dict) else {}
+    if spec.get("constant") is not None:
+        return out | {"constant": str(spec["constant"]).strip()}
+    if spec.get("regex") and "keys" not in spec and name != "as_on":
+        return out | {"header": "(?i)" + java_pattern(spec["regex"])}
+    out["keys"] = [str(k) for k in spec.get("keys") or DEFAULTS[name]]
+    if spec.get("regex") and name != "as_on":
+        out |= _grouped(spec["regex"], spec.get("group", 1))
+    return out
+
+
+def _dated(fields: dict) -> dict | None:
+    """``_DATED`` where the date is to be read from the amount's or portfolio's header."""
+    spec = fields.get("as_on")
+    if not isinstance(spec, dict) or spec.get("constant") is not None or not spec.get("extract_regex"):
+        return None
+    name = {"amount_column": "amount", "portfolio_column": "portfolio"}.get(spec.get("extract_from", "amount_column"))
+    of = fields.get(name)
+    out = dict.fromkeys(("name", "header", "keys"), None) | _grouped(spec["extract_regex"], 1) | {"form": spec.get("date_format")}
+    if isinstance(of, str):
+        return out | {"name": of}
+    if not isinstance(of, dict):
+        return None
+    if of.get("regex") and "keys" not in of:
+        return out | {"header": "(?i)" + java_pattern(of["regex"])}
+    return out | {"keys": [str(k) for k in of.get("keys") or DEFAULTS[name]]}
+
+
+def _page(rules: dict, name: str) -> dict:
+    page = rules.get("page_level") if isinstance(rules.get("page_level"), dict) else {}
+    pattern, constant = page.get(f"{name}_regex"), page.get(f"{name}_constant")
+    nth = rules.get("table_index") if name == "as_on" else None
+    taken = _grouped(pattern, page.get(f"{name}_group", 1)) if pattern else {"regex": None, "grp": None}
+    return taken | {"nth": None if nth is None else int(nth), "constant": None if constant is None else str(constant)}
+
+
+def _test(rule) -> dict | None:
+    if not isinstance(rule, dict) or rule.get("column") is None:
+        return None
+    fold = bool(rule.get("case_insensitive", True))
+    value, pattern = rule.get("value"), rule.get("regex")
+    value = None if value is None else str(value).strip().lower() if fold else str(value).strip()
+    return {"col": str(rule["column"]), "value": value, "regex": ("(?i)" if fold else "") + java_pattern(pattern) if pattern else None, "ignore_case": fold}
+
+
+def _ocr(rules: dict) -> dict:
+    own = rules.get("ocr") if isinstance(rules.get("ocr"), dict) else {}
+    own = own["simple"] if isinstance(own.get("simple"), dict) else own
+    error = None if own else "Missing 'ocr' configuration for parse_hint=ocr_simple"
+    if own and str(own.get("method") or "simple").lower() != "simple":
+        error = f"Unsupported OCR method '{own['method']}'"
+    as_on = (rules.get("field_map") or {}).get("as_on")
+    return {"unit": str(own.get("amount_unit") or "rupees").lower(), "quarterly": isinstance(as_on, dict) and as_on.get("fallback") == "previous_quarter_end", "error": error}
+
+
+def spec_of(rules_json: str | None) -> dict:
+    """The record (``SPEC``) of a source's rules; text that is no JSON object is no rules."""
+    rules = load_rules(rules_json)
+    empty = dict.fromkeys(("error", *FIELDS, "dated", "page_lender", "page_as_on", "keep", "drop", "fill", "table_index", "skip_captions", "ocr"))
+    try:
+        fields = rules.get("field_map") if isinstance(rules.get("field_map"), dict) else {}
+        index = rules.get("table_index")
+        fill = [FILLS[k] for c in rules.get("forward_fill") or [] if (k := re.sub(r"[\s_]+", "", str(c).lower())) in FILLS]
+        found = {f: _field(fields.get(f), f) for f in FIELDS} | {"dated": _dated(fields), "page_lender": _page(rules, "lender"), "page_as_on": _page(rules, "as_on")}
+        found |= {"keep": _test(rules.get("row_filter")), "drop": _test(rules.get("row_exclude")), "fill": fill, "ocr": _ocr(rules)}
+        return empty | found | {"table_index": None if index is None else int(index), "skip_captions": bool(rules.get("skip_th_captions"))}
+    except (ValueError, TypeError, AttributeError, KeyError, re.error) as why:  # BadRule is a ValueError
+        return empty | {"error": str(why), "skip_captions": False}
+
+
+def with_specs(sources: DataFrame, rules: str = "rules_json", spec: str = "spec") -> DataFrame:
+    """``sources`` with the record of their rules: a Python worker reads each source's
+    rules once, rows of pages never."""
+
+    @F.pandas_udf(SPEC)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([spec_of(t) for t in texts], columns=[*empty])
+
+    empty = spec_of(None)
+    return sources.withColumn(spec, read(F.col(rules)))
+
+
+# ---------------------------------------------------------------- the interpreter
 
 
 def _cells() -> Column:
     return F.arrays_zip(F.col("headers").alias("h"), F.col("vals").alias("v"))
 
 
+def _full() -> Column:
+    return F.filter(_cells(), lambda c: strip(F.coalesce(c["v"], F.lit(""))) != "")
+
+
 def _first(cells: Column) -> Column:
-    return strip(F.try_element_at(cells, F.lit(1))["v"])
+    return strip(F.get(cells, 0)["v"])
 
 
-def pick(keys: list[str]) -> Column:
+def _plain(x: Column) -> Column:
+    """Headers and keys are compared in small letters, rupee signs as '?'."""
+    return F.translate(F.lower(x), "₹₨", "??")
+
+
+def _has(pattern: Column, text: Column) -> Column:
+    return F.call_function("rlike", text, pattern)
+
+
+def _taken(text: Column, pattern: Column, group: Column) -> Column:
+    """The group of the first match, rupee signs of the text as '?'; null without one."""
+    plain = F.translate(text, "₹₨", "??")
+    return F.when(_has(pattern, plain), strip(F.call_function("regexp_extract", plain, pattern, group)))
+
+
+def pick(keys: list[str] | Column) -> Column:
     """The first filled cell: by exact header in the order of the keys, then by a
     header that contains a key, rupee signs reading as '?', ignoring case."""
-    full = F.filter(_cells(), lambda c: strip(F.coalesce(c["v"], F.lit(""))) != "")
-    named = lambda k: F.filter(full, lambda c: c["h"] == F.lit(k))
-    exact = [_first(named(k)) for k in keys]
-    plain = lambda x: F.translate(F.lower(x), "₹₨", "??")
-    some = lambda c: F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(plain(c["h"]), plain(k)))
-    return F.coalesce(*exact, _first(F.filter(full, some)))
+    wanted = keys if isinstance(keys, Column) else F.array(*map(F.lit, keys))
+    full = _full()
+    exact = F.filter(F.transform(wanted, lambda k: _first(F.filter(full, lambda c: c["h"] == k))), lambda x: x.isNotNull())
+    some = F.filter(full, lambda c: F.exists(wanted, lambda k: F.contains(_plain(c["h"]), _plain(k))))
+    return F.coalesce(F.get(exact, 0), _first(some))
 
 
-def matching_header(pattern: str) -> Column:
-    return F.try_element_at(F.filter("headers", lambda h: h.rlike(f"(?i){java_pattern(pattern)}")), F.lit(1))
+def field(spec: Column, name: str) -> Column:
+    """lender, portfolio, amount or as_on of a row as text, by the record of its rules."""
+    own = spec[name]
+    if name == "as_on":
+        return F.coalesce(own["constant"], _header_date(spec["dated"]), pick(own["keys"]))
+    by_header = _first(F.filter(_full(), lambda c: _has(own["header"], c["h"])))
+    value = pick(own["keys"])
+    part = F.nullif(_taken(value, own["regex"], own["grp"]), F.lit(""))
+    found = F.when(own["regex"].isNull(), value).when(own["must"], part).otherwise(F.coalesce(part, value))
+    return F.when(own["constant"].isNotNull(), own["constant"]).when(own["header"].isNotNull(), by_header).otherwise(found)
 
 
-def field(rules: dict, name: str) -> Column:
-    """lender, portfolio, amount or as_on of a row as text."""
-    spec = (rules.get("field_map") or {}).get(name)
-    if isinstance(spec, str):
-        return pick([spec])
-    spec = spec if isinstance(spec, dict) else {}
-    if spec.get("constant") is not None:
-        return F.lit(str(spec["constant"]).strip())
-    if name == "as_on":
-        return _as_on_field(rules, spec)
-    if "regex" in spec and "keys" not in spec:
-        p = java_pattern(spec["regex"])
-        full = F.filter(_cells(), lambda c: c["h"].rlike(f"(?i){p}") & (strip(F.coalesce(c["v"], F.lit(""))) != ""))
-        return _first(full)
-    value = pick(spec.get("keys") or DEFAULTS[name])
-    if spec.get("regex"):
-        found = extract(value, java_pattern(spec["regex"]), int(spec.get("group", 1)))
-        found = F.nullif(found, F.lit(""))
-        return found if name == "amount" else F.coalesce(found, value)
-    return value
-
-
-def _as_on_field(rules: dict, spec: dict) -> Column:
-    """A date in the header of the amount or portfolio column, else a cell.  A
-    header's date keeps its form (no second reading day first)."""
-    from_cell = pick(spec.get("keys") or DEFAULTS["as_on"])
-    if "extract_regex" not in spec:
-        return from_cell
-    of = (rules.get("field_map") or {}).get("portfolio" if spec.get("extract_from") == "portfolio_column" else "amount")
-    if isinstance(of, str):
-        header = F.lit(of)
-    elif isinstance(of, dict) and "regex" in of and "keys" not in of:
-        header = matching_header(of["regex"])
-    else:
-        keys = (of or {}).get("keys") or DEFAULTS["portfolio" if spec.get("extract_from") == "portfolio_column" else "amount"]
-        header = matching_header("|".join(map(re.escape, keys)))
-    text = extract(header, java_pattern(spec["extract_regex"]), 1)
-    day = parse_date_as(text, spec["date_format"]) if spec.get("date_format") else parse_date(text)
-    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), from_cell)
-
-
-def page_values(rules: dict, text: Column) -> dict[str, Column]:
-    """lender and as_on that hold for the whole page."""
-    page = rules.get("page_level") or {}
-    out = {}
-    for name in ("lender", "as_on"):
-        found = []
-        if page.get(f"{name}_regex"):
-            p, g = java_pattern(page[f"{name}_regex"]), int(page.get(f"{name}_group", 1))
-            if name == "as_on" and rules.get("table_index") is not None:
-                every = F.regexp_extract_all(text, F.lit(f"(?is){p}"), F.lit(g))
-                found.append(strip(F.get(every, F.lit(int(rules["table_index"])))))
-            else:
-                found.append(F.nullif(extract(text, p, g), F.lit("")))
-        if page.get(f"{name}_constant") is not None:
-            found.append(F.lit(str(page[f"{name}_constant"])))
-        out[name] = F.coalesce(*found) if found else F.lit(None).cast("string")
-    return out
+def _header_date(dated: Column) -> Column:
+    """The date in a header as yyyy-MM-dd (no second reading day first)."""
+    fits = F.filter("headers", lambda h: _has(dated["header"], h))
+    holds = F.filter("headers", lambda h: F.exists(dated["keys"], lambda k: F.contains(F.lower(h), F.lower(k))))
+    header = F.coalesce(dated["name"], F.get(fits, 0), F.get(holds, 0))
+    text = _taken(header, dated["regex"], dated["grp"])
+    return F.date_format(parse_date_by(text, dated["form"]), "yyyy-MM-dd")
 
 
-NAMES = ("lender", "portfolio", "amount_text", "as_on_text", "error")
+def page_value(page: Column, text: Column) -> Column:
+    """A value that holds for a whole page: by pattern (its nth match, if a number is
+    given), else the constant."""
+    every = F.call_function("regexp_extract_all", text, page["regex"], page["grp"])
+    found = F.when(page["nth"].isNotNull(), strip(F.get(every, page["nth"]))).otherwise(_taken(text, page["regex"], page["grp"]))
+    return F.coalesce(F.nullif(found, F.lit("")), page["constant"])
 
 
-def _compiled(rules_json: str | None, text: Column) -> dict[str, Column]:
-    """The columns NAMES by one source's rules; a broken pattern is their ``error``."""
-    null = F.lit(None).cast("string")
-    try:
-        rules = load_rules(rules_json)
-        page = page_values(rules, text)
-        found = {"lender": F.coalesce(field(rules, "lender"), page["lender"]), "portfolio": field(rules, "portfolio"), "amount_text": field(rules, "amount"), "as_on_text": F.coalesce(field(rules, "as_on"), page["as_on"]), "error": null}
-    except BadRule as why:
-        found = dict.fromkeys(NAMES, null) | {"error": F.lit(str(why))}
-    return {k: v.cast("string") for k, v in found.items()}
+def row_stays(spec: Column, cells: Column) -> Column:
+    """Whether a row passes its source's row_filter and row_exclude; a cell that is
+    missing or null is ''."""
+    at = lambda test: normalise(F.try_element_at(cells, test["col"]))
+    same = lambda test: F.when(test["ignore_case"], F.lower(at(test))).otherwise(at(test)) == F.coalesce(test["value"], F.lit(""))
+    keep, drop = spec["keep"], spec["drop"]
+    gone = F.when(drop["regex"].isNotNull(), _has(drop["regex"], at(drop))).when(drop["value"].isNotNull(), same(drop))
+    return F.coalesce(F.when(keep["col"].isNotNull(), same(keep)), F.lit(True)) & ~F.coalesce(F.when(drop["col"].isNotNull(), gone), F.lit(False))
 
 
-def resolved(rows: DataFrame, rules_json: str | None, text: str = "page_text") -> DataFrame:
-    """Adds lender, portfolio, amount_text, as_on_text, error by one source's rules."""
-    return rows.withColumns(_compiled(rules_json, F.col(text) if text in rows.columns else F.lit(None).cast("string")))
+NAMES = ("lender", "portfolio", "amount_text", "as_on_text", "error")
 
 
-#: Distinct rules that one plan takes; more are resolved in several plans and united.
-RULES_OF_A_PLAN = 200
+def interpreted(rows: DataFrame, text: str = "page_text", spec: str = "spec") -> DataFrame:
+    """Adds lender, portfolio, amount_text, as_on_text and error (of the rules) by the
+    record in each row."""
+    s, page = F.col(spec), F.col(text) if text in rows.columns else F.lit(None).cast("string")
+    good = lambda x: F.when(s["error"].isNull(), x).cast("string")
+    return rows.withColumns({
+        "lender": good(F.coalesce(field(s, "lender"), page_value(s["page_lender"], page))),
+        "portfolio": good(field(s, "portfolio")),
+        "amount_text": good(field(s, "amount")),
+        "as_on_text": good(F.coalesce(field(s, "as_on"), page_value(s["page_as_on"], page))),
+        "error": s["error"],
+    })
 
 
 def resolved_each(rows: DataFrame, text: str = "page_text") -> DataFrame:
-    """The same for rows of many sources, each by the rules in its column rules_json.
-
-    The distinct rules, which are configuration (one at most for each source), are
-    compiled on the driver; rows pass once for each RULES_OF_A_PLAN of them.
-    """
-    known = sorted((r[0] for r in rows.select("rules_json").distinct().collect()), key=lambda x: (x is not None, x or ""))
-    page, out = F.col(text) if text in rows.columns else F.lit(None).cast("string"), None
-    for i in range(0, max(1, len(known)), RULES_OF_A_PLAN):
-        part = known[i : i + RULES_OF_A_PLAN] or [None]
-        each = [(F.col("rules_json").eqNullSafe(F.lit(x)), _compiled(x, page)) for x in part]
-        own = rows if len(known) <= RULES_OF_A_PLAN else rows.where(F.exists(F.array(*(c for c, _ in each)), lambda x: x))
-        done = own.withColumns({name: F.coalesce(*(F.when(c, cols[name]) for c, cols in each)) for name in NAMES})
-        out = done if out is None else out.unionByName(done)
-    return out
+    """``interpreted`` for rows that carry their rules as text in ``rules_json``: the
+    distinct rules are read once and joined to the rows, null rules too."""
+    known = with_specs(rows.select(F.col("rules_json").alias("rules__")).distinct(), "rules__")
+    return interpreted(rows.join(known, F.col("rules_json").eqNullSafe(F.col("rules__"))).drop("rules__"), text).drop("spec")
+
+
+def resolved(rows: DataFrame, rules_json: str | None, text: str = "page_text") -> DataFrame:
+    """``interpreted`` by one source's rules."""
+    known = with_specs(rows.sparkSession.createDataFrame([(rules_json,)], "rules__ string"), "rules__").select("spec")
+    return interpreted(rows.crossJoin(F.broadcast(known)), text).drop("spec")
