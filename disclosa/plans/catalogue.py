@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from disclosa.functions import amounts, dates, status, text
 from disclosa.operators import filters, joins, links, mutations, normalise, summary, windows
 from disclosa.plans.proxies import Tables, with_tables
+from disclosa.shared import fresh_dir
 from disclosa.sources import fetch, lines, tables
+from disclosa.streaming import summary as streaming
 
 QUERIES, SQL = {}, {}
 #: The order of raw rows: newest pages last, ties by the unique row_id.
@@ -72,6 +74,37 @@ def a1(t):
     return monthly(t).withColumns({"total_amount": money("total_amount"), "last_crawl_date": stamp("last_crawl_date")})
 
 
+def raw_stream(t, name, again=False):
+    """The raw rows as a stream of several micro-batches in the order of time; with
+    ``again`` each batch comes a second time."""
+    at = fresh_dir(t.spark, name)
+    month = F.date_format("scrape_timestamp", "yyyy-MM")
+    for lo, hi in (("0000", "1996"), ("1996", "1997-06"), ("1997-06", "1999"), ("1999", "9999")):
+        part = t.raw.where(F.coalesce(month, F.lit("0000")).between(lo, hi) & (F.coalesce(month, F.lit("0000")) < hi))
+        for _ in range(1 + again):
+            part.coalesce(1).write.mode("append").parquet(at)
+    return t.spark.readStream.schema(t.raw.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+@query("a1_stream", f"WITH {FILLED} SELECT lsp_id, scrape_year, scrape_month, name, total_lenders, total_portfolios, round(total_amount, 2) AS total_amount, dlg_url, as_on_year, as_on_month, status, strftime(last_crawl_date, '%Y-%m-%d %H:%M:%S') AS last_crawl_date FROM dlg_summary")
+def a1_stream(t):
+    """The monthly summary by keyed state; the stream is run to its end, then once more."""
+    at = fresh_dir(t.spark, "a1-stream")
+    raw = raw_stream(t, "a1-raw")
+    for _ in range(2):
+        streaming.summarise_stream(raw, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return streaming.summary_of(t.spark, f"{at}/out").withColumns({"total_amount": money("total_amount"), "last_crawl_date": stamp("last_crawl_date")})
+
+
+@query("u1_stream_repeats", "SELECT lsp_id, count(*) AS n, count(DISTINCT row_id) AS ids, round(sum(amount), 2) AS total_amount FROM dlg_raw WHERE scrape_timestamp IS NOT NULL GROUP BY lsp_id")
+def u1_stream(t):
+    """Raw rows that come twice, appended once."""
+    at = fresh_dir(t.spark, "u1-stream")
+    streaming.append_stream(raw_stream(t, "u1-raw", again=True), f"{at}/out", f"{at}/checkpoint", ["row_id"]).awaitTermination()
+    rows = t.spark.read.schema(t.raw.schema).parquet(f"{at}/out")
+    return rows.groupBy("lsp_id").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.round(F.sum("amount"), 2).alias("total_amount"))
+
+
 @query("a2_sum_null_zero", "SELECT lsp_id, complete, round(coalesce(sum(amount), 0.0), 2) AS total_amount FROM dlg_raw GROUP BY lsp_id, complete")
 def a2(t):
     return summary.amounts_of(t.raw, ["lsp_id", "complete"]).withColumn("total_amount", money("total_amount"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from disclosa.functions.status import ACTIONS, LSP_TYPES, STATUSES
 from disclosa.operators.filters import active_rows
-from disclosa.operators.mutations import audit_record, fresh_raw, same_months
+from disclosa.operators.joins import null_safe_anti
+from disclosa.operators.mutations import audit_record, fresh_raw, replace_stale
 
 SCHEMAS = {
     "lsp_master": "id int, name string, brand_name string, lsp_type string, home_url string, active boolean, dlg_url string, parse_hint string, fetch_hint string, rules_json string, last_crawl_date timestamp_ntz",
@@ -21,65 +20,114 @@ SCHEMAS = {
 }
 
 
-class Store:
-    """Parquet tables in a folder.  A table is a list of parts, folders of files that
-    never change; ``current`` names the list to read, so a reader never sees a
-    half-written version.  An append writes the new rows only."""
+_MONTH, _HASH = "coalesce(date_format({}, 'yyyy-MM'), 'none')", "cast(pmod(xxhash64(cast(id AS int)), 16) AS string)"
+#: The partition that a row of a table lies in, and the key of tables whose rows are
+#: merged; the others are logs, whose rows are added in batches.
+PARTS = {
+    "dlg_raw": _MONTH.format("scrape_timestamp"),
+    "audit_log": _MONTH.format("log_timestamp"),
+    "lsp_summary": "concat(coalesce(cast(scrape_year AS string), 'none'), '-', coalesce(lpad(cast(scrape_month AS string), 2, '0'), 'none'))",
+    "lsp_master": _HASH,
+    "dlg_users": _HASH,
+}
+KEYS = {"lsp_summary": ["lsp_id", "scrape_year", "scrape_month"], "lsp_master": ["id"], "dlg_users": ["id"]}
+
+
+class MonthTables:
+    """Parquet tables in a folder, partitioned by month (or by a hash of the key).
+
+    Every write replaces whole partitions and becomes visible when its job commits
+    (dynamic partition overwrite).  A batch of a log has partitions of its own, named by
+    its id: run again it replaces itself, and two writers cannot lose each other's rows.
+    A merge reads and writes the partitions that its rows touch, no others; run again it
+    gives the same; of two merges into one partition at a time the later one stands.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def _fs(self, path: str):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def exists(self, name: str) -> bool:
-        fs, p = self._fs(f"{self.root}/{name}/current")
-        return fs.exists(p)
-
     def create_missing(self) -> list[str]:
         """The names of the tables that had to be created."""
-        made = [n for n in SCHEMAS if not self.exists(n)]
-        for n in made:
-            self.swap(n, self.spark.createDataFrame([], SCHEMAS[n]))
+        made = []
+        for name in SCHEMAS:
+            fs, p = self._fs(self.path(name))
+            if not fs.exists(p):
+                fs.mkdirs(p)
+                made.append(name)
         return made
 
-    def parts(self, name: str) -> list[str]:
-        versions = self.spark.read.schema("parts array<string>, at timestamp").json(f"{self.root}/{name}/current")
-        return versions.agg(F.max_by("parts", "at")).first()[0]
-
-    def read(self, name: str) -> DataFrame:
-        schema = T._parse_datatype_string(SCHEMAS[name]) if name in SCHEMAS else None
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(*(f"{self.root}/{name}/{p}" for p in self.parts(name)))
-
-    def _write(self, name: str, df: DataFrame, before: list[str]) -> None:
-        part = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{part}")
-        pointer = self.spark.range(1).select(F.array(*map(F.lit, [*before, part])).alias("parts"), F.current_timestamp().alias("at"))
-        pointer.coalesce(1).write.mode("append").json(f"{self.root}/{name}/current")
-
-    def swap(self, name: str, df: DataFrame) -> None:
-        """Write all rows anew as one part, then point to it (this also compacts)."""
-        self._write(name, df, [])
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Write the new rows beside the others, then point to both."""
-        stored = self.read(name)
-        missing = [c for c in stored.columns if c not in rows.columns]
-        rows = rows.withColumns({c: F.lit(None) for c in missing}).select(*(F.col(c).cast(stored.schema[c].dataType).alias(c) for c in stored.columns))
-        self._write(name, rows, self.parts(name))
-
-    def append_crawled(self, rows: DataFrame) -> None:
-        """Crawled rows that are not stored in their scrape month; only the months of
-        the rows are read and cleansed."""
-        raw = self.read("dlg_raw")
-        self.append("dlg_raw", fresh_raw(same_months(raw, rows), rows).select(*(c for c in raw.columns if c in rows.columns)))
-
-    def record(self, actions: DataFrame) -> None:
+    def _by(self, name: str) -> list[str]:
+        return ["part"] if name in KEYS else ["part", "batch"]
+
+    def stored(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        """The rows with their partition columns, of some partitions or all."""
+        schema = ", ".join([SCHEMAS[name], *(f"{c} string" for c in self._by(name))])
+        rows = self.spark.read.schema(schema).parquet(self.path(name))
+        return rows if parts is None else rows.where(F.col("part").isin(parts))
+
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        return self.stored(name, parts).drop("part", "batch")
+
+    def _placed(self, name: str, rows: DataFrame, batch: str | None) -> DataFrame:
+        """``rows`` with the table's columns (what they lack is null) and partitions."""
+        full = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(SCHEMAS[name]).fields)).withColumn("part", F.expr(PARTS[name]))
+        return full if name in KEYS else full.withColumn("batch", F.lit(batch))
+
+    def _write(self, name: str, placed: DataFrame) -> None:
+        placed.write.partitionBy(*self._by(name)).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
+
+    def parts_of(self, name: str, rows: DataFrame) -> list[str]:
+        """The partitions of ``rows``: months, or some hashes."""
+        return sorted(r["part"] for r in rows.select(F.expr(PARTS[name]).alias("part")).distinct().collect())
+
+    def append(self, name: str, rows: DataFrame, batch: str) -> None:
+        """Add a batch to a log; the same batch again replaces itself."""
+        self._write(name, self._placed(name, rows, batch))
+
+    def append_crawled(self, rows: DataFrame, batch: str) -> None:
+        """Crawled rows that no other batch has stored in their scrape month; only those
+        months are read and cleansed."""
+        others = self.stored("dlg_raw", self.parts_of("dlg_raw", rows)).where(F.col("batch") != batch).drop("part", "batch")
+        self.append("dlg_raw", fresh_raw(others, rows), batch)
+
+    def replace_stale(self, rows: DataFrame, batch: str, order: list) -> None:
+        """``replace_stale`` on the stored months of the rows: other batches lose their
+        stale rows of the crawled sources (a batch that has no others goes), then the rows
+        that count are a batch."""
+        month = F.trunc(F.col("scrape_timestamp").cast("date"), "month")
+        touched = rows.select("lsp_id", month.alias("m")).distinct()
+        old = self.stored("dlg_raw", self.parts_of("dlg_raw", rows)).where(F.col("batch") != batch).withColumn("m", month)
+        gone = F.coalesce(F.col("complete") == "Stale", F.lit(False)) & F.col("hit__").isNotNull()
+        marked = old.join(touched.withColumn("hit__", F.lit(True)), ["lsp_id", "m"], "left").withColumn("gone", gone)
+        hit = marked.groupBy("part", "batch").agg(F.max("gone").alias("hit"), F.min("gone").alias("empty")).where("hit").collect()
+        fields = [f.name for f in T._parse_datatype_string(SCHEMAS["dlg_raw"]).fields]
+        if changed := [(r["part"], r["batch"]) for r in hit if not r["empty"]]:
+            of = F.broadcast(self.spark.createDataFrame(changed, "part string, batch string"))
+            self._write("dlg_raw", marked.where(~F.col("gone")).join(of, ["part", "batch"], "left_semi").select(*fields, "part", "batch"))
+        for r in hit:
+            if r["empty"]:
+                fs, p = self._fs(f"{self.path('dlg_raw')}/part={r['part']}/batch={r['batch']}")
+                fs.delete(p, True)
+        nothing = self.spark.createDataFrame([], SCHEMAS["dlg_raw"])
+        self.append("dlg_raw", replace_stale(nothing, rows, order), batch)
+
+    def merge(self, name: str, rows: DataFrame) -> None:
+        """New rows replace those of their key, in the partitions that they touch."""
+        new = self._placed(name, rows, None)
+        old = self.stored(name, self.parts_of(name, rows))
+        self._write(name, null_safe_anti(old, new, KEYS[name]).select(*new.columns).unionByName(new))
+
+    def record(self, actions: DataFrame, batch: str) -> None:
         """Audit rows with their user's details (``audit_record``)."""
-        self.append("audit_log", audit_record(actions, self.read("dlg_users")))
+        self.append("audit_log", audit_record(actions, self.read("dlg_users")), batch)
 
 
 def jdbc_table(spark: SparkSession, url: str, name: str, schema: str | None = None, **options) -> DataFrame:

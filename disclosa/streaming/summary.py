@@ -1,37 +1,143 @@
-"""The monthly summary kept up to date by an incremental job."""
+"""Streams of raw rows: the monthly summary by keyed state, and rows without repeats."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from disclosa.operators.mutations import upsert_summary
-from disclosa.operators.summary import monthly_summary
-from disclosa.shared import stored
-from disclosa.sources.tables import Store
-
-
-def summarise_stream(spark: SparkSession, raw: DataFrame, all_raw, store: Store, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Each batch of new raw rows says which sources and months to summarise anew;
-    these are computed from all raw rows (``all_raw()``) and upserted, so running
-    a batch twice gives the same table.  Ends when the input is used up."""
-
-    def batch(new: DataFrame, _: int) -> None:
-        touched = new.where("scrape_timestamp is not null").select("lsp_id", F.trunc(F.col("scrape_timestamp").cast("date"), "month").alias("m")).distinct()
-        touched = stored(touched, "touched")
-        ends = touched.agg(F.min("m"), F.add_months(F.max("m"), 1)).first()
-        if ends[0] is None:
-            return
-        ts = F.col("scrape_timestamp")  # a range that prunes the scan, then the exact months
-        near = all_raw().where((ts >= F.lit(ends[0]).cast("timestamp_ntz")) & (ts < F.lit(ends[1]).cast("timestamp_ntz")))
-        rows = near.withColumn("m", F.trunc(F.col("scrape_timestamp").cast("date"), "month")).join(touched, ["lsp_id", "m"], "left_semi").drop("m")
-        found = monthly_summary(rows, order)
-        old = store.read("lsp_summary")
-        cols = [c for c in old.columns if c != "id"]
-        store.swap("lsp_summary", upsert_summary(old, found.select(*cols)).withColumn("id", F.xxhash64("lsp_id", "scrape_year", "scrape_month")).select(*old.columns))
-
-    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from disclosa.functions.dates import month_window
+from disclosa.functions.status import STATUSES, of_severity, severity, staleness
+from disclosa.functions.text import filled, normalise, status_of
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+KEYS = ["lsp_id", "scrape_year", "scrape_month"]
+OUT = "lsp_id long, scrape_year int, scrape_month int, n_rows long, final boolean, name string, total_lenders int, total_portfolios int, total_amount double, dlg_url string, as_on string, severity int, last_crawl string"
+
+
+COLUMNS = [f.split()[0] for f in OUT.split(", ")]
+GIVEN = ["ts", "row_id", "name", "lender", "portfolio", "amount", "as_on", "severity", "url"]
+
+
+def fold(state: dict | None, rows: list[tuple]) -> dict:
+    """The state of a source's month after more rows (ts, row_id, name, lender, portfolio,
+    amount, as_on, severity, url), which may come in any order: running values, and the
+    lenders and portfolios with their places, for a lender goes down to rows that may
+    still come."""
+    s = state or {"n": 0, "amount": 0.0, "as_on": None, "severity": None, "last": None, "name": None, "url": None, "lines": []}
+    for ts, row_id, name, lender, portfolio, amount, as_on, sev, url in rows:
+        at = [ts, row_id]
+        s["n"] += 1
+        s["amount"] += amount or 0.0
+        s["as_on"] = max(filter(None, (s["as_on"], as_on)), default=None)
+        s["severity"] = max((x for x in (s["severity"], sev) if x is not None), default=None)
+        s["last"] = max(filter(None, (s["last"], ts)))
+        for k, v in (("name", name), ("url", url)):
+            if v and (s[k] is None or s[k][0] < at):
+                s[k] = [at, v]
+        s["lines"].append([ts, row_id, lender, portfolio])
+    return s
+
+
+def told(state: dict) -> dict:
+    """The summary of a state; the lender of a row without one is that of the row before."""
+    lender, pairs, lenders = "", set(), set()
+    for _, _, own, portfolio in sorted(state["lines"]):
+        lender = own or lender
+        lenders.add(lender)
+        if portfolio:
+            pairs.add((lender, portfolio))
+    own = {x[2] for x in state["lines"]} - {""}
+    value = lambda k: state[k] and state[k][1]
+    return {"n_rows": state["n"], "name": value("name"), "total_lenders": len(own), "total_portfolios": len(pairs) or len(lenders - {""}), "total_amount": state["amount"], "dlg_url": value("url"), "as_on": state["as_on"], "severity": state["severity"], "last_crawl": state["last"]}
+
+
+class MonthOfSource(StatefulProcessor):
+    """The summary of one source and month: each batch tells what it is by then, and when
+    the watermark has passed the month a timer tells the last and clears the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("month", "rows string")
+
+    def _row(self, key, state: dict, final: bool) -> Row:
+        row = dict(zip(KEYS, key)) | {"final": final} | told(state)
+        return Row(**{c: row[c] for c in COLUMNS})
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = json.loads(self.state.get()[0]) if self.state.exists() else None
+        known = fold(known, [tuple(r[c] for c in GIVEN) for r in rows])
+        self.state.update((json.dumps(known),))
+        year, month = int(key[1]), int(key[2]) + 2  # rows of a window are scraped in the month after it
+        end = dt.datetime(year + (month - 1) // 12, (month - 1) % 12 + 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=31)
+        self.handle.registerTimer(int(end.timestamp() * 1000))
+        yield self._row(key, known, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.state.exists():
+            known = json.loads(self.state.get()[0])
+            self.state.clear()
+            yield self._row(key, known, True)
+
+    def close(self) -> None:
+        pass
+
+
+def month_states(raw: DataFrame, tie: str = "row_id", late: str = "31 days") -> DataFrame:
+    """A stream of summaries (``OUT``) of a stream of raw rows: for each batch one row for
+    each source and month that it touches.  Rows without a scrape time drop out, as do
+    rows later than ``late``; state lives in RocksDB and goes with its month."""
+    w = month_window(F.col("scrape_timestamp"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rows = raw.where(F.col("scrape_timestamp").isNotNull()).withColumn("event_time", F.col("scrape_timestamp").cast("timestamp")).withWatermark("event_time", late)
+    rows = rows.select(
+        F.col("lsp_id").cast("long").alias("lsp_id"), w["year"].alias("scrape_year"), w["month"].alias("scrape_month"), "event_time", text("scrape_timestamp").alias("ts"), F.col(tie).cast("string").alias("row_id"), filled(F.col("lsp_name")).alias("name"),
+        normalise(F.col("lender"), True).alias("lender"), normalise(F.col("portfolio")).alias("portfolio"), F.col("amount").cast("double").alias("amount"), text("as_on_timestamp").alias("as_on"),
+        severity(status_of(F.col("complete"), STATUSES)).cast("int").alias("severity"), filled(F.col("dlg_url")).alias("url"),
+    )
+    return rows.groupBy(*KEYS).transformWithState(MonthOfSource(), OUT, "Update", "EventTime")
+
+
+def summarise_stream(raw: DataFrame, sink: str, checkpoint: str, tie: str = "row_id", late: str = "31 days") -> StreamingQuery:
+    """Run ``month_states`` over what there is and write each batch to ``sink``, a batch
+    as a partition: run again it replaces itself, so a replay changes nothing."""
+
+    def batch(found: DataFrame, n: int) -> None:
+        found.withColumn("batch", F.lit(n)).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(sink)
+
+    spark = raw.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        return month_states(raw, tie, late).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def summary_of(spark: SparkSession, sink: str) -> DataFrame:
+    """The monthly summary that ``summarise_stream`` has written so far: of each source
+    and month the state of most rows."""
+    w = Window.partitionBy(*KEYS).orderBy(F.desc("n_rows"), F.desc("final"), F.desc("batch"))
+    rows = spark.read.schema(f"{OUT}, batch int").parquet(sink).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    as_on = F.to_timestamp_ntz("as_on", F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    rows = rows.withColumns({"name": F.coalesce("name", F.concat(F.lit("LSP-"), F.col("lsp_id").cast("string"))), "as_on_year": F.year(as_on), "as_on_month": F.month(as_on), "last_crawl_date": F.to_timestamp_ntz("last_crawl", F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))})
+    status = staleness(F.coalesce(of_severity(F.col("severity")), F.lit("Missing")), F.col("as_on_year"), F.col("as_on_month"), F.col("scrape_year"), F.col("scrape_month"))
+    return rows.select(*KEYS, "name", "total_lenders", "total_portfolios", "total_amount", "dlg_url", "as_on_year", "as_on_month", status.alias("status"), "last_crawl_date")
+
+
+def without_repeats(raw: DataFrame, keys: list[str], late: str = "31 days") -> DataFrame:
+    """A stream of raw rows without those whose ``keys`` came before within ``late``.
+    Rows without a scrape time drop out: no watermark could ever forget them."""
+    rows = raw.where(F.col("scrape_timestamp").isNotNull()).withColumn("event_time", F.col("scrape_timestamp").cast("timestamp"))
+    return rows.withWatermark("event_time", late).dropDuplicatesWithinWatermark(keys).drop("event_time")
+
+
+def append_stream(raw: DataFrame, sink: str, checkpoint: str, keys: list[str], late: str = "31 days") -> StreamingQuery:
+    """Append a stream to a folder of Parquet, each row once however often it comes."""
+    return without_repeats(raw, keys, late).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

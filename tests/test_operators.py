@@ -1,6 +1,7 @@
 """Rules, normaliser, store and stream."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,28 +66,84 @@ def test_sum_rows_by_the_closed_form(spark):
     assert mk([1.0, 2.0, 3.05]) == {2} and mk([1.0, 2.0, 3.06]) == set() and mk([1.0, 1.0]) == set()
 
 
-def test_store_swaps_and_appends_once(spark, tmp_path):
-    store = tables.Store(spark, f"file://{tmp_path}/store")
+def raw_rows(spark, rows):
+    """(id, lsp_id, lender, portfolio, amount, as_on, scraped, complete)"""
+    return spark.createDataFrame([(i, s, "n", lender, p, a, on, at, c, "u") for i, s, lender, p, a, on, at, c in rows], tables.SCHEMAS["dlg_raw"])
+
+
+JAN, FEB, MAR = (dt.datetime(2025, m, 5) for m in (1, 2, 3))
+
+
+def test_batches_replace_themselves(spark, tmp_path):
+    store = tables.MonthTables(spark, f"file://{tmp_path}/store")
     assert len(store.create_missing()) == 5 and store.create_missing() == []
-    row = [(1, 5, "n", " A ", "P", 1.0, None, dt.datetime(2025, 1, 1), "Completed", "u")]
-    new = spark.createDataFrame(row, tables.SCHEMAS["dlg_raw"])
-    store.append_crawled(new)
-    store.append_crawled(new)
-    assert [(r.lender, r.portfolio) for r in store.read("dlg_raw").collect()] == [("A", "P")]
+    assert store.read("dlg_raw").count() == 0
+    new = raw_rows(spark, [(1, 5, " A ", "P", 1.0, None, JAN, "Completed"), (2, 5, "A", "Q", 1.0, None, FEB, "Completed"), (3, 6, "A", "Q", 1.0, None, None, "Error")])
+    for _ in range(2):
+        store.append_crawled(new, "b1")  # a replay
+    store.append_crawled(raw_rows(spark, [(9, 5, "A", "P", 1.0, None, JAN, "Completed"), (8, 5, "A", "R", 1.0, None, JAN, "Completed")]), "b2")
+    assert sorted((r.lender, r.portfolio, r.id) for r in store.read("dlg_raw").collect()) == [("A", "P", 1), ("A", "Q", 2), ("A", "Q", 3), ("A", "R", 8)]
+    months = {f.split("part=")[1].split("/")[0] for f in store.read("dlg_raw", ["2025-01"]).inputFiles()}
+    assert months >= {"2025-01"} and store.read("dlg_raw", ["2025-01"]).count() == 2
+    plan = store.read("dlg_raw", ["2025-01"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", plan)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from threading import Thread
+
+    store = tables.MonthTables(spark, f"file://{tmp_path}/store")
+    store.create_missing()
+    batch = lambda k: raw_rows(spark, [(k * 100 + i, k, "A", f"P{i}", 1.0, None, (JAN, FEB)[i % 2], "Completed") for i in range(10)])
+    writers = [Thread(target=store.append, args=("dlg_raw", batch(k), f"b{k}")) for k in range(4)]
+    [w.start() for w in writers], [w.join() for w in writers]
+    assert sorted(r.id for r in store.read("dlg_raw").collect()) == sorted(k * 100 + i for k in range(4) for i in range(10))
 
 
-def test_stream_updates_the_summary_twice_alike(spark, tmp_path):
-    from disclosa.streaming.summary import summarise_stream
+def test_stale_rows_are_replaced_in_their_months(spark, tmp_path):
+    store = tables.MonthTables(spark, f"file://{tmp_path}/store")
+    store.create_missing()
+    old = [(1, 5, "A", "P", 1.0, None, JAN, "Stale"), (2, 5, "A", "Q", 1.0, None, JAN, "Completed"), (3, 6, "A", "P", 1.0, None, JAN, "Stale"), (4, 5, "A", "P", 1.0, None, FEB, "Stale")]
+    store.append("dlg_raw", raw_rows(spark, old), "b1")
+    store.append("dlg_raw", raw_rows(spark, [(5, 5, "A", "S", 1.0, None, JAN, "Stale")]), "b2")  # a batch of stale rows only
+    new = raw_rows(spark, [(10, 5, "A", "P", 2.0, dt.datetime(2024, 12, 31), JAN, "Completed"), (11, 7, "A", "P", 2.0, JAN, JAN, "Completed")])
+    for _ in range(2):
+        store.replace_stale(new, "b3", ["id"])
+        assert sorted(r.id for r in store.read("dlg_raw").collect()) == [2, 3, 4, 10]
+
+
+def test_a_merge_touches_its_partitions_only(spark, tmp_path):
+    import os
 
-    store = tables.Store(spark, f"file://{tmp_path}/store")
+    store = tables.MonthTables(spark, f"file://{tmp_path}/store")
     store.create_missing()
-    data = [(i, 5, "n", "A", f"P{i}", 1.0, dt.datetime(2024, 12, 1), dt.datetime(2025, 1, 9), "Completed", "u") for i in range(3)]
-    spark.createDataFrame(data, tables.SCHEMAS["dlg_raw"]).write.parquet(f"{tmp_path}/raw")
-    read = lambda: spark.read.schema(tables.SCHEMAS["dlg_raw"]).parquet(f"{tmp_path}/raw")
-    for k in range(2):
-        q = summarise_stream(spark, spark.readStream.schema(tables.SCHEMAS["dlg_raw"]).parquet(f"{tmp_path}/raw"), read, store, f"{tmp_path}/check{k}", ["scrape_timestamp", "id"])
-        q.awaitTermination()
-        assert [(r.lsp_id, r.scrape_month, r.total_portfolios, r.status) for r in store.read("lsp_summary").collect()] == [(5, 12, 3, "Completed")]
+    cols = "lsp_id int, scrape_year int, scrape_month int, status string"
+    store.merge("lsp_summary", spark.createDataFrame([(1, 2025, 1, "a"), (2, 2025, 1, "b"), (1, 2025, 2, "c"), (None, None, 3, "n")], cols))
+    files = lambda: {f: os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(f"{tmp_path}/store/lsp_summary/part=2025-02") for f in names}
+    before = files()
+    for _ in range(2):
+        store.merge("lsp_summary", spark.createDataFrame([(1, 2025, 1, "x"), (3, 2025, 1, "y"), (None, None, 3, "m")], cols))
+        got = sorted((r.lsp_id or 0, r.scrape_month, r.status) for r in store.read("lsp_summary").collect())
+        assert got == [(0, 3, "m"), (1, 1, "x"), (1, 2, "c"), (2, 1, "b"), (3, 1, "y")] and files() == before
+
+
+def test_the_stream_tells_months_and_closes_them(spark, tmp_path):
+    from disclosa.streaming import summary as streaming
+
+    schema = "row_id string, lsp_id int, lsp_name string, lender string, portfolio string, amount double, as_on_timestamp timestamp_ntz, scrape_timestamp timestamp_ntz, complete string, dlg_url string"
+    row = lambda i, lender, p, at: (str(i), 5, "n", lender, p, 1.0, dt.datetime(2024, 12, 1), at, "Completed", "u")
+    batches = [[row(2, None, "P2", dt.datetime(2025, 1, 9, 2)), row(0, "late", "P0", None)], [row(1, "A", "P1", dt.datetime(2025, 1, 9, 1))], [row(7, "B", "P", dt.datetime(2025, 6, 1))], [row(8, "B", "P", dt.datetime(2025, 6, 2))]]
+    run = lambda: streaming.summarise_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/raw"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/raw")
+        run()
+    got = {(r.scrape_month, r.total_lenders, r.total_portfolios, r.total_amount, r.status) for r in streaming.summary_of(spark, f"{tmp_path}/out").collect()}
+    # the row that came first takes the lender of the one before it; June's window is May
+    assert got == {(12, 1, 2, 2.0, "Completed"), (5, 1, 1, 2.0, "Stale")}
+    told = spark.read.parquet(f"{tmp_path}/out").where("final").collect()
+    assert [(r.scrape_month, r.n_rows) for r in told] == [(12, 2)]  # the watermark has passed January
+    run()  # nothing new: nothing changes
+    assert spark.read.parquet(f"{tmp_path}/out").where("final").count() == 1
 
 
 def test_failed_fetches_are_rows(spark):
@@ -204,18 +261,11 @@ def test_scrape_reports_and_empty_inputs(spark):
     assert rows.count() == found.count() == 0
 
 
-def test_appends_write_only_new_rows(spark, tmp_path):
-    store = tables.Store(spark, f"file://{tmp_path}/store")
-    assert len(store.create_missing()) == 5 and store.create_missing() == []
-    row = (1, 1, "S", "A", "P", 1.0, dt.datetime(2025, 11, 30), dt.datetime(2025, 12, 1), "Completed", "u")
-    one = spark.createDataFrame([row], tables.SCHEMAS["dlg_raw"])
-    store.append_crawled(one)
-    before = store.parts("dlg_raw")
-    store.append_crawled(one)  # known: nothing is added, nothing written anew
-    store.append_crawled(spark.createDataFrame([(2, *row[1:7], dt.datetime(2026, 1, 1), *row[8:])], tables.SCHEMAS["dlg_raw"]))
-    assert store.parts("dlg_raw")[: len(before)] == before and sorted(r.id for r in store.read("dlg_raw").collect()) == [1, 2]
-    store.append("dlg_users", spark.createDataFrame([(1, "ann", "admin", "Ann", "B")], "id int, username string, role string, firstname string, lastname string"))
-    store.record(spark.createDataFrame([(7, 1, "ann", "LOGIN", "d")], "id int, lsp_id int, user_id string, action_taken string, details string"))
+def test_users_and_audit_records(spark, tmp_path):
+    store = tables.MonthTables(spark, f"file://{tmp_path}/store")
+    store.create_missing()
+    store.merge("dlg_users", spark.createDataFrame([(1, "ann", "admin", "Ann", "B")], "id int, username string, role string, firstname string, lastname string"))
+    store.record(spark.createDataFrame([(7, 1, "ann", "LOGIN", "d")], "id int, lsp_id int, user_id string, action_taken string, details string"), "b1")
     got = store.read("audit_log").first()
     assert got.id == 7 and '"role":"admin"' in got.payload
     tables.write_ocr(spark.createDataFrame([("Portfolio 1", 2.0, "x")], "portfolio_hint string, amount double, context_before string"), f"file://{tmp_path}/ocr", "csv", simple=True)
