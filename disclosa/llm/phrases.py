@@ -17,6 +17,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .common import answered, blocks, stored, utf8
 
 #: Bytes of pieces that a task counts at once (and words, where a piece has more), of text
 #: to a bucket, and of duckdb's memory.
-CHUNK, WORDS, BUCKET, MEMORY = 6 << 20, 1 << 20, 16 << 20, "256MB"
+CHUNK, WORDS, BUCKET, MEMORY = 6 << 20, 1 << 20, 4 << 20, "256MB"
 
 #: Bytes as they count: A-Z lower-cased, what ends a piece as line end, tab as blank.
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -86,24 +87,19 @@ def _made(folder: str | None) -> str | None:
     return folder
 
 
-def _packed(rows: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
-
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, n_words, f) of all phrases of up to ``longest`` words that occur
     ``least`` times within pieces of a language, overlaps included; and a row a language
     and bucket without phrase, whose f is of all words, so that they add up to n.
 
-    A task sends each bucket one row a chunk and length, with the counts in it packed.
+    A task sends each bucket one row a chunk and language, its phrases in order and
+    compressed.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_buckets, folder = 1 + size // BUCKET, _folder(docs)
 
     def count(batches):
+        zstd = zstandard.ZstdCompressor(3)
         with Scratch(_made(folder)) as db:
             held, held_bytes = [], 0
 
@@ -112,25 +108,22 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
                 parts = pc.split_pattern(chunk.column("piece").chunk(0), " ")
                 words, owner = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
                 for at in range(0, len(words), WORDS):
-                    for n in range(1, longest + 1):
-                        yield from grams(chunk, words, owner, at, n)
+                    found = pa.concat_tables([grams(chunk, words, owner, at, n) for n in range(1, longest + 1)])  # noqa: F841 (read by duckdb)
+                    counted = db.execute(f"""
+                        SELECT (hash(lang, phrase) % {n_buckets})::INT AS bucket, lang, string_agg(phrase, chr(10) ORDER BY phrase) AS phrases, list(f ORDER BY phrase) AS f
+                        FROM (SELECT lang, phrase, sum(m)::BIGINT AS f FROM found GROUP BY lang, phrase) GROUP BY ALL
+                    """)
+                    while rows := counted.fetchmany(64):
+                        cols = zip(*[(bucket, lang, zstd.compress(phrases.encode()), zstd.compress(np.asarray(f, "<i8").tobytes())) for bucket, lang, phrases, f in rows])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "lang", "phrases", "f"])
 
             def grams(chunk, words, owner, at, n):
                 """The phrases of n words that begin at one of WORDS words from ``at`` on."""
-                size = min(WORDS, len(words) - at - n + 1)
-                if size <= 0:
-                    return
+                size = max(0, min(WORDS, len(words) - at - n + 1))
                 whole = owner[at : at + size] == owner[at + n - 1 : at + n - 1 + size]
                 phrase = pc.binary_join_element_wise(*(words.slice(at + k, size) for k in range(n)), " ")
                 of = pa.array(owner[at : at + size][whole])
-                found = pa.table({"lang": chunk.column("lang").take(of), "phrase": phrase.filter(pa.array(whole)), "m": chunk.column("m").take(of)})  # noqa: F841 (read by duckdb)
-                counted = db.execute(f"SELECT (hash(lang, phrase) % {n_buckets})::INT AS bucket, lang, phrase, sum(m)::BIGINT AS f FROM found GROUP BY lang, phrase").to_arrow_table()
-                bucket = counted.column("bucket").to_numpy()
-                order = np.argsort(bucket, kind="stable")
-                counted = counted.select(["lang", "phrase", "f"]).take(pa.array(order))
-                ids, first = np.unique(bucket[order], return_index=True)
-                for b, i, j in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(counted.slice(i, j - i))], pa.binary())], ["bucket", "counts"])
+                return pa.table({"lang": chunk.column("lang").take(of), "phrase": phrase.filter(pa.array(whole)), "m": chunk.column("m").take(of)})
 
             for b in batches:
                 held.append(b)
@@ -150,21 +143,24 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
             """).to_arrow_table()
             return found.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_words", pa.int32()), ("f", pa.int64())])).to_batches(max_chunksize=50_000)
 
+        zstd = zstandard.ZstdDecompressor()
         with Scratch(_made(folder)) as db:
             last = None
             for b in batches:
-                for bucket, counts in zip(b.column(0).to_pylist(), b.column(1)):
+                for bucket, lang, phrases, f in zip(*(c.to_pylist() for c in b.columns)):
                     if bucket != last:
                         if last is not None:
                             yield from shut(db)
                         db.execute("CREATE OR REPLACE TEMP TABLE own (lang VARCHAR, phrase VARCHAR, f BIGINT)")
                         last = bucket
-                    rows = pa.ipc.open_stream(counts.as_buffer()).read_all()  # noqa: F841 (read by duckdb)
-                    db.execute("INSERT INTO own SELECT * FROM rows")
+                    parts = pa.array([zstd.decompress(phrases).decode()], pa.large_string())
+                    values = pa.array(np.frombuffer(zstd.decompress(f), "<i8"))
+                    rows = pa.table({"phrase": pc.list_flatten(pc.split_pattern(parts, "\n")).cast(pa.string()), "f": values})  # noqa: F841 (read by duckdb)
+                    db.execute("INSERT INTO own SELECT ?, phrase, f FROM rows", [lang])
             if last is not None:
                 yield from shut(db)
 
-    counts = pieces(docs, text_col, lang_col).mapInArrow(count, "bucket int, counts binary")
+    counts = pieces(docs, text_col, lang_col).mapInArrow(count, "bucket int, lang string, phrases binary, f binary")
     return counts.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "lang string, phrase string, n_words int, f long")
 
 
