@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from disclosa.functions import amounts, dates, status, text
-from disclosa.operators import filters, joins, links, mutations, normalise, summary, windows
+from disclosa.operators import filters, joins, links, mutations, normalise, sequences, summary, windows
 from disclosa.plans.proxies import Tables, with_tables
 from disclosa.shared import fresh_dir
 from disclosa.sources import fetch, lines, tables
@@ -816,3 +816,88 @@ def g10(t):
 def g11(t):
     k = F.col("id")
     return t.master.select("id", links.diagnosis(k % 2 == 0, k % 3 == 0, k % 5).alias("why"))
+
+
+# ---------------------------------------------------------------- state machines over lines
+
+USER_ORDER = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query("w9_pairs_in_runs", f"""
+WITH RECURSIVE l AS (
+  SELECT *, {USER_ORDER} AS n, CASE event_id % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'D' WHEN 2 THEN 'A' WHEN 3 THEN 'D' ELSE 'O' END AS kind,
+         CASE event_id % 5 WHEN 2 THEN '1,' || cast(event_id AS varchar) WHEN 4 THEN event_type ELSE cast(event_id AS varchar) END AS line FROM events
+), s AS (
+  SELECT user_id, n, event_id, line, CASE WHEN kind = 'D' THEN line END AS open, cast(NULL AS varchar) AS label, event_id % 97 = 96 AS stopped FROM l WHERE n = 1
+  UNION ALL
+  SELECT l.user_id, l.n, l.event_id, l.line, CASE WHEN s.open IS NULL AND kind = 'D' THEN l.line END, CASE WHEN kind <> 'O' AND NOT (stopped OR l.event_id % 97 = 96) THEN s.open END, stopped OR l.event_id % 97 = 96
+  FROM s JOIN l ON l.user_id = s.user_id AND l.n = s.n + 1
+)
+SELECT event_id, label, line AS amount FROM s WHERE label IS NOT NULL""")
+def w9(t):
+    k = F.col("event_id") % 5
+    line = F.when(k == 2, F.concat(F.lit("1,"), F.col("event_id").cast("string"))).when(k == 4, F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    rows = t.events.withColumn("line", line)
+    found = sequences.pairs_in_runs(rows, ["user_id"], ["ts", "event_id"], "line", F.col("line").rlike(r"^\d+$"), F.col("line").rlike(r"^[\d,.]+$"), F.col("event_id") % 97 == 96)
+    return found.select("event_id", "label", F.col("line").alias("amount"))
+
+
+@query("w13_skip_next", """
+WITH l AS (
+  SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'label' WHEN 1 THEN 'amount' WHEN 2 THEN 'amount' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'total' ELSE 'text' END END AS kind FROM orders
+), a AS (
+  SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM l x WHERE kind = 'amount' AND NOT EXISTS (
+    SELECT 1 FROM l t WHERE t.o_custkey = x.o_custkey AND t.kind = 'total' AND t.o_orderkey < x.o_orderkey AND NOT EXISTS (
+      SELECT 1 FROM l b WHERE b.o_custkey = x.o_custkey AND b.kind = 'amount' AND b.o_orderkey > t.o_orderkey AND b.o_orderkey < x.o_orderkey))
+), b AS (
+  SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM l WHERE kind = 'label'
+)
+SELECT o_custkey, b.o_orderkey AS portfolio, round(a.o_totalprice, 2) AS amount FROM b JOIN a USING (o_custkey, n)""")
+def w13(t):
+    k = F.col("o_orderkey") % 4
+    kind = F.when(k == 0, "label").when(k < 3, "amount").when(F.col("o_orderkey") % 3 == 0, "total").otherwise("text")
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", kind.alias("kind"))
+    amounts = sequences.without_next(rows, ["o_custkey"], ["o_orderkey"], "kind", "total", "amount").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("amount"))
+    labels = rows.where("kind = 'label'").select("o_custkey", "o_orderkey")
+    return sequences.nth_with_nth(labels, amounts, ["o_custkey"], ["o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("portfolio"), money("amount").alias("amount"))
+
+
+@query("w10_keyword_window", f"""
+WITH RECURSIVE l AS (
+  SELECT event_id, user_id, {USER_ORDER} AS n, event_id % 4 = 0 OR event_type = 'error' AS kw, event_id % 3 <> 0 AS hit FROM events
+), s AS (
+  SELECT user_id, n, event_id, hit AND kw AS told, CASE WHEN NOT kw OR hit THEN 0 ELSE 2 END AS win FROM l WHERE n = 1
+  UNION ALL
+  SELECT l.user_id, l.n, l.event_id, hit AND (kw OR win > 0), CASE WHEN hit AND (kw OR win > 0) THEN 0 WHEN kw THEN 2 ELSE greatest(0, win - 1) END
+  FROM s JOIN l ON l.user_id = s.user_id AND l.n = s.n + 1
+)
+SELECT event_id FROM s WHERE told""")
+def w10(t):
+    keyword = (F.col("event_id") % 4 == 0) | (F.col("event_type") == "error")
+    return sequences.within_keyword(t.events, ["user_id"], ["ts", "event_id"], keyword, F.col("event_id") % 3 != 0).select("event_id")
+
+
+@query("w11_carried_headers", """
+WITH RECURSIVE c AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax,
+         CASE WHEN l_partkey % 5 = 0 THEN ['Lender', 'Amount', 'Note'] WHEN l_partkey % 5 < 3 THEN ['L' || cast(l_suppkey AS varchar), cast(l_quantity AS varchar), 'x'] ELSE ['L' || cast(l_suppkey AS varchar), cast(l_quantity AS varchar)] END AS cells,
+         CASE WHEN l_partkey % 4 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS day,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS n
+  FROM lineitem
+), f AS (
+  SELECT l_orderkey, l_linenumber, cells, l_partkey % 5 = 0 AS head, day, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS t FROM c WHERE n = 1
+), s AS (
+  SELECT l_orderkey, l_linenumber, t, cells AS headers, true AS own, day FROM f WHERE t = 1
+  UNION ALL
+  SELECT f.l_orderkey, f.l_linenumber, f.t, CASE WHEN head OR len(cells) <> len(headers) THEN cells ELSE headers END, head OR len(cells) <> len(headers), coalesce(s.day, f.day) FROM s JOIN f ON f.l_orderkey = s.l_orderkey AND f.t = s.t + 1
+)
+SELECT l_orderkey, l_linenumber, cells[1] || '|' || cells[2] AS vals, array_to_string(headers, '|') AS headers, s.day AS as_on FROM c JOIN s USING (l_orderkey, l_linenumber) WHERE NOT own OR n > 1""")
+def w11(t):
+    """Orders as reports, their line numbers as tables, whose rows have two or three cells."""
+    k = F.col("l_partkey") % 5
+    lender, quantity = F.concat(F.lit("L"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("string")
+    cells = F.when(k == 0, F.array(*map(F.lit, ["Lender", "Amount", "Note"]))).when(k < 3, F.array(lender, quantity, F.lit("x"))).otherwise(F.array(lender, quantity))
+    place = F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", place.alias("place"), cells.alias("cells"), F.when(F.col("l_partkey") % 4 == 0, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("as_on"))
+    found = sequences.carried_headers(rows, ["l_orderkey"], ["l_linenumber"], "place", "cells", F.get("cells", 0) == "Lender", "as_on")
+    return found.select("l_orderkey", "l_linenumber", F.concat_ws("|", F.slice("cells", 1, 2)).alias("vals"), F.concat_ws("|", "headers").alias("headers"), "as_on")
