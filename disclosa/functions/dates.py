@@ -6,7 +6,7 @@ import datetime as dt
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,14 @@ def parse_date_fuzzy(texts: pd.Series) -> pd.Series:
     return texts.map(any_date)
 
 
+def with_dates(df: DataFrame, text: str, day: str) -> DataFrame:
+    """Adds the date in ``text``: by ``parse_date`` on the JVM, and only for texts that it
+    leaves null and that are not blank by ``any_date`` in Arrow workers."""
+    found = df.withColumn(day, parse_date(F.col(text)))
+    missed = F.col(day).isNull() & (strip(F.coalesce(F.col(text).cast("string"), F.lit(""))) != "")
+    return found.where(~missed).unionByName(found.where(missed).withColumn(day, parse_date_fuzzy(F.col(text).cast("string"))))
+
+
 def url_month(url: Column) -> Column:
     """struct(year, month, token, family) of the first month and year in a URL:
     a named month with a year of 2 to 4 digits, else 20YY and a month number."""

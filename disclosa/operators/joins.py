@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from disclosa.shared import stored
+
 
 def with_master(summary: DataFrame, master: DataFrame) -> DataFrame:
     """Summaries with their source; sources without one and the reverse drop out."""
@@ -72,9 +74,27 @@ def zip_lists(df: DataFrame, a: str, b: str, names: tuple[str, str]) -> DataFram
     return df.withColumn("pair", F.explode(zipped)).select(*[c for c in df.columns if c not in (a, b)], f"pair.{names[0]}", f"pair.{names[1]}")
 
 
+#: Pages that end within so many rows are a top-k of one task.
+SHALLOW = 10_000
+
+
 def page(df: DataFrame, order: list, number: int | None, size: int | None) -> DataFrame:
-    """A page of the ordered rows; without number or size all of them."""
-    df = df.orderBy(*order)
+    """A page of the ordered rows; without number or size all of them.
+
+    A deep page does not pass all rows before it through one task: rows are dealt by
+    ranges of the order, the ranges are counted, and only those of the page are sorted.
+    """
     if not number or not size:
-        return df
-    return df.offset((number - 1) * size).limit(size)
+        return df.orderBy(*order)
+    start = (number - 1) * size
+    if start + size <= SHALLOW:
+        return df.orderBy(*order).offset(start).limit(size)
+    ranged = stored(df.repartitionByRange(*order).withColumn("range__", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["range__"], r["count"]) for r in ranged.groupBy("range__").count().collect())  # a row a partition
+    at, wanted, skipped = 0, [], 0
+    for k, n in sizes:
+        if at + n > start and at < start + size:
+            skipped = start - at if not wanted else skipped
+            wanted.append(k)
+        at += n
+    return ranged.where(F.col("range__").isin(wanted)).drop("range__").orderBy(*order).offset(skipped).limit(size)

@@ -52,6 +52,27 @@ def monthly_summary(raw: DataFrame, order: list[str]) -> DataFrame:
     return out.withColumn("status", staleness(F.col("status"), F.col("as_on_year"), F.col("as_on_month"), F.col("scrape_year"), F.col("scrape_month")))
 
 
+def day_parts(raw: DataFrame) -> DataFrame:
+    """What a day of a source keeps to be merged: its distinct (lender, portfolio) pairs,
+    exact texts stripped, lenders in small letters, with sums and counts of their rows.
+    A day is made once; months and totals come from days (``merged_days``)."""
+    keys = [F.col("lsp_id"), F.to_date("scrape_timestamp").alias("day"), normalise(F.col("lender"), True).alias("lender"), normalise(F.col("portfolio")).alias("portfolio")]
+    rows = raw.where(F.col("scrape_timestamp").isNotNull())
+    return rows.groupBy(*keys).agg(F.sum("amount").alias("amount"), F.count("*").alias("n_rows"))
+
+
+def merged_days(days: DataFrame, by: list, names: list[str]) -> DataFrame:
+    """Exact distinct lenders, portfolios and pairs of ``by`` (columns named ``names``)
+    from stored days.  Equal pairs of several days are merged first, so a group's values
+    are spread over tasks and no task holds a set of them."""
+    pairs = days.groupBy(*[c.alias(n) for c, n in zip(by, names)], "lender", "portfolio").agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
+    amounts = pairs.groupBy(*names).agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"), F.sum("n_rows").alias("n_rows"), F.count_if((F.col("lender") != "") | (F.col("portfolio") != "")).alias("pairs"))
+    for col, name in (("lender", "lenders"), ("portfolio", "portfolios")):
+        own = pairs.where(F.col(col) != "").select(*names, col).distinct().groupBy(*names).agg(F.count("*").alias(name))
+        amounts = amounts.join(own, names, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return amounts
+
+
 def graph_rollup(summary: DataFrame) -> DataFrame:
     """Sums for each 'YYYY-MM'."""
     label = month_label(F.col("scrape_year"), F.col("scrape_month")).alias("month_year")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from disclosa.functions import amounts, dates, status, text
 from disclosa.operators import filters, joins, links, mutations, normalise, sequences, summary, windows
 from disclosa.plans.proxies import Tables, with_tables
-from disclosa.shared import fresh_dir
+from disclosa.shared import fresh_dir, stored
 from disclosa.sources import fetch, lines, tables
 from disclosa.streaming import summary as streaming
 
@@ -287,9 +287,9 @@ def j5(t):
     return joins.null_safe_anti(a, b, KEYS7).select("row_id")
 
 
-@query("j6_scraped_semi", "SELECT id, name FROM dlg_master m WHERE EXISTS (SELECT 1 FROM dlg_raw r WHERE r.lsp_id = m.id AND r.scrape_timestamp >= TIMESTAMP '2001-10-01')")
+@query("j6_scraped_semi", "SELECT id, name FROM dlg_master m WHERE EXISTS (SELECT 1 FROM dlg_raw r WHERE r.lsp_id = m.id)")
 def j6(t):
-    return joins.scraped_sources(t.master, t.raw.where(F.col("scrape_timestamp") >= F.lit(dt.datetime(2001, 10, 1)).cast("timestamp_ntz"))).select("id", "name")
+    return joins.scraped_sources(t.master, t.raw).select("id", "name")
 
 
 @query("j7_or_semi", """
@@ -450,6 +450,13 @@ def l3(t):
     return joins.page(filters.active_rows(t.users), ["id"], 3, 25).select("id", "username")
 
 
+@query("l3_deep_page", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS price FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 5 OFFSET 49995")
+def l3_deep(t):
+    """Page 10,000 of lineitem."""
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")]
+    return joins.page(t.lineitem, order, 10_000, 5).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money("l_extendedprice").alias("price"))
+
+
 @query("l4_best", "SELECT s_suppkey AS id, s_acctbal AS score FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1")
 def l4(t):
     return windows.first_of_all(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")), [F.desc("score"), F.col("id")])
@@ -493,13 +500,13 @@ def c1(t):
 
 @query("c2_partial_update", """
 WITH ch AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'New ' || s_name END AS name, 'https://moved/' || cast(s_suppkey AS varchar) AS home_url, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE true END AS active FROM supplier WHERE s_suppkey % 4 <> 1),
-scraped AS (SELECT DISTINCT lsp_id FROM dlg_raw WHERE lsp_id % 5 = 0)
+scraped AS (SELECT DISTINCT lsp_id FROM dlg_raw)
 SELECT m.id, coalesce(ch.name, m.name) AS name, CASE WHEN m.id IN (SELECT lsp_id FROM scraped) THEN m.home_url ELSE coalesce(ch.home_url, m.home_url) END AS home_url, CASE WHEN ch.id IS NOT NULL THEN ch.active ELSE m.active END AS active
 FROM dlg_master m LEFT JOIN ch ON ch.id = m.id""")
 def c2(t):
     s = F.col("s_suppkey")
     ch = t.supplier.where(s % 4 != 1).select(s.alias("id"), F.when(s % 2 == 0, F.concat(F.lit("New "), "s_name")).alias("name"), F.concat(F.lit("https://moved/"), s.cast("string")).alias("home_url"), F.when(s % 3 != 0, F.lit(True)).alias("active"))
-    return mutations.update_sources(t.master, ch, t.raw.where("lsp_id % 5 = 0")).select("id", "name", "home_url", "active")
+    return mutations.update_sources(t.master, ch, t.raw).select("id", "name", "home_url", "active")
 
 
 @query("c3_deactivate", "SELECT id, CASE WHEN id % 3 = 0 THEN false ELSE active END AS active FROM dlg_master")
@@ -517,6 +524,38 @@ def c4(t):
 STALE = "extract(year FROM scrape_timestamp) * 100 + extract(month FROM scrape_timestamp)"
 
 
+@query("c4_insert_raw", """
+WITH new AS (SELECT lsp_id, lsp_name, CASE WHEN lsp_id % 2 = 0 THEN lender || ' new' ELSE lender END AS lender, portfolio, amount, as_on_timestamp, scrape_timestamp FROM dlg_raw WHERE scrape_timestamp IS NOT NULL),
+fresh AS (SELECT lsp_id, lender, portfolio, amount, as_on_timestamp, min(scrape_timestamp) AS scrape_timestamp FROM new n WHERE NOT EXISTS (SELECT 1 FROM dlg_raw r WHERE r.lsp_id = n.lsp_id AND r.lender IS NOT DISTINCT FROM n.lender AND r.portfolio IS NOT DISTINCT FROM n.portfolio AND r.amount IS NOT DISTINCT FROM n.amount AND r.as_on_timestamp IS NOT DISTINCT FROM n.as_on_timestamp) GROUP BY ALL),
+every AS (SELECT lsp_id, lender FROM dlg_raw UNION ALL SELECT lsp_id, lender FROM fresh)
+SELECT lsp_id, lender, count(*) AS n FROM every GROUP BY ALL""")
+def c4_insert(t):
+    """Every raw row entered by hand once more, every second source under other lenders."""
+    new = t.raw.where("scrape_timestamp is not null").drop("row_id", "complete").withColumn("lender", F.when(F.col("lsp_id") % 2 == 0, F.concat("lender", F.lit(" new"))).otherwise(F.col("lender")))
+    return mutations.insert_raw(t.raw.drop("row_id"), new).groupBy("lsp_id", "lender").agg(F.count("*").alias("n"))
+
+
+@query("a3_months_from_days", """
+SELECT lsp_id, strftime(scrape_timestamp, '%Y-%m') AS month, count(DISTINCT nullif(lower(trim(lender)), '')) AS lenders, count(DISTINCT nullif(trim(portfolio), '')) AS portfolios, round(coalesce(sum(amount), 0.0), 2) AS total_amount, cast(count(*) AS bigint) AS n_rows,
+       count(DISTINCT CASE WHEN coalesce(trim(lender), '') <> '' OR coalesce(trim(portfolio), '') <> '' THEN coalesce(lower(trim(lender)), '') || '|' || coalesce(trim(portfolio), '') END) AS pairs
+FROM dlg_raw WHERE scrape_timestamp IS NOT NULL GROUP BY ALL""")
+def a3_days(t):
+    """Months made from stored days alone."""
+    days = stored(summary.day_parts(t.raw), "days")
+    return summary.merged_days(days, [F.col("lsp_id"), F.date_format("day", "yyyy-MM")], ["lsp_id", "month"]).withColumn("total_amount", money("total_amount"))
+
+
+@query("d1_two_tiers", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""")
+def d1_tiers(t):
+    """Texts that the patterns know, that they miss, and blanks."""
+    f = lambda p: F.date_format("o_orderdate", p)
+    k = F.col("o_orderkey") % 4
+    told = F.when(k == 0, f("dd.MM.yyyy")).when(k == 1, f("MMM/dd/yyyy")).when(k == 2, F.concat(F.lit("as on "), f("MMMM dd, yyyy"))).otherwise(F.lit("  "))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), told.alias("text"))
+    return dates.with_dates(rows, "text", "day").select("id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query("c5_append", f"""
 WITH new AS (SELECT * REPLACE ('n' || row_id AS row_id, CASE WHEN lsp_id % 3 = 0 THEN lender || ' x' ELSE ' ' || lender || ' ' END AS lender) FROM dlg_raw),
 cl AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '') AS cp, {STALE} AS ym FROM dlg_raw),

@@ -279,3 +279,27 @@ def test_tables_of_a_database_are_read_in_parts(spark):
     found = tables.jdbc_table(spark, url, "SOURCES", driver=driver, partitionColumn="ID", lowerBound="0", upperBound="100", numPartitions="4")
     assert found.rdd.getNumPartitions() == 4 and found.where("ID < 10").count() == 10
     assert sorted(r.NAME for r in found.collect()) == sorted(r.NAME for r in rows.collect())
+
+
+def test_footers_are_places(spark):
+    body = '<nav><a href="/x">X</a></nav><footer><a href="/x">X</a></footer><a href="/y">Y</a><FOOTER id=2><a href="/z">Z</a></FOOTER><footer><a href="/open">O</a>'
+    got = links.links(spark.createDataFrame([("https://a/", body)], "url string, html string")).orderBy("pos").collect()
+    assert [(r.pos, r.href, r.in_footer) for r in got] == [(0, "/x", False), (1, "/x", True), (2, "/y", False), (3, "/z", True), (4, "/open", False)]
+
+
+def test_deep_pages_sort_their_ranges_only(spark, monkeypatch):
+    from disclosa.operators import joins
+
+    monkeypatch.setattr(joins, "SHALLOW", 10)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), "id").repartition(5)
+    for number, size in ((1, 5), (3, 5), (40, 20), (50, 20), (51, 20), (143, 7)):
+        got = [r.x for r in joins.page(df, [F.desc("x")], number, size).collect()]
+        assert got == list(range(999, -1, -1))[(number - 1) * size : number * size]
+
+
+def test_only_texts_that_the_patterns_miss_reach_a_worker(spark):
+    df = spark.createDataFrame([("31.12.2025",), ("Dec/31/2025",), (" ",), (None,), ("none",)], "t string")
+    got = dates.with_dates(df, "t", "d")
+    assert [r.d for r in got.collect() if r.d] == [dt.date(2025, 12, 31)] * 2 and got.count() == 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Filter" in plan.split("ArrowEvalPython")[1]
