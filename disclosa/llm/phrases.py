@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from itertools import pairwise
 from urllib.parse import urlparse
 
 import duckdb
@@ -27,7 +28,7 @@ from .common import answered, blocks, stored, utf8
 
 #: Bytes of pieces that a task counts at once (and words, where a piece has more), of text
 #: to a bucket, and of duckdb's memory.
-CHUNK, WORDS, BUCKET, MEMORY = 6 << 20, 1 << 20, 4 << 20, "256MB"
+CHUNK, WORDS, BUCKET, MEMORY = 3 << 20, 1 << 19, 8 << 20, "160MB"
 
 #: Bytes as they count: A-Z lower-cased, what ends a piece as line end, tab as blank.
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -92,8 +93,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     ``least`` times within pieces of a language, overlaps included; and a row a language
     and bucket without phrase, whose f is of all words, so that they add up to n.
 
-    A task sends each bucket one row a chunk and language, its phrases in order and
-    compressed.
+    A task sends each bucket one row a chunk and language, its phrases compressed.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_buckets, folder = 1 + size // BUCKET, _folder(docs)
@@ -109,13 +109,26 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
                 words, owner = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
                 for at in range(0, len(words), WORDS):
                     found = pa.concat_tables([grams(chunk, words, owner, at, n) for n in range(1, longest + 1)])  # noqa: F841 (read by duckdb)
-                    counted = db.execute(f"""
-                        SELECT (hash(lang, phrase) % {n_buckets})::INT AS bucket, lang, string_agg(phrase, chr(10) ORDER BY phrase) AS phrases, list(f ORDER BY phrase) AS f
-                        FROM (SELECT lang, phrase, sum(m)::BIGINT AS f FROM found GROUP BY lang, phrase) GROUP BY ALL
-                    """)
-                    while rows := counted.fetchmany(64):
-                        cols = zip(*[(bucket, lang, zstd.compress(phrases.encode()), zstd.compress(np.asarray(f, "<i8").tobytes())) for bucket, lang, phrases, f in rows])
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "lang", "phrases", "f"])
+                    counted = db.sql(f"SELECT (hash(lang, phrase) % {n_buckets})::INT AS bucket, lang, phrase || chr(10) AS phrase, sum(m)::BIGINT AS f FROM found GROUP BY lang, phrase").to_arrow_table().combine_chunks()
+                    del found
+                    if counted.num_rows:
+                        yield dealt(counted)
+                    del counted
+                    pa.default_memory_pool().release_unused()
+
+            def dealt(counted):
+                """A row for each bucket and language: its phrases, a line each, and counts."""
+                lang = counted.column("lang").chunk(0).dictionary_encode()
+                names = lang.dictionary.to_pylist()
+                key = counted.column("bucket").to_numpy().astype(np.int64) * len(names) + lang.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                ids, first = np.unique(key[order], return_index=True)
+                raw, off = utf8(counted.column("phrase").chunk(0).take(pa.array(order)))
+                f, cut = counted.column("f").to_numpy()[order].astype("<i8"), [*first.tolist(), len(order)]
+                cols = [pa.array(ids // len(names), pa.int32()), pa.array([names[i] for i in (ids % len(names)).tolist()], pa.string())]
+                cols.append(pa.array([zstd.compress(raw[off[i] : off[j]].tobytes()) for i, j in pairwise(cut)], pa.binary()))
+                cols.append(pa.array([zstd.compress(f[i:j].tobytes()) for i, j in pairwise(cut)], pa.binary()))
+                return pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "phrases", "f"])
 
             def grams(chunk, words, owner, at, n):
                 """The phrases of n words that begin at one of WORDS words from ``at`` on."""
@@ -135,30 +148,42 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
                 yield from flush()
 
     def total(batches):
-        def shut(db):
-            found = db.execute(f"""
+        zstd = zstandard.ZstdDecompressor()
+
+        def added(db, held):
+            if held:
+                rows = pa.concat_tables(held)  # noqa: F841 (read by duckdb)
+                db.execute("INSERT INTO own SELECT * FROM rows")
+                held.clear()
+
+        def shut(db, held):
+            added(db, held)
+            found = db.sql(f"""
                 WITH s AS (SELECT lang, phrase, sum(f)::BIGINT AS f FROM own GROUP BY lang, phrase), n AS (SELECT *, (len(phrase) - len(replace(phrase, ' ', '')) + 1)::INT AS n_words FROM s)
                 SELECT lang, phrase, n_words, f FROM n WHERE f >= {least}
                 UNION ALL SELECT lang, NULL, 0, sum(f)::BIGINT FROM n WHERE n_words = 1 GROUP BY lang
             """).to_arrow_table()
+            db.execute("TRUNCATE own")
             return found.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_words", pa.int32()), ("f", pa.int64())])).to_batches(max_chunksize=50_000)
 
-        zstd = zstandard.ZstdDecompressor()
         with Scratch(_made(folder)) as db:
-            last = None
+            db.execute("CREATE TEMP TABLE own (lang VARCHAR, phrase VARCHAR, f BIGINT)")
+            last, held, held_rows = None, [], 0
             for b in batches:
                 for bucket, lang, phrases, f in zip(*(c.to_pylist() for c in b.columns)):
-                    if bucket != last:
-                        if last is not None:
-                            yield from shut(db)
-                        db.execute("CREATE OR REPLACE TEMP TABLE own (lang VARCHAR, phrase VARCHAR, f BIGINT)")
-                        last = bucket
-                    parts = pa.array([zstd.decompress(phrases).decode()], pa.large_string())
-                    values = pa.array(np.frombuffer(zstd.decompress(f), "<i8"))
-                    rows = pa.table({"phrase": pc.list_flatten(pc.split_pattern(parts, "\n")).cast(pa.string()), "f": values})  # noqa: F841 (read by duckdb)
-                    db.execute("INSERT INTO own SELECT ?, phrase, f FROM rows", [lang])
+                    if bucket != last and last is not None:
+                        yield from shut(db, held)
+                        held_rows = 0
+                    last = bucket
+                    values = np.frombuffer(zstd.decompress(f), "<i8")
+                    lines = pc.list_flatten(pc.split_pattern(pa.array([zstd.decompress(phrases)[:-1].decode()]), "\n"))
+                    held.append(pa.table({"lang": pa.repeat(lang, len(values)), "phrase": lines, "f": values}))
+                    held_rows += len(values)
+                    if held_rows >= WORDS:
+                        added(db, held)
+                        held_rows = 0
             if last is not None:
-                yield from shut(db)
+                yield from shut(db, held)
 
     counts = pieces(docs, text_col, lang_col).mapInArrow(count, "bucket int, lang string, phrases binary, f binary")
     return counts.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "lang string, phrase string, n_words int, f long")
