@@ -1,224 +1,184 @@
-"""Disclosures in plain text: one parser for each layout, over a document's lines.
+"""Disclosures in plain text, by layout, as windows over typed lines (no Python workers).
 
-A layout is a small state machine over the lines of one document, so documents
-are parsed each on its own, in Arrow batches.
+A document's lines are typed by the first wording that fits; what a line means by the
+lines before it are the state machines of ``operators.sequences``.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
-import re
-from collections.abc import Iterator
-from itertools import pairwise
-from typing import NamedTuple
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from disclosa.functions.dates import any_date, month_end
+from disclosa.functions.dates import parse_date
+from disclosa.operators.sequences import nth_with_nth, pairs_in_runs, without_next
+from disclosa.operators.windows import keep_first
+from disclosa.shared import stored
+from disclosa.sources.rules import with_specs
 
-#: A parsed row: lsp_name, lender, portfolio, amount, as_on.
-Row = tuple[str | None, str | None, str | None, float, dt.date | None]
-#: From this amount on a line of the agent layout is its total.
-LARGEST = 7_000_000_000
-I = re.IGNORECASE  # noqa: E741
+#: Sources and wordings that have a layout of their own.
+AGENT_NAME, AGENT_WORDING = "FinAGG", "Portfolio OS as on"
+PAIRED_NAME, PAIRED_WORDINGS = "Finnable", ("Portfolio Number", "Disbursement")
+GRID_NAMES, GRID_WORDING = ("nira", "shuhari"), "nirafinance"
 #: Wordings of dates, and of the lines of a layout by kind.
+APP_LINES = {"app": r"^Digital Lending App:\s*(.+)$", "as_on": r"\bas on\b\s+(.+?)(?:\s*\(|\s*$)", "lender": r"^(Lender\s+[A-Za-z0-9]+)\b.*?:\s*$", "portfolio": r"^Portfolio\s+([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)?)\s*:\s*([0-9]+(?:\.[0-9]+)?)\s*$"}
 GRID_DATE = r"Last updated on ([A-Za-z]+ \d{1,2},?\s*\d{4})"
-GRID_LINES = (("label", r"Portfolio\s+(\d+)$"), ("total", r"Total"), ("amount", r".*?(?:Rs\.?|INR)\s*([\d,]+(?:\.\d+)?)\s*Crore?"))
+GRID_LINES = {"label": r"^Portfolio\s+(\d+)$", "total": r"^Total", "amount": r"^.*?(?:Rs\.?|INR)\s*([\d,]+(?:\.\d+)?)\s*Crore?"}
+PAIRED_DATE = r"Last updated as of ([A-Za-z]+ \d{4})"
 AGENT_DATE = r"as\s+on\s+([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})"
-AGENT_LINES = (("portfolio", r"Portfolio\s*([0-9l]+)(?:\s+([0-9,\s]+))?\s*(?:(Yes|No))?\s*$"), ("merged", r"Portfolio\s+(\d[\d,]+)\s+Yes\s*$"), ("alone", r"[0-9,\s]+$"))
-
-
-def lines_of(text: str) -> list[str]:
-    return [x for x in (re.sub(r"\s+", " ", y).strip() for y in (text or "").splitlines()) if x]
-
-
-def number(text: str) -> float | None:
-    try:
-        return float(re.sub(r"[,\s]", "", text))
-    except ValueError:
-        return None
-
-
-class Event(NamedTuple):
-    """A line that one of a layout's patterns fits, and the line before it."""
-
-    kind: str
-    groups: tuple
-    line: str
-    before: str
-
-
-def events(text: str, patterns: tuple[tuple[str, str], ...]) -> Iterator[Event]:
-    """The lines that fit a pattern, named by the first that does."""
-    for before, line in pairwise(["", *lines_of(text)]):
-        for kind, pattern in patterns:
-            if m := re.match(pattern, line, I):
-                yield Event(kind, m.groups(), line, before)
-                break
-
-
-def dated(text: str, pattern: str, shape=str) -> dt.date | None:
-    m = re.search(pattern, text or "", I)
-    return any_date(shape(m[1])) if m else None
-
-
-def app_layout(text: str, lsp_name: str | None = None) -> list[Row]:
-    """Headings 'Digital Lending App:', an as-on line, 'Lender X ...:' lines and
-    'Portfolio X: n' lines; a heading resets lender and date; equal rows once."""
-    app = lender = as_on = None
-    out: dict[Row, None] = {}
-    for line in lines_of(text):
-        if m := re.match(r"Digital Lending App:\s*(.+)$", line, I):
-            app, lender, as_on = m[1].strip(), None, None
-        elif app and (m := re.search(r"\bas on\b\s+(.+?)(?:\s*\(|\s*$)", line, I)):
-            wording = re.sub(r"\bunaudited\b.*$", "", m[1], flags=I).strip(" :.-")
-            as_on = any_date(wording) or as_on
-        elif m := re.match(r"(Lender\s+[A-Za-z0-9]+)\b.*?:\s*$", line, I):
-            lender = m[1].strip()
-        elif app and (m := re.match(r"Portfolio\s+([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)?)\s*:\s*([0-9]+(?:\.[0-9]+)?)\s*$", line, I)):
-            out[app, lender, m[1].strip(), float(m[2]), as_on] = None
-    return list(out)
-
-
-def grid_layout(text: str, lsp_name: str | None = None) -> list[Row]:
-    """Portfolio labels and crore amounts in any interleaving: n-th with n-th, the
-    amount after a Total left out."""
-    found = list(events(text, GRID_LINES))
-    labels = [f"Portfolio {e.groups[0]}" for e in found if e.kind == "label"]
-    marks = [e for e in found if e.kind != "label"]
-    kept = [now for before, now in pairwise([None, *marks]) if now.kind == "amount" and (before is None or before.kind == "amount")]
-    amounts = [v for e in kept if (v := number(e.groups[0])) is not None]
-    as_on = dated(text, GRID_DATE, lambda x: x.replace(",", ""))
-    return [(lsp_name, None, p, a, as_on) for p, a in zip(labels, amounts)]
-
-
-def paired_layout(text: str, lsp_name: str | None = None) -> list[Row]:
-    """After 'Portfolio Number': a number line and an amount line in turn, to the
-    total or the update line; the date is the month's end."""
-    m = re.search(r"Last updated as of ([A-Za-z]+ \d{4})", text or "", I)
-    as_on = any_date(m[1]) if m else None
-    lines, out = lines_of(text), []
-    start = next((i for i, x in enumerate(lines) if "Portfolio Number" in x), len(lines))
-    body = iter(lines[start + 1 :])
-    label = None
-    for line in body:
-        if line.lower().startswith("total") or "last updated" in line.lower():
-            break
-        if "Portfolio Number" in line:
-            label = None
-        elif label is not None and re.fullmatch(r"[\d,.]+", line):
-            if (value := number(line)) is not None:
-                out.append((lsp_name, None, f"Portfolio {label}", value, month_end(as_on) if as_on else None))
-            label = None
-        else:
-            label = line if re.fullmatch(r"\d+", line) else None
-    return out
-
-
-def agent_layout(text: str, lsp_name: str | None = None) -> list[Row]:
-    """'Portfolio n [amount] Yes|No'; an amount line alone belongs to the NEXT
-    portfolio without one.  Only guaranteed (Yes) rows count; l reads 1; the
-    label stands as lender."""
-    as_on, out = dated(text, AGENT_DATE), []
-    for spare, (kind, groups) in portfolios(events(text, AGENT_LINES)):
-        if kind == "merged":
-            label, given, sure = str(len(out) + 1), groups[0], "yes"
-        else:
-            label, given, sure = re.sub("[lL]", "1", groups[0]), groups[1] or spare, groups[2]
-        value = number(given or "")
-        if value is not None and (sure or "").lower() == "yes" and (kind == "merged" or value <= LARGEST):
-            out.append((lsp_name, f"Portfolio {label}", None, value, as_on))
-    return out
-
-
-def portfolios(found: Iterator[Event]) -> Iterator[tuple[str | None, tuple[str, tuple]]]:
-    """Each portfolio with the last amount that stands alone since the one before it;
-    an amount below a line with Total is none."""
-    spare = None
-    for e in found:
-        if e.kind in ("portfolio", "merged"):
-            yield spare, (e.kind, e.groups)
-            spare = spare if e.kind == "merged" else None
-        elif "Total" not in e.before and len(re.sub(r"\D", "", e.line)) >= 6:
-            spare = e.line
-
-
-def pattern_layout(text: str, lsp_name: str | None, rules: dict) -> list[Row]:
-    """Patterns of the source: a lender line sets the lender; a row needs both a
-    portfolio and an amount."""
-    fields = rules.get("field_map") or {}
-    find = {k: (fields.get(k) or {}).get("regex") for k in ("lender", "portfolio", "amount")}
-    if not all(find.values()):
-        return []
-    dated, as_on = fields.get("as_on") if isinstance(fields.get("as_on"), dict) else {}, None
-    if dated.get("regex") and (m := re.search(dated["regex"], text or "", I)):
-        as_on = any_date(m[1])
-    as_on = as_on or any_date(dated.get("constant"))
-    lender, out = None, []
-    for line in lines_of(text):
-        if m := re.search(find["lender"], line, I):
-            lender = m[1].strip()
-            continue
-        p, a = re.search(find["portfolio"], line, I), re.search(find["amount"], line, I)
-        if p and a and (value := number(a[1])) is not None:
-            out.append((lsp_name, lender, p[1].strip(), value, as_on))
-    return out
-
-
-def load_rules(text: str | None) -> dict:
-    try:
-        found = json.loads(text) if text else {}
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
-
-
-def layout_of(lsp_name: str | None, text: str, rules: dict) -> str:
-    """agent, paired, grid, pattern or app: by the source's name and the wording."""
-    # fixed values: sources and wordings that have a layout of their own
-    name, low = lsp_name or "", (text or "").lower()
-    fields = rules.get("field_map") or {}
-    if "FinAGG" in name or "Portfolio OS as on" in (text or ""):
-        return "agent"
-    if "Finnable" in name or ("Portfolio Number" in (text or "") and "Disbursement" in text):
-        return "paired"
-    if "nira" in name.lower() or "nirafinance" in low or "shuhari" in name.lower():
-        return "grid"
-    named = [fields[k] for k in ("lender", "portfolio", "amount") if k in fields]
-    if rules and all(isinstance(x, dict) and "regex" in x for x in named):
-        return "pattern"
-    return "app"
-
-
-def parse_text(text: str, lsp_name: str | None = None, rules_json: str | None = None) -> tuple[str, list[Row]]:
-    rules = load_rules(rules_json)
-    kind = layout_of(lsp_name, text, rules)
-    if kind == "pattern":
-        return kind, pattern_layout(text, lsp_name, rules)
-    return kind, {"agent": agent_layout, "paired": paired_layout, "grid": grid_layout, "app": app_layout}[kind](text, lsp_name)
-
-
-SCHEMA = "source_id long, row_pos int, layout string, lsp_name string, lender string, portfolio string, amount double, as_on date, error string"
+AGENT_LINES = {"portfolio": r"^Portfolio\s*([0-9l]+)(?:\s+([0-9,\s]+))?\s*(?:(Yes|No))?\s*$", "merged": r"^Portfolio\s+(\d[\d,]+)\s+Yes\s*$", "alone": r"^[0-9,\s]+$"}
+#: From more than this amount on a line of the agent layout is its total.
+LARGEST = 7_000_000_000
+
+ROW = ["source_id", "row_pos", "layout", "lsp_name", "lender", "portfolio", "amount", "as_on", "error"]
+BY, ORDER = ["source_id"], ["pos"]
+
+
+def _i(pattern: str) -> str:
+    return f"(?i){pattern}"
+
+
+def _part(x: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, ignoring case; null where nothing fits or it is empty."""
+    return F.nullif(F.regexp_extract(x, _i(pattern), group), F.lit(""))
+
+
+def number(x: Column) -> Column:
+    return F.regexp_replace(x, r"[,\s]", "").try_cast("double")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """The filled lines of documents, white space made one blank: pos, line."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    rows = docs.select("source_id", "lsp_name", F.posexplode(parts).alias("pos", "line"))
+    return rows.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\s+", " "))).where("line <> ''")
+
+
+def typed_lines(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Lines with their ``kind``, the first wording that fits, else null."""
+    kind = reduce(lambda k, x: k.when(F.col("line").rlike(_i(x[1])), x[0]), kinds.items(), F)
+    return lines_of(docs).withColumn("kind", kind)
+
+
+def layout_of() -> Column:
+    """agent, paired, grid, pattern or app: by the source's name, the wording and rules
+    whose every named field is a pattern."""
+    name, text = F.coalesce("lsp_name", F.lit("")), F.coalesce("text", F.lit(""))
+    has = lambda x, *words: reduce(lambda a, b: a | b, (x.contains(w) for w in words))
+    at = lambda path: F.get_json_object("rules_json", f"$.field_map.{path}")
+    named = [at(f).isNull() | at(f"{f}.regex").isNotNull() for f in ("lender", "portfolio", "amount")]
+    ruled = F.coalesce(F.size(F.json_object_keys("rules_json")) > 0, F.lit(False))
+    return (
+        F.when(has(name, AGENT_NAME) | has(text, AGENT_WORDING), "agent")
+        .when(has(name, PAIRED_NAME) | (has(text, PAIRED_WORDINGS[0]) & has(text, PAIRED_WORDINGS[1])), "paired")
+        .when(has(F.lower(name), *GRID_NAMES) | has(F.lower(text), GRID_WORDING), "grid")
+        .when(ruled & named[0] & named[1] & named[2], "pattern")
+        .otherwise("app")
+    )
+
+
+def _last(x: Column, by: list[str]) -> Column:
+    w = Window.partitionBy(*by).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.last(x, ignorenulls=True).over(w)
+
+
+def _days(docs: DataFrame, pattern: str) -> DataFrame:
+    return docs.select("source_id", parse_date(_part(F.coalesce("text", F.lit("")), pattern)).alias("as_on"))
+
+
+def app_layout(docs: DataFrame) -> DataFrame:
+    """Headings of apps, below each an as-on line, lender lines and portfolio lines; a
+    heading begins a segment without lender and date; equal rows once."""
+    rows = typed_lines(docs, APP_LINES)
+    heads = F.sum(F.when(F.col("kind") == "app", 1).otherwise(0)).over(Window.partitionBy(*BY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("seg", heads).where("seg > 0")
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    wording = F.regexp_replace(F.regexp_replace(_part(F.col("line"), APP_LINES["as_on"]), r"(?i)\bunaudited\b.*$", ""), r"^[ :.-]+|[ :.-]+$", "")
+    own = [*BY, "seg"]
+    rows = rows.withColumns({
+        "lsp_name": _last(of("app", _part(F.col("line"), APP_LINES["app"])), own), "as_on": _last(of("as_on", parse_date(wording)), own),
+        "lender": _last(of("lender", _part(F.col("line"), APP_LINES["lender"])), own),
+        "portfolio": _part(F.col("line"), APP_LINES["portfolio"]), "amount": number(_part(F.col("line"), APP_LINES["portfolio"], 2)),
+    })
+    return keep_first(rows.where("kind = 'portfolio'"), ["source_id", "lsp_name", "lender", "portfolio", "amount", "as_on"], [F.col("pos")])
+
+
+def grid_layout(docs: DataFrame) -> DataFrame:
+    """Portfolio labels and crore amounts in any interleaving: n-th with n-th, the amount
+    after a Total left out."""
+    rows = typed_lines(docs, GRID_LINES)
+    amounts = without_next(rows, BY, ORDER, "kind", "total", "amount").withColumn("amount", number(_part(F.col("line"), GRID_LINES["amount"]))).where("amount is not null")
+    labels = rows.where("kind = 'label'").withColumn("portfolio", F.concat(F.lit("Portfolio "), _part(F.col("line"), GRID_LINES["label"])))
+    return nth_with_nth(labels, amounts.select("source_id", "pos", "amount"), BY, ORDER).join(_days(docs, GRID_DATE), "source_id")
+
+
+def paired_layout(docs: DataFrame) -> DataFrame:
+    """After 'Portfolio Number': a number line and an amount line in turn, to the total or
+    the update line; the date is the month's end."""
+    begin = F.sum(F.when(F.col("line").contains(PAIRED_WORDINGS[0]), 1).otherwise(0)).over(Window.partitionBy(*BY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
+    rows = lines_of(docs).withColumn("begun", begin).where("begun > 0")
+    low = F.lower("line")
+    found = pairs_in_runs(rows, BY, ORDER, "line", F.col("line").rlike(r"^\d+$"), F.col("line").rlike(r"^[\d,.]+$"), low.startswith("total") | low.contains("last updated"))
+    found = found.withColumns({"portfolio": F.concat(F.lit("Portfolio "), "label"), "amount": number(F.col("line"))}).where("amount is not null")
+    return found.join(_days(docs, PAIRED_DATE).withColumn("as_on", F.last_day("as_on")), "source_id")
+
+
+def agent_layout(docs: DataFrame) -> DataFrame:
+    """'Portfolio n [amount] Yes|No'; an amount line alone belongs to the next portfolio
+    without one.  Only guaranteed (Yes) rows count; l reads 1; the label stands as lender.
+
+    A portfolio line ends a segment in which the last amount alone is spare."""
+    w = Window.partitionBy(*BY).orderBy(*ORDER)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    line, p = F.col("line"), AGENT_LINES["portfolio"]
+    rows = typed_lines(docs, AGENT_LINES).withColumn("above", F.lag("line").over(w)).where("kind is not null")
+    alone = (F.col("kind") == "alone") & ~F.coalesce(F.col("above"), F.lit("")).contains("Total") & (F.length(F.regexp_replace("line", r"\D", "")) >= 6)
+    rows = rows.withColumn("seg", F.coalesce(F.sum(F.when(F.col("kind") == "portfolio", 1).otherwise(0)).over(before), F.lit(0)))
+    spare = F.last(F.when(alone, line), ignorenulls=True).over(Window.partitionBy(*BY, "seg").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
+    merged = F.col("kind") == "merged"
+    given = F.when(merged, _part(line, AGENT_LINES["merged"])).otherwise(F.coalesce(F.nullif(F.trim(_part(line, p, 2)), F.lit("")), spare))
+    rows = rows.withColumn("amount", number(given)).where("kind <> 'alone'")
+    sure = merged | ((F.lower(_part(line, p, 3)) == "yes") & (F.col("amount") <= LARGEST))
+    rows = rows.where(F.col("amount").isNotNull() & F.coalesce(sure, F.lit(False)))
+    label = F.when(merged, F.row_number().over(w).cast("string")).otherwise(F.translate(_part(line, p), "lL", "11"))
+    return rows.withColumn("lender", F.concat(F.lit("Portfolio "), label)).join(_days(docs, AGENT_DATE), "source_id")
+
+
+def pattern_layout(docs: DataFrame) -> DataFrame:
+    """Patterns of the source: a lender line sets the lender; a row needs both a portfolio
+    and an amount."""
+    found = lambda text, pattern: F.call_function("regexp_extract", text, pattern, F.lit(1))
+    fits = lambda pattern: F.call_function("rlike", F.col("line"), pattern)
+    own = F.col("spec.lines")
+    day = F.coalesce(parse_date(found(F.coalesce("text", F.lit("")), own["as_on"])), parse_date(own["day"]))
+    per = docs.where("spec.lines.lender is not null and spec.lines.portfolio is not null and spec.lines.amount is not null").withColumns({"as_on": day, "own": own})
+    rows = lines_of(per).join(per.select("source_id", "as_on", "own"), "source_id")
+    named = F.when(fits(F.col("own.lender")), F.trim(found(F.col("line"), F.col("own.lender"))))
+    rows = rows.withColumns({"is_lender": named.isNotNull(), "lender": _last(named, BY)}).where("not is_lender")
+    rows = rows.where(fits(F.col("own.portfolio")) & fits(F.col("own.amount")))
+    return rows.withColumns({"portfolio": F.trim(found(F.col("line"), F.col("own.portfolio"))), "amount": number(found(F.col("line"), F.col("own.amount")))}).where("amount is not null")
+
+
+LAYOUTS = {"agent": agent_layout, "paired": paired_layout, "grid": grid_layout, "pattern": pattern_layout, "app": app_layout}
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
-    """Rows of documents (source_id, lsp_name, text, rules_json).
+    """Rows (``ROW``) of documents (source_id, lsp_name, text, rules_json), each by its
+    layout, numbered in the order of their lines.
 
-    What fails (a broken pattern, say) is one row with ``error``, and hurts no
-    other source.
+    A source of the pattern layout whose rules are broken is one row with ``error``, and
+    hurts no other source.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for d in b.itertuples():
-                try:
-                    kind, rows = parse_text(d.text or "", d.lsp_name, d.rules_json)
-                    out += [(d.source_id, i, kind, *r, None) for i, r in enumerate(rows)]
-                except Exception as why:  # noqa: BLE001
-                    out.append((d.source_id, None, None, d.lsp_name, None, None, None, None, f"{type(why).__name__}: {why}"))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.split(", ")]).astype({"row_pos": "Int32"})
-
-    return docs.select("source_id", "lsp_name", "text", "rules_json").mapInPandas(run, SCHEMA)
+    known = docs.select("source_id", "lsp_name", "text", "rules_json", *(["spec"] if "spec" in docs.columns else []))
+    known = stored((known if "spec" in docs.columns else with_specs(known)).withColumn("layout", layout_of()), "layouts")
+    bad = (F.col("layout") == "pattern") & F.col("spec.error").isNotNull()
+    kinds = dict(source_id="long", pos="int", amount="double", as_on="date")
+    parts = []
+    for name, parse in LAYOUTS.items():
+        own = known.where(~bad & (F.col("layout") == name))
+        found = parse(own).withColumns({"layout": F.lit(name), "error": F.lit(None)})
+        parts.append(found.select(*[(F.col(c) if c in found.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in ["pos", *(c for c in ROW if c != "row_pos")]]))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("pos")) - 1
+    rows = reduce(DataFrame.unionByName, parts).withColumn("row_pos", place).select(*ROW)
+    return rows.unionByName(known.where(bad).select("source_id", "lsp_name", F.col("spec.error").alias("error")), allowMissingColumns=True)

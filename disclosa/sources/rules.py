@@ -10,6 +10,7 @@ A row has ``headers`` (array, in order) and ``vals`` (array beside it).
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from disclosa.functions.dates import parse_date, parse_date_by
 from disclosa.functions.text import normalise, strip
-from disclosa.sources.lines import load_rules
 
 #: Keys sought where a rule names none.
 DEFAULTS = {
@@ -41,10 +41,19 @@ _TEST = "struct<col:string,value:string,regex:string,ignore_case:boolean>"
 #: The record of a source's rules.
 SPEC = (
     f"struct<error:string,{','.join(f'{f}:{_FIELD}' for f in FIELDS)},dated:{_DATED},page_lender:{_PAGE},page_as_on:{_PAGE},"
-    f"keep:{_TEST},drop:{_TEST},fill:array<string>,table_index:int,skip_captions:boolean,ocr:struct<unit:string,quarterly:boolean,error:string>>"
+    f"lines:struct<lender:string,portfolio:string,amount:string,as_on:string,day:string>,keep:{_TEST},drop:{_TEST},fill:array<string>,table_index:int,skip_captions:boolean,ocr:struct<unit:string,quarterly:boolean,error:string>>"
 )
 
 
+def load_rules(text: str | None) -> dict:
+    """A source's rules; text that is no JSON object is none."""
+    try:
+        found = json.loads(text) if text else {}
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 class BadRule(ValueError):
     """A rule that cannot be used."""
 
@@ -119,6 +128,15 @@ def _test(rule) -> dict | None:
     return {"col": str(rule["column"]), "value": value, "regex": ("(?i)" if fold else "") + java_pattern(pattern) if pattern else None, "ignore_case": fold}
 
 
+def _lines(fields: dict) -> dict:
+    """Patterns for lines of text, and a constant day."""
+    specs = {f: fields[f] if isinstance(fields.get(f), dict) else {} for f in FIELDS}
+    # a pattern without a group takes the whole match
+    taken = lambda p: p if re.compile(p).groups else f"({p})"
+    day = specs["as_on"].get("constant")
+    return {f: "(?i)" + java_pattern(taken(x["regex"])) if x.get("regex") and java_pattern(x["regex"]) else None for f, x in specs.items()} | {"day": None if day is None else str(day)}
+
+
 def _ocr(rules: dict) -> dict:
     own = rules.get("ocr") if isinstance(rules.get("ocr"), dict) else {}
     own = own["simple"] if isinstance(own.get("simple"), dict) else own
@@ -132,13 +150,13 @@ def _ocr(rules: dict) -> dict:
 def spec_of(rules_json: str | None) -> dict:
     """The record (``SPEC``) of a source's rules; text that is no JSON object is no rules."""
     rules = load_rules(rules_json)
-    empty = dict.fromkeys(("error", *FIELDS, "dated", "page_lender", "page_as_on", "keep", "drop", "fill", "table_index", "skip_captions", "ocr"))
+    empty = dict.fromkeys(("error", *FIELDS, "dated", "page_lender", "page_as_on", "lines", "keep", "drop", "fill", "table_index", "skip_captions", "ocr"))
     try:
         fields = rules.get("field_map") if isinstance(rules.get("field_map"), dict) else {}
         index = rules.get("table_index")
         fill = [FILLS[k] for c in rules.get("forward_fill") or [] if (k := re.sub(r"[\s_]+", "", str(c).lower())) in FILLS]
         found = {f: _field(fields.get(f), f) for f in FIELDS} | {"dated": _dated(fields), "page_lender": _page(rules, "lender"), "page_as_on": _page(rules, "as_on")}
-        found |= {"keep": _test(rules.get("row_filter")), "drop": _test(rules.get("row_exclude")), "fill": fill, "ocr": _ocr(rules)}
+        found |= {"lines": _lines(fields), "keep": _test(rules.get("row_filter")), "drop": _test(rules.get("row_exclude")), "fill": fill, "ocr": _ocr(rules)}
         return empty | found | {"table_index": None if index is None else int(index), "skip_captions": bool(rules.get("skip_th_captions"))}
     except (ValueError, TypeError, AttributeError, KeyError, re.error) as why:  # BadRule is a ValueError
         return empty | {"error": str(why), "skip_captions": False}

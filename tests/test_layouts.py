@@ -10,32 +10,39 @@ from disclosa.sources import cells, html, lines, ocr, report
 NOV = dt.date(2025, 11, 30)
 
 
-def test_app_layout_resets_at_headings_and_drops_repeats():
+def parsed(spark, text, name=None):
+    """(layout, rows) of one text."""
+    docs = spark.createDataFrame([(1, name, text, None)], "source_id long, lsp_name string, text string, rules_json string")
+    got = lines.text_rows(docs).orderBy("row_pos").collect()
+    return {r.layout for r in got}, [(r.lsp_name, r.lender, r.portfolio, r.amount, r.as_on) for r in got]
+
+
+def test_app_layout_resets_at_headings_and_drops_repeats(spark):
     text = "Digital Lending App: One\nData as on November 30, 2025 (unaudited numbers):\nLender A (in INR crore):\nPortfolio A1: 100.3\nPortfolio A1: 100.3\nPortfolio A2: 7\nDigital Lending App: Two / 2\nPortfolio B: 1.5\n"
-    assert lines.app_layout(text) == [("One", "Lender A", "A1", 100.3, NOV), ("One", "Lender A", "A2", 7.0, NOV), ("Two / 2", None, "B", 1.5, None)]
+    assert parsed(spark, text)[1] == [("One", "Lender A", "A1", 100.3, NOV), ("One", "Lender A", "A2", 7.0, NOV), ("Two / 2", None, "B", 1.5, None)]
 
 
-def test_app_layout_needs_a_heading():
-    assert lines.app_layout("Portfolio A: 1\n") == []
+def test_app_layout_needs_a_heading(spark):
+    assert parsed(spark, "Portfolio A: 1\n")[1] == []
 
 
-def test_grid_layout_zips_and_skips_the_total():
+def test_grid_layout_zips_and_skips_the_total(spark):
     text = "Portfolio 1\nPortfolio 2\nRs. 1,000.5 Crore\nTotal\nRs. 3 Crore\nINR 2 Crore\nLast updated on November 30, 2025"
-    assert lines.grid_layout(text, "N") == [("N", None, "Portfolio 1", 1000.5, NOV), ("N", None, "Portfolio 2", 2.0, NOV)]
+    assert parsed(spark, text, "Nira") == ({"grid"}, [("Nira", None, "Portfolio 1", 1000.5, NOV), ("Nira", None, "Portfolio 2", 2.0, NOV)])
 
 
-def test_paired_layout():
+def test_paired_layout(spark):
     text = "Portfolio Number\nDisbursement\n1\n6,19,25,366\n2\nx\n3\n1,84\nTotal\n9\n9\nLast updated as of November 2025"
-    assert lines.paired_layout(text, "F") == [("F", None, "Portfolio 1", 61925366.0, NOV), ("F", None, "Portfolio 3", 184.0, NOV)]
+    assert parsed(spark, text, "F")[1] == [("F", None, "Portfolio 1", 61925366.0, NOV), ("F", None, "Portfolio 3", 184.0, NOV)]
 
 
-def test_agent_layout_attaches_amounts_to_the_next_portfolio():
+def test_agent_layout_attaches_amounts_to_the_next_portfolio(spark):
     text = "Portfolio OS as on 30-11-2025\nPortfolio l 2,30,25,89,904 Yes\n1,47,83,34,565\nPortfolio 2 Yes\n1,23,72,947\nPortfolio 3 No\nPortfolio 4 Yes\n9,99,99,99,999\nPortfolio 5 Yes"
-    assert lines.agent_layout(text, "A") == [("A", "Portfolio 1", None, 2302589904.0, NOV), ("A", "Portfolio 2", None, 1478334565.0, NOV)]
+    assert parsed(spark, text, "A")[1] == [("A", "Portfolio 1", None, 2302589904.0, NOV), ("A", "Portfolio 2", None, 1478334565.0, NOV)]
 
 
-def test_agent_layout_wants_digits_in_the_first_line():
-    assert lines.agent_layout("Disclosure\nPortfolio 1 Yes") == []
+def test_agent_layout_wants_digits_in_the_first_line(spark):
+    assert parsed(spark, "Disclosure\nPortfolio 1 Yes", "FinAGG")[1] == []
 
 
 def test_pattern_layout_and_broken_rules(spark):
