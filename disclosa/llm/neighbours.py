@@ -211,6 +211,8 @@ def _reranked(dim: int, k: int, forest: Forest | None):
             first, names = np.array([x[0] for x in ids]), np.unique(leaf)
             cut = np.append(np.searchsorted(leaf, names), len(leaf))
             several = any(len(x) > 1 for x in ids)
+            by_id = np.argsort(first, kind="stable")
+            repeated = [x for x in np.split(by_id, np.flatnonzero(np.diff(first[by_id])) + 1) if len(x) > 1] if len(set(first.tolist())) < len(first) else []
             for i in range(0, len(q), 256):
                 part = visited.slice(i, 256)
                 of = np.repeat(np.arange(len(part)), np.asarray(part.value_lengths(), np.int64))
@@ -220,6 +222,11 @@ def _reranked(dim: int, k: int, forest: Forest | None):
                     asks = of[own == name] if forest else np.arange(len(part))
                     if len(asks):
                         scores[asks, a:b] = q[i + asks] @ v[a:b].T
+                for x in repeated:  # of an id's several vectors the best one for each query
+                    own = scores[:, x]
+                    top = np.arange(len(own)), own.argmax(1)
+                    scores[:, x] = -np.inf
+                    scores[top[0], x[top[1]]] = own[top]
                 for r, (at, score) in enumerate(_best(scores, v, q[i : i + 256], first, k + 1)):
                     me = query[i + r]
                     if several:
@@ -252,11 +259,13 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
             yield from ranks(*held)
 
     def ranks(query, vec, score):
-        order = np.lexsort((vec, -score, query))
+        order = np.lexsort((-score, vec, query))
         query, vec, score = query[order], vec[order], score[order]
-        new = np.ones(len(query), bool)
+        new = np.ones(len(query), bool)  # the best of each neighbour, which blocks and an id's several vectors repeat
         new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
         query, vec, score = query[new], vec[new], score[new]
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
         first = np.searchsorted(query, query)
         rank = np.arange(len(query)) - first + 1
         ok = rank <= k
@@ -272,7 +281,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 3, le
     the vectors as given); best first, ties to the smaller id.  Vectors that are
     null, zero or hold null or non-finite components, and rows without an id,
     take no part; shorter vectors count as filled up with 0; equal rows count
-    once, equal vectors of different ids each; with fewer candidates than k all
+    once, equal vectors of different ids each; an id with several vectors is one query and
+    one neighbour, with the best of their products; with fewer candidates than k all
     are returned; an empty table gives no rows.
 
     Equal vectors are searched as one with its k + 1 smallest ids, so a group

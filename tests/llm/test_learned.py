@@ -240,6 +240,23 @@ def test_few_and_no_vectors(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_is_one_neighbour(spark):
+    r = random.Random(12)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60) for _ in range(2 if i % 3 else 1)] + [(20, [5.0, 5.0, 5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in neighbours.nearest(df, k=10, target=1.0).collect()]
+    want = set()
+    for q in (0, 20, 40):
+        best = {}
+        for a, v in rows:
+            for b, w in rows:
+                if a == q and b != q:
+                    best[b] = max(best.get(b, -9e9), sum(x * y for x, y in zip(v, w)))
+        top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]
+        want |= {(q, k, i, round(e, 9)) for k, (i, e) in enumerate(top, 1)}
+    assert {(q, k, i, round(e, 9)) for q, k, i, e in got} == want and len(got) == len(want)
+
+
 def test_blocks_of_a_leaf_lose_nothing(spark, monkeypatch):
     for name in ("CELL", "QUERIES", "LEAF"):
         monkeypatch.setattr(neighbours, name, 8)
