@@ -2,70 +2,43 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disclosa.functions.amounts import MISREAD, from_unit
+from disclosa.functions.amounts import from_unit, ocr_digits
 from disclosa.functions.dates import previous_month_end, previous_quarter_end
+from disclosa.functions.text import portfolio_hint
+from disclosa.operators.sequences import within_keyword
+from disclosa.operators.windows import context_before
 
-#: Words that announce amounts, and an amount's pattern.
+#: Words that announce amounts, and the patterns of amounts and portfolios.
 KEYWORDS = ("dlg", "default loss guarantee")
-AMOUNT = re.compile(r"(?:₹|INR|Rs\.?)?\s*([0-9OolI|S,/\.\-]{1}[0-9OolI|S,/\.\- ,]{2,})\s*(?:Cr|Crores?)?", re.I)
-PORTFOLIO = re.compile(r"^\s*portfolio\s+\d+", re.I)
-
-
-def repaired(raw: str) -> str | None:
-    """A number's text from misread characters, null below three digits."""
-    t = re.sub(r"[^0-9.,-]", "", (raw or "").translate(str.maketrans(*MISREAD))).strip(".,")
-    head, dot, rest = t.partition(".")
-    return head + dot + rest.replace(".", "") if len(re.sub(r"\D", "", t)) >= 3 else None
-
-
-def amounts_of(lines: list[str]) -> list[tuple[int, float, str, str, str | None]]:
-    """(line, amount, amount text, portfolio, context) of a page's lines.
-
-    A line counts within three lines from a keyword or portfolio; a found
-    amount ends that; at most one amount a line, and only with a portfolio.
-    The context is the two lines before.
-    """
-    out, window = [], 0
-    for i, line in enumerate(lines):
-        own = bool(PORTFOLIO.match(line))
-        if own or any(k in line.lower() for k in KEYWORDS):
-            window = 3
-        tokens = [x for x in re.findall(r"[0-9OolI|S,/\.\-]+", line) if re.search(r"\d", x)]
-        found = tokens[-1:] if own and tokens else AMOUNT.findall(line)
-        if found and window > 0:
-            label = re.search(r"portfolio\s+\d+", line, re.I)
-            for raw in found if label else ():
-                text = repaired(raw)
-                try:
-                    value = float((text or "").replace(",", ""))
-                except ValueError:
-                    continue
-                out.append((i, value, text, label[0].title(), " | ".join(lines[max(0, i - 2) : i]) or None))
-                break
-            window = 0
-        window = max(0, window - 1)
-    return out
-
-
-SCHEMA = "source_id long, page int, line_no int, amount double, amount_text string, portfolio_hint string, context_before string"
+AMOUNT = r"(?i)(?:₹|INR|Rs\.?)?\s*([0-9OolI|S,/\.\-]{1}[0-9OolI|S,/\.\- ,]{2,})\s*(?:Cr|Crores?)?"
+TOKEN, PORTFOLIO = r"([0-9OolI|S,/\.\-]+)", r"(?i)^\s*portfolio\s+\d+"
 
 
 def line_amounts(pages: DataFrame) -> DataFrame:
-    """Amounts of pages (source_id, page, lines array<string>)."""
+    """Amounts of pages (source_id, page, lines array<string>): source_id, page, line_no,
+    amount, amount_text, portfolio_hint, context_before.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(d.source_id, d.page, *r) for d in b.itertuples() for r in amounts_of(list(d.lines))]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.split(", ")])
-
-    return pages.select("source_id", "page", "lines").mapInPandas(run, SCHEMA)
+    A line counts within three lines from a keyword or portfolio; a found amount ends
+    that; at most one amount a line, and only with a portfolio.  The context is the two
+    lines before.
+    """
+    by, order = ["source_id", "page"], ["line_no"]
+    rows = context_before(pages.select("source_id", "page", F.posexplode("lines").alias("line_no", "line")), by, order)
+    line = F.col("line")
+    own = line.rlike(PORTFOLIO)
+    tokens = F.filter(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(1)), lambda x: x.rlike(r"\d"))
+    found = F.when(own & (F.size(tokens) > 0), F.slice(tokens, -1, 1)).otherwise(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(1)))
+    keyword = own
+    for k in KEYWORDS:
+        keyword = keyword | F.lower(line).contains(k)
+    hits = within_keyword(rows.withColumn("found", found), by, order, keyword, F.size("found") > 0)
+    read = F.transform("found", lambda x: F.struct(ocr_digits(x).alias("text"), F.replace(ocr_digits(x), F.lit(","), F.lit("")).try_cast("double").alias("value")))
+    first = F.get(F.filter(read, lambda x: x["value"].isNotNull()), 0)
+    hits = hits.withColumns({"first": first, "portfolio_hint": portfolio_hint(line)}).where("first is not null and portfolio_hint is not null")
+    return hits.select("source_id", "page", "line_no", F.col("first.value").alias("amount"), F.col("first.text").alias("amount_text"), "portfolio_hint", "context_before")
 
 
 def words_in_band(words: DataFrame, by: list[str], min_conf: float = 60, top_pct: float | None = None, bottom_pct: float | None = None, slices: int | None = None) -> DataFrame:

@@ -177,21 +177,20 @@ def with_specs(sources: DataFrame, rules: str = "rules_json", spec: str = "spec"
 # ---------------------------------------------------------------- the interpreter
 
 
-def _cells() -> Column:
-    return F.arrays_zip(F.col("headers").alias("h"), F.col("vals").alias("v"))
+def _plain(x: Column) -> Column:
+    """Headers and keys are compared in small letters, rupee signs as '?'."""
+    return F.translate(F.lower(x), "₹₨", "??")
 
 
-def _full() -> Column:
-    return F.filter(_cells(), lambda c: strip(F.coalesce(c["v"], F.lit(""))) != "")
+def filled_cells() -> Column:
+    """The filled cells of a row: header, value without blanks, header as keys see it."""
+    cells = F.arrays_zip(F.col("headers").alias("h"), F.col("vals").alias("v"))
+    known = F.transform(cells, lambda c: F.struct(c["h"].alias("h"), strip(F.coalesce(c["v"], F.lit(""))).alias("v"), _plain(c["h"]).alias("p")))
+    return F.filter(known, lambda c: c["v"] != "")
 
 
 def _first(cells: Column) -> Column:
-    return strip(F.get(cells, 0)["v"])
-
-
-def _plain(x: Column) -> Column:
-    """Headers and keys are compared in small letters, rupee signs as '?'."""
-    return F.translate(F.lower(x), "₹₨", "??")
+    return F.get(cells, 0)["v"]
 
 
 def _has(pattern: Column, text: Column) -> Column:
@@ -204,23 +203,23 @@ def _taken(text: Column, pattern: Column, group: Column) -> Column:
     return F.when(_has(pattern, plain), strip(F.call_function("regexp_extract", plain, pattern, group)))
 
 
-def pick(keys: list[str] | Column) -> Column:
+def pick(keys: list[str] | Column, full: Column | None = None) -> Column:
     """The first filled cell: by exact header in the order of the keys, then by a
     header that contains a key, rupee signs reading as '?', ignoring case."""
     wanted = keys if isinstance(keys, Column) else F.array(*map(F.lit, keys))
-    full = _full()
+    full = filled_cells() if full is None else full
     exact = F.filter(F.transform(wanted, lambda k: _first(F.filter(full, lambda c: c["h"] == k))), lambda x: x.isNotNull())
-    some = F.filter(full, lambda c: F.exists(wanted, lambda k: F.contains(_plain(c["h"]), _plain(k))))
+    some = F.filter(full, lambda c: F.exists(wanted, lambda k: F.contains(c["p"], _plain(k))))
     return F.coalesce(F.get(exact, 0), _first(some))
 
 
-def field(spec: Column, name: str) -> Column:
+def field(spec: Column, name: str, full: Column) -> Column:
     """lender, portfolio, amount or as_on of a row as text, by the record of its rules."""
     own = spec[name]
     if name == "as_on":
-        return F.coalesce(own["constant"], _header_date(spec["dated"]), pick(own["keys"]))
-    by_header = _first(F.filter(_full(), lambda c: _has(own["header"], c["h"])))
-    value = pick(own["keys"])
+        return F.coalesce(own["constant"], _header_date(spec["dated"]), pick(own["keys"], full))
+    by_header = _first(F.filter(full, lambda c: _has(own["header"], c["h"])))
+    value = pick(own["keys"], full)
     part = F.nullif(_taken(value, own["regex"], own["grp"]), F.lit(""))
     found = F.when(own["regex"].isNull(), value).when(own["must"], part).otherwise(F.coalesce(part, value))
     return F.when(own["constant"].isNotNull(), own["constant"]).when(own["header"].isNotNull(), by_header).otherwise(found)
@@ -259,15 +258,16 @@ NAMES = ("lender", "portfolio", "amount_text", "as_on_text", "error")
 def interpreted(rows: DataFrame, text: str = "page_text", spec: str = "spec") -> DataFrame:
     """Adds lender, portfolio, amount_text, as_on_text and error (of the rules) by the
     record in each row."""
-    s, page = F.col(spec), F.col(text) if text in rows.columns else F.lit(None).cast("string")
+    s, full, page = F.col(spec), F.col("full__"), F.col(text) if text in rows.columns else F.lit(None).cast("string")
     good = lambda x: F.when(s["error"].isNull(), x).cast("string")
-    return rows.withColumns({
-        "lender": good(F.coalesce(field(s, "lender"), page_value(s["page_lender"], page))),
-        "portfolio": good(field(s, "portfolio")),
-        "amount_text": good(field(s, "amount")),
-        "as_on_text": good(F.coalesce(field(s, "as_on"), page_value(s["page_as_on"], page))),
+    found = rows.withColumn("full__", filled_cells()).withColumns({
+        "lender": good(F.coalesce(field(s, "lender", full), page_value(s["page_lender"], page))),
+        "portfolio": good(field(s, "portfolio", full)),
+        "amount_text": good(field(s, "amount", full)),
+        "as_on_text": good(F.coalesce(field(s, "as_on", full), page_value(s["page_as_on"], page))),
         "error": s["error"],
     })
+    return found.drop("full__")
 
 
 def resolved_each(rows: DataFrame, text: str = "page_text") -> DataFrame:

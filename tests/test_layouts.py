@@ -107,12 +107,19 @@ def test_numbered_rows(spark):
     assert [tuple(r)[2:] for r in got.collect()] == [("A", 1000.0, NOV), ("B", 7.5, NOV), ("x", 5.0, NOV), (None, 6.0, NOV), ("D", 8.0, None)]
 
 
-def test_ocr_amounts_need_keyword_and_portfolio():
-    got = ocr.amounts_of(["nothing 5,000", "DLG table", "Portfolio 1  1O,OOO.5", "Portfolio 2", "loose 7,000", "x"])
-    assert [(r[0], r[1], r[3]) for r in got] == [(2, 10000.5, "Portfolio 1")]
-    assert got[0][4] == "nothing 5,000 | DLG table"
+def test_ocr_amounts_need_keyword_and_portfolio(spark):
+    pages = [(1, 1, ["nothing 5,000", "DLG table", "Portfolio 1  1O,OOO.5", "Portfolio 2", "loose 7,000", "x"]), (1, 2, []), (2, 1, ["dlg 1,000", "Portfolio 3 x 2,000 y", "a", "b", "portfolio  9 Rs 12-34 Cr", None])]
+    got = ocr.line_amounts(spark.createDataFrame(pages, "source_id long, page int, lines array<string>")).orderBy("source_id", "line_no").collect()
+    # the keyword's own line ends it, though it has no portfolio; a portfolio line begins anew
+    assert [(r.source_id, r.line_no, r.amount, r.portfolio_hint) for r in got] == [(1, 2, 10000.5, "Portfolio 1"), (2, 1, 2000.0, "Portfolio 3")]
+    assert got[0].context_before == "nothing 5,000 | DLG table"
 
 
-@pytest.mark.parametrize("raw,want", [("1O,OO0", "10,000"), ("12", None), ("1.2.34", "1.234"), ("", None)])
-def test_ocr_repair(raw, want):
-    assert ocr.repaired(raw) == want
+def test_ocr_repair(spark):
+    from pyspark.sql import functions as F
+
+    from disclosa.functions.amounts import ocr_digits
+
+    cases = {"1O,OO0": "10,000", "12": None, "1.2.34": "1.234", "": None, ".,123.": "123"}
+    df = spark.createDataFrame([(k,) for k in cases], "x string").select("x", ocr_digits(F.col("x")).alias("t"))
+    assert {r.x: r.t for r in df.collect()} == cases
