@@ -213,11 +213,13 @@ def pick(keys: list[str] | Column, full: Column | None = None) -> Column:
     return F.coalesce(F.get(exact, 0), _first(some))
 
 
-def field(spec: Column, name: str, full: Column) -> Column:
-    """lender, portfolio, amount or as_on of a row as text, by the record of its rules."""
+def field(spec: Column, name: str, full: Column, dated: Column) -> Column:
+    """lender, portfolio, amount or as_on of a row as text, by the record of its rules;
+    ``dated`` is what a header says of the date (no second reading day first)."""
     own = spec[name]
     if name == "as_on":
-        return F.coalesce(own["constant"], _header_date(spec["dated"]), pick(own["keys"], full))
+        day = F.date_format(parse_date_by(dated, spec["dated"]["form"]), "yyyy-MM-dd")
+        return F.coalesce(own["constant"], day, pick(own["keys"], full))
     by_header = _first(F.filter(full, lambda c: _has(own["header"], c["h"])))
     value = pick(own["keys"], full)
     part = F.nullif(_taken(value, own["regex"], own["grp"]), F.lit(""))
@@ -225,13 +227,12 @@ def field(spec: Column, name: str, full: Column) -> Column:
     return F.when(own["constant"].isNotNull(), own["constant"]).when(own["header"].isNotNull(), by_header).otherwise(found)
 
 
-def _header_date(dated: Column) -> Column:
-    """The date in a header as yyyy-MM-dd (no second reading day first)."""
+def _header_text(dated: Column) -> Column:
+    """The text of the date in a header."""
     fits = F.filter("headers", lambda h: _has(dated["header"], h))
     holds = F.filter("headers", lambda h: F.exists(dated["keys"], lambda k: F.contains(F.lower(h), F.lower(k))))
     header = F.coalesce(dated["name"], F.get(fits, 0), F.get(holds, 0))
-    text = _taken(header, dated["regex"], dated["grp"])
-    return F.date_format(parse_date_by(text, dated["form"]), "yyyy-MM-dd")
+    return _taken(header, dated["regex"], dated["grp"])
 
 
 def page_value(page: Column, text: Column) -> Column:
@@ -258,16 +259,17 @@ NAMES = ("lender", "portfolio", "amount_text", "as_on_text", "error")
 def interpreted(rows: DataFrame, text: str = "page_text", spec: str = "spec") -> DataFrame:
     """Adds lender, portfolio, amount_text, as_on_text and error (of the rules) by the
     record in each row."""
-    s, full, page = F.col(spec), F.col("full__"), F.col(text) if text in rows.columns else F.lit(None).cast("string")
+    s, own, page = F.col(spec), (F.col("full__"), F.col("dated__")), F.col(text) if text in rows.columns else F.lit(None).cast("string")
     good = lambda x: F.when(s["error"].isNull(), x).cast("string")
-    found = rows.withColumn("full__", filled_cells()).withColumns({
-        "lender": good(F.coalesce(field(s, "lender", full), page_value(s["page_lender"], page))),
-        "portfolio": good(field(s, "portfolio", full)),
-        "amount_text": good(field(s, "amount", full)),
-        "as_on_text": good(F.coalesce(field(s, "as_on", full), page_value(s["page_as_on"], page))),
+    # columns of their own, for they are used many times
+    found = rows.withColumns({"full__": filled_cells(), "dated__": _header_text(s["dated"])}).withColumns({
+        "lender": good(F.coalesce(field(s, "lender", *own), page_value(s["page_lender"], page))),
+        "portfolio": good(field(s, "portfolio", *own)),
+        "amount_text": good(field(s, "amount", *own)),
+        "as_on_text": good(F.coalesce(field(s, "as_on", *own), page_value(s["page_as_on"], page))),
         "error": s["error"],
     })
-    return found.drop("full__")
+    return found.drop("full__", "dated__")
 
 
 def resolved_each(rows: DataFrame, text: str = "page_text") -> DataFrame:

@@ -101,13 +101,16 @@ def scraped(sources: DataFrame, pages: DataFrame, fill: list[str] = (), reports:
     """
     all_pages = stored(dispatched(sources, pages).withColumn("missing", fetch_status(F.col("dlg_url"), F.col("fetch_error").isNotNull())), "pages")
     ready = all_pages.where("missing is null")
-    parts = [_tables(ready, reports).withColumn("force_include", F.lit(False)), *_texts(ready)]
+    there = {r["strategy"] for r in ready.select("strategy").distinct().collect()}  # of five; only these are planned
     broken = ready.where("strategy in ('html_table', 'auto', 'pdf_table') and spec.error is not null")
-    parts.append(broken.select("source_id", "lsp_name", F.col("spec.error").alias("error")))
-    if lines is not None:
-        parts.append(_recognised(ready, lines))
-    else:
-        parts.append(ready.where("strategy = 'ocr_simple'").select("source_id", "lsp_name", _ocr_error().alias("error")).where("error is not null"))
+    parts = [broken.select("source_id", "lsp_name", F.col("spec.error").alias("error"))]
+    if there & {"html_table", "auto"} or reports is not None:
+        parts.append(_tables(ready, reports).withColumn("force_include", F.lit(False)))
+    if "plain_text" in there:
+        parts += _texts(ready)
+    if "ocr_simple" in there:
+        none = ready.sparkSession.createDataFrame([], "source_id long, page int, lines array<string>")
+        parts.append(_recognised(ready, none if lines is None else lines))
     of = ready.where("strategy = 'pdf_table'").select("source_id", "lsp_name", "scrape_ts", F.col("spec.fill").alias("fill"))
     if numbered is not None:
         parts.append(numbered_rows(numbered).withColumn("row_pos", F.col("row_no")).join(of, "source_id"))
