@@ -146,6 +146,29 @@ def test_the_stream_tells_months_and_closes_them(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").where("final").count() == 1
 
 
+def test_streams_keep_a_state_a_source_and_keep_it_on_disk(spark, tmp_path):
+    from disclosa.streaming import summary as streaming
+
+    schema = "row_id string, lsp_id int, lsp_name string, lender string, portfolio string, amount double, as_on_timestamp timestamp_ntz, scrape_timestamp timestamp_ntz, complete string, dlg_url string"
+    rows = [(f"{i}", 5, "n", "A", "P", 1.0, None, dt.datetime(2025, m, 9), "Completed", "u") for i, m in enumerate((1, 2, 2))]
+    spark.createDataFrame(rows + rows[:1], schema).write.parquet(f"{tmp_path}/raw")
+    raw = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/raw")
+    told = streaming.summarise_stream(raw(), f"{tmp_path}/told", f"{tmp_path}/c1")
+    for query, n in ((told, 1),):
+        query.awaitTermination()
+        state = query.recentProgress[0]["stateOperators"][0]
+        assert state["numRowsUpdated"] == n and any(k.startswith("rocksdb") for k in state["customMetrics"])
+    assert spark.read.parquet(f"{tmp_path}/told").where("not final").count() == 2
+
+
+def test_raw_rows_arrive_by_several_tasks(spark, sf):
+    from disclosa.plans import catalogue, proxies
+
+    t = proxies.Tables(spark, sf)
+    first = next(catalogue.raw_streams(t, "arrivals"))
+    assert first.isStreaming and set(first.columns) == set(t.raw.columns)
+
+
 def test_failed_fetches_are_rows(spark):
     src = spark.createDataFrame([(1, "http://a"), (2, "http://b")], "source_id long, url string")
 
