@@ -49,9 +49,10 @@ def number(x: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """The filled lines of documents, white space made one blank: pos, line."""
+    """The filled lines of documents, white space made one blank: pos, line, and ``as_on``
+    and ``own`` of the document where it has them."""
     parts = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
-    rows = docs.select("source_id", "lsp_name", F.posexplode(parts).alias("pos", "line"))
+    rows = docs.select("source_id", "lsp_name", *(c for c in ("as_on", "own") if c in docs.columns), F.posexplode(parts).alias("pos", "line"))
     return rows.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\s+", " "))).where("line <> ''")
 
 
@@ -83,8 +84,10 @@ def _last(x: Column, by: list[str]) -> Column:
     return F.last(x, ignorenulls=True).over(w)
 
 
-def _days(docs: DataFrame, pattern: str) -> DataFrame:
-    return docs.select("source_id", parse_date(_part(F.coalesce("text", F.lit("")), pattern)).alias("as_on"))
+def dated(docs: DataFrame, pattern: str) -> DataFrame:
+    """Documents with the day in their text, which then goes down with their lines (a join
+    of it by source would be broadcast, however many there are)."""
+    return docs.withColumn("as_on", parse_date(_part(F.coalesce("text", F.lit("")), pattern)))
 
 
 def app_layout(docs: DataFrame) -> DataFrame:
@@ -107,21 +110,21 @@ def app_layout(docs: DataFrame) -> DataFrame:
 def grid_layout(docs: DataFrame) -> DataFrame:
     """Portfolio labels and crore amounts in any interleaving: n-th with n-th, the amount
     after a Total left out."""
-    rows = typed_lines(docs, GRID_LINES)
+    rows = typed_lines(dated(docs, GRID_DATE), GRID_LINES)
     amounts = without_next(rows, BY, ORDER, "kind", "total", "amount").withColumn("amount", number(_part(F.col("line"), GRID_LINES["amount"]))).where("amount is not null")
     labels = rows.where("kind = 'label'").withColumn("portfolio", F.concat(F.lit("Portfolio "), _part(F.col("line"), GRID_LINES["label"])))
-    return nth_with_nth(labels, amounts.select("source_id", "pos", "amount"), BY, ORDER).join(_days(docs, GRID_DATE), "source_id")
+    return nth_with_nth(labels, amounts.select("source_id", "pos", "amount"), BY, ORDER)
 
 
 def paired_layout(docs: DataFrame) -> DataFrame:
     """After 'Portfolio Number': a number line and an amount line in turn, to the total or
     the update line; the date is the month's end."""
     begin = F.sum(F.when(F.col("line").contains(PAIRED_WORDINGS[0]), 1).otherwise(0)).over(Window.partitionBy(*BY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
-    rows = lines_of(docs).withColumn("begun", begin).where("begun > 0")
+    rows = lines_of(dated(docs, PAIRED_DATE)).withColumn("begun", begin).where("begun > 0")
     low = F.lower("line")
     found = pairs_in_runs(rows, BY, ORDER, "line", F.col("line").rlike(r"^\d+$"), F.col("line").rlike(r"^[\d,.]+$"), low.startswith("total") | low.contains("last updated"))
     found = found.withColumns({"portfolio": F.concat(F.lit("Portfolio "), "label"), "amount": number(F.col("line"))}).where("amount is not null")
-    return found.join(_days(docs, PAIRED_DATE).withColumn("as_on", F.last_day("as_on")), "source_id")
+    return found.withColumn("as_on", F.last_day("as_on"))
 
 
 def agent_layout(docs: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def agent_layout(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy(*BY).orderBy(*ORDER)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     line, p = F.col("line"), AGENT_LINES["portfolio"]
-    rows = typed_lines(docs, AGENT_LINES).withColumn("above", F.lag("line").over(w)).where("kind is not null")
+    rows = typed_lines(dated(docs, AGENT_DATE), AGENT_LINES).withColumn("above", F.lag("line").over(w)).where("kind is not null")
     alone = (F.col("kind") == "alone") & ~F.coalesce(F.col("above"), F.lit("")).contains("Total") & (F.length(F.regexp_replace("line", r"\D", "")) >= 6)
     rows = rows.withColumn("seg", F.coalesce(F.sum(F.when(F.col("kind") == "portfolio", 1).otherwise(0)).over(before), F.lit(0)))
     spare = F.last(F.when(alone, line), ignorenulls=True).over(Window.partitionBy(*BY, "seg").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
@@ -142,7 +145,7 @@ def agent_layout(docs: DataFrame) -> DataFrame:
     sure = merged | ((F.lower(_part(line, p, 3)) == "yes") & (F.col("amount") <= LARGEST))
     rows = rows.where(F.col("amount").isNotNull() & F.coalesce(sure, F.lit(False)))
     label = F.when(merged, F.row_number().over(w).cast("string")).otherwise(F.translate(_part(line, p), "lL", "11"))
-    return rows.withColumn("lender", F.concat(F.lit("Portfolio "), label)).join(_days(docs, AGENT_DATE), "source_id")
+    return rows.withColumn("lender", F.concat(F.lit("Portfolio "), label))
 
 
 def pattern_layout(docs: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def pattern_layout(docs: DataFrame) -> DataFrame:
     own = F.col("spec.lines")
     day = F.coalesce(parse_date(found(F.coalesce("text", F.lit("")), own["as_on"])), parse_date(own["day"]))
     per = docs.where("spec.lines.lender is not null and spec.lines.portfolio is not null and spec.lines.amount is not null").withColumns({"as_on": day, "own": own})
-    rows = lines_of(per).join(per.select("source_id", "as_on", "own"), "source_id")
+    rows = lines_of(per)
     named = F.when(fits(F.col("own.lender")), F.trim(found(F.col("line"), F.col("own.lender"))))
     rows = rows.withColumns({"is_lender": named.isNotNull(), "lender": _last(named, BY)}).where("not is_lender")
     rows = rows.where(fits(F.col("own.portfolio")) & fits(F.col("own.amount")))

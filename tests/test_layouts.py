@@ -52,6 +52,14 @@ def test_pattern_layout_and_broken_rules(spark):
     assert got == {(1, "pattern", "B", "P1", 15.0, NOV, True), (2, None, None, None, None, None, False)}
 
 
+@pytest.mark.parametrize(("name", "joins"), [("grid", 1), ("paired", 0), ("agent", 0), ("pattern", 0)])
+def test_layouts_join_no_documents(spark, name, joins):
+    """A day goes down with its lines; only labels and amounts of the grid meet in a join."""
+    docs = lines.with_specs(spark.createDataFrame([(1, "x", "a", None)], "source_id long, lsp_name string, text string, rules_json string"))
+    plan = lines.LAYOUTS[name](docs)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == joins
+
+
 def test_grand_total_and_report_lines(spark):
     docs = spark.createDataFrame([(1, "F", "a total of 12 portfolios\n amounting to INR 1,234.5 Cr", None), (2, "G", "a total", None), (3, "H", None, None), (4, "I", "total of 1 portfolios, amounting to INR 2 Cr", '{"field_map": {"as_on": {"constant": "30.11.2025"}}}')], "source_id long, lsp_name string, text string, rules_json string")
     got = sorted((r.source_id, r.portfolio, r.amount, r.as_on, r.force_include) for r in report.grand_totals(docs).collect())
