@@ -153,12 +153,12 @@ def test_streams_keep_a_state_a_source_and_keep_it_on_disk(spark, tmp_path):
     rows = [(f"{i}", 5, "n", "A", "P", 1.0, None, dt.datetime(2025, m, 9), "Completed", "u") for i, m in enumerate((1, 2, 2))]
     spark.createDataFrame(rows + rows[:1], schema).write.parquet(f"{tmp_path}/raw")
     raw = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/raw")
-    told = streaming.summarise_stream(raw(), f"{tmp_path}/told", f"{tmp_path}/c1")
-    for query, n in ((told, 1),):
+    told, once = streaming.summarise_stream(raw(), f"{tmp_path}/told", f"{tmp_path}/c1"), streaming.append_stream(raw(), f"{tmp_path}/once", f"{tmp_path}/c2", ["row_id"])
+    for query, n in ((told, 1), (once, 3)):
         query.awaitTermination()
         state = query.recentProgress[0]["stateOperators"][0]
         assert state["numRowsUpdated"] == n and any(k.startswith("rocksdb") for k in state["customMetrics"])
-    assert spark.read.parquet(f"{tmp_path}/told").where("not final").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/told").where("not final").count() == 2 and spark.read.parquet(f"{tmp_path}/once").count() == 3
 
 
 def test_raw_rows_arrive_by_several_tasks(spark, sf):
