@@ -29,21 +29,23 @@ def audit_with_source(audit: DataFrame, master: DataFrame) -> DataFrame:
     return audit.join(m, "lsp_id", "left")
 
 
+def _null_safe(rows: DataFrame, target: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Rows with (left_semi) or without (left_anti) an equal in the target, nulls being
+    equal: in structs nulls are, and as one key the target is dealt by it once, for its
+    distinct keys and for the join.  Floating-point keys go as their texts, which differ as
+    they do (0.0 and -0.0 do not); as numbers a join would deal them again."""
+    floats = {k for df in (rows, target) for k, kind in df.dtypes if kind in ("double", "float")}
+    key = F.struct(*((F.col(k).cast("double") + 0.0).cast("string").alias(k) if k in floats else F.col(k) for k in keys))
+    return rows.join(target.select(key.alias("__keys")).distinct(), key == F.col("__keys"), how)
+
+
 def null_safe_anti(changes: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Changes without an equal in the target, nulls being equal."""
-    t = target.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return changes.join(t, same, "left_anti")
+    return _null_safe(changes, target, keys, "left_anti")
 
 
 def null_safe_semi(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    t = target.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.join(t, same, "left_semi")
+    return _null_safe(rows, target, keys, "left_semi")
 
 
 def lookup(users: DataFrame, username: str, roles: DataFrame) -> DataFrame:

@@ -169,6 +169,22 @@ def test_raw_rows_arrive_by_several_tasks(spark, sf):
     assert first.isStreaming and set(first.columns) == set(t.raw.columns)
 
 
+def test_null_safe_joins_deal_the_target_once(spark):
+    from disclosa.operators import joins
+
+    nan, cols = float("nan"), "k long, x double, s string"
+    rows = spark.createDataFrame([(1, 0.0, None), (2, None, "a"), (3, nan, "a"), (None, 0.1, "b"), (5, 1.0, "c"), (6, 2.0, None)], cols)
+    target = spark.createDataFrame([(1, -0.0, None), (2, None, "a"), (3, nan, "a"), (None, 0.1, "b"), (None, 0.1, "b"), (5, 1.0, None)], cols)
+    there = {1, 2, 3, None}
+    assert {r.k for r in joins.null_safe_semi(rows, target, ["k", "x", "s"]).collect()} == there
+    assert {r.k for r in joins.null_safe_anti(rows, target, ["k", "x", "s"]).collect()} == {5, 6}
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    big = [own.createDataFrame(df.collect(), cols) for df in (rows, target)]
+    plan = joins.null_safe_anti(*big, ["k", "x", "s"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one a side
+
+
 def test_failed_fetches_are_rows(spark):
     src = spark.createDataFrame([(1, "http://a"), (2, "http://b")], "source_id long, url string")
 
