@@ -35,14 +35,15 @@ FILLABLE = ("lender", "portfolio", "amount", "as_on")
 def cleaned(rows: DataFrame, fill: list[str] = (), source: str = "source_id", pos: str = "row_pos") -> DataFrame:
     """Rows without totals, empty rows, repeats, headers and sums; then blanks of
     the columns ``fill``, and of those that a row's array ``fill`` names, filled from
-    above.  Forced rows stay."""
+    above.  Forced rows stay; sums are sought among rows of a name, so without one none."""
     forced = F.coalesce(F.col("force_include"), F.lit(False)) if "force_include" in rows.columns else F.lit(False)
     if "cells" in rows.columns:
         rows = rows.where(~F.coalesce(raw_total(F.col("cells"), forced), F.lit(False)))
     rows = rows.where(~empty_row(F.col("lender"), F.col("portfolio"), F.col("amount")) | forced)
     rows = keep_first(rows, [source, "lsp_name", "lender", "portfolio", "amount", "as_on"], [F.col(pos)])
     rows = rows.where(forced | ~(header_row(F.col("portfolio"), F.col("lender")) | total_row(F.col("lsp_name"), F.col("lender"), F.col("portfolio"))))
-    rows = sum_rows(rows, [source, "lsp_name"]).where(forced | ~F.col("is_sum")).drop("is_sum")
+    named = F.coalesce(F.col("lsp_name"), F.lit("")) != ""
+    rows = sum_rows(rows, [source, "lsp_name"]).where(forced | ~(F.col("is_sum") & named)).drop("is_sum")
     if "fill" in rows.columns:
         own = [c for c in FILLABLE if c in rows.columns and c not in fill]
         rows = forward_fill(rows, own, [source], [F.col(pos)], "__filled")

@@ -49,6 +49,24 @@ def test_cleaning_and_status(spark):
     assert got == {1: "Completed", 2: "NoData", 3: "Error"}
 
 
+def test_sums_are_sought_among_rows_of_a_name(spark):
+    raw = base(spark, [("A", "P1", 1.0, NOV), ("A", "P2", 2.0, NOV), ("A", "P3", 3.0, NOV)])
+    got = lambda name: sorted(r.amount for r in normalise.cleaned(raw.withColumn("lsp_name", F.lit(name).cast("string"))).collect())
+    assert got("Acme") == [1.0, 2.0] and got(None) == got("") == [1.0, 2.0, 3.0]
+
+
+def test_crawls_keep_rows_that_are_the_sum_of_the_others(spark, tmp_path):
+    from disclosa.plans.catalogue import QUERIES
+
+    day = dt.datetime(1996, 1, 1)
+    orders = [(k, 8, "O", p, day, "x") for k, p in ((1, 10000.0), (3, 20000.0), (4, 30000.0))]  # the last the sum of the others
+    orders += [(100_000 + k, 11, "O", 7.0, day, "x") for k in (1, 2, 3, 4, 5)] + [(100_000 + 15 + 4001, 11, "O", 7.0, day, "x")]
+    kind = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(orders, kind).write.parquet(str(tmp_path / "orders.parquet"))
+    assert QUERIES["e18_recognised_rows"](spark, str(tmp_path)).where("source_id = 8").count() == 3
+    assert QUERIES["e18_own_rules"](spark, str(tmp_path)).where("source_id = 11").count() == 6
+
+
 def test_the_first_offence_decides(spark):
     raw = base(spark, [("A", "P1", 1.0, None), ("A", None, 1.0, NOV)])
     src = spark.createDataFrame([(1,)], "source_id int")
