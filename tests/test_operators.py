@@ -360,3 +360,17 @@ def test_only_texts_that_the_patterns_miss_reach_a_worker(spark):
     assert [r.d for r in got.collect() if r.d] == [dt.date(2025, 12, 31)] * 2 and got.count() == 5
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Filter" in plan.split("ArrowEvalPython")[1]
+
+
+def test_a_crawl_reads_its_pages_once_and_not_in_each_round(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def html(n):
+        read.add(1)
+        return f"<a href='/p{n + 1}'>on</a>"
+
+    pages = spark.range(6).select(F.concat(F.lit("https://s.example.com/p"), F.col("id").cast("string")).alias("url"), html.asNondeterministic()("id").alias("html"))
+    start = spark.createDataFrame([(1, "https://s.example.com/p0")], "id int, url string")
+    assert sorted((r.depth, r.url[-2:]) for r in links.crawl(start, pages).collect()) == [(k, f"p{k}") for k in range(6)]
+    assert read.value <= 12
