@@ -168,7 +168,8 @@ def with_specs(sources: DataFrame, rules: str = "rules_json", spec: str = "spec"
 
     @F.pandas_udf(SPEC)
     def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([spec_of(t) for t in texts], columns=[*empty])
+        known = {t: spec_of(t) for t in texts.unique()}
+        return pd.DataFrame([known[t] for t in texts], columns=[*empty])
 
     empty = spec_of(None)
     return sources.withColumn(spec, read(F.col(rules)))

@@ -45,7 +45,9 @@ def _cells() -> Column:
 def _tables(ready: DataFrame, reports: DataFrame | None) -> DataFrame:
     """Rows of HTML tables and of reports, by each source's rules: which table, which
     captions, which rows, which columns."""
-    pages = ready.where("strategy in ('html_table', 'auto') and spec.error is null").withColumn("page_text", page_text("body"))
+    asked = F.coalesce("spec.page_lender.regex", "spec.page_as_on.regex").isNotNull()  # no other text is read
+    pages = ready.where("strategy in ('html_table', 'auto') and spec.error is null").withColumn("page_text", page_text(F.when(asked, F.col("body"))))
+    pages = pages.select("source_id", "lsp_name", "scrape_ts", "spec", "body", "page_text")
     tables = html_table_rows(pages, "body", "spec.table_index", "spec.skip_captions")
     tables = tables.withColumn("row_pos", F.col("table_no").cast("long") * 1_000_000 + F.col("row_no"))
     if reports is not None:

@@ -131,3 +131,10 @@ def test_ocr_repair(spark):
     cases = {"1O,OO0": "10,000", "12": None, "1.2.34": "1.234", "": None, ".,123.": "123"}
     df = spark.createDataFrame([(k,) for k in cases], "x string").select("x", ocr_digits(F.col("x")).alias("t"))
     assert {r.x: r.t for r in df.collect()} == cases
+
+
+def test_tables_of_more_pages_than_a_worker_parses_at_once(spark):
+    n = 2 * html.PAGES + 3
+    pages = spark.range(0, n, 1, 1).selectExpr("id", "concat('<table><tr><th>A</th></tr><tr><td>', id, '</td></tr></table>') as html", "id % 2 as own")
+    got = html.html_table_rows(pages).collect()
+    assert sorted((r["id"], r["own"], r.vals) for r in got) == [(k, k % 2, [str(k)]) for k in range(n)]
