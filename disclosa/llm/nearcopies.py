@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, Words, blocks, dropped, fold, id_text, mix, stored, utf8
+from .common import PUNCT, U64, Words, blocks, dropped, fold, id_text, mix, released, stored, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With similarity 0.8 a sketch of 5 agrees in about a third of cases, and one of 28 in 99.999 %.
@@ -146,7 +146,7 @@ def sketches(rows: DataFrame) -> DataFrame:
                 k = [None if e else keys[r] for e, r in zip(none, np.cumsum(~none) - 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(ptr), pa.int64()), pa.array(k, pa.list_(pa.int64()))], ["doc_id", "mark", "digest", "size", "keys"])
 
-    return rows.select("doc_id", mark_of(), "text").mapInArrow(run, "doc_id long, mark long, digest binary, size long, keys array<long>")
+    return rows.select("doc_id", mark_of(), "text").mapInArrow(released(run), "doc_id long, mark long, digest binary, size long, keys array<long>")
 
 
 def mark_of(text: str = "text"):
@@ -223,7 +223,7 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             x = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    return rows.select("a", "kind", "rep", "text").mapInArrow(run, "a long, b long")
+    return rows.select("a", "kind", "rep", "text").mapInArrow(released(run), "a long, b long")
 
 
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
@@ -248,7 +248,7 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "n"])
 
-    counted = texts.select("rep", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counted = texts.select("rep", "text").mapInArrow(released(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     total = np.zeros(COUNTERS, np.int64)
     total[np.asarray(counted["at"])] = np.asarray(counted["n"])
     sent = texts.sparkSession.sparkContext.broadcast(total)
@@ -266,7 +266,7 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
                     x = take[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(rep[i + doc[x]]), pa.array(n[doc[x]])], ["key", "rep", "size"])
 
-    return texts.select("rep", "text").mapInArrow(run, "key long, rep long, size long")
+    return texts.select("rep", "text").mapInArrow(released(run), "key long, rep long, size long")
 
 
 def groups(batches, keys: list[str]):
@@ -337,7 +337,7 @@ def family_pairs(families: DataFrame, texts: DataFrame, least: float) -> DataFra
                 h = (labelled(grams, ptr) >> U64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[x:y].tobytes() for x, y in zip(ptr, ptr[1:])], pa.binary())], ["rep", "labels"])
 
-    labels = texts.select("rep", "text").mapInArrow(label, "rep long, labels binary")
+    labels = texts.select("rep", "text").mapInArrow(released(label), "rep long, labels binary")
     n = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("g"))
     rows = families.join(n, "family").join(labels, "rep")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -352,7 +352,7 @@ def family_pairs(families: DataFrame, texts: DataFrame, least: float) -> DataFra
             for k in range(0, max(1, len(x)), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16), 0]), pa.array(x[k : k + (1 << 16), 1])], ["a", "b"])
 
-    return rows.select("family", "lo", "hi", "own", "rep", "root", "labels").mapInArrow(run, "a long, b long")
+    return rows.select("family", "lo", "hi", "own", "rep", "root", "labels").mapInArrow(released(run), "a long, b long")
 
 
 def common_in_order(x: np.ndarray, y: np.ndarray, least: int) -> int:
