@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip
+from .text import once, strip
 
 #: First letters of the months in order.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -59,27 +61,36 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
 
 
+def _fitting(text: Column, pattern: str, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """``of`` the first three groups of the pattern's first match; where nothing fits
+    null, without a group being taken or a date tried."""
+    n = min(3, re.compile(pattern).groups)
+    groups = F.array(*(F.regexp_extract(text, pattern, k) for k in range(1, n + 1)))
+    return F.when(F.rlike(text, F.lit(pattern)), once(groups, lambda g: of(*(F.get(g, F.lit(k)) for k in range(n)))))
+
+
 def parse_date(text: Column) -> Column:
     """A date in a text, day first: 31.12.2025, 31-12-2025, 2025-12-31, 31 December
     2025, 31-Jan-26, November 30, 2025; Dec'25, Jan-2026 and Jan 2026 are the
     month's end.  Null where none of these is found."""
-    t = F.regexp_replace(strip(text.cast("string")), r"(\d+)(?:st|nd|rd|th)\b", "$1")
-    get = lambda p, g: F.regexp_extract(t, p, g)
     iso = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
     dmy = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b"
     named = r"\b(\d{1,2})[\s-]+([A-Za-z]{3,9})\.?,?[\s-]+(\d{4}|\d{2})\b"
     american = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
     ended = r"\b([A-Za-z]{3,9})(?:['‘’]|[\s,-]+)(\d{4}|\d{2})\b"
     year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    day, month = get(dmy, 1).try_cast("int"), get(dmy, 2).try_cast("int")
-    swapped = F.when((month > 12) & (day <= 12), _date(get(dmy, 3), day, month)).otherwise(_date(get(dmy, 3), month, day))
-    return F.coalesce(
-        _date(get(iso, 1), get(iso, 2), get(iso, 3)),
-        swapped,
-        _date(year(get(named, 3)), _month(get(named, 2)), get(named, 1)),
-        _date(get(american, 3), _month(get(american, 1)), get(american, 2)),
-        F.last_day(_date(year(get(ended, 2)), _month(get(ended, 1)), F.lit("1"))),
-    )
+
+    def day_first(d, m, y):
+        d, m = d.try_cast("int"), m.try_cast("int")
+        return F.when((m > 12) & (d <= 12), _date(y, d, m)).otherwise(_date(y, m, d))
+
+    return once(F.regexp_replace(strip(text.cast("string")), r"(\d+)(?:st|nd|rd|th)\b", "$1"), lambda t: F.coalesce(
+        _fitting(t, iso, _date),
+        _fitting(t, dmy, day_first),
+        _fitting(t, named, lambda d, m, y: _date(year(y), _month(m), d)),
+        _fitting(t, american, lambda m, d, y: _date(y, _month(m), d)),
+        _fitting(t, ended, lambda m, y: F.last_day(_date(year(y), _month(m), F.lit("1")))),
+    ))
 
 
 def parse_date_by(text: Column, hint: Column) -> Column:
@@ -90,7 +101,7 @@ def parse_date_by(text: Column, hint: Column) -> Column:
 
     def leading(mark):
         p = rf"^(\d{{1,2}}){mark}(\d{{1,2}}){mark}(\d{{4}})"
-        return F.coalesce(_date(F.regexp_extract(t, p, 3), F.regexp_extract(t, p, 2), F.regexp_extract(t, p, 1)), found)
+        return F.coalesce(_fitting(t, p, lambda d, m, y: _date(y, m, d)), found)
 
     return F.when(hint == "DD.MM.YYYY", leading(r"\.")).when(hint == "DD-MM-YYYY", leading("-")).when(hint == "Mon YYYY", F.last_day(found)).otherwise(found)
 
@@ -123,10 +134,16 @@ def month_end(day: dt.date) -> dt.date:
     return (day.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _known_date(text: str | None) -> dt.date | None:
+    """``any_date``; a worker remembers some texts, for the same wordings come again and again."""
+    return any_date(text)
+
+
 @F.pandas_udf(T.DateType())
 def parse_date_fuzzy(texts: pd.Series) -> pd.Series:
     """``any_date`` for what ``parse_date`` leaves null."""
-    return texts.map(any_date)
+    return texts.map(_known_date)
 
 
 def with_dates(df: DataFrame, text: str, day: str) -> DataFrame:

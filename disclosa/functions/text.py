@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, _EDGES, "")
 
 
+def once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)``, for which ``x`` is evaluated once, however often it is used there."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def normalise(x: Column, lower: bool = False) -> Column:
     """Null becomes '', the ends are stripped, optionally small letters."""
     out = strip(F.coalesce(x.cast("string"), F.lit("")))

@@ -362,6 +362,16 @@ def test_only_texts_that_the_patterns_miss_reach_a_worker(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Filter" in plan.split("ArrowEvalPython")[1]
 
 
+def test_a_date_text_is_cleaned_once_however_many_wordings_are_tried(spark, monkeypatch):
+    df = spark.createDataFrame([("31.02.2025 or 1 Jan 2026",), ("as on June 31, 2025, Dec'25",), ("12/31/2025",), (None,)], "t string").select(dates.parse_date(F.col("t")).alias("day"))
+    assert [r.day for r in df.collect()] == [dt.date(2026, 1, 1), dt.date(2031, 6, 30), dt.date(2025, 12, 31), None]
+    assert df._jdf.queryExecution().analyzed().toString().count("st|nd|rd|th") == 1
+    asked = []
+    monkeypatch.setattr(dates, "any_date", asked.append)
+    assert [dates._known_date(t) for t in ("odd wording",) * 3] == [None] * 3 and len(asked) == 1
+    dates._known_date.cache_clear()
+
+
 def test_a_crawl_reads_its_pages_once_and_not_in_each_round(spark):
     read = spark.sparkContext.accumulator(0)
 
