@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disclosa.functions.dates import parse_date, parse_date_by
-from disclosa.functions.text import normalise, strip
+from disclosa.functions.text import normalise, once, strip
+from disclosa.shared import stored
 
 #: Keys sought where a rule names none.
 DEFAULTS = {
@@ -210,8 +211,8 @@ def pick(keys: list[str] | Column, full: Column | None = None) -> Column:
     wanted = keys if isinstance(keys, Column) else F.array(*map(F.lit, keys))
     full = filled_cells() if full is None else full
     exact = F.filter(F.transform(wanted, lambda k: _first(F.filter(full, lambda c: c["h"] == k))), lambda x: x.isNotNull())
-    some = F.filter(full, lambda c: F.exists(wanted, lambda k: F.contains(c["p"], _plain(k))))
-    return F.coalesce(F.get(exact, 0), _first(some))
+    some = once(F.transform(wanted, _plain), lambda plain: _first(F.filter(full, lambda c: F.exists(plain, lambda k: F.contains(c["p"], k)))))
+    return F.coalesce(F.get(exact, 0), some)
 
 
 def field(spec: Column, name: str, full: Column, dated: Column) -> Column:
@@ -222,9 +223,12 @@ def field(spec: Column, name: str, full: Column, dated: Column) -> Column:
         day = F.date_format(parse_date_by(dated, spec["dated"]["form"]), "yyyy-MM-dd")
         return F.coalesce(own["constant"], day, pick(own["keys"], full))
     by_header = _first(F.filter(full, lambda c: _has(own["header"], c["h"])))
-    value = pick(own["keys"], full)
-    part = F.nullif(_taken(value, own["regex"], own["grp"]), F.lit(""))
-    found = F.when(own["regex"].isNull(), value).when(own["must"], part).otherwise(F.coalesce(part, value))
+
+    def taken(value):
+        part = F.nullif(_taken(value, own["regex"], own["grp"]), F.lit(""))
+        return F.when(own["regex"].isNull(), value).when(own["must"], part).otherwise(F.coalesce(part, value))
+
+    found = once(pick(own["keys"], full), taken)
     return F.when(own["constant"].isNotNull(), own["constant"]).when(own["header"].isNotNull(), by_header).otherwise(found)
 
 
@@ -275,8 +279,10 @@ def interpreted(rows: DataFrame, text: str = "page_text", spec: str = "spec") ->
 
 def resolved_each(rows: DataFrame, text: str = "page_text") -> DataFrame:
     """``interpreted`` for rows that carry their rules as text in ``rules_json``: the
-    distinct rules are read once and joined to the rows, null rules too."""
-    known = with_specs(rows.select(F.col("rules_json").alias("rules__")).distinct(), "rules__")
+    distinct rules are read once and joined to the rows, null rules too.  They are stored,
+    so that the planner knows how many there are: a few go to the rows, which otherwise
+    would lie in as many tasks as there are rules."""
+    known = stored(with_specs(rows.select(F.col("rules_json").alias("rules__")).distinct(), "rules__"), "rules")
     return interpreted(rows.join(known, F.col("rules_json").eqNullSafe(F.col("rules__"))).drop("rules__"), text).drop("spec")
 
 

@@ -362,6 +362,14 @@ def test_only_texts_that_the_patterns_miss_reach_a_worker(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Filter" in plan.split("ArrowEvalPython")[1]
 
 
+def test_rows_of_a_few_rules_are_not_dealt_by_them(spark):
+    rows = spark.range(1 << 20, numPartitions=4).select("id", F.array(F.lit("Bank")).alias("headers"), F.array(F.col("id").cast("string")).alias("vals"), F.when(F.col("id") % 2 == 0, "{}").alias("rules_json"))
+    got = rules.resolved_each(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert {(r.lender, r.n) for r in got.groupBy((F.col("lender") == F.col("id").cast("string")).alias("lender")).agg(F.count("*").alias("n")).collect()} == {(True, 1 << 20)}
+
+
 def test_a_date_text_is_cleaned_once_however_many_wordings_are_tried(spark, monkeypatch):
     df = spark.createDataFrame([("31.02.2025 or 1 Jan 2026",), ("as on June 31, 2025, Dec'25",), ("12/31/2025",), (None,)], "t string").select(dates.parse_date(F.col("t")).alias("day"))
     assert [r.day for r in df.collect()] == [dt.date(2026, 1, 1), dt.date(2031, 6, 30), dt.date(2025, 12, 31), None]
