@@ -277,6 +277,12 @@ def j3(t):
     return joins.audit_with_source(t.audit, t.master).select("id", "action_taken", "lsp_name")
 
 
+def kept(t, *cols):
+    """These columns of the raw rows, made once by their joins, for queries that read them
+    several times."""
+    return stored(t.raw.select(*cols), "raw")
+
+
 KEYS7 = ["lsp_id", "lender", "portfolio", "amount", "as_on_timestamp", "y", "m"]
 
 
@@ -286,7 +292,8 @@ b AS (SELECT lsp_id, CASE WHEN lsp_id % 4 = 0 THEN lender ELSE lender || ' x' EN
 SELECT a.row_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender
   AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount AND b.as_on_timestamp IS NOT DISTINCT FROM a.as_on_timestamp AND b.y IS NOT DISTINCT FROM a.y AND b.m IS NOT DISTINCT FROM a.m)""")
 def j5(t):
-    a = t.raw.withColumns({"y": F.year("scrape_timestamp"), "m": F.month("scrape_timestamp")})
+    raw = kept(t, "row_id", "lsp_id", "lender", "portfolio", "amount", "as_on_timestamp", "scrape_timestamp")
+    a = raw.withColumns({"y": F.year("scrape_timestamp"), "m": F.month("scrape_timestamp")})
     b = a.withColumns({"lender": F.when(F.expr("lsp_id % 4 = 0"), F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))), "m": F.when(F.col("row_id") > "3", F.col("m")).otherwise(F.col("m") % 12 + 1)})
     return joins.null_safe_anti(a, b, KEYS7).select("row_id")
 
@@ -309,8 +316,9 @@ def j7(t):
 WITH b AS (SELECT lsp_id, CASE WHEN complete = ' Completed ' THEN lender ELSE lender || ' x' END AS lender, portfolio, amount FROM dlg_raw)
 SELECT a.row_id FROM dlg_raw a WHERE EXISTS (SELECT 1 FROM b WHERE b.lsp_id IS NOT DISTINCT FROM a.lsp_id AND b.lender IS NOT DISTINCT FROM a.lender AND b.portfolio IS NOT DISTINCT FROM a.portfolio AND b.amount IS NOT DISTINCT FROM a.amount)""")
 def j8(t):
-    b = t.raw.withColumn("lender", F.when(F.col("complete") == " Completed ", F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))))
-    return joins.null_safe_semi(t.raw, b, ["lsp_id", "lender", "portfolio", "amount"]).select("row_id")
+    raw = kept(t, "row_id", "lsp_id", "lender", "portfolio", "amount", "complete")
+    b = raw.withColumn("lender", F.when(F.col("complete") == " Completed ", F.col("lender")).otherwise(F.concat("lender", F.lit(" x"))))
+    return joins.null_safe_semi(raw, b, ["lsp_id", "lender", "portfolio", "amount"]).select("row_id")
 
 
 @query("j9_lookup", "SELECT id, username, role FROM dlg_users WHERE username = 'customer.000000077' AND role = (SELECT c_mktsegment FROM customer WHERE c_custkey = 77)")
@@ -535,8 +543,9 @@ every AS (SELECT lsp_id, lender FROM dlg_raw UNION ALL SELECT lsp_id, lender FRO
 SELECT lsp_id, lender, count(*) AS n FROM every GROUP BY ALL""")
 def c4_insert(t):
     """Every raw row entered by hand once more, every second source under other lenders."""
-    new = t.raw.where("scrape_timestamp is not null").drop("row_id", "complete").withColumn("lender", F.when(F.col("lsp_id") % 2 == 0, F.concat("lender", F.lit(" new"))).otherwise(F.col("lender")))
-    return mutations.insert_raw(t.raw.drop("row_id"), new).groupBy("lsp_id", "lender").agg(F.count("*").alias("n"))
+    raw = kept(t, "lsp_id", "lsp_name", "lender", "portfolio", "amount", "as_on_timestamp", "scrape_timestamp", "complete", "dlg_url")
+    new = raw.where("scrape_timestamp is not null").drop("complete").withColumn("lender", F.when(F.col("lsp_id") % 2 == 0, F.concat("lender", F.lit(" new"))).otherwise(F.col("lender")))
+    return mutations.insert_raw(raw, new).groupBy("lsp_id", "lender").agg(F.count("*").alias("n"))
 
 
 @query("a3_months_from_days", """
@@ -567,7 +576,8 @@ cn AS (SELECT *, coalesce(trim(lender), '') AS cl, coalesce(trim(portfolio), '')
 SELECT row_id, lender FROM dlg_raw UNION ALL SELECT row_id, cl FROM cn WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.lsp_id IS NOT DISTINCT FROM cn.lsp_id AND cl.cl = cn.cl AND cl.cp = cn.cp AND cl.amount IS NOT DISTINCT FROM cn.amount AND cl.as_on_timestamp IS NOT DISTINCT FROM cn.as_on_timestamp AND cl.ym IS NOT DISTINCT FROM cn.ym)""")
 def c5(t):
     other = F.when(F.expr("lsp_id % 3 = 0"), F.concat("lender", F.lit(" x"))).otherwise(F.concat(F.lit(" "), "lender", F.lit(" ")))
-    return mutations.append_raw(t.raw, t.raw.withColumns({"row_id": F.concat(F.lit("n"), F.col("row_id").cast("string")), "lender": other})).select("row_id", "lender")
+    raw = kept(t, "row_id", "lsp_id", "lender", "portfolio", "amount", "as_on_timestamp", "scrape_timestamp")
+    return mutations.append_raw(raw, raw.withColumns({"row_id": F.concat(F.lit("n"), F.col("row_id").cast("string")), "lender": other})).select("row_id", "lender")
 
 
 @query("c6_stale_replace", f"""

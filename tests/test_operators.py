@@ -203,6 +203,14 @@ def test_null_safe_joins_deal_the_target_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2  # one a side
 
 
+def test_raw_rows_read_several_times_are_joined_once(spark, sf):
+    from disclosa.plans import catalogue
+
+    for name in ("c5_append", "c4_insert_raw", "j8_null_safe_semi", "j5_null_safe_anti"):
+        read = catalogue.QUERIES[name](spark, sf).inputFiles()
+        assert read and all("/raw-" in f for f in read), name
+
+
 def test_failed_fetches_are_rows(spark):
     src = spark.createDataFrame([(1, "http://a"), (2, "http://b")], "source_id long, url string")
 
