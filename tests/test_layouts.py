@@ -138,3 +138,11 @@ def test_tables_of_more_pages_than_a_worker_parses_at_once(spark):
     pages = spark.range(0, n, 1, 1).selectExpr("id", "concat('<table><tr><th>A</th></tr><tr><td>', id, '</td></tr></table>') as html", "id % 2 as own")
     got = html.html_table_rows(pages).collect()
     assert sorted((r["id"], r["own"], r.vals) for r in got) == [(k, k % 2, [str(k)]) for k in range(n)]
+
+
+def test_reports_are_parsed_in_arrow_batches(spark):
+    page = "array(struct('as on 30 November 2025' AS text, array(array(array('Lender', 'Amount'), array('A', CAST(NULL AS string)))) AS tables))"
+    docs = spark.range(2 * cells.REPORTS + 1).coalesce(1).selectExpr("id AS source_id", f"{page} AS pages")
+    got = cells.report_table_rows(docs)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i, 0, ["Lender", "Amount"], ["A", ""], NOV) for i in range(2 * cells.REPORTS + 1)]
