@@ -27,13 +27,15 @@ def portfolios_or_lenders(pair: Column, has_portfolio: Column, lender: Column) -
 def monthly_summary(raw: DataFrame, order: list[str]) -> DataFrame:
     """One row for each source and month window.
 
-    The window and the aggregate group alike, so one shuffle serves both.  Rows
+    The window and the aggregate group alike, so one shuffle serves both.  It is asked for,
+    for where nothing of the fill is wanted the rows' groups, which are about as many as
+    they, would be gathered before it in the tasks that sort for the raw rows' joins.  Rows
     without a scrape time drop out; ``order`` decides the lender fill and ties.
     """
     rows = raw.where(F.col("scrape_timestamp").isNotNull()).withColumn("w", month_window(F.col("scrape_timestamp")))
     rows = rows.withColumns({"scrape_year": F.col("w.year"), "scrape_month": F.col("w.month")}).drop("w")
     keys = ["lsp_id", "scrape_year", "scrape_month"]
-    rows = forward_fill(rows, ["lender"], keys, order, "_filled")
+    rows = forward_fill(rows.repartition(*keys), ["lender"], keys, order, "_filled")
     lender, portfolio = normalise(F.col("lender_filled"), True), normalise(F.col("portfolio"))
     own = F.nullif(normalise(F.col("lender"), True), F.lit(""))
     tie = F.struct(*order)

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from disclosa.functions import dates
-from disclosa.operators import links, mutations, normalise, windows
+from disclosa.operators import links, mutations, normalise, summary, windows
 from disclosa.sources import fetch, rules, tables
 
 NOV = dt.date(2025, 11, 30)
@@ -400,3 +400,13 @@ def test_a_crawl_reads_its_pages_once_and_not_in_each_round(spark):
     start = spark.createDataFrame([(1, "https://s.example.com/p0")], "id int, url string")
     assert sorted((r.depth, r.url[-2:]) for r in links.crawl(start, pages).collect()) == [(k, f"p{k}") for k in range(6)]
     assert read.value <= 12
+
+
+def test_months_are_gathered_after_one_shuffle(spark):
+    """Also where nothing of the fill is wanted, so not in the tasks that join the raw rows."""
+    raw = spark.createDataFrame([], "row_id string, lsp_id long, lsp_name string, lender string, portfolio string, amount double, scrape_timestamp timestamp_ntz, as_on_timestamp timestamp_ntz, complete string, dlg_url string")
+    months = summary.monthly_summary(raw.repartition(3), ["scrape_timestamp", "row_id"])
+    for wanted in (months, months.select("lsp_id", "scrape_year", "scrape_month")):
+        plan = wanted._jdf.queryExecution().executedPlan().toString()
+        dealt = plan.index("Exchange hashpartitioning")
+        assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" in plan[:dealt] and "Aggregate" not in plan[dealt:]
