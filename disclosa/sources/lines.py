@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disclosa.functions.dates import parse_date
+from disclosa.functions.text import once
 from disclosa.operators.sequences import nth_with_nth, pairs_in_runs, without_next
 from disclosa.operators.windows import keep_first
 from disclosa.shared import stored
@@ -30,6 +31,8 @@ AGENT_DATE = r"as\s+on\s+([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})"
 AGENT_LINES = {"portfolio": r"^Portfolio\s*([0-9l]+)(?:\s+([0-9,\s]+))?\s*(?:(Yes|No))?\s*$", "merged": r"^Portfolio\s+(\d[\d,]+)\s+Yes\s*$", "alone": r"^[0-9,\s]+$"}
 #: From more than this amount on a line of the agent layout is its total.
 LARGEST = 7_000_000_000
+#: Characters of documents whose lines a task sorts: some hundred MB of rows.
+TASK_CHARS = 1 << 23
 
 ROW = ["source_id", "row_pos", "layout", "lsp_name", "lender", "portfolio", "amount", "as_on", "error"]
 BY, ORDER = ["source_id"], ["pos"]
@@ -92,19 +95,23 @@ def dated(docs: DataFrame, pattern: str) -> DataFrame:
 
 def app_layout(docs: DataFrame) -> DataFrame:
     """Headings of apps, below each an as-on line, lender lines and portfolio lines; a
-    heading begins a segment without lender and date; equal rows once."""
-    rows = typed_lines(docs, APP_LINES)
-    heads = F.sum(F.when(F.col("kind") == "app", 1).otherwise(0)).over(Window.partitionBy(*BY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("seg", heads).where("seg > 0")
-    of = lambda kind, x: F.when(F.col("kind") == kind, x)
-    wording = F.regexp_replace(F.regexp_replace(_part(F.col("line"), APP_LINES["as_on"]), r"(?i)\bunaudited\b.*$", ""), r"^[ :.-]+|[ :.-]+$", "")
-    own = [*BY, "seg"]
-    rows = rows.withColumns({
-        "lsp_name": _last(of("app", _part(F.col("line"), APP_LINES["app"])), own), "as_on": _last(of("as_on", parse_date(wording)), own),
-        "lender": _last(of("lender", _part(F.col("line"), APP_LINES["lender"])), own),
-        "portfolio": _part(F.col("line"), APP_LINES["portfolio"]), "amount": number(_part(F.col("line"), APP_LINES["portfolio"], 2)),
-    })
-    return keep_first(rows.where("kind = 'portfolio'"), ["source_id", "lsp_name", "lender", "portfolio", "amount", "as_on"], [F.col("pos")])
+    heading begins a segment without lender and date; equal rows once.
+
+    Lines go on as what they say, not as texts.  What is carried down has its place with
+    it, so that one above the last heading counts no more and one window does for all.
+    """
+    says = lambda kind, x: F.when(F.col("kind") == kind, once(x, lambda v: F.when(v.isNotNull(), F.struct(F.col("pos"), v.alias("x")))))
+    part = lambda kind, group=1: _part(F.col("line"), APP_LINES[kind], group)
+    wording = F.regexp_replace(F.regexp_replace(part("as_on"), r"(?i)\bunaudited\b.*$", ""), r"^[ :.-]+|[ :.-]+$", "")
+    of = F.col("kind") == "portfolio"
+    rows = typed_lines(docs, APP_LINES).select(
+        *BY, "pos", says("app", part("app")).alias("app"), says("as_on", parse_date(wording)).alias("day"), says("lender", part("lender")).alias("by"),
+        F.when(of, part("portfolio")).alias("portfolio"), F.when(of, number(part("portfolio", 2))).alias("amount"),
+    )
+    rows = rows.withColumns({c: _last(F.col(c), BY) for c in ("app", "day", "by")}).where("portfolio is not null and app is not null")
+    below = lambda c: F.when(F.col(c)["pos"] > F.col("app")["pos"], F.col(c)["x"])
+    rows = rows.select(*BY, "pos", F.col("app")["x"].alias("lsp_name"), below("by").alias("lender"), "portfolio", "amount", below("day").alias("as_on"))
+    return keep_first(rows, ["source_id", "lsp_name", "lender", "portfolio", "amount", "as_on"], [F.col("pos")])
 
 
 def grid_layout(docs: DataFrame) -> DataFrame:
@@ -163,6 +170,13 @@ def pattern_layout(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"portfolio": F.trim(found(F.col("line"), F.col("own.portfolio"))), "amount": number(found(F.col("line"), F.col("own.amount")))}).where("amount is not null")
 
 
+def dealt(docs: DataFrame, chars: int) -> DataFrame:
+    """Documents of so many characters in all, dealt by source over as many tasks as keep
+    to ``TASK_CHARS``: their texts travel, once, instead of their lines, and a task holds
+    the lines of as many whatever there is (but of one source at least)."""
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS)), *BY)
+
+
 LAYOUTS = {"agent": agent_layout, "paired": paired_layout, "grid": grid_layout, "pattern": pattern_layout, "app": app_layout}
 
 
@@ -177,12 +191,12 @@ def text_rows(docs: DataFrame) -> DataFrame:
     known = stored((known if "spec" in docs.columns else with_specs(known)).withColumn("layout", layout_of()), "layouts")
     bad = (F.col("layout") == "pattern") & F.col("spec.error").isNotNull()
     kinds = dict(source_id="long", pos="int", amount="double", as_on="date")
-    there = {r["layout"] for r in known.select("layout").distinct().collect()}  # of five; only these are planned
+    there = {r["layout"]: r["chars"] or 0 for r in known.groupBy("layout").agg(F.sum(F.length("text")).alias("chars")).collect()}  # of five; only these are planned
     parts = []
     for name, parse in LAYOUTS.items():
         if name not in there and (there or name != "app"):
             continue
-        own = known.where(~bad & (F.col("layout") == name))
+        own = dealt(known.where(~bad & (F.col("layout") == name)), there.get(name, 0))
         found = parse(own).withColumns({"layout": F.lit(name), "error": F.lit(None)})
         parts.append(found.select(*[(F.col(c) if c in found.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in ["pos", *(c for c in ROW if c != "row_pos")]]))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("pos")) - 1

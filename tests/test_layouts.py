@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from disclosa.functions.dates import any_date
 from disclosa.sources import cells, html, lines, ocr, report
@@ -22,6 +23,19 @@ def test_app_layout_resets_at_headings_and_drops_repeats(spark):
     assert parsed(spark, text)[1] == [("One", "Lender A", "A1", 100.3, NOV), ("One", "Lender A", "A2", 7.0, NOV), ("Two / 2", None, "B", 1.5, None)]
 
 
+def test_app_layout_carries_only_what_stands_below_the_heading(spark):
+    text = "Lender Z:\nas on 1.1.2020\nDigital Lending App: One\nPortfolio A: 1\nLender B:\nas on 30.11.2025\nas on no day\nnote\nPortfolio A: 1\n"
+    assert parsed(spark, text)[1] == [("One", None, "A", 1.0, None), ("One", "Lender B", "A", 1.0, NOV)]
+
+
+def test_texts_are_dealt_by_their_characters(spark, monkeypatch):
+    """A task holds the lines of so many characters, however many there are in all."""
+    monkeypatch.setattr(lines, "TASK_CHARS", 100, raising=False)
+    docs = spark.range(60).selectExpr("id AS source_id", "'x' AS lsp_name", "concat('Digital Lending App: One\nPortfolio ', repeat('9', 60), ': 1') AS text", "cast(null AS string) AS rules_json")
+    tasks = lines.text_rows(docs).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in tasks) == 60 and len(tasks) > 20
+
+
 def test_app_layout_needs_a_heading(spark):
     assert parsed(spark, "Portfolio A: 1\n")[1] == []
 
