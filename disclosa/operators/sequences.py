@@ -48,11 +48,14 @@ def without_next(lines: DataFrame, by: list[str], order: list, kind: str, mark:
 
 def nth_with_nth(a: DataFrame, b: DataFrame, by: list[str], order: list) -> DataFrame:
     """Two ordered lists of each group side by side, as far as the shorter goes: the rows
-    of ``a`` with the columns of ``b`` that it lacks."""
+    of ``a`` with the columns of ``b`` that it lacks.
+
+    Both are merged: behind texts that are taken apart the planner thinks ``b`` small, and
+    a broadcast of it goes whole through the driver."""
     w = Window.partitionBy(*by).orderBy(*order)
     n = lambda df: df.withColumn("n__", F.row_number().over(w))
     more = [c for c in b.columns if c not in a.columns]
-    return n(a).join(n(b).select(*by, "n__", *more), [*by, "n__"]).drop("n__")
+    return n(a).join(n(b).select(*by, "n__", *more).hint("merge"), [*by, "n__"]).drop("n__")
 
 
 def within_keyword(lines: DataFrame, by: list[str], order: list, keyword: Column, hit: Column, size: int = 3) -> DataFrame:

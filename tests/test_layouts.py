@@ -45,6 +45,14 @@ def test_grid_layout_zips_and_skips_the_total(spark):
     assert parsed(spark, text, "Nira") == ({"grid"}, [("Nira", None, "Portfolio 1", 1000.5, NOV), ("Nira", None, "Portfolio 2", 2.0, NOV)])
 
 
+def test_labels_and_amounts_of_the_grid_are_not_broadcast(spark):
+    """However small the planner thinks them: lines of all sources do not fit the driver."""
+    docs = spark.createDataFrame([(k, "Nira", f"Portfolio {k}\nRs. {k} Crore\nPortfolio 9\nINR 2 Crore", None) for k in range(9)], "source_id long, lsp_name string, text string, rules_json string")
+    rows = lines.text_rows(docs)
+    assert sorted((r.source_id, r.portfolio, r.amount) for r in rows.collect()) == sorted(x for k in range(9) for x in ((k, f"Portfolio {k}", float(k)), (k, "Portfolio 9", 2.0)))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_paired_layout(spark):
     text = "Portfolio Number\nDisbursement\n1\n6,19,25,366\n2\nx\n3\n1,84\nTotal\n9\n9\nLast updated as of November 2025"
     assert parsed(spark, text, "F")[1] == [("F", None, "Portfolio 1", 61925366.0, NOV), ("F", None, "Portfolio 3", 184.0, NOV)]
