@@ -187,6 +187,29 @@ def test_raw_rows_arrive_by_several_tasks(spark, sf):
     assert first.isStreaming and set(first.columns) == set(t.raw.columns)
 
 
+def test_streams_delete_what_they_have_taken_in(spark, sf, tmp_path):
+    import os
+    import time
+
+    from disclosa.plans import catalogue, proxies
+    from disclosa.shared import shared_dir
+    from disclosa.streaming import summary as streaming
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum(".data" in files.getAllFiles().apply(k).getName() for k in range(files.getAllFiles().size()))
+    had, there, name = shuffles(), [], f"taken-{tmp_path.name}"
+    for raw in catalogue.raw_streams(proxies.Tables(spark, sf), name, again=True):
+        streaming.append_stream(raw, f"{tmp_path}/out", f"{tmp_path}/check", ["row_id"]).awaitTermination()
+        root = shared_dir(spark).removeprefix("file://")
+        there += [sorted(os.listdir(f"{root}/{d}")) for d in os.listdir(root) if d.startswith(name)]
+    assert there == [[f"{lo}{again}"] for lo in ("0000", "1996", "1997-06", "1999") for again in ("", "-again")]
+    until = time.time() + 20
+    while shuffles() > had and time.time() < until:
+        time.sleep(0.5)
+    assert shuffles() <= had
+    assert not any(f.startswith("0") for f in os.listdir(tmp_path / "check" / "commits"))  # batches long past
+
+
 def test_null_safe_joins_deal_the_target_once(spark):
     from disclosa.operators import joins
 
