@@ -187,6 +187,20 @@ def test_raw_rows_arrive_by_several_tasks(spark, sf):
     assert first.isStreaming and set(first.columns) == set(t.raw.columns)
 
 
+def test_months_of_many_sources_are_one_state(spark, tmp_path):
+    from disclosa.streaming import summary as streaming
+
+    schema = "row_id string, lsp_id long, lsp_name string, lender string, portfolio string, amount double, as_on_timestamp timestamp_ntz, scrape_timestamp timestamp_ntz, complete string, dlg_url string"
+    at = dt.datetime(2025, 2, 9)
+    rows = [("0", 1, "n", "A", "P", 1.0, None, at, "Completed", "u"), ("1", 2, None, None, None, None, None, at, None, None), ("2", 2, " ", "B", "P", 2.0, at, at, "Error", "u"), ("3", 3, None, None, None, None, None, at, "x", None), (None, None, None, None, None, 4.0, None, at, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/raw")
+    query = streaming.summarise_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/raw"), f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] == 2  # sources 1 to 3, and rows without one
+    got = {(r.lsp_id, r.name, r.total_lenders, r.total_portfolios, r.total_amount, r.dlg_url, r.as_on_month, r.status) for r in streaming.summary_of(spark, f"{tmp_path}/out").collect()}
+    assert got == {(1, "n", 1, 1, 1.0, "u", None, "Stale"), (2, "LSP-2", 1, 1, 2.0, "u", 2, "Error"), (3, "LSP-3", 0, 0, 0.0, None, None, "Missing"), (None, None, 0, 0, 4.0, None, None, "Missing")}
+
+
 def test_streams_delete_what_they_have_taken_in(spark, sf, tmp_path):
     import os
     import time
